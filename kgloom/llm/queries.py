@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .simhash import simhash_groups
+from .suffix_dedup import suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +22,9 @@ def query(f):
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash_groups(read_table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return g.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
