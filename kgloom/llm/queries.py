@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .packing import pack
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
+from .token_counts import token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +30,19 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = suffix_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=2048)
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
