@@ -8,6 +8,7 @@ places by rank within their length, ranks being counted in salted blocks so that
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialize, parts
 
 #: Distinct words whose ids a worker remembers; it starts anew beyond.
-CACHE = 300_000
+CACHE = 1_000_000
 #: Words longer than this are not remembered.
 CACHE_WORD = 200
 
@@ -29,12 +30,13 @@ CACHE_WORD = 200
 def _tokenizer(path: str):  # noqa: ANN202
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core already
     return Tokenizer.from_file(path)
 
 
 class WordIds:
     """Ids of texts as little-endian 32-bit bytes, word by word. Its tokenizer never joins across white space (ids of a
-    text are those of its words in turn), which encode_check() proves for a text."""
+    text are those of its words in turn)."""
 
     def __init__(self, path: str) -> None:
         self.tok, self.seen = _tokenizer(path), {}
@@ -62,6 +64,12 @@ class WordIds:
             return out
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that its tasks share what is remembered."""
+    return WordIds(path)
+
+
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -75,7 +83,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer)
+        ids_of = word_ids(tokenizer)
         for b in batches:
             where, number, start, length, crc, kept = [], [], [], [], [], []
             for row, text in enumerate(b.column(1).to_pylist()):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct words whose counts a worker remembers; it starts anew beyond.
-CACHE = 500_000
+CACHE = 1_000_000
 #: How the vocabulary's texts are cut into words before greedy matching.
 SPLIT = regex.compile(r"<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPECIAL = frozenset({"<|startoftext|>", "<|endoftext|>"})
@@ -154,13 +154,19 @@ class Counter:
         self.seen.update(zip(new, sums, strict=True))
 
 
+@cache
+def counter_of(path: str) -> Counter:
+    """One for each worker process, so that its tasks share what is remembered."""
+    return Counter(automaton(path))
+
+
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_tokens) per row: white-space-free chunks and greedy longest-match tokens of the whole text;
     0 for null and empty texts. vocabulary: path of a word-end vocabulary that every executor has."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(automaton(vocabulary))
+        counter = counter_of(vocabulary)
         for b in batches:
             n_words, n_tokens = [], []
             texts = [(t or "").split() for t in b.column(1).to_pylist()]
