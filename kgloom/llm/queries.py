@@ -13,6 +13,7 @@ from .quality import fit, score
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
+from .winnowing import edited_fingerprints
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +98,8 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op9_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
