@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .chat import format_chats, turns_as_events
+from .html_text import extract_text
 from .mixing import mix
 from .packing import pack
 from .quality import fit, score
@@ -103,3 +104,8 @@ FROM e GROUP BY conv_id
 @query
 def op9_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
