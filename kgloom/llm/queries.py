@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .chat import format_chats, turns_as_events
+from .hnsw import near_duplicates
 from .html_text import extract_text
 from .mixing import mix
 from .packing import pack
@@ -109,3 +110,9 @@ def op9_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return d.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
