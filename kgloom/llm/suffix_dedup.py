@@ -304,8 +304,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     return sure.unionByName(near)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = HOT) -> DataFrame:
-    """All columns of docs with n_bytes, n_removed, n_spans, spans (half-open byte ranges) and kept (the bytes left).
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = HOT, as_text: bool = False) -> DataFrame:
+    """All columns of docs with n_bytes, n_removed, n_spans, spans (half-open byte ranges) and kept (the bytes left; if
+    as_text, the text left, without the halves of characters that a cut has split).
 
     A null text is empty. Rows with equal id and text are separate documents, so each repeats the other. Texts shorter
     than length lose nothing. Strings are judged on the input, not on what is left. Columns of docs with the names of
@@ -316,9 +317,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = repeated_spans(data.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("__bytes").alias("text")), length, hot)
     per_doc = spans.distinct().groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
     joined = data.drop("__bytes").join(per_doc.hint("shuffle_hash"), ["__id", "__th"], "left").drop("__id", "__th")
-    extra = "n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept binary"
+    extra = "n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept " + ("string" if as_text else "binary")
     schema = docs.schema
-    arrow_extra = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+    arrow_extra = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string() if as_text else pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -327,7 +328,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 text, gone = (text or "").encode("utf-8"), merge([(x["begin"], x["end"]) for x in spans or []])
                 ends = [0, *(e for _, e in gone)]
                 kept = b"".join(text[x:y] for x, y in zip(ends, [*(s for s, _ in gone), len(text)], strict=True))
-                rows.append({"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(gone), "spans": [{"begin": x, "end": y} for x, y in gone], "kept": kept})
+                rows.append({"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(gone), "spans": [{"begin": x, "end": y} for x, y in gone], "kept": kept.decode("utf-8", "ignore") if as_text else kept})
             new = pa.RecordBatch.from_pylist(rows, arrow_extra)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != at), *new.columns], [*(x for i, x in enumerate(b.schema.names) if i != at), *arrow_extra.names])
 
