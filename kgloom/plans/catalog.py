@@ -1,6 +1,675 @@
-"""The registered queries and their SQL."""
+"""The registered queries and, where SQL can express them, the same in SQL over the same tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions.dictionaries import NODE_TYPE_ALIASES, NODE_TYPES, PERIODS, RELATIONSHIP_ALIASES, RELATIONSHIP_TYPES
+from ..operators import builder, extract, graph, keywords, metrics, store, topics, transform
+from ..sources import readers, tables
+from ..streaming.upsert import windowed_counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# SQL of the views that tables.py defines.
+VIEWS = {
+    "g_nodes": """SELECT 'part_' || p_partkey AS id, p_name AS label, p_type AS type, p_size::DOUBLE AS size FROM part
+      UNION ALL SELECT 'supplier_' || s_suppkey, s_name, 'supplier', (10 + s_suppkey % 40)::DOUBLE FROM supplier
+      UNION ALL SELECT 'customer_' || c_custkey, c_name, 'customer', (10 + c_custkey % 40)::DOUBLE FROM customer
+      UNION ALL SELECT 'nation_' || n_nationkey, n_name, 'nation', 30.0 FROM nation
+      UNION ALL SELECT 'region_' || r_regionkey, r_name, 'region', 40.0 FROM region""",
+    "supply": """SELECT 'supplier_' || l_suppkey AS src, 'part_' || l_partkey AS dst, count(*)::DOUBLE AS weight, 'SUPPLIES' AS relationship_type
+      FROM lineitem GROUP BY l_suppkey, l_partkey""",
+    "places": """SELECT 'supplier_' || s_suppkey AS src, 'nation_' || s_nationkey AS dst, 1.0::DOUBLE AS weight, 'PART_OF' AS relationship_type FROM supplier
+      UNION ALL SELECT 'customer_' || c_custkey, 'nation_' || c_nationkey, 1.0, 'PART_OF' FROM customer
+      UNION ALL SELECT 'nation_' || n_nationkey, 'region_' || n_regionkey, 1.0, 'PART_OF' FROM nation""",
+    "g_edges": "SELECT * FROM supply UNION ALL SELECT * FROM places",
+    "geo_nodes": "SELECT * FROM g_nodes WHERE type IN ('supplier', 'customer', 'nation', 'region')",
+    "s3": "SELECT * FROM supply WHERE weight >= 3",
+    "s3_nodes": "SELECT * FROM g_nodes WHERE id IN (SELECT src FROM s3 UNION SELECT dst FROM s3)",
+    "s3_both": "SELECT src AS a, dst AS b FROM s3 UNION SELECT dst, src FROM s3",
+    "degrees": """SELECT n.id, n.label, n.type, count(e.other) AS degree FROM g_nodes n LEFT JOIN
+      (SELECT src AS id, dst AS other FROM g_edges UNION ALL SELECT dst, src FROM g_edges WHERE src <> dst) e ON n.id = e.id GROUP BY n.id, n.label, n.type""",
+    "papers": """SELECT doc_id AS paper_ix, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract,
+      lang AS keywords, source AS journal, (1995 + doc_id % 31)::INT AS pub_year FROM documents""",
+    "cleaned": r"""SELECT paper_ix, pub_year, lower(title || ' ' || abstract) AS raw,
+      trim(regexp_replace(regexp_replace(lower(title || ' ' || abstract), '[^A-Za-z0-9_\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM papers""",
+}
+
+
+def with_views(body: str, *names: str, recursive: str = "") -> str:
+    need: list[str] = []
+
+    def add(n: str) -> None:
+        for v in VIEWS:
+            if v != n and v not in need and v in VIEWS[n].replace("(", " ").replace(")", " ").replace(",", " ").split():
+                add(v)
+        if n not in need:
+            need.append(n)
+
+    for n in names:
+        add(n)
+    parts = [f"{n} AS ({VIEWS[n]})" for n in need] + ([recursive] if recursive else [])
+    return ("WITH " + ("RECURSIVE " if recursive else "") + ", ".join(parts) + " " if parts else "") + body
+
+
+def query(sql: str | None = None, *views: str, recursive: str = ""):  # noqa: ANN201
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = with_views(sql, *views, recursive=recursive)
+        return f
+
+    return add
+
+
+# Filters, search, pages and order
+
+
+@query("SELECT * FROM g_nodes WHERE type = 'supplier' AND size >= 30", "g_nodes")
+def filter_nodes(s, d):
+    return graph.filter_nodes(tables.nodes(s, d), type="supplier", min_size=30)
+
+
+@query("SELECT src, dst, weight, relationship_type FROM g_edges WHERE weight >= 2 AND weight <= 3", "g_edges")
+def filter_edges(s, d):
+    return graph.filter_edges(tables.graph(s, d).edges, min_weight=2, max_weight=3)
+
+
+@query("SELECT e.* FROM g_edges e WHERE e.src IN (SELECT id FROM g_nodes WHERE size >= 25) AND e.dst IN (SELECT id FROM g_nodes WHERE size >= 25)", "g_nodes", "g_edges")
+def drop_dangling_edges(s, d):
+    g = tables.graph(s, d)
+    return graph.drop_dangling(g.edges, graph.filter_nodes(g.nodes, min_size=25))
+
+
+@query("SELECT count(*) AS total FROM g_nodes WHERE type = 'customer' AND size >= 20", "g_nodes")
+def count_filtered_nodes(s, d):
+    return tables.graph(s, d).page(type="customer", min_size=20)[1]
+
+
+@query("SELECT * FROM g_nodes ORDER BY id LIMIT 50 OFFSET 100", "g_nodes")
+def page_of_nodes(s, d):
+    return graph.page(tables.nodes(s, d), [F.col("id")], 50, 100)
+
+
+@query("SELECT * FROM g_nodes WHERE type = 'supplier' AND size <= 45 ORDER BY label DESC, id LIMIT 20 OFFSET 20", "g_nodes")
+def request_page(s, d):
+    return graph.apply_request(tables.graph(s, d), {"filter": {"node_type": "supplier", "maxSize": 45}, "sort": "name:desc", "page": 2, "per_page": 20}).nodes
+
+
+@query("SELECT *, 1.0::DOUBLE AS score FROM g_nodes WHERE contains(lower(label), 'an') ORDER BY size DESC, id LIMIT 20", "g_nodes")
+def search_nodes(s, d):
+    return graph.search_nodes(tables.nodes(s, d), "AN")
+
+
+@query("SELECT * FROM g_nodes WHERE id = 'nation_3'", "g_nodes")
+def node_by_id(s, d):
+    return graph.node_by_id(tables.nodes(s, d), "nation_3")
+
+
+@query("SELECT e.* FROM g_edges e JOIN (SELECT id FROM g_nodes WHERE coalesce(size, 10) >= 20 ORDER BY size DESC, id LIMIT 200) a ON e.src = a.id JOIN (SELECT id FROM g_nodes WHERE coalesce(size, 10) >= 20 ORDER BY size DESC, id LIMIT 200) b ON e.dst = b.id WHERE coalesce(weight, 1) >= 1", "g_nodes", "g_edges")
+def view_filter_edges(s, d):
+    return graph.view_filter(tables.graph(s, d), 20, 1, 200).edges
+
+
+@query("SELECT * FROM g_nodes ORDER BY coalesce(size, 0) DESC, id LIMIT 10", "g_nodes")
+def top_nodes_by_size(s, d):
+    return graph.top_by(tables.nodes(s, d), "size", 10)
+
+
+@query("SELECT * FROM supply ORDER BY coalesce(weight, 0) DESC, src, dst LIMIT 5", "supply")
+def strongest_edges(s, d):
+    return metrics.strongest(tables.supply_edges(s, d))
+
+
+@query("SELECT event_id AS id, event_type AS analysis_type, ts AS created_at FROM events WHERE event_type = 'click' ORDER BY created_at DESC, id LIMIT 50 OFFSET 10")
+def analysis_history(s, d):
+    e = tables.table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("analysis_type"), F.col("ts").alias("created_at"))
+    return store.history(e, "click", 50, 10)
+
+
+@query("SELECT upload_id, at, status FROM (SELECT user_id AS upload_id, ts AS at, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS r FROM events) WHERE r = 1")
+def latest_upload_status(s, d):
+    e = tables.table(s, d, "events").select(F.col("user_id").alias("upload_id"), F.col("ts").alias("at"), F.col("event_type").alias("status"))
+    return store.latest_status(e)
+
+
+# Structure and degrees
+
+
+@query("SELECT n AS n_nodes, e AS n_edges, coalesce(2.0 * e / nullif(n, 0), 0)::DOUBLE AS avg_degree, coalesce(2.0 * e / nullif(n * (n - 1), 0), 0)::DOUBLE AS density FROM (SELECT (SELECT count(*) FROM g_nodes) AS n, (SELECT count(*) FROM g_edges) AS e)", "g_nodes", "g_edges")
+def structure(s, d):
+    return metrics.structure(tables.graph(s, d))
+
+
+@query("SELECT coalesce(type, 'unknown') AS type, count(*) AS n FROM g_nodes GROUP BY 1", "g_nodes")
+def type_counts(s, d):
+    return metrics.type_counts(tables.nodes(s, d))
+
+
+@query("SELECT coalesce(type, 'unknown') AS type, count(*) AS n, list_sort(list(id)) AS ids FROM geo_nodes WHERE type <> 'customer' GROUP BY 1", "geo_nodes")
+def nodes_by_type(s, d):
+    return metrics.by_type(tables.geo_graph(s, d).nodes.where("type <> 'customer'"))
+
+
+@query("SELECT relationship_type, count(*) AS n FROM g_edges GROUP BY 1", "g_edges")
+def relationship_counts(s, d):
+    return metrics.relationship_counts(tables.graph(s, d).edges)
+
+
+DEGREES = """SELECT n.id, n.label, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) + coalesce(o.c, 0) AS degree FROM g_nodes n
+  LEFT JOIN (SELECT dst AS id, count(*) AS c FROM g_edges GROUP BY 1) i ON n.id = i.id LEFT JOIN (SELECT src AS id, count(*) AS c FROM g_edges GROUP BY 1) o ON n.id = o.id"""
+
+
+@query(DEGREES, "g_nodes", "g_edges")
+def degree_centrality(s, d):
+    return metrics.degree_centrality(tables.graph(s, d))
+
+
+@query(f"SELECT * FROM ({DEGREES}) ORDER BY degree DESC, id LIMIT 10", "g_nodes", "g_edges")
+def degree_top10(s, d):
+    return metrics.degree_centrality(tables.graph(s, d)).orderBy(F.desc("degree"), "id").limit(10)
+
+
+@query("SELECT degree, count(*) AS n, count(*) / sum(count(*)) OVER () AS probability FROM degrees GROUP BY degree", "degrees")
+def degree_distribution(s, d):
+    return metrics.degree_distribution(tables.graph(s, d))
+
+
+@query("SELECT count(*) FILTER (degree = 0) AS isolated, min(degree) AS min_degree, max(degree) AS max_degree, avg(degree) AS avg_degree FROM degrees", "degrees")
+def connectivity(s, d):
+    return metrics.connectivity(tables.graph(s, d))
+
+
+@query("SELECT id, label, degree FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, id) AS r, count(*) OVER () AS n FROM degrees) WHERE r <= ceil(0.1 * n)", "degrees")
+def hubs(s, d):
+    return metrics.hubs(tables.graph(s, d)).select("id", "label", "degree")
+
+
+@query("SELECT id FROM (SELECT n.id FROM g_nodes n WHERE n.id NOT IN (SELECT src FROM s3 UNION SELECT dst FROM s3)) ORDER BY id LIMIT 10", "g_nodes", "s3")
+def isolated_nodes(s, d):
+    return metrics.isolated_nodes(tables.graph(s, d, 3, places=False)).select("id")
+
+
+@query("SELECT id, label, degree * degree AS betweenness FROM degrees", "degrees")
+def betweenness(s, d):
+    return metrics.betweenness_estimate(tables.graph(s, d))
+
+
+@query("SELECT n.n AS n_nodes, e.e AS n_edges, round(x.a, 2) AS avg_degree, x.m AS max_degree, round(2.0 * e.e / (n.n * (n.n - 1)), 4)::DOUBLE AS density, e.e > 0 AS connected FROM (SELECT count(*) AS n FROM g_nodes) n, (SELECT count(*) AS e FROM g_edges) e, (SELECT avg(c) AS a, max(c) AS m FROM (SELECT id, count(*) AS c FROM (SELECT src AS id FROM g_edges UNION ALL SELECT dst FROM g_edges) GROUP BY id)) x", "g_nodes", "g_edges")
+def network_metrics(s, d):
+    return metrics.network_metrics(tables.graph(s, d))
+
+
+@query("SELECT id, 'Consider ''' || label || ''' (' || degree || ' connections) as a key concept' AS text, 'high' AS priority FROM (SELECT id, label, degree FROM degrees ORDER BY degree DESC, id LIMIT 5)", "degrees")
+def key_recommendations(s, d):
+    return metrics.recommendations_by_degree(tables.graph(s, d))
+
+
+@query("SELECT coalesce(type, 'unknown') AS type, CASE WHEN size < 20 THEN 'small' WHEN size < 40 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n, avg(size) AS avg_size FROM g_nodes GROUP BY 1, 2", "g_nodes")
+def feature_clusters(s, d):
+    return metrics.feature_clusters(tables.nodes(s, d))
+
+
+@query("SELECT id, list_sort(list(DISTINCT other)) AS neighbours FROM (SELECT src AS id, dst AS other FROM s3 UNION ALL SELECT dst, src FROM s3) GROUP BY id", "s3")
+def adjacency(s, d):
+    return graph.adjacency(tables.supply_edges(s, d, 3))
+
+
+@query("SELECT count(*) AS communities, sum(coalesce(i.internal, 0) / e.e - pow(z.n * (z.n - 1) / (2.0 * e.e), 2)) AS modularity FROM (SELECT type, count(*) AS n FROM g_nodes GROUP BY type) z CROSS JOIN (SELECT count(*)::DOUBLE AS e FROM g_edges) e LEFT JOIN (SELECT a.type, count(*)::DOUBLE AS internal FROM g_edges x JOIN g_nodes a ON x.src = a.id JOIN g_nodes b ON x.dst = b.id WHERE a.type = b.type GROUP BY 1) i ON z.type = i.type", "g_nodes", "g_edges")
+def type_modularity(s, d):
+    return metrics.type_modularity(tables.graph(s, d))
+
+
+# Neighbourhoods, paths and components
+
+
+def hop(start: str, edges: str, depth: int) -> str:
+    return f"hop(id, level) AS (SELECT '{start}', 0 UNION SELECT e.b, h.level + 1 FROM hop h JOIN (SELECT src AS a, dst AS b FROM {edges} UNION ALL SELECT dst, src FROM {edges}) e ON e.a = h.id WHERE h.level < {depth})"
+
+
+@query("SELECT id, min(level)::INT AS level FROM hop GROUP BY id", "places", recursive=hop("region_0", "places", 2))
+def k_hop(s, d):
+    return graph.k_hop(tables.place_edges(s, d), s.createDataFrame([("region_0",)], "id string"), 2)
+
+
+@query("SELECT DISTINCT e.* FROM places e JOIN (SELECT id, min(level) AS level FROM hop GROUP BY id) h ON (e.src = h.id OR e.dst = h.id) WHERE h.level < 2", "places", recursive=hop("nation_1", "places", 2))
+def subgraph_edges(s, d):
+    return graph.subgraph(tables.geo_graph(s, d), "nation_1", 2).edges
+
+
+@query("SELECT id, min(level)::INT AS level FROM hop GROUP BY id HAVING min(level) > 0", "places", recursive=hop("nation_2", "places", 2))
+def neighbour_levels(s, d):
+    return graph.neighbour_levels(tables.place_edges(s, d), "nation_2")
+
+
+WALK = """step AS (SELECT src || '>' || dst AS e, src AS a, dst AS b, weight, relationship_type AS t FROM places WHERE src NOT LIKE 'customer%' UNION ALL SELECT src || '>' || dst, dst, src, weight, relationship_type FROM places WHERE src NOT LIKE 'customer%'),
+  walk(at, vertices, types, used, length, total_weight) AS (SELECT 'supplier_1', ['supplier_1'], []::VARCHAR[], []::VARCHAR[], 0, 0.0::DOUBLE
+  UNION ALL SELECT s.b, list_append(w.vertices, s.b), list_append(w.types, s.t), list_append(w.used, s.e), w.length + 1, w.total_weight + s.weight FROM walk w JOIN step s ON s.a = w.at WHERE w.length < 3 AND NOT list_contains(w.used, s.e))"""
+
+
+@query("SELECT at, vertices, types, length, total_weight FROM walk WHERE length > 0", "places", recursive=WALK)
+def paths(s, d):
+    return graph.paths(tables.place_edges(s, d).where("src not like 'customer%'"), "supplier_1", None, 3)
+
+
+@query("SELECT at, vertices, types, length, total_weight FROM walk WHERE at LIKE 'region%' AND length > 0 ORDER BY length, total_weight, vertices LIMIT 1", "places", recursive=WALK)
+def shortest_path(s, d):
+    e = tables.place_edges(s, d).where("src not like 'customer%'")
+    return graph.paths(e, "supplier_1", None, 3).where("at like 'region%'").orderBy("length", "total_weight", "vertices").limit(1)
+
+
+REACH = "reach(id, root) AS (SELECT id, id FROM s3_nodes UNION SELECT e.b, r.root FROM reach r JOIN s3_both e ON e.a = r.id WHERE e.b > r.root)"
+COMP = "(SELECT id, min(root) AS component FROM reach GROUP BY id)"
+REACH_ALL = "reach(id, root) AS (SELECT id, id FROM s3_nodes UNION SELECT e.b, r.root FROM reach r JOIN s3_both e ON e.a = r.id)"
+
+
+@query(f"SELECT id, component FROM {COMP}", "s3_nodes", "s3_both", recursive=REACH_ALL)
+def connected_components(s, d):
+    return graph.connected(tables.touched_graph(s, d, 3))
+
+
+@query(f"SELECT dense_rank() OVER (ORDER BY component) - 1 AS community, community_size, id FROM (SELECT *, count(*) OVER (PARTITION BY component) AS community_size FROM {COMP}) WHERE community_size > 1", "s3_nodes", "s3_both", recursive=REACH_ALL)
+def communities(s, d):
+    return graph.communities(tables.touched_graph(s, d, 3))
+
+
+@query(f"SELECT component, arg_min(label, (-coalesce(size, 0), id)) || ' Group' AS name, count(*) AS n_nodes, count(*) || ' connected concepts' AS description FROM s3_nodes JOIN {COMP} USING (id) GROUP BY component", "s3_nodes", "s3_both", recursive=REACH_ALL)
+def named_clusters(s, d):
+    return graph.named_clusters(tables.touched_graph(s, d, 3))
+
+
+@query(f"SELECT count(*) AS communities, sum(coalesce(i.n, 0) / e.e - (c.degree * c.degree / (4 * e.e)) / e.e) AS modularity FROM (SELECT component, count(*) AS size, sum(degree)::DOUBLE AS degree FROM {COMP} JOIN (SELECT a AS id, count(*) AS degree FROM s3_both GROUP BY a) USING (id) GROUP BY component) c CROSS JOIN (SELECT count(*)::DOUBLE AS e FROM s3) e LEFT JOIN (SELECT component, count(*)::DOUBLE AS n FROM s3 JOIN {COMP} x ON s3.src = x.id GROUP BY component) i USING (component) WHERE c.size > 1", "s3", "s3_nodes", "s3_both", recursive=REACH_ALL)
+def component_modularity(s, d):
+    return metrics.component_modularity(tables.touched_graph(s, d, 3))
+
+
+FORWARD = "fw(s, id, d) AS (SELECT id, id, 0 FROM geo_nodes WHERE type <> 'customer' UNION SELECT f.s, e.dst, f.d + 1 FROM fw f JOIN places e ON e.src = f.id WHERE f.d < 5)"
+
+
+@query("SELECT s AS id, reached, avg_distance, CASE WHEN avg_distance < 999 THEN 1 / avg_distance ELSE 0 END AS closeness FROM (SELECT s, count(*) - 1 AS reached, (sum(d) + (n - 1 - (count(*) - 1)) * 999) / (n - 1)::DOUBLE AS avg_distance FROM (SELECT s, id, min(d) AS d FROM fw GROUP BY s, id) CROSS JOIN (SELECT count(*) AS n FROM geo_nodes WHERE type <> 'customer') GROUP BY s, n)", "geo_nodes", "places", recursive=FORWARD)
+def closeness(s, d):
+    g = tables.geo_graph(s, d)
+    return graph.closeness(graph.Graph(g.nodes.where("type <> 'customer'"), g.edges.where("src not like 'customer%'")))
+
+
+LPA_ROUND = "SELECT id, label FROM (SELECT a AS id, label, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, label) AS r FROM s3_both JOIN {prev} p ON p.id = s3_both.b GROUP BY a, label) WHERE r = 1"
+
+
+@query("SELECT * FROM l2", "s3_nodes", "s3_both", recursive="l0 AS (SELECT id, id AS label FROM s3_nodes), l1 AS (" + LPA_ROUND.format(prev="l0") + "), l2 AS (" + LPA_ROUND.format(prev="l1") + ")")
+def label_propagation(s, d):
+    return graph.label_propagation(tables.touched_graph(s, d, 3), 2)
+
+
+@query("SELECT line FROM (SELECT format('{} ({})', label, coalesce(nullif(type, ''), 'concept')) AS line FROM s3_nodes UNION ALL SELECT format('{} -> {} ({})', a.label, b.label, e.relationship_type) FROM s3 e JOIN s3_nodes a ON e.src = a.id JOIN s3_nodes b ON e.dst = b.id)", "s3", "s3_nodes")
+def graph_to_text(s, d):
+    return graph.graph_to_text(tables.touched_graph(s, d, 3))
+
+
+CLUSTERS = "m AS (SELECT id, split_part(id, '_', 1) || '_' || (split_part(id, '_', 2)::BIGINT % 3) AS cluster FROM geo_nodes)"
+
+
+def _clusters(g: graph.Graph) -> DataFrame:
+    kind, n = F.substring_index("id", "_", 1), F.substring_index("id", "_", -1).cast("long")
+    return g.nodes.select("id", F.concat(kind, F.lit("_"), (n % 3).cast("string")).alias("cluster"))
+
+
+LINKS = "(SELECT least(x.cluster, y.cluster) AS a, greatest(x.cluster, y.cluster) AS b, count(*) AS connections, sum(coalesce(weight, 1)) AS strength FROM places e JOIN m x ON e.src = x.id JOIN m y ON e.dst = y.id WHERE x.cluster <> y.cluster GROUP BY 1, 2)"
+
+
+@query(f"SELECT * FROM {LINKS}", "geo_nodes", "places", recursive=CLUSTERS)
+def cluster_links(s, d):
+    g = tables.geo_graph(s, d)
+    return metrics.cluster_links(g, _clusters(g))
+
+
+@query(f"SELECT 'weak' AS kind, a, b, connections FROM {LINKS} l JOIN (SELECT cluster, count(*) AS n FROM m GROUP BY 1) x ON l.a = x.cluster JOIN (SELECT cluster, count(*) AS n FROM m GROUP BY 1) y ON l.b = y.cluster WHERE connections < 0.1 * least(x.n, y.n) UNION ALL SELECT 'isolated', cluster, NULL, 0 FROM (SELECT cluster, count(*) AS n FROM m GROUP BY 1) WHERE n > 3 AND cluster NOT IN (SELECT a FROM {LINKS} UNION SELECT b FROM {LINKS})", "geo_nodes", "places", recursive=CLUSTERS)
+def structural_gaps(s, d):
+    g = tables.geo_graph(s, d)
+    return metrics.structural_gaps(g, _clusters(g))
+
+
+@query("SELECT density, variance, CASE WHEN variance > 100 THEN 'focused' WHEN density < 0.01 THEN 'sparse' WHEN density > 0.1 THEN 'dense' ELSE 'balanced' END AS bias, CASE WHEN variance > 100 THEN greatest(0.6, CASE WHEN density < 0.01 THEN 0.3 WHEN density > 0.1 THEN 0.8 ELSE 0.5 END) WHEN density < 0.01 THEN 0.3 WHEN density > 0.1 THEN 0.8 ELSE 0.5 END::DOUBLE AS score FROM (SELECT (2.0 * e / (n * (n - 1)))::DOUBLE AS density, v AS variance FROM (SELECT count(*) AS n FROM geo_nodes), (SELECT count(*) AS e FROM places), (SELECT var_pop(c) AS v FROM (SELECT count(*) AS c FROM m GROUP BY cluster)))", "geo_nodes", "places", recursive=CLUSTERS)
+def network_bias(s, d):
+    g = tables.geo_graph(s, d)
+    return metrics.network_bias(g, _clusters(g))
+
+
+@query("SELECT id, degree, z FROM (SELECT id, degree, (degree - avg(degree) OVER ()) / nullif(stddev_pop(degree) OVER (), 0) AS z FROM degrees) WHERE z > 3", "degrees")
+def degree_outliers(s, d):
+    return metrics.degree_outliers(tables.graph(s, d))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS period, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_trends(s, d):
+    return metrics.trends(tables.table(s, d, "events"), "ts", "day", "event_type")
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS period, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_event_counts(s, d):
+    return windowed_counts(tables.table(s, d, "events"))
+
+
+@query("SELECT e.b AS id, count(*) AS shared FROM s3_both o JOIN s3_both e ON e.a = o.b WHERE o.a = (SELECT min(src) FROM s3) AND e.b <> o.a AND e.b NOT IN (SELECT b FROM s3_both WHERE a = (SELECT min(src) FROM s3)) GROUP BY 1 ORDER BY shared DESC, id LIMIT 10", "s3", "s3_both")
+def common_neighbours(s, d):
+    g = tables.touched_graph(s, d, 3)
+    first = g.edges.agg(F.min("src").alias("m")).first()["m"]
+    return metrics.common_neighbours(g, first or "")
+
+
+# Likeness
+
+
+@query("SELECT len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE AS similarity FROM (SELECT list_distinct(string_split(lower(label), ' ')) AS a FROM g_nodes WHERE id = 'part_1'), (SELECT list_distinct(string_split(lower(label), ' ')) AS b FROM g_nodes WHERE id = 'part_2')", "g_nodes")
+def label_similarity(s, d):
+    return metrics.label_similarity(tables.nodes(s, d), "part_1", "part_2")
+
+
+@query("SELECT count(*) FILTER (a AND b) / count(*)::DOUBLE AS similarity FROM (SELECT other, bool_or(id = 'supplier_1') AS a, bool_or(id = 'supplier_2') AS b FROM (SELECT src AS id, dst AS other FROM supply) WHERE id IN ('supplier_1', 'supplier_2') GROUP BY other)", "supply")
+def structural_similarity(s, d):
+    return metrics.structural_similarity(tables.supply_edges(s, d), "supplier_1", "supplier_2")
+
+
+@query("SELECT a.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity FROM embeddings a CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
+def embedding_cosine(s, d):
+    e = tables.table(s, d, "embeddings")
+    probe = e.where("vec_id = 0").limit(1).select(F.col("embedding").alias("p"))
+    return e.crossJoin(F.broadcast(probe)).select("vec_id", F.round(extract.cosine(F.col("embedding"), F.col("p")), 9).alias("similarity"))
+
+
+# Keywords
+
+
+KEYWORDS = r"(SELECT doc_id, kw, count(*) AS n, min(pos) AS p FROM (SELECT doc_id, unnest(ws) AS kw, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\s]', ' ', 'g'), '\s+') AS ws FROM documents)) WHERE length(kw) > 2 GROUP BY 1, 2)"
+TOP_KEYWORDS = f"(SELECT doc_id, kw AS keyword, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p)::INT AS rank FROM {KEYWORDS})"
+
+
+@query(f"SELECT * FROM {TOP_KEYWORDS} WHERE rank <= 10")
+def top_keywords(s, d):
+    return keywords.top_keywords(tables.table(s, d, "documents"), 10)
+
+
+STOP = ["the", "and", "with", "les", "des", "und"]
+
+
+@query(r"""SELECT doc_id, keyword, score, rank FROM (SELECT doc_id, keyword, round(sum(s), 6)::DOUBLE AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(sum(s), 6) DESC, min(k), min(pos))::INT AS rank FROM (
+  SELECT doc_id, kw AS keyword, 1.0 AS s, 0 AS k, pos FROM kept UNION ALL
+  SELECT doc_id, pair, 0.8, 1, pos FROM (SELECT doc_id, kw || ' ' || lead(kw) OVER (PARTITION BY doc_id ORDER BY pos) AS pair, pos FROM kept) WHERE length(pair) > 5 AND length(pair) < 30) GROUP BY 1, 2) WHERE rank <= 10""", recursive=rf"""kept AS (SELECT doc_id, kw, pos FROM (SELECT doc_id, unnest(ws) AS kw, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\s가-힣]', ' ', 'g'), '\s+') AS ws FROM documents))
+  WHERE length(kw) > 2 AND kw NOT IN ({", ".join(f"'{w}'" for w in STOP)}) AND NOT regexp_full_match(kw, '\d+'))""")
+def weighted_keywords(s, d):
+    return keywords.weighted_keywords(tables.table(s, d, "documents"), STOP, 10)
+
+
+@query("SELECT keyword, n, n / (SELECT count(*) FROM g_nodes)::DOUBLE AS score FROM (SELECT unnest(string_split(lower(label), ' ')) AS keyword, count(*) AS n FROM g_nodes GROUP BY 1) WHERE length(keyword) > 2 ORDER BY n DESC, keyword LIMIT 20", "g_nodes")
+def label_keywords(s, d):
+    return keywords.label_keywords(tables.nodes(s, d))
+
+
+PAPER_KW = r"""pk AS (SELECT DISTINCT paper_ix, keyword FROM (SELECT paper_ix, kw AS keyword, row_number() OVER (PARTITION BY paper_ix ORDER BY count(*) DESC, min(pos)) AS r FROM (SELECT paper_ix, unnest(ws) AS kw, generate_subscripts(ws, 1) AS pos FROM
+  (SELECT paper_ix, regexp_split_to_array(regexp_replace(lower(title || ' ' || abstract), '[^A-Za-z0-9_\s]', ' ', 'g'), '\s+') AS ws FROM papers)) WHERE length(kw) > 2 GROUP BY 1, 2) WHERE r <= 10)"""
+
+
+def _paper_kw(s, d):
+    return keywords.paper_keywords(tables.papers(s, d).drop("keywords"), 10)
+
+
+@query("SELECT keyword, n, least(greatest(n * 5.0, 10), 50)::DOUBLE AS size, first_titles FROM (SELECT keyword, count(*) AS n, list_slice(list(title ORDER BY paper_ix), 1, 5) AS first_titles FROM pk JOIN papers USING (paper_ix) GROUP BY 1) WHERE n >= 2", "papers", recursive=PAPER_KW)
+def keyword_nodes(s, d):
+    return keywords.keyword_nodes(_paper_kw(s, d), tables.papers(s, d))
+
+
+@query("SELECT a.keyword AS a, b.keyword AS b, count(*) AS weight FROM (SELECT * FROM pk WHERE keyword IN (SELECT keyword FROM pk GROUP BY 1 HAVING count(*) >= 2)) a JOIN (SELECT * FROM pk WHERE keyword IN (SELECT keyword FROM pk GROUP BY 1 HAVING count(*) >= 2)) b ON a.paper_ix = b.paper_ix AND a.keyword < b.keyword GROUP BY 1, 2", "papers", recursive=PAPER_KW)
+def keyword_cooccurrence(s, d):
+    return keywords.cooccurrence(_paper_kw(s, d))
+
+
+# Topics. The texts are invented, so small dictionaries of their words stand in for the field's.
+TEST_TOPICS = {"first": ["the", "and"], "second": ["with", "les"], "third": ["und", "que"], "none": ["photosynthesis"]}
+
+
+def _match(words: list[str]) -> str:
+    return "(" + " OR ".join(rf"regexp_matches(t, '(^|[^A-Za-z0-9_]){w}($|[^A-Za-z0-9_])')" for w in words) + ")"
+
+
+TOPIC_ROWS = " UNION ALL ".join(f"SELECT paper_ix, pub_year, '{t}' AS topic FROM cleaned WHERE {_match(w)}" for t, w in TEST_TOPICS.items())
+TOPIC_NAMES = " UNION ALL ".join(f"SELECT '{t}' AS topic, {len(w)} AS keywords" for t, w in TEST_TOPICS.items())
+PERIOD = "CASE " + " ".join(f"WHEN pub_year BETWEEN {a} AND {b} THEN '{p}'" for p, a, b in PERIODS) + " END"
+
+
+@query(f"SELECT n.topic, coalesce(c.n, 0) AS n, 100.0 * coalesce(c.n, 0) / (SELECT count(*) FROM papers)::DOUBLE AS pct, n.keywords::INT AS keywords FROM ({TOPIC_NAMES}) n LEFT JOIN (SELECT topic, count(*) AS n FROM ({TOPIC_ROWS}) GROUP BY 1) c USING (topic)", "papers", "cleaned")
+def topic_coverage(s, d):
+    return topics.coverage(tables.papers(s, d), TEST_TOPICS)
+
+
+@query(f"SELECT p.period, coalesce(t.total, 0) AS total, n.topic, coalesce(c.n, 0) AS n FROM ({' UNION ALL '.join(f'''SELECT '{p}' AS period''' for p, _, _ in PERIODS)}) p CROSS JOIN ({TOPIC_NAMES}) n LEFT JOIN (SELECT {PERIOD} AS period, count(*) AS total FROM papers GROUP BY 1) t USING (period) LEFT JOIN (SELECT {PERIOD} AS period, topic, count(*) AS n FROM ({TOPIC_ROWS}) GROUP BY 1, 2) c ON c.period = p.period AND c.topic = n.topic", "papers", "cleaned")
+def topic_trend(s, d):
+    return topics.temporal(tables.papers(s, d), TEST_TOPICS)
+
+
+@query("SELECT count(*) AS papers, min(pub_year) AS first_year, max(pub_year) AS last_year, 4 AS topics, 7 AS keywords FROM papers", "papers")
+def topic_statistics(s, d):
+    return topics.topic_statistics(tables.papers(s, d), TEST_TOPICS)
+
+
+def _occ(w: str) -> str:
+    return f"((length(raw) - length(replace(raw, '{w}', ''))) / {len(w)})::INT"
+
+
+BEST_TEST = {"first": ["the", "ing"], "second": ["les", "que"], "third": ["und", "ein"]}
+SCORES = ", ".join(f"{' + '.join(_occ(w) for w in ws)} AS c{i}" for i, ws in enumerate(BEST_TEST.values()))
+BEST = f"(SELECT paper_ix, CASE WHEN greatest(c0, c1, c2) = 0 THEN 'third' WHEN c0 = greatest(c0, c1, c2) THEN 'first' WHEN c1 = greatest(c0, c1, c2) THEN 'second' ELSE 'third' END AS topic, greatest(c0, c1, c2)::INT AS score FROM (SELECT paper_ix, {SCORES} FROM cleaned))"
+
+
+@query(f"SELECT * FROM {BEST}", "cleaned")
+def best_topic(s, d):
+    return topics.best_topic(tables.papers(s, d), BEST_TEST)
+
+
+@query(f"SELECT n.topic, coalesce(c.n, 0) AS n, round(100.0 * coalesce(c.n, 0) / (SELECT count(*) FROM papers), 1)::DOUBLE AS pct FROM (VALUES ('first'), ('second'), ('third')) n(topic) LEFT JOIN (SELECT topic, count(*) AS n FROM {BEST} GROUP BY 1) c USING (topic)", "papers", "cleaned")
+def best_topic_counts(s, d):
+    return topics.best_topic_counts(tables.papers(s, d), BEST_TEST)
+
+
+@query("SELECT pub_year::INT AS year, count(*) AS n FROM papers WHERE pub_year BETWEEN 2000 AND 2025 GROUP BY 1", "papers")
+def year_histogram(s, d):
+    return topics.year_histogram(tables.papers(s, d))
+
+
+@query(f"SELECT keyword, n FROM ({' UNION ALL '.join(f'''SELECT '{w}' AS keyword, sum({_occ(w)})::BIGINT AS n FROM cleaned''' for ws in BEST_TEST.values() for w in ws)}) WHERE n > 0 ORDER BY n DESC, keyword LIMIT 20", "cleaned")
+def topic_keyword_counts(s, d):
+    return topics.topic_keyword_counts(tables.papers(s, d), BEST_TEST)
+
+
+@query("SELECT count(*) AS papers, count(*) FILTER (pub_year BETWEEN 1995 AND 2025 AND (title <> '' OR abstract <> '')) AS valid, count(*) - count(*) FILTER (pub_year BETWEEN 1995 AND 2025 AND (title <> '' OR abstract <> '')) AS skipped, count(*) FILTER (pub_year BETWEEN 1995 AND 2025 AND (title <> '' OR abstract <> '')) / count(*)::DOUBLE AS rate, count(*) FILTER (pub_year BETWEEN 1995 AND 2025 AND (title <> '' OR abstract <> '')) / count(*)::DOUBLE < 0.9 AS warn FROM papers", "papers")
+def paper_validation(s, d):
+    return topics.validation_report(tables.papers(s, d))
+
+
+CLASS = "CASE WHEN lower(type) LIKE '%process%' OR lower(label) LIKE '%process%' OR lower(label) LIKE '%reaction%' OR lower(label) LIKE '%synthesis%' THEN 'process' WHEN lower(type) LIKE '%outcome%' OR lower(label) LIKE '%outcome%' OR lower(label) LIKE '%result%' OR lower(label) LIKE '%product%' THEN 'outcome' ELSE 'entity' END"
+
+
+def _classes(g: graph.Graph) -> graph.Graph:
+    """Part types and nations stand for processes and outcomes, as the tables name none."""
+    t = F.when(F.col("id").like("part%"), F.concat(F.col("type"), F.lit(" process"))).when(F.col("id").like("nation%"), "outcome").otherwise(F.col("type"))
+    return graph.Graph(g.nodes.withColumn("type", t), g.edges)
+
+
+CLASSED = f"cl AS (SELECT id, {CLASS} AS c FROM (SELECT id, label, CASE WHEN id LIKE 'part%' THEN type || ' process' WHEN id LIKE 'nation%' THEN 'outcome' ELSE type END AS type FROM g_nodes))"
+
+
+@query("SELECT n.peo_type, coalesce(c.n, 0) AS n, round(100.0 * coalesce(c.n, 0) / (SELECT count(*) FROM g_nodes), 2)::DOUBLE AS pct FROM (VALUES ('process'), ('entity'), ('outcome')) n(peo_type) LEFT JOIN (SELECT c AS peo_type, count(*) AS n FROM cl GROUP BY 1) c USING (peo_type)", "g_nodes", recursive=CLASSED)
+def class_counts(s, d):
+    return topics.class_counts(_classes(tables.graph(s, d)).nodes)
+
+
+@query("SELECT count(*) FILTER (a.c = 'process' AND b.c = 'entity') AS process_entity, count(*) FILTER (a.c = 'entity' AND b.c = 'outcome') AS entity_outcome, count(*) FILTER (a.c = 'process' AND b.c = 'outcome') AS process_outcome, count(*) FILTER (NOT ((a.c = 'process' AND b.c IN ('entity', 'outcome')) OR (a.c = 'entity' AND b.c = 'outcome'))) AS other FROM g_edges e JOIN cl a ON e.src = a.id JOIN cl b ON e.dst = b.id", "g_nodes", "g_edges", recursive=CLASSED)
+def class_relationships(s, d):
+    return topics.class_relationships(_classes(tables.graph(s, d)))
+
+
+# Normalisation, validation and merging
+
+
+def _case(column: str, names: dict[str, str], allowed: list[str], default: str) -> str:
+    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in names.items())
+    return f"CASE WHEN (CASE {column} {cases} ELSE {column} END) IN ({', '.join(repr(x) for x in allowed)}) THEN (CASE {column} {cases} ELSE {column} END) ELSE '{default}' END"
+
+
+@query("SELECT regexp_replace(regexp_replace(id, '[^a-zA-Z0-9_-]', '_', 'g'), '^[^a-zA-Z_]', '_') AS key, label, greatest(1, least(100, floor(coalesce(nullif(size, 0), 20) + 0.5)))::DOUBLE AS size, " + _case("lower(type)", NODE_TYPE_ALIASES, NODE_TYPES, "concept") + " AS type FROM g_nodes", "g_nodes")
+def stored_nodes(s, d):
+    return transform.stored_nodes(tables.nodes(s, d))
+
+
+@query("SELECT 'nodes/' || src AS \"from\", 'nodes/' || dst AS \"to\", greatest(0.1, least(10, weight))::DOUBLE AS weight, " + _case("upper(relationship_type)", RELATIONSHIP_ALIASES, RELATIONSHIP_TYPES, "RELATED_TO") + " AS relationship_type, 0.5::DOUBLE AS confidence FROM g_edges", "g_edges")
+def stored_edges(s, d):
+    return transform.stored_edges(tables.graph(s, d).edges)
+
+
+@query("SELECT id, list_filter([CASE WHEN size NOT BETWEEN 1 AND 100 THEN 'size_range' END, 'type_known'], x -> x IS NOT NULL) AS errors FROM g_nodes WHERE type NOT IN ('concept', 'organism')", "g_nodes")
+def quarantined_nodes(s, d):
+    return transform.validate_nodes(tables.nodes(s, d))[1].select("id", "errors")
+
+
+@query("SELECT e.* FROM (SELECT src, dst, weight, relationship_type FROM places) e WHERE weight BETWEEN 0.1 AND 10", "places")
+def valid_edges(s, d):
+    return transform.validate_edges(tables.place_edges(s, d))[0]
+
+
+@query("SELECT label, count(*) AS n, max(size) AS size FROM (SELECT label, size FROM g_nodes WHERE type <> 'customer') GROUP BY label", "g_nodes")
+def merged_by_label(s, d):
+    n = tables.nodes(s, d).where("type <> 'customer'")
+    old = n.where("id like 'supplier%'")
+    merged = store.merge_nodes(old, n.where("id not like 'supplier%'"), "update")
+    return merged.select("label", "size").join(n.groupBy("label").agg(F.count("*").alias("n")), "label").select("label", "n", "size")
+
+
+@query("SELECT src, dst, sum(weight) AS weight, 'PART_OF' AS relationship_type FROM (SELECT * FROM places UNION ALL SELECT * FROM places WHERE src LIKE 'nation%') GROUP BY src, dst", "places")
+def merged_edges(s, d):
+    e = tables.place_edges(s, d)
+    return store.merge_edges(e, e.where("src like 'nation%'"), "update")
+
+
+@query("SELECT e.* FROM places e WHERE e.src NOT IN ('nation_1', 'nation_2') AND e.dst NOT IN ('nation_1', 'nation_2')", "places")
+def delete_cascade(s, d):
+    return store.delete_nodes(tables.geo_graph(s, d), s.createDataFrame([("nation_1",), ("nation_2",)], "id string")).edges
+
+
+@query("SELECT src, dst, floor(1 + (weight - mn) / CASE WHEN mx > mn THEN mx - mn ELSE 1 END * 9 + 0.5)::BIGINT AS weight, relationship_type FROM supply CROSS JOIN (SELECT min(weight) AS mn, max(weight) AS mx FROM supply)", "supply")
+def rescaled_weights(s, d):
+    return transform.rescale(tables.supply_edges(s, d), "weight", 1, 10)
+
+
+@query("SELECT label, id FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS r FROM g_nodes WHERE id LIKE 'part%') WHERE r = 1", "g_nodes")
+def insert_new_rows(s, d):
+    n = tables.nodes(s, d).where("id like 'part%'").groupBy("label").agg(F.min("id").alias("id"))
+    return store.insert_new(n.limit(0), n, ["label"])
+
+
+@query("SELECT 'nodes' AS collection, count(*) AS n FROM g_nodes UNION ALL SELECT 'edges', count(*) FROM g_edges", "g_nodes", "g_edges")
+def collection_counts(s, d):
+    g = tables.graph(s, d)
+    return readers.counts({"nodes": g.nodes, "edges": g.edges})
+
+
+@query(r"SELECT id, lower(regexp_replace(regexp_replace(lower(label), '[^a-z0-9\s]', '', 'g'), '\s+', '_', 'g'))[1:50] AS slug, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') AS bare, CASE WHEN length(label) > 12 THEN label[1:12] || '...' ELSE label END AS short FROM g_nodes", "g_nodes")
+def label_forms(s, d):
+    return tables.nodes(s, d).select("id", C.slug("label").alias("slug"), C.alnum("label").alias("bare"), C.truncated("label", 12).alias("short"))
+
+
+# Texts
+
+
+@query(r"SELECT doc_id, page_num, sentence_ix, sentence FROM (SELECT doc_id, 1 AS page_num, (generate_subscripts(ss, 1) - 1)::INT AS sentence_ix, regexp_replace(unnest(ss), '^\s+|\s+$', '', 'g') AS sentence FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]+') AS ss FROM documents)) WHERE length(sentence) >= 10")
+def sentences(s, d):
+    return extract.sentences(_pages(s, d))
+
+
+def _pages(s, d):
+    return tables.table(s, d, "documents").select("doc_id", F.lit(1).alias("page_num"), "text")
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '\[(\d+(?:,\s*\d+)*)\]') ) AS n FROM pages")
+def page_citation_counts(s, d):
+    return tables.table(s, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"\[(\d+(?:,\s*\d+)*)\]"), F.lit(0))).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, (i - 1)::INT AS chunk, substr(text, ((i - 1) * 1800 + 1)::BIGINT, 2000) AS text FROM (SELECT doc_id, text, unnest(range(1, ((length(text) - 1) // 1800) + 2)) AS i FROM documents WHERE length(text) > 0)")
+def text_chunks(s, d):
+    return readers.chunks(tables.table(s, d, "documents").select("doc_id", "text"), size=2000, overlap=200)
+
+
+@query()
+def extracted_nodes(s, d):
+    return extract.node_candidates(_pages(s, d))
+
+
+@query()
+def sentence_relations(s, d):
+    pages = _pages(s, d)
+    words = keywords.top_keywords(tables.table(s, d, "documents"), 5).select("doc_id", F.col("keyword").alias("label"))
+    return extract.sentence_edges(pages, words)
+
+
+@query(r"SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10))[1:20], x -> trim(x)), x -> length(x) > 20)[1], '') AS title, regexp_extract(text, '(?i)doi[:\s]*([0-9./a-zA-Z]+)', 1) AS doi, regexp_extract(text, '(20\d{2})', 1) AS year FROM documents")
+def document_metadata(s, d):
+    return extract.metadata_of(tables.table(s, d, "documents"))
+
+
+@query()
+def named_entities(s, d):
+    return extract.entities(tables.table(s, d, "documents"))
+
+
+@query()
+def hash_embeddings(s, d):
+    n = tables.nodes(s, d).where("id like 'nation%'")
+    return n.select("id", extract.hash_embedding(F.col("label"), 64).alias("embedding"))
+
+
+# Built graphs
+
+
+@query()
+def built_graph(s, d):
+    g = tables.touched_graph(s, d, 3)
+    raw = g.nodes.withColumn("pos", F.hash("id")).withColumn("name", F.lit(None).cast("string"))
+    links = g.edges.select(F.xxhash64("src", "dst").cast("int").alias("pos"), "src", "dst", F.lit(None).cast("string").alias("label"), "weight")
+    return builder.build(raw, links).edges
+
+
+@query()
+def keyword_graph(s, d):
+    return keywords.keyword_graph(tables.papers(s, d).drop("keywords")).edges
+
+
+@query("SELECT 'paper_' || c_custkey AS src, 'keyword_' || lower(c_mktsegment) AS dst, 2.0::DOUBLE AS weight, 'HAS_KEYWORD' AS relationship_type FROM customer")
+def migrated_graph(s, d):
+    rows = tables.table(s, d, "customer").select(F.col("c_custkey").alias("row_ix"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("keywords"))
+    return builder.migrated_graph(rows).edges
+
+
+@query("SELECT 'paper_' || c_custkey AS src, 'keyword_' || regexp_replace(lower(c_mktsegment), '[^a-z0-9]', '_', 'g') AS dst, 1.0::DOUBLE AS weight, 'contains' AS relationship_type FROM customer UNION ALL SELECT 'author_nation_' || c_nationkey, 'paper_' || c_custkey, 1.0, 'authored' FROM customer")
+def rows_graph(s, d):
+    rows = tables.table(s, d, "customer").select(F.col("c_custkey").alias("row_ix"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("keywords"), F.concat(F.lit("nation_"), F.col("c_nationkey")).alias("authors"))
+    return builder.rows_graph(rows).edges
+
+
+@query("SELECT 'n' || c_nationkey AS src, 'p' || c_custkey AS dst, 1.0::DOUBLE AS weight, 'authored' AS relationship_type FROM (SELECT * FROM customer ORDER BY 'p' || c_custkey LIMIT 100) UNION ALL SELECT 'p' || c_custkey, 'k' || c_mktsegment, 1.0, 'contains' FROM (SELECT * FROM customer ORDER BY 'p' || c_custkey LIMIT 100)")
+def bibliography(s, d):
+    c = tables.table(s, d, "customer")
+    p = tables.key("p", "c_custkey")
+    papers = c.select(p.alias("id"), F.col("c_name").alias("title"))
+    authors = tables.table(s, d, "nation").select(tables.key("n", "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    words = c.select(tables.key("k", "c_mktsegment").alias("id"), F.col("c_mktsegment").alias("name")).distinct()
+    return builder.bibliography(papers, authors, words, c.select(tables.key("n", "c_nationkey").alias("src"), p.alias("dst")), c.select(tables.key("k", "c_mktsegment").alias("src"), p.alias("dst"))).edges
+
+
+@query("SELECT s.id AS doc_id, hit / f AS precision, hit / g AS recall, CASE WHEN hit = 0 THEN 0 ELSE 2 * (hit / f) * (hit / g) / (hit / f + hit / g) END AS f1 FROM (SELECT coalesce(x.l_suppkey, y.l_suppkey) AS id, count(*) FILTER (x.p IS NOT NULL AND y.p IS NOT NULL)::DOUBLE AS hit, count(x.p)::DOUBLE AS g, count(y.p)::DOUBLE AS f FROM (SELECT DISTINCT l_suppkey, l_partkey AS p FROM lineitem WHERE l_quantity < 30) x FULL OUTER JOIN (SELECT DISTINCT l_suppkey, l_partkey AS p FROM lineitem WHERE l_quantity >= 20) y ON x.l_suppkey = y.l_suppkey AND x.p = y.p GROUP BY 1) s")
+def label_scores(s, d):
+    rows = tables.table(s, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), tables.key("Part-", "l_partkey").alias("label"), "l_quantity")
+    return builder.score_labels(rows.where("l_quantity < 30"), rows.where("l_quantity >= 20"))
