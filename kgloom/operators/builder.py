@@ -103,7 +103,7 @@ def rows_graph(rows: DataFrame) -> Graph:
     """Rows of a metadata file (row_ix, title, keywords cut at commas, authors cut at semicolons) as papers, keywords and
     authors."""
     key = lambda p, c: F.concat(F.lit(p), F.regexp_replace(F.lower(c), "[^a-z0-9]", "_"))
-    split = lambda c, cut: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), cut), F.trim), lambda x: x != "")
+    split = lambda c, cut: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), cut), lambda x: F.trim(x)), lambda x: x != "")
     paper = F.concat(F.lit("paper_"), F.col("row_ix"))
     k = rows.select(paper.alias("paper"), F.explode(split(F.col("keywords"), ",")).alias("label")).withColumn("id", key("keyword_", F.col("label")))
     a = rows.select(paper.alias("paper"), F.explode(split(F.col("authors"), ";")).alias("label")).withColumn("id", key("author_", F.col("label")))
@@ -115,7 +115,7 @@ def rows_graph(rows: DataFrame) -> Graph:
 
 def migrated_graph(rows: DataFrame) -> Graph:
     """Rows (row_ix, title, keywords) as papers of size 25 and keywords of size 15, each pair linked once by HAS_KEYWORD."""
-    words = F.filter(F.transform(F.split(F.coalesce("keywords", F.lit("")), "[,;|]"), F.trim), lambda x: F.char_length(x) > 2)
+    words = F.filter(F.transform(F.split(F.coalesce("keywords", F.lit("")), "[,;|]"), lambda x: F.trim(x)), lambda x: F.char_length(x) > 2)
     paper = F.concat(F.lit("paper_"), F.col("row_ix"))
     k = rows.select(paper.alias("src"), F.explode(words).alias("label")).withColumn("dst", F.concat(F.lit("keyword_"), F.regexp_replace(F.lower("label"), r"\s+", "_")))
     nodes = rows.where(filled("title").isNotNull()).select(paper.alias("id"), F.trim("title").alias("label"), F.lit("concept").alias("type"), F.lit(25.0).alias("size")).unionByName(k.groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label")).withColumn("type", F.lit("keyword")).withColumn("size", F.lit(15.0)))

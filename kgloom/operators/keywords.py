@@ -94,9 +94,13 @@ def keyword_graph(papers: DataFrame, max_keywords: int = 10, min_frequency: int
 def field_graph_nodes(papers: DataFrame, last_year: int) -> DataFrame:
     """(id, kind, label, frequency, citations, first_year, last_year, size): keywords, authors and journals of papers."""
     year = F.when(F.col("pub_year").between(1901, last_year), F.col("pub_year"))
-    names = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[;,]"), F.trim), lambda x: x != "")
+    names = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
     kinds = [("", "keyword", field_keywords(F.col("keywords"))), ("author:", "author", names(F.col("authors"))), ("journal:", "journal", F.filter(F.array(F.trim(F.coalesce("journal", F.lit("")))), lambda x: x != ""))]
-    items = F.concat(*[F.transform(F.array_distinct(values), lambda v, p=prefix, k=kind: F.struct(F.concat(F.lit(p), v).alias("id"), F.lit(k).alias("kind"), v.alias("label"))) for prefix, kind, values in kinds])
+
+    def item(prefix: str, kind: str):  # noqa: ANN202
+        return lambda v: F.struct(F.concat(F.lit(prefix), v).alias("id"), F.lit(kind).alias("kind"), v.alias("label"))
+
+    items = F.concat(*[F.transform(F.array_distinct(values), item(prefix, kind)) for prefix, kind, values in kinds])
     x = papers.select(F.explode(items).alias("x"), year.alias("y"), F.coalesce(F.col("citations").cast("double"), F.lit(0.0)).alias("c")).select("x.*", "y", "c")
     g = x.groupBy("id", "kind", "label").agg(F.count("*").alias("frequency"), F.sum("c").alias("citations"), F.min("y").alias("first_year"), F.max("y").alias("last_year"))
     return g.withColumn("size", clamp(6 * F.log(F.col("frequency") + 1.0) + 0.3 * F.log(F.col("citations") + 1.0), 8.0, 45.0))

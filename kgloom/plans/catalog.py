@@ -249,16 +249,16 @@ def neighbour_levels(s, d):
 
 
 WALK = """step AS (SELECT src || '>' || dst AS e, src AS a, dst AS b, weight, relationship_type AS t FROM places WHERE src NOT LIKE 'customer%' UNION ALL SELECT src || '>' || dst, dst, src, weight, relationship_type FROM places WHERE src NOT LIKE 'customer%'),
-  walk(at, vertices, types, used, length, total_weight) AS (SELECT 'supplier_1', ['supplier_1'], []::VARCHAR[], []::VARCHAR[], 0, 0.0::DOUBLE
-  UNION ALL SELECT s.b, list_append(w.vertices, s.b), list_append(w.types, s.t), list_append(w.used, s.e), w.length + 1, w.total_weight + s.weight FROM walk w JOIN step s ON s.a = w.at WHERE w.length < 3 AND NOT list_contains(w.used, s.e))"""
+  walk(place, vertices, types, used, length, total_weight) AS (SELECT 'supplier_1', ['supplier_1'], []::VARCHAR[], []::VARCHAR[], 0, 0.0::DOUBLE
+  UNION ALL SELECT s.b, list_append(w.vertices, s.b), list_append(w.types, s.t), list_append(w.used, s.e), w.length + 1, w.total_weight + s.weight FROM walk w JOIN step s ON s.a = w.place WHERE w.length < 3 AND NOT list_contains(w.used, s.e))"""
 
 
-@query("SELECT at, vertices, types, length, total_weight FROM walk WHERE length > 0", "places", recursive=WALK)
+@query("SELECT place AS \"at\", vertices, types, length, total_weight FROM walk WHERE length > 0", "places", recursive=WALK)
 def paths(s, d):
     return graph.paths(tables.place_edges(s, d).where("src not like 'customer%'"), "supplier_1", None, 3)
 
 
-@query("SELECT at, vertices, types, length, total_weight FROM walk WHERE at LIKE 'region%' AND length > 0 ORDER BY length, total_weight, vertices LIMIT 1", "places", recursive=WALK)
+@query("SELECT place AS \"at\", vertices, types, length, total_weight FROM walk WHERE place LIKE 'region%' AND length > 0 ORDER BY length, total_weight, vertices LIMIT 1", "places", recursive=WALK)
 def shortest_path(s, d):
     e = tables.place_edges(s, d).where("src not like 'customer%'")
     return graph.paths(e, "supplier_1", None, 3).where("at like 'region%'").orderBy("length", "total_weight", "vertices").limit(1)
@@ -530,7 +530,7 @@ def stored_edges(s, d):
     return transform.stored_edges(tables.graph(s, d).edges)
 
 
-@query("SELECT id, list_filter([CASE WHEN size NOT BETWEEN 1 AND 100 THEN 'size_range' END, 'type_known'], x -> x IS NOT NULL) AS errors FROM g_nodes WHERE type NOT IN ('concept', 'organism')", "g_nodes")
+@query("SELECT id, list_filter([CASE WHEN size NOT BETWEEN 1 AND 100 THEN 'size_range' END, 'type_known'], lambda x: x IS NOT NULL) AS errors FROM g_nodes WHERE type NOT IN ('concept', 'organism')", "g_nodes")
 def quarantined_nodes(s, d):
     return transform.validate_nodes(tables.nodes(s, d))[1].select("id", "errors")
 
@@ -615,7 +615,7 @@ def sentence_relations(s, d):
     return extract.sentence_edges(pages, words)
 
 
-@query(r"SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10))[1:20], x -> trim(x)), x -> length(x) > 20)[1], '') AS title, regexp_extract(text, '(?i)doi[:\s]*([0-9./a-zA-Z]+)', 1) AS doi, regexp_extract(text, '(20\d{2})', 1) AS year FROM documents")
+@query(r"SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10))[1:20], lambda x: trim(x)), lambda x: length(x) > 20)[1], '') AS title, regexp_extract(text, '(?i)doi[:\s]*([0-9./a-zA-Z]+)', 1) AS doi, regexp_extract(text, '(20\d{2})', 1) AS year FROM documents")
 def document_metadata(s, d):
     return extract.metadata_of(tables.table(s, d, "documents"))
 
@@ -638,7 +638,7 @@ def hash_embeddings(s, d):
 def built_graph(s, d):
     g = tables.touched_graph(s, d, 3)
     raw = g.nodes.withColumn("pos", F.hash("id")).withColumn("name", F.lit(None).cast("string"))
-    links = g.edges.select(F.xxhash64("src", "dst").cast("int").alias("pos"), "src", "dst", F.lit(None).cast("string").alias("label"), "weight")
+    links = g.edges.select(F.hash("src", "dst").alias("pos"), "src", "dst", F.lit(None).cast("string").alias("label"), "weight")
     return builder.build(raw, links).edges
 
 
