@@ -108,7 +108,7 @@ def relationship_type(c: Column | str) -> Column:
 
 
 def split_names(c: Column | str, pattern: str = "[,;]") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def valid_year(c: Column | str, last: int) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iterate import components, materialize
+
+__all__ = ["WORD", "components", "materialize", "parts", "read_table", "word_count"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -14,17 +16,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, so that lost executors never force a whole recomputation.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -32,30 +23,3 @@ def parts(spark: SparkSession) -> int:
 def word_count(text: Column) -> Column:
     """Number of words of the text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable from each id of nodes over the undirected edges (a, b).
-
-    Alternates large-star and small-star rounds (both are a min per key, which Spark combines before its shuffle)
-    until the edges form stars. Nodes must be distinct; ids on an edge must be in nodes. Self-loops and repeated
-    edges are harmless; no edges: every node is its own component.
-    """
-    spark = nodes.sparkSession
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds):
-        # large star: every larger neighbour of u goes to the least of u and its neighbours
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: every smaller neighbour of u, and u itself, goes to the least of them
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = materialize(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    star = e.groupBy("u").agg(F.min("v").alias("m"))
-    return nodes.join(star, nodes["id"] == star["u"], "left").select("id", F.coalesce("m", "id").alias("component"))
