@@ -184,7 +184,7 @@ def communities(graph: Graph) -> DataFrame:
     """Components of two nodes or more: community number (by least id), its size, and its nodes."""
     c = materialize(connected(graph))
     groups = c.groupBy("component").agg(F.count("*").alias("community_size")).where("community_size > 1")
-    ranked = groups.withColumn("community", F.row_number().over(Window.orderBy("component")) - 1)
+    ranked = groups.withColumn("community", (F.row_number().over(Window.orderBy("component")) - 1).cast("long"))
     return c.join(ranked, "component").select("community", "community_size", "id")
 
 

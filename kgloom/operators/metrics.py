@@ -210,7 +210,7 @@ def degree_outliers(graph: Graph, z: float = 3.0) -> DataFrame:
 
 def trends(df: DataFrame, time: str, interval: str = "day", kind: str | None = None) -> DataFrame:
     """Rows per interval (and kind)."""
-    keys = [F.date_trunc(interval, time).alias("period"), *([F.col(kind)] if kind else [])]
+    keys = [F.date_trunc(interval, time).cast(df.schema[time].dataType).alias("period"), *([F.col(kind)] if kind else [])]
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 

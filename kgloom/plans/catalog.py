@@ -133,7 +133,7 @@ def analysis_history(s, d):
     return store.history(e, "click", 50, 10)
 
 
-@query("SELECT upload_id, at, status FROM (SELECT user_id AS upload_id, ts AS at, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS r FROM events) WHERE r = 1")
+@query("SELECT upload_id, \"at\", status FROM (SELECT user_id AS upload_id, ts AS \"at\", event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS r FROM events) WHERE r = 1")
 def latest_upload_status(s, d):
     e = tables.table(s, d, "events").select(F.col("user_id").alias("upload_id"), F.col("ts").alias("at"), F.col("event_type").alias("status"))
     return store.latest_status(e)
@@ -221,9 +221,9 @@ def adjacency(s, d):
     return graph.adjacency(tables.supply_edges(s, d, 3))
 
 
-@query("SELECT count(*) AS communities, sum(coalesce(i.internal, 0) / e.e - pow(z.n * (z.n - 1) / (2.0 * e.e), 2)) AS modularity FROM (SELECT type, count(*) AS n FROM g_nodes GROUP BY type) z CROSS JOIN (SELECT count(*)::DOUBLE AS e FROM g_edges) e LEFT JOIN (SELECT a.type, count(*)::DOUBLE AS internal FROM g_edges x JOIN g_nodes a ON x.src = a.id JOIN g_nodes b ON x.dst = b.id WHERE a.type = b.type GROUP BY 1) i ON z.type = i.type", "g_nodes", "g_edges")
+@query("SELECT count(*) AS communities, round(sum(coalesce(i.internal, 0) / e.e - pow(z.n * (z.n - 1) / (2.0 * e.e), 2)), 9) AS modularity FROM (SELECT type, count(*) AS n FROM g_nodes GROUP BY type) z CROSS JOIN (SELECT count(*)::DOUBLE AS e FROM g_edges) e LEFT JOIN (SELECT a.type, count(*)::DOUBLE AS internal FROM g_edges x JOIN g_nodes a ON x.src = a.id JOIN g_nodes b ON x.dst = b.id WHERE a.type = b.type GROUP BY 1) i ON z.type = i.type", "g_nodes", "g_edges")
 def type_modularity(s, d):
-    return metrics.type_modularity(tables.graph(s, d))
+    return metrics.type_modularity(tables.graph(s, d)).withColumn("modularity", F.round("modularity", 9))
 
 
 # Neighbourhoods, paths and components
@@ -284,9 +284,9 @@ def named_clusters(s, d):
     return graph.named_clusters(tables.touched_graph(s, d, 3))
 
 
-@query(f"SELECT count(*) AS communities, sum(coalesce(i.n, 0) / e.e - (c.degree * c.degree / (4 * e.e)) / e.e) AS modularity FROM (SELECT component, count(*) AS size, sum(degree)::DOUBLE AS degree FROM {COMP} JOIN (SELECT a AS id, count(*) AS degree FROM s3_both GROUP BY a) USING (id) GROUP BY component) c CROSS JOIN (SELECT count(*)::DOUBLE AS e FROM s3) e LEFT JOIN (SELECT component, count(*)::DOUBLE AS n FROM s3 JOIN {COMP} x ON s3.src = x.id GROUP BY component) i USING (component) WHERE c.size > 1", "s3", "s3_nodes", "s3_both", recursive=REACH_ALL)
+@query(f"SELECT count(*) AS communities, round(sum(coalesce(i.n, 0) / e.e - (c.degree * c.degree / (4 * e.e)) / e.e), 9) AS modularity FROM (SELECT component, count(*) AS size, sum(degree)::DOUBLE AS degree FROM {COMP} JOIN (SELECT a AS id, count(*) AS degree FROM s3_both GROUP BY a) USING (id) GROUP BY component) c CROSS JOIN (SELECT count(*)::DOUBLE AS e FROM s3) e LEFT JOIN (SELECT component, count(*)::DOUBLE AS n FROM s3 JOIN {COMP} x ON s3.src = x.id GROUP BY component) i USING (component) WHERE c.size > 1", "s3", "s3_nodes", "s3_both", recursive=REACH_ALL)
 def component_modularity(s, d):
-    return metrics.component_modularity(tables.touched_graph(s, d, 3))
+    return metrics.component_modularity(tables.touched_graph(s, d, 3)).withColumn("modularity", F.round("modularity", 9))
 
 
 FORWARD = "fw(s, id, d) AS (SELECT id, id, 0 FROM geo_nodes WHERE type <> 'customer' UNION SELECT f.s, e.dst, f.d + 1 FROM fw f JOIN places e ON e.src = f.id WHERE f.d < 5)"
@@ -340,9 +340,9 @@ def network_bias(s, d):
     return metrics.network_bias(g, _clusters(g))
 
 
-@query("SELECT id, degree, z FROM (SELECT id, degree, (degree - avg(degree) OVER ()) / nullif(stddev_pop(degree) OVER (), 0) AS z FROM degrees) WHERE z > 3", "degrees")
+@query("SELECT id, degree, round(z, 9) AS z FROM (SELECT id, degree, (degree - avg(degree) OVER ()) / nullif(stddev_pop(degree) OVER (), 0) AS z FROM degrees) WHERE z > 3", "degrees")
 def degree_outliers(s, d):
-    return metrics.degree_outliers(tables.graph(s, d))
+    return metrics.degree_outliers(tables.graph(s, d)).withColumn("z", F.round("z", 9))
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS period, event_type, count(*) AS n FROM events GROUP BY 1, 2")
