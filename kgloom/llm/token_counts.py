@@ -30,12 +30,14 @@ DEAD = -1
 
 
 class Automaton:
-    """vocabulary: tokens as tuples of symbols (0 to 255, then END where the token ends a word)."""
+    """vocabulary: tokens as tuples of symbols (0 to 255, then END where the token ends a word). Tokens in free are
+    matched like others but count nothing."""
 
-    def __init__(self, vocabulary: list[tuple[int, ...]]) -> None:
+    def __init__(self, vocabulary: list[tuple[int, ...]], free: tuple[tuple[int, ...], ...] = ()) -> None:
         kids: list[dict[int, int]] = [{}]
         token = [False]
-        for t in vocabulary:
+        unpaid = set()
+        for t in (*vocabulary, *free):
             at = 0
             for c in t:
                 nxt = kids[at].get(c)
@@ -45,6 +47,8 @@ class Automaton:
                     token.append(False)
                 at = nxt
             token[at] = True
+            if t in free:
+                unpaid.add(at)
         link, popped = [DEAD] * len(kids), [0] * len(kids)
         queue = deque([0])
         while queue:
@@ -52,7 +56,7 @@ class Automaton:
             for c, v in kids[u].items():
                 queue.append(v)
                 if token[v]:
-                    link[v], popped[v] = 0, 1
+                    link[v], popped[v] = 0, int(v not in unpaid)
                 else:  # pop what the parent's string pops, then go on with c
                     z, n = link[u], popped[u]
                     while z != DEAD and c not in kids[z]:
@@ -125,10 +129,11 @@ def symbols_of(token: str, suffix: str, alphabet: dict[str, int]) -> tuple[int,
 
 @cache
 def automaton(path: str) -> Automaton:
+    """A word's last piece may be one that ends words or, if longer, one that doesn't: its end is then a free token."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     special, suffix, alphabet = {t["content"] for t in model["added_tokens"]}, model["model"]["end_of_word_suffix"], byte_alphabet()
-    return Automaton([symbols_of(t, suffix, alphabet) for t in model["model"]["vocab"] if t not in special and t != suffix])
+    return Automaton([symbols_of(t, suffix, alphabet) for t in model["model"]["vocab"] if t not in special and t != suffix], free=((END,),))
 
 
 class Counter:
