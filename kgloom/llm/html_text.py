@@ -217,14 +217,14 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         for b in batches:
             out = []
             for path, texts, places, keys, p0, k0, p1, k1 in zip(*(b.column(i).to_pylist() for i in range(2, 10)), strict=True):
-                nearest = k1 if k0 is None or (k1 is not None and _prefix(path, p1) > _prefix(path, p0)) else k0
-                shared = shared_lines(keys, nearest) if nearest else [False] * len(keys)
-                if any(p == OWN for p in places):
-                    keep = [p == OWN for p in places]
-                else:  # without an article, a page that shares most of its open lines is a copy of its partner: its lines are its own
-                    open_ = [i for i, p in enumerate(places) if p == OPEN]
-                    copied = sum(len(texts[i]) for i in open_ if shared[i]) > 0.8 * sum(len(texts[i]) for i in open_)
-                    keep = [p == OPEN and (copied or not s) for p, s in zip(places, shared, strict=True)]
+                near = [k for k in ((k1, k0) if k0 is None or (k1 is not None and _prefix(path, p1) > _prefix(path, p0)) else (k0, k1)) if k is not None]
+                shared = [False] * len(keys)
+                for other in near:  # a page with all these lines is a copy and tells nothing about the frame
+                    if not all(on := shared_lines(keys, other)):
+                        shared = on
+                        break
+                own = any(p == OWN for p in places)
+                keep = [p == OWN or (p == OPEN and not own and not s) for p, s in zip(places, shared, strict=True)]
                 out.append(" ".join(t for t, k in zip(texts, keep, strict=True) if k))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], [id_col, url_col, "text"])
 
