@@ -137,11 +137,12 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the words of the blocks that the last pass takes (with the white space that follows them). n_chars, if there, is
     set anew. Needs id_col to be unique; other rows of an id would be multiplied, so one of each is used."""
     unique = docs.dropDuplicates([id_col])
-    plan = mix(unique, id_col, text_col, source_col, block=block, **options).select(F.col("doc_id").alias("__id"), "size", "taken", "first", "n_blocks", "passes", "rest", "block_seed").where("taken > 0")
-    joined = unique.join(plan, unique[id_col].eqNullSafe(F.col("__id")))
+    names = ("doc_id", "size", "taken", "first", "n_blocks", "passes", "rest", "block_seed")
+    plan = mix(unique, id_col, text_col, source_col, block=block, **options).where("taken > 0").select(*[F.col(c).alias(f"__{c}") for c in names])
+    joined = unique.join(plan, unique[id_col].eqNullSafe(F.col("__doc_id")))
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    cut = F.array_join(F.filter(words, lambda w, i: position(F.floor((F.col("first") + i) / F.lit(block)), F.col("n_blocks"), F.col("block_seed")) < F.col("rest")), "")
-    copies = F.concat(F.array_repeat(F.col(text_col), F.col("passes")), F.when(F.col("taken") > F.col("passes") * F.col("size"), F.array(cut)).otherwise(F.array().cast("array<string>")))
+    cut = F.array_join(F.filter(words, lambda w, i: position(F.floor((F.col("__first") + i) / F.lit(block)), F.col("__n_blocks"), F.col("__block_seed")) < F.col("__rest")), "")
+    copies = F.concat(F.array_repeat(F.col(text_col), F.col("__passes")), F.when(F.col("__taken") > F.col("__passes") * F.col("__size"), F.array(cut)).otherwise(F.array().cast("array<string>")))
     rows = joined.withColumn("__text", F.explode(copies))
     new = {text_col: F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
     return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
