@@ -210,7 +210,7 @@ def _key(doc_id: Column, text: Column) -> list[Column]:
 
 def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """(id, th, begin, end) of repeated stretches, overlapping ones included. docs: id, th and text (bytes)."""
-    k = max(1, length // 3)
+    k = max(1, length // 6)  # shorter k-grams make fewer anchors (one per (length - k) / 2 bytes) but more variants of each
     need = length - k
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
