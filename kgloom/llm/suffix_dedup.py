@@ -229,7 +229,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
         raise ValueError("length must be below 65536")
     anchors = materialize(docs.where(F.octet_length("text") >= length).select("id", "th", "text").mapInArrow(find, "id long, th long, pos long, core long, e long"))
     cores = anchors.groupBy("core").agg(F.count("*").alias("n"), F.min("e").alias("e0"), F.max("e").alias("e1")).where("n > 1")
-    again = materialize(anchors.join(cores.select("core", (F.col("e0") == F.col("e1")).alias("same")), "core"))
+    cores = materialize(cores.select("core", (F.col("e0") == F.col("e1")).alias("same")))  # apart from the join, which can then split a hot k-gram
+    again = materialize(anchors.join(cores, "core"))
     m, lo = F.shiftright("pos", 32), F.shiftright("pos", 32) - F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF))
     whole = [F.col("id"), F.col("th"), lo.alias("begin"), (lo + F.col("pos").bitwiseAND(F.lit(0xFFFF)) + length).alias("end")]
     mixed = again.where("not same")
