@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -30,6 +32,8 @@ FRAME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising ban
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORD_CUT = re.compile(r"[^a-z0-9]+")
+#: Quantiles of names by which a large directory can be cut.
+CUTS = 1024
 #: Where a line stands.
 OWN, OPEN, FRAME = 2, 1, 0
 
@@ -183,33 +187,41 @@ def _line_hashes(lines: list[str]) -> list[int]:
     return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines]
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_host: int = 20_000) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_pages: int = 2_000) -> DataFrame:
     """(id_col, url_col, text) of every row: lines that differencing and their place leave, joined by one space.
 
     A null or empty page has the empty text. A null URL belongs to the empty host. Pages with equal URLs are neighbours;
-    repeated rows stay. Hosts of more than max_host pages are cut by directory, so that one host is never one task.
+    repeated rows stay. A host of more than max_pages pages is dealt out by directory, and such a directory by ranges
+    of its names, at quantiles, so that one host is never one task; pages at a cut pair with the neighbour on their side.
     """
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, places, keys = [], [], []
-            for page in b.column(4).to_pylist():
+            for page in b.column(6).to_pylist():
                 lines = lines_of(page)
                 texts.append([x for x, _ in lines])
                 places.append(bytes(p for _, p in lines))
                 keys.append(_line_hashes(texts[-1]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "url", "host", "path", "texts", "places", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "url", "host", "path", "dir", "name_key", "texts", "places", "keys"])
 
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html"))
-    hot = base.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > max_host).select("host", (F.ceil(F.col("n") / max_host) * 4).cast("int").alias("cuts"))
-    lines = base.mapInArrow(parse, f"id {id_type}, url {url_type}, host string, path string, texts array<string>, places binary, keys array<bigint>")
-    directory = F.regexp_extract("path", r"^(.*/)[^/]+/?$", 1)
-    cut = F.when(F.col("cuts").isNull(), 0).otherwise(F.pmod(F.xxhash64(directory), F.greatest("cuts", F.lit(1))))
-    lines = lines.join(hot, "host", "left").withColumn("cut", cut)
+    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("__html"))
+    directory, name = F.regexp_extract("path", r"^(.*/)[^/]*/?$", 1), F.regexp_extract("path", r"([^/]*)/?$", 1)
+    key = F.conv(F.rpad(F.substring(F.hex(name), 1, 12), 12, "0"), 16, 10).cast("double")  # six bytes keep the order of names
+    base = base.withColumn("dir", directory).withColumn("name_key", key)
+    hot = materialize(base.groupBy("host", "dir").agg(F.count("*").alias("n")).where(F.col("n") > max_pages))
+    cuts = base.select("host", "dir", "name_key").join(hot, ["host", "dir"]).groupBy("host", "dir").agg(F.first("n").alias("n"), F.percentile_approx("name_key", [i / CUTS for i in range(1, CUTS)], 100 * CUTS).alias("q"))
+    cuts = materialize(cuts.select("host", "dir", "q", F.least(F.ceil(F.col("n") / max_pages) * 2, F.lit(CUTS)).alias("ranges")))
+    lines = base.select("id", "url", "host", "path", "dir", "name_key", "__html").mapInArrow(parse, f"id {id_type}, url {url_type}, host string, path string, dir string, name_key double, texts array<string>, places binary, keys array<bigint>")
+    position = F.size(F.filter("q", lambda x: x < F.col("name_key")))
+    busy = base.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > max_pages).select("host", (F.ceil(F.col("n") / max_pages) * 2).alias("parts"))
+    small = F.when(F.col("parts").isNull(), F.lit("")).otherwise(F.pmod(F.xxhash64("dir"), F.coalesce("parts", F.lit(1))).cast("string"))
+    cut = F.when(F.col("q").isNull(), small).otherwise(F.concat_ws(" ", F.floor(position * F.col("ranges") / CUTS).cast("string"), "dir"))
+    lines = lines.join(cuts, ["host", "dir"], "left").join(materialize(busy), "host", "left").withColumn("cut", cut)
     order = Window.partitionBy("host", "cut").orderBy("path", "url", "id")
     lines = lines.select("id", "url", "path", "texts", "places", "keys", *[f(c).over(order).alias(f"{n}_{c}") for n, f in (("before", F.lag), ("after", F.lead)) for c in ("path", "keys")])
 
