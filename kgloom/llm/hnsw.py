@@ -206,15 +206,17 @@ def linked(g: Graph, q: np.ndarray, floor: float, target: float, seed: int, audi
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.995, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, min_shards: int = MIN_SHARDS) -> DataFrame:
     """One row per input row: id, n_links (other rows linked directly), component_id (smallest id reachable).
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Equal unit vectors
-    (also of different lengths, so not only copies) link with each other. Vectors of unequal dimension never link.
+    Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing.
+    Equal unit vectors (also of different lengths, so not only copies) link with each other. Vectors of unequal dimension
+    never link. Rows that repeat an id are vectors of their own. Empty table: no rows.
     """
     comp = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     v = vectors.select(F.col(id_col).cast("long").alias("id"), comp.alias("v"))
     finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rows = materialize(v.withColumn("ok", finite).withColumn("norm", F.when(F.col("ok"), norm)).withColumn("u", F.when(F.col("ok") & (F.col("norm") > 0) & (F.col("norm") < float("inf")), F.transform("v", lambda x: x / F.col("norm")))).select("id", "u"))
-    classes = materialize(rows.where("u is not null").groupBy("u").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    rows = materialize(v.withColumn("ok", finite).withColumn("norm", F.when(F.col("ok"), norm)).withColumn("u", F.when(F.col("id").isNotNull() & F.col("ok") & (F.col("norm") > 0) & (F.col("norm") < float("inf")), F.transform("v", lambda x: x / F.col("norm")))).select("id", "u"))
+    classes = materialize(rows.where("u is not null").groupBy("u").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
+    classes = classes.withColumn("rep", F.monotonically_increasing_id())  # over a checkpoint, so every reading gives the same
     count = classes.count()
     shards, blocks = max(min_shards, -(-count // shard_rows)), max(min_shards, -(-count // block_rows))
     pool = classes.select("rep", "copies", "u", F.size("u").alias("dim"), F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(blocks)).cast("int").alias("block"))
@@ -261,6 +263,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = materialize(sides.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, "a long, b long, n long"))
     degree = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comp = components(classes.select(F.col("rep").alias("id")), found.select("a", "b"))
-    of = classes.join(degree, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep").select("u", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
-    linked_rows = rows.where("u is not null").join(of, "u").select("id", "n_links", F.col("component").alias("component_id"))
+    named = materialize(classes.join(comp.withColumnRenamed("id", "rep"), "rep").join(degree, "rep", "left").select("u", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component", "least"))
+    top = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked_rows = rows.where("u is not null").join(named.join(top, "component").select("u", "n_links", "component_id"), "u").select("id", "n_links", "component_id")
     return linked_rows.unionByName(rows.where("u is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))

@@ -108,41 +108,50 @@ def position(j: Column, n_blocks: Column, seed: Column) -> Column:
     return F.pmod(j * a + F.pmod(seed, n_blocks), n_blocks)
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.withColumns({"__source": F.coalesce(F.col(source_col).cast("string"), F.lit(NULL)), "__size": word_count(text), "__order": F.xxhash64(F.lit(seed), F.col(id_col), text)})
+
+
+def _placed(docs: DataFrame, keep: list[str], id_col: str, text_col: str, source_col: str, share: float, max_copies: int, block: int, shard_words: int, seed: int) -> DataFrame:
+    """The kept columns of docs, and __-columns: what each row takes and from where on its shard's line."""
+    keyed = _keyed(docs, id_col, text_col, source_col, seed).select(*keep, "__source", "__size", "__order")
+    slim = materialize(keyed.select("__source", "__size", "__order"))
+    sizes = slim.groupBy("__source").agg(F.sum("__size").alias("source_size")).select(F.nullif("__source", F.lit(NULL)).alias("source"), "source_size")
+    wanted = targets(sizes, share, max_copies, block)
+    wanted = materialize(wanted.select(F.coalesce("source", F.lit(NULL)).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("quota").alias("__quota")))
+    shard = F.pmod(F.col("__order"), F.greatest(F.lit(1), F.ceil(F.col("__source_size") / shard_words))).cast("int")
+    shards = slim.join(wanted, "__source").withColumn("shard", shard).groupBy(F.col("__source").alias("source"), "shard").agg(F.sum("__size").alias("shard_size"), F.first("__quota").alias("quota"))
+    quotas = materialize(_shard_quotas(shards, block, max_copies)).select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), F.greatest("n_blocks", F.lit(1)).alias("__n_blocks"), F.col("blocks").alias("__blocks"))
+    line = Window.partitionBy("__source", "__shard").orderBy("__order", "__size")
+    rows = keyed.join(wanted, "__source").withColumn("__shard", shard)
+    rows = rows.withColumn("__first", F.sum("__size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")).join(quotas, ["__source", "__shard"])
+    rows = rows.withColumns({"__passes": F.floor(F.col("__blocks") / F.col("__n_blocks")).cast("int"), "__rest": F.col("__blocks") % F.col("__n_blocks"), "__block_seed": F.xxhash64(F.lit(seed), "__source", "__shard")})
+    part = taken_in_blocks(F.col("__first"), F.col("__size"), F.col("__n_blocks"), F.col("__rest"), F.col("__block_seed"), block)
+    return rows.withColumn("__taken", (F.col("__passes") * F.col("__size") + part).cast("long"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_copies: int = 2, block: int = 64, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, and first, n_blocks, passes, rest and
-    block_seed, from which mixed_texts() cuts what the mix takes.
+    block_seed, which say where on its shard's line the row lies and what is taken of it.
 
     A source's taken words miss its target by a few blocks at most. Sizes are words; null and empty texts have 0 and give
     none. A null source is a source of its own, after the others. Repeated rows are documents of their own; rows that
-    tie in seeded order and size are interchangeable. Empty table: no rows.
+    tie in seeded order have equal id and text and are interchangeable. Empty table: no rows.
     """
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NULL)).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.octet_length(text_col)).alias("order")))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    wanted = materialize(targets(sizes.withColumn("source", F.nullif("source", F.lit(NULL))), share, max_copies, block).withColumn("source", F.coalesce("source", F.lit(NULL))))
-    shard = F.pmod(F.col("order"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int")
-    placed = sized.join(wanted, "source").withColumn("shard", shard)
-    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
-    quotas = materialize(_shard_quotas(shards, block, max_copies))
-    line = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size")
-    on_line = placed.withColumn("first", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    full = on_line.join(quotas, ["source", "shard"])
-    n = F.greatest(F.col("n_blocks"), F.lit(1))
-    full = full.withColumn("n_blocks", n).withColumn("passes", F.floor(F.col("blocks") / F.col("n_blocks"))).withColumn("rest", F.col("blocks") % F.col("n_blocks")).withColumn("block_seed", F.xxhash64(F.lit(seed), "source", "shard"))
-    part = taken_in_blocks(F.col("first"), F.col("size"), F.col("n_blocks"), F.col("rest"), F.col("block_seed"), block)
-    return full.select("doc_id", F.nullif("source", F.lit(NULL)).alias("source"), "size", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"), "first", "n_blocks", F.col("passes").cast("int").alias("passes"), "rest", "block_seed")
-
-
-def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, **options) -> DataFrame:
+    rows = _placed(docs, [id_col], id_col, text_col, source_col, share, max_copies, block, shard_words, seed)
+    names = ("size", "source_size", "target", "taken", "first", "n_blocks", "passes", "rest", "block_seed")
+    return rows.select(F.col(id_col).alias("doc_id"), F.nullif("__source", F.lit(NULL)).alias("source"), *[F.col(f"__{c}").alias(c) for c in names])
+
+
+def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_copies: int = 2, block: int = 64, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
     """The mix itself, with the columns of docs: each document as often as whole passes take it, and once more cut to
     the words of the blocks that the last pass takes (with the white space that follows them). n_chars, if there, is
-    set anew. Needs id_col to be unique; other rows of an id would be multiplied, so one of each is used."""
-    unique = docs.dropDuplicates([id_col])
-    names = ("doc_id", "size", "taken", "first", "n_blocks", "passes", "rest", "block_seed")
-    plan = mix(unique, id_col, text_col, source_col, block=block, **options).where("taken > 0").select(*[F.col(c).alias(f"__{c}") for c in names])
-    joined = unique.join(plan, unique[id_col].eqNullSafe(F.col("__doc_id")))
+    set anew. What mix() says of nulls, ties and repeated rows holds here."""
+    rows = _placed(docs, docs.columns, id_col, text_col, source_col, share, max_copies, block, shard_words, seed).where("__taken > 0")
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
     cut = F.array_join(F.filter(words, lambda w, i: position(F.floor((F.col("__first") + i) / F.lit(block)), F.col("__n_blocks"), F.col("__block_seed")) < F.col("__rest")), "")
     copies = F.concat(F.array_repeat(F.col(text_col), F.col("__passes")), F.when(F.col("__taken") > F.col("__passes") * F.col("__size"), F.array(cut)).otherwise(F.array().cast("array<string>")))
-    rows = joined.withColumn("__text", F.explode(copies))
+    rows = rows.withColumn("__text", F.explode(copies))
     new = {text_col: F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
     return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

@@ -45,12 +45,13 @@ def _fingerprints(texts: list, shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, fp): one row per input row; null and empty texts have fingerprint zero."""
+    """(id, th, fp): one row per input row with a hash of its text; null and empty texts have fingerprint zero."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_fingerprints(b.column(1).to_pylist(), shingle).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_fingerprints(b.column(2).to_pylist(), shingle).view(np.int64))], ["id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -131,25 +132,32 @@ def near_edges(fps: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, chunk: int) -> DataFrame:
+    """(id, th, fp, component) per row: th tells texts of one id apart, component names a group."""
+    fp = materialize(fingerprints(docs, id_col, text_col, shingle))
+    distinct = materialize(fp.select("fp").distinct())
+    edges = near_edges(distinct, radius, chunk)
+    comp = materialize(components(distinct.select(F.col("fp").alias("id")), edges))
+    return fp.join(comp.select(F.col("id").alias("fp"), "component"), "fp")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
     """One row per input row: id, fp (signed 64 bits), component_id (the smallest id reachable over links).
 
     Copies share a fingerprint, so only distinct fingerprints enter the search: a group of copies of any size is one
-    row there. Repeated ids keep their rows; a null id is the largest of its group. Other columns are ignored.
+    row there. Repeated ids keep their rows; null ids come after all others, and a group of them alone has a null
+    component_id. Other columns are ignored. Empty table: no rows.
     """
-    fp = materialize(fingerprints(docs, id_col, text_col, shingle))
-    least = fp.groupBy("fp").agg(F.min("id").alias("least"))
-    distinct = materialize(least)
-    edges = near_edges(distinct.select("fp"), radius, chunk)
-    comp = components(distinct.select(F.col("fp").alias("id")), edges).select(F.col("id").alias("fp"), "component")
-    rep = comp.join(distinct, "fp")
-    top = rep.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = materialize(rep.join(top, "component").select("fp", "component_id"))
-    return fp.join(of, "fp").select("id", "fp", "component_id")
+    g = materialize(_groups(docs, id_col, text_col, shingle, radius, chunk))
+    least = g.groupBy("component").agg(F.min("id").alias("component_id"))
+    return g.join(materialize(least), "component").select("id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of docs that stay: of each group the row with the smallest id (one of them if that id is repeated)."""
-    g = simhash_groups(docs, id_col, text_col, shingle, radius).where("id <=> component_id").select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(g, docs[id_col].cast("long").eqNullSafe(g["__id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """The rows of docs that stay: of each group the one of smallest id (nulls last; then of least text hash), one of
+    them if the whole row's id and text are repeated."""
+    g = _groups(docs, id_col, text_col, shingle, radius, CHUNK)
+    first = g.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.th").alias("__th"))
+    keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = keyed.join(first, keyed[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__th")), "left_semi")
+    return kept.dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
