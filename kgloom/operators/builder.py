@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import alnum, filled, first_filled, jaccard, nonzero, prettified, round_half_up, slug, tokens
 from .graph import Graph, components
-from .iterate import materialize
+from .iterate import materialize, with_row
 from .transform import first_edges
 
 
@@ -67,12 +67,12 @@ def bridge(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     comp = materialize(nodes.select("id", "label").join(components(nodes.select("id").distinct(), edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "id"))
     sizes = comp.groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     main = sizes.orderBy(F.desc("n"), "component").limit(1).select(F.col("component").alias("main"), F.col("first").alias("main_first"))
-    words = comp.withColumn("ws", tokens("label", "[^a-z0-9]+")).crossJoin(F.broadcast(main))  # one row
+    words = with_row(comp.withColumn("ws", tokens("label", "[^a-z0-9]+")), main)
     t = words.select("*", F.explode_outer("ws").alias("w"))
     inner = t.where("component = main").select("w", F.col("id").alias("dst"), F.col("ws").alias("wb"))
     pairs = t.where("component <> main").join(inner, "w").select("component", F.col("id").alias("src"), "dst", jaccard(F.col("ws"), F.col("wb")).alias("score"))
     best = pairs.groupBy("component").agg(F.min(F.struct((-F.col("score")).alias("s"), "src", "dst")).alias("x"))
-    rest = sizes.crossJoin(F.broadcast(main)).where("component <> main").join(best, "component", "left")
+    rest = with_row(sizes, main).where("component <> main").join(best, "component", "left")
     score = F.coalesce(-F.col("x.s"), F.lit(0.0))
     extra = rest.select(F.lit(1 << 30).cast("int").alias("pos"), F.coalesce("x.src", "first").alias("src"), F.coalesce("x.dst", "main_first").alias("dst"), F.lit("contextual_link").alias("label"), F.greatest(F.lit(2.0), round_half_up(F.when(score > 0, score).otherwise(0.3) * 10)).cast("double").alias("weight"))
     return edges.unionByName(extra)

@@ -43,3 +43,9 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         before = now
     star = e.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(star, nodes["id"] == star["u"], "left").select("id", F.coalesce("m", "id").alias("component"))
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """df with the columns of a table of one row (nulls if it has none), as a scalar subquery: no join is planned."""
+    one = row.select(F.struct(*[F.col(c) for c in row.columns]).alias("one")).scalar()
+    return df.withColumn("__one", one).select("*", "__one.*").drop("__one")

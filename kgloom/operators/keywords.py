@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp
+from .iterate import with_row
 
 
 def words(text: Column) -> Column:
@@ -47,7 +48,7 @@ def label_keywords(nodes: DataFrame, k: int = 20) -> DataFrame:
     w = nodes.select(F.explode(F.split(F.lower("label"), " ")).alias("keyword")).where(F.char_length("keyword") > 2)
     total = nodes.agg(F.count("*").alias("total"))
     n = w.groupBy("keyword").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword").limit(k)
-    return n.crossJoin(total).select("keyword", "n", (F.col("n") / F.col("total")).alias("score"))
+    return with_row(n, total).select("keyword", "n", (F.col("n") / F.col("total")).alias("score"))
 
 
 def paper_keywords(papers: DataFrame, max_keywords: int = 10, text_keywords: bool = True) -> DataFrame:

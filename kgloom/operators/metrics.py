@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import jaccard, tokens
 from .graph import Graph, adjacency, connected, drop_dangling, endpoints, top_by
-from .iterate import materialize
+from .iterate import materialize, with_row
 
 
 def structure(graph: Graph) -> DataFrame:
     """One row: nodes, edges, average degree 2E/N and density 2E/(N(N-1)), 0 where undefined."""
     n, e = graph.nodes.agg(F.count("*").alias("n_nodes")), graph.edges.agg(F.count("*").alias("n_edges"))
-    both = n.crossJoin(e)  # one row each
+    both = with_row(n, e)
     nodes, edges = F.col("n_nodes"), F.col("n_edges")
     return both.select("n_nodes", "n_edges", F.coalesce(F.try_divide(2.0 * edges, nodes), F.lit(0.0)).alias("avg_degree"), F.coalesce(F.try_divide(2.0 * edges, nodes * (nodes - 1)), F.lit(0.0)).alias("density"))
 
@@ -36,7 +36,7 @@ def degree_distribution(graph: Graph) -> DataFrame:
     """(degree, n, probability)."""
     d = degrees(graph).groupBy("degree").agg(F.count("*").alias("n"))
     total = d.agg(F.sum("n").alias("total"))
-    return d.crossJoin(total).select("degree", "n", (F.col("n") / F.col("total")).alias("probability"))
+    return with_row(d, total).select("degree", "n", (F.col("n") / F.col("total")).alias("probability"))
 
 
 def connectivity(graph: Graph) -> DataFrame:
@@ -88,7 +88,7 @@ def centrality(graph: Graph, metrics: tuple[str, ...] = ("degree", "betweenness"
 def network_metrics(graph: Graph) -> DataFrame:
     """One row over ids with an edge end, whether nodes or not: a self-loop counts twice; rounded to 2 and 4 places."""
     d = endpoints(graph.edges).groupBy("id").agg(F.count("*").alias("degree")).agg(F.avg("degree").alias("a"), F.max("degree").alias("m"))
-    s = structure(graph).crossJoin(d)  # one row each
+    s = with_row(structure(graph), d)
     return s.select("n_nodes", "n_edges", F.round(F.coalesce("a", F.lit(0.0)), 2).alias("avg_degree"), F.coalesce("m", F.lit(0)).alias("max_degree"), F.round("density", 4).alias("density"), (F.col("n_edges") > 0).alias("connected"))
 
 
@@ -118,7 +118,7 @@ def type_modularity(graph: Graph) -> DataFrame:
     member = graph.nodes.select("id", F.coalesce("type", F.lit("unknown")).alias("community"))
     sizes = member.groupBy("community").agg(F.count("*").alias("size"))
     total = graph.edges.agg(F.count("*").alias("e"))
-    c = sizes.join(internal_edges(graph, member), "community", "left").crossJoin(total)
+    c = with_row(sizes.join(internal_edges(graph, member), "community", "left"), total)
     part = F.try_divide(F.coalesce("internal", F.lit(0)) * 1.0, F.col("e")) - F.pow(F.try_divide(F.col("size") * (F.col("size") - 1) * 1.0, 2 * F.col("e")), F.lit(2.0))
     return c.agg(F.count("*").alias("communities"), F.coalesce(F.sum(part), F.lit(0.0)).alias("modularity"))
 
@@ -130,7 +130,7 @@ def component_modularity(graph: Graph) -> DataFrame:
     deg = endpoints(graph.edges, loops_once=True).groupBy("id").agg(F.count("*").alias("degree"))
     c = member.join(deg, "id", "left").groupBy("community").agg(F.count("*").alias("size"), F.coalesce(F.sum("degree"), F.lit(0)).alias("degree")).where("size > 1")
     total = graph.edges.agg(F.count("*").alias("e"))
-    c = c.join(internal_edges(graph, member), "community", "left").crossJoin(total)
+    c = with_row(c.join(internal_edges(graph, member), "community", "left"), total)
     part = F.try_divide(F.coalesce("internal", F.lit(0)) * 1.0, F.col("e")) - F.try_divide(F.try_divide(F.col("degree") * F.col("degree") * 1.0, 4 * F.col("e")), F.col("e"))
     return c.agg(F.count("*").alias("communities"), F.coalesce(F.sum(part), F.lit(0.0)).alias("modularity"))
 
@@ -144,7 +144,7 @@ def feature_clusters(nodes: DataFrame) -> DataFrame:
 def label_similarity(nodes: DataFrame, id1: str, id2: str) -> DataFrame:
     """Jaccard likeness of two nodes' label words (also what the semantic measure computes)."""
     a, b = (nodes.where(F.col("id") == i).select(tokens("label").alias(x)).limit(1) for i, x in ((id1, "a"), (id2, "b")))
-    return a.crossJoin(b).select(jaccard(F.col("a"), F.col("b")).alias("similarity"))
+    return with_row(a, b).select(jaccard(F.col("a"), F.col("b")).alias("similarity"))
 
 
 def structural_similarity(edges: DataFrame, id1: str, id2: str) -> DataFrame:
@@ -180,7 +180,7 @@ def cluster_size_variance(member: DataFrame) -> DataFrame:
 
 def network_bias(graph: Graph, member: DataFrame) -> DataFrame:
     """One row: density, variance of cluster sizes, kind of bias and its score."""
-    s = structure(graph).crossJoin(cluster_size_variance(member))
+    s = with_row(structure(graph), cluster_size_variance(member))
     kind = F.when(F.col("density") < 0.01, "sparse").when(F.col("density") > 0.1, "dense").otherwise("balanced")
     score = F.when(F.col("density") < 0.01, 0.3).when(F.col("density") > 0.1, 0.8).otherwise(0.5)
     focused = F.col("variance") > 100
@@ -205,7 +205,7 @@ def degree_outliers(graph: Graph, z: float = 3.0) -> DataFrame:
     """Nodes whose degree is more than z standard deviations above the mean."""
     d = degrees(graph).select("id", "degree")
     s = d.agg(F.avg("degree").alias("m"), F.stddev_pop("degree").alias("sd"))
-    return d.crossJoin(s).withColumn("z", F.try_divide(F.col("degree") - F.col("m"), F.col("sd"))).where(F.col("z") > z).select("id", "degree", "z")
+    return with_row(d, s).withColumn("z", F.try_divide(F.col("degree") - F.col("m"), F.col("sd"))).where(F.col("z") > z).select("id", "degree", "z")
 
 
 def trends(df: DataFrame, time: str, interval: str = "day", kind: str | None = None) -> DataFrame:

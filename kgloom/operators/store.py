@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import first_filled, nonzero
 from .graph import Graph
+from .iterate import with_row
 
 
 def with_defaults(nodes: DataFrame, edges: DataFrame) -> Graph:
@@ -111,7 +112,7 @@ class GraphStore:
         for table, df in (("nodes", g.nodes), ("edges", g.edges)):
             df, old = df.withColumn("graph_id", F.lit(graph_id)), self.read(table)
             self.write(table, df if old is None else old.unionByName(df, allowMissingColumns=True))
-        meta = g.nodes.agg(F.count("*").alias("node_count")).crossJoin(g.edges.agg(F.count("*").alias("edge_count"))).select(F.lit(graph_id).alias("graph_id"), F.lit(title).alias("title"), "node_count", "edge_count")
+        meta = with_row(g.nodes.agg(F.count("*").alias("node_count")), g.edges.agg(F.count("*").alias("edge_count"))).select(F.lit(graph_id).alias("graph_id"), F.lit(title).alias("title"), "node_count", "edge_count")
         old = self.read("metadata")
         self.write("metadata", meta if old is None else old.unionByName(meta))
         return graph_id

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import contains_any, first_filled, leading_int, occurrences, word_match
 from ..functions.dictionaries import PERIODS, TOPIC_KEYWORDS
 from .graph import Graph
+from .iterate import with_row
 
 
 def valid_papers(papers: DataFrame, first: int = 1995, last: int = 2025) -> DataFrame:
@@ -22,7 +23,7 @@ def validation_report(papers: DataFrame) -> DataFrame:
     """One row: papers, valid ones, skipped ones, the rate and whether it is below nine tenths."""
     n, ok = papers.agg(F.count("*").alias("papers")), valid_papers(papers).agg(F.count("*").alias("valid"))
     rate = F.coalesce(F.try_divide(F.col("valid"), F.col("papers")), F.lit(0.0))
-    return n.crossJoin(ok).select("papers", "valid", (F.col("papers") - F.col("valid")).alias("skipped"), rate.alias("rate"), (rate < 0.9).alias("warn"))
+    return with_row(n, ok).select("papers", "valid", (F.col("papers") - F.col("valid")).alias("skipped"), rate.alias("rate"), (rate < 0.9).alias("warn"))
 
 
 def cleaned(title: Column, abstract: Column) -> Column:
@@ -50,7 +51,7 @@ def coverage(papers: DataFrame, topics: dict[str, list[str]] = TOPIC_KEYWORDS) -
     names = papers.sparkSession.createDataFrame([(t, len(w)) for t, w in topics.items()], "topic string, keywords int")
     total = papers.agg(F.count("*").alias("total"))
     n = topic_matches(papers, topics).groupBy("topic").agg(F.count("*").alias("n"))
-    full = names.join(n, "topic", "left").crossJoin(total)
+    full = with_row(names.join(n, "topic", "left"), total)
     return full.select("topic", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.try_divide(100.0 * F.coalesce("n", F.lit(0)), F.col("total")), F.lit(0.0)).alias("pct"), "keywords")
 
 
@@ -108,7 +109,7 @@ def best_topic_counts(papers: DataFrame, topics: dict[str, list[str]] = BEST_TOP
     n = best_topic(papers, topics).groupBy("topic").agg(F.count("*").alias("n"))
     total = papers.agg(F.count("*").alias("total"))
     pct = F.coalesce(F.round(F.try_divide(100.0 * F.coalesce("n", F.lit(0)), F.col("total")), 1), F.lit(0.0))
-    return names.join(n, "topic", "left").crossJoin(total).select("topic", F.coalesce("n", F.lit(0)).alias("n"), pct.alias("pct"))
+    return with_row(names.join(n, "topic", "left"), total).select("topic", F.coalesce("n", F.lit(0)).alias("n"), pct.alias("pct"))
 
 
 def extreme_topics(papers: DataFrame, topics: dict[str, list[str]] = BEST_TOPICS) -> DataFrame:
@@ -150,7 +151,7 @@ def class_counts(nodes: DataFrame) -> DataFrame:
     n = classified(nodes).groupBy("peo_type").agg(F.count("*").alias("n"))
     total = nodes.agg(F.count("*").alias("total"))
     pct = F.coalesce(F.round(F.try_divide(100.0 * F.coalesce("n", F.lit(0)), F.col("total")), 2), F.lit(0.0))
-    return names.join(n, "peo_type", "left").crossJoin(total).select("peo_type", F.coalesce("n", F.lit(0)).alias("n"), pct.alias("pct"))
+    return with_row(names.join(n, "peo_type", "left"), total).select("peo_type", F.coalesce("n", F.lit(0)).alias("n"), pct.alias("pct"))
 
 
 def class_relationships(graph: Graph) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clamp, edge_weight, filled, first_filled, node_size, node_type, nonzero, number, relationship_type, slug, store_key
 from ..functions.dictionaries import NODE_TYPES, RELATIONSHIP_TYPES
 from .graph import Graph
+from .iterate import with_row
 
 
 def stored_nodes(nodes: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def rescale(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """The column stretched to low..high and rounded half up; a single value becomes low."""
     s = df.agg(F.min(column).alias("__a"), F.max(column).alias("__b"))
     span = F.when(F.col("__b") > F.col("__a"), F.col("__b") - F.col("__a")).otherwise(1.0)
-    return df.crossJoin(s).withColumn(column, F.floor(low + (F.col(column) - F.col("__a")) / span * (high - low) + 0.5)).drop("__a", "__b")
+    return with_row(df, s).withColumn(column, F.floor(low + (F.col(column) - F.col("__a")) / span * (high - low) + 0.5)).drop("__a", "__b")
 
 
 def first_edges(edges: DataFrame) -> DataFrame:

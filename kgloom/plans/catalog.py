@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.dictionaries import NODE_TYPE_ALIASES, NODE_TYPES, PERIODS, RELATIONSHIP_ALIASES, RELATIONSHIP_TYPES
 from ..operators import builder, extract, graph, keywords, metrics, store, topics, transform
+from ..operators.iterate import with_row
 from ..sources import readers, tables
 from ..streaming.upsert import windowed_counts
 
@@ -379,7 +380,7 @@ def structural_similarity(s, d):
 def embedding_cosine(s, d):
     e = tables.table(s, d, "embeddings")
     probe = e.where("vec_id = 0").limit(1).select(F.col("embedding").alias("p"))
-    return e.crossJoin(F.broadcast(probe)).select("vec_id", F.round(extract.cosine(F.col("embedding"), F.col("p")), 9).alias("similarity"))
+    return with_row(e, probe).select("vec_id", F.round(extract.cosine(F.col("embedding"), F.col("p")), 9).alias("similarity"))
 
 
 # Keywords
