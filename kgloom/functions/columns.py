@@ -124,7 +124,7 @@ def quoted(text: str) -> str:
 def occurrences(c: Column | str, word: Column | str) -> Column:
     """Non-overlapping occurrences of a fixed string."""
     w = F.lit(word) if isinstance(word, str) else word
-    return F.when(F.char_length(w) > 0, ((F.char_length(col(c)) - F.char_length(F.replace(col(c), w, F.lit("")))) / F.char_length(w)).cast("int")).otherwise(0)
+    return F.when(F.octet_length(w) > 0, ((F.octet_length(col(c)) - F.octet_length(F.replace(col(c), w, F.lit("")))) / F.octet_length(w)).cast("int")).otherwise(0)
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -141,6 +141,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def word_match(c: Column, word: str) -> Column:
-    """Whether the word stands in text of ASCII word characters, hyphens and spaces."""
-    return c.rlike(rf"(^|[^A-Za-z0-9_]){quoted(word)}($|[^A-Za-z0-9_])")
+def word_match(c: Column, *words: str) -> Column:
+    """Whether one of the words stands in text of ASCII word characters, hyphens and spaces."""
+    return c.rlike(rf"(?:^|[^A-Za-z0-9_])(?:{'|'.join(map(quoted, words))})(?:$|[^A-Za-z0-9_])")

@@ -33,19 +33,12 @@ def cleaned(title: Column, abstract: Column) -> Column:
 
 def topic_matches(papers: DataFrame, topics: dict[str, list[str]] = TOPIC_KEYWORDS) -> DataFrame:
     """(paper_ix, pub_year, topic): each topic with a keyword in the paper, as a whole word. The text is scanned once for
-    each keyword, in generated code; one row per match leaves."""
-    flags = [F.when(_any_word("__t", words), F.lit(t)) for t, words in topics.items()]
+    each topic; one row per match leaves."""
+    flags = [F.when(word_match(F.col("__t"), *words), F.lit(t)) for t, words in topics.items()]
     found = papers.select("paper_ix", "pub_year", cleaned(F.col("title"), F.col("abstract")).alias("__t")).select("paper_ix", "pub_year", F.explode(F.array_compact(F.array(*flags))).alias("topic"))
     return found
 
 
-def _any_word(column: str, words: list[str]) -> Column:
-    out = word_match(F.col(column), words[0])
-    for w in words[1:]:
-        out = out | word_match(F.col(column), w)
-    return out
-
-
 def coverage(papers: DataFrame, topics: dict[str, list[str]] = TOPIC_KEYWORDS) -> DataFrame:
     """(topic, n, pct, keywords) of every topic; a paper counts in each of its topics."""
     names = papers.sparkSession.createDataFrame([(t, len(w)) for t, w in topics.items()], "topic string, keywords int")

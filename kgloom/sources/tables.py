@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from ..operators.graph import Graph
 
 
+TEXTS = frozenset({"documents", "pages"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts in fewer file splits than there are cores (one small file) are dealt out, else a single core would do
+    all the work on them; inputs of many splits are left as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and 4 * df.rdd.getNumPartitions() <= cores else df
 
 
 def key(prefix: str, c: str):  # noqa: ANN201
