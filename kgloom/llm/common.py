@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.iterate import components, materialize
 
-__all__ = ["WORD", "components", "materialize", "parts", "read_table", "word_count"]
+__all__ = ["WORD", "components", "materialize", "parts", "read_table", "small_or_joined", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,3 +23,8 @@ def parts(spark: SparkSession) -> int:
 def word_count(text: Column) -> Column:
     """Number of words of the text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def small_or_joined(df: DataFrame, rows: int) -> DataFrame:
+    """A materialized side of a join: broadcast if it has at most so many rows (of a few KB), else joined like any other."""
+    return F.broadcast(df) if df.count() <= rows else df

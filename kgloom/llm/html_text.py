@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_or_joined
 
 #: Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -214,14 +214,15 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     key = F.conv(F.rpad(F.substring(F.hex(name), 1, 12), 12, "0"), 16, 10).cast("double")  # six bytes keep the order of names
     base = base.withColumn("dir", directory).withColumn("name_key", key)
     hot = materialize(base.groupBy("host", "dir").agg(F.count("*").alias("n")).where(F.col("n") > max_pages))
-    cuts = base.select("host", "dir", "name_key").join(hot, ["host", "dir"]).groupBy("host", "dir").agg(F.first("n").alias("n"), F.percentile_approx("name_key", [i / CUTS for i in range(1, CUTS)], 100 * CUTS).alias("q"))
-    cuts = materialize(cuts.select("host", "dir", "q", F.least(F.ceil(F.col("n") / max_pages) * 2, F.lit(CUTS)).alias("ranges")))
+    cuts = base.select("host", "dir", "name_key").join(small_or_joined(hot, 100_000), ["host", "dir"]).groupBy("host", "dir").agg(F.first("n").alias("n"), F.percentile_approx("name_key", [i / CUTS for i in range(1, CUTS)], 100 * CUTS).alias("q"))
+    cuts = cuts.withColumn("ranges", F.least(F.ceil(F.col("n") / max_pages) * 2, F.lit(CUTS)).cast("int"))
+    bounds = F.transform(F.sequence(F.lit(1), F.col("ranges") - 1), lambda i: F.get("q", F.floor(i * CUTS / F.col("ranges")).cast("int") - 1))
+    cuts = materialize(cuts.select("host", "dir", bounds.alias("q")))
     lines = base.select("id", "url", "host", "path", "dir", "name_key", "__html").mapInArrow(parse, f"id {id_type}, url {url_type}, host string, path string, dir string, name_key double, texts array<string>, places binary, keys array<bigint>")
-    position = F.size(F.filter("q", lambda x: x < F.col("name_key")))
     busy = base.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > max_pages).select("host", (F.ceil(F.col("n") / max_pages) * 2).alias("parts"))
     small = F.when(F.col("parts").isNull(), F.lit("")).otherwise(F.pmod(F.xxhash64("dir"), F.coalesce("parts", F.lit(1))).cast("string"))
-    cut = F.when(F.col("q").isNull(), small).otherwise(F.concat_ws(" ", F.floor(position * F.col("ranges") / CUTS).cast("string"), "dir"))
-    lines = lines.join(cuts, ["host", "dir"], "left").join(materialize(busy), "host", "left").withColumn("cut", cut)
+    cut = F.when(F.col("q").isNull(), small).otherwise(F.concat_ws(" ", F.size(F.filter("q", lambda x: x < F.col("name_key"))).cast("string"), "dir"))
+    lines = lines.join(small_or_joined(cuts, 2000), ["host", "dir"], "left").join(small_or_joined(materialize(busy), 100_000), "host", "left").withColumn("cut", cut)
     order = Window.partitionBy("host", "cut").orderBy("path", "url", "id")
     lines = lines.select("id", "url", "path", "texts", "places", "keys", *[f(c).over(order).alias(f"{n}_{c}") for n, f in (("before", F.lag), ("after", F.lead)) for c in ("path", "keys")])
 
