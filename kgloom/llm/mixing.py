@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, small_or_joined, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Multipliers of the block permutation: primes above any shard's number of blocks.
@@ -122,10 +122,11 @@ def _placed(docs: DataFrame, keep: list[str], id_col: str, text_col: str, source
     wanted = materialize(wanted.select(F.coalesce("source", F.lit(NULL)).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("quota").alias("__quota")))
     shard = F.pmod(F.col("__order"), F.greatest(F.lit(1), F.ceil(F.col("__source_size") / shard_words))).cast("int")
     shards = slim.join(wanted, "__source").withColumn("shard", shard).groupBy(F.col("__source").alias("source"), "shard").agg(F.sum("__size").alias("shard_size"), F.first("__quota").alias("quota"))
-    quotas = materialize(_shard_quotas(shards, block, max_copies)).select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), F.greatest("n_blocks", F.lit(1)).alias("__n_blocks"), F.col("blocks").alias("__blocks"))
+    quotas = materialize(_shard_quotas(shards, block, max_copies))
+    quotas = quotas.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), F.greatest("n_blocks", F.lit(1)).alias("__n_blocks"), F.col("blocks").alias("__blocks"))
     line = Window.partitionBy("__source", "__shard").orderBy("__order", "__size")
-    rows = keyed.join(wanted, "__source").withColumn("__shard", shard)
-    rows = rows.withColumn("__first", F.sum("__size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")).join(quotas, ["__source", "__shard"])
+    rows = keyed.join(small_or_joined(wanted, 50_000), "__source").withColumn("__shard", shard)  # texts are not dealt by source
+    rows = rows.withColumn("__first", F.sum("__size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")).join(small_or_joined(quotas, 50_000), ["__source", "__shard"])
     rows = rows.withColumns({"__passes": F.floor(F.col("__blocks") / F.col("__n_blocks")).cast("int"), "__rest": F.col("__blocks") % F.col("__n_blocks"), "__block_seed": F.xxhash64(F.lit(seed), "__source", "__shard")})
     part = taken_in_blocks(F.col("__first"), F.col("__size"), F.col("__n_blocks"), F.col("__rest"), F.col("__block_seed"), block)
     return rows.withColumn("__taken", (F.col("__passes") * F.col("__size") + part).cast("long"))
