@@ -228,15 +228,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     if length >= 1 << 16:
         raise ValueError("length must be below 65536")
     anchors = materialize(docs.where(F.octet_length("text") >= length).select("id", "th", "text").mapInArrow(find, "id long, th long, pos long, core long, e long"))
-    cores = anchors.groupBy("core").agg(F.count("*").alias("n"), F.min("e").alias("e0"), F.max("e").alias("e1")).where("n > 1")
-    cores = materialize(cores.select("core", (F.col("e0") == F.col("e1")).alias("same")))  # apart from the join, which can then split a hot k-gram
+    cores = anchors.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    cores = materialize(cores.select("core"))  # apart from the join, which can then split a hot k-gram
     again = materialize(anchors.join(cores, "core"))
     m, lo = F.shiftright("pos", 32), F.shiftright("pos", 32) - F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF))
     whole = [F.col("id"), F.col("th"), lo.alias("begin"), (lo + F.col("pos").bitwiseAND(F.lit(0xFFFF)) + length).alias("end")]
-    mixed = again.where("not same")
-    classes = materialize(mixed.groupBy("core", "e").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "pos")).alias("rep")))
-    sure = again.where("same").select(*whole).unionByName(mixed.join(classes.where("c > 1").select("core", "e"), ["core", "e"], "left_semi").select(*whole))
-    sizes = classes.groupBy("core").agg((F.count("*") > hot).alias("is_hot"))
+    classes = materialize(again.groupBy("core", "e").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "pos")).alias("rep")))
+    sure = again.join(classes.where("c > 1").select("core", "e"), ["core", "e"], "left_semi").select(*whole)
+    sizes = classes.groupBy("core").agg(F.count("*").alias("variants")).where("variants > 1").select("core", (F.col("variants") > hot).alias("is_hot"))
     places = classes.join(sizes, "core").select("rep.id", "rep.th", F.struct("core", "rep.pos", "c", "is_hot").alias("x")).groupBy("id", "th").agg(F.collect_list("x").alias("xs"))
     sides_schema = "id long, th long, core long, lo long, c long, is_hot boolean, left binary, kgram binary, right binary"
 
