@@ -674,3 +674,61 @@ def bibliography(s, d):
 def label_scores(s, d):
     rows = tables.table(s, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), tables.key("Part-", "l_partkey").alias("label"), "l_quantity")
     return builder.score_labels(rows.where("l_quantity < 30"), rows.where("l_quantity >= 20"))
+
+
+# The same operators over the whole graph and all embeddings, where the SQL above stays with a part of them. Recursive SQL
+# is too slow for that, so tests/test_whole.py compares them with brute force.
+
+
+@query()
+def whole_connected_components(s, d):
+    return graph.connected(tables.graph(s, d))
+
+
+@query()
+def whole_communities(s, d):
+    return graph.communities(tables.graph(s, d))
+
+
+@query()
+def whole_named_clusters(s, d):
+    return graph.named_clusters(tables.graph(s, d))
+
+
+@query()
+def whole_component_modularity(s, d):
+    return metrics.component_modularity(tables.graph(s, d)).withColumn("modularity", F.round("modularity", 9))
+
+
+@query()
+def whole_label_propagation(s, d):
+    return graph.label_propagation(tables.graph(s, d), 2)
+
+
+@query()
+def whole_graph_to_text(s, d):
+    return graph.graph_to_text(tables.graph(s, d))
+
+
+@query()
+def whole_common_neighbours(s, d):
+    g = tables.graph(s, d)
+    return metrics.common_neighbours(g, g.edges.agg(F.min("src").alias("m")).first()["m"] or "")
+
+
+@query()
+def whole_built_graph(s, d):
+    g = tables.graph(s, d)
+    raw = g.nodes.withColumn("pos", F.hash("id")).withColumn("name", F.lit(None).cast("string"))
+    links = g.edges.select(F.hash("src", "dst").alias("pos"), "src", "dst", F.lit(None).cast("string").alias("label"), "weight")
+    return builder.build(raw, links).edges
+
+
+@query()
+def whole_adjacency(s, d):
+    return graph.adjacency(tables.graph(s, d).edges)
+
+
+@query()
+def whole_isolated_nodes(s, d):
+    return metrics.isolated_nodes(tables.graph(s, d)).select("id")
