@@ -732,3 +732,41 @@ def whole_adjacency(s, d):
 @query()
 def whole_isolated_nodes(s, d):
     return metrics.isolated_nodes(tables.graph(s, d)).select("id")
+
+
+@query()
+def whole_closeness(s, d):
+    return graph.closeness(tables.geo_graph(s, d))
+
+
+@query()
+def whole_paths(s, d):
+    return graph.paths(tables.place_edges(s, d), "supplier_1", None, 3)
+
+
+@query()
+def whole_shortest_path(s, d):
+    return graph.paths(tables.place_edges(s, d), "supplier_1", None, 3).where("at like 'region%'").orderBy("length", "total_weight", "vertices").limit(1)
+
+
+@query()
+def whole_nodes_by_type(s, d):
+    return metrics.by_type(tables.geo_graph(s, d).nodes)
+
+
+@query()
+def whole_merged_by_label(s, d):
+    n = tables.nodes(s, d)
+    merged = store.merge_nodes(n.where("id like 'supplier%'"), n.where("id not like 'supplier%'"), "update")
+    return merged.select("label", "size").join(n.groupBy("label").agg(F.count("*").alias("n")), "label").select("label", "n", "size")
+
+
+@query()
+def whole_insert_new_rows(s, d):
+    n = tables.nodes(s, d).groupBy("label").agg(F.min("id").alias("id"))
+    return store.insert_new(n.limit(0), n, ["label"])
+
+
+@query()
+def whole_hash_embeddings(s, d):
+    return tables.nodes(s, d).select("id", extract.hash_embedding(F.col("label"), 64).alias("embedding"))
