@@ -770,3 +770,12 @@ def whole_insert_new_rows(s, d):
 @query()
 def whole_hash_embeddings(s, d):
     return tables.nodes(s, d).select("id", extract.hash_embedding(F.col("label"), 64).alias("embedding"))
+
+
+@query()
+def whole_embedding_cosine(s, d):
+    """Every vector whose id is divisible by 20 against all vectors. Both sides are cut into blocks of hashed ids; a task
+    scores one block of queries against one block of vectors."""
+    e = tables.table(s, d, "embeddings").select("vec_id", "embedding")
+    probes = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("p"))
+    return extract.cosine_pairs(probes, e)
