@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from kgloom.llm.common import materialize, read_table
 from kgloom.llm.mixing import mixed_texts
+from kgloom.llm.near_copies import near_copy_dedup
 from kgloom.llm.packing import pack
 from kgloom.llm.quality import score
 from kgloom.llm.queries import quality_model, tokenizer_path
-from kgloom.llm.simhash import simhash_dedup
 from kgloom.llm.suffix_dedup import suffix_dedup
 
 
@@ -26,8 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of smallest doc_id."""
-    return simhash_dedup(docs, shingle=3, radius=3)
+    """One document of each group of near copies (5-word shingles, similarity of 0.8 or more) stays: the one of smallest
+    doc_id."""
+    return near_copy_dedup(docs, shingle=5)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

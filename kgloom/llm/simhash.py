@@ -27,20 +27,31 @@ def fingerprint_of(text: str | None, shingle: int) -> int:
     return int(_fingerprints([text], shingle)[0])
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray | None:
+    """XXH64 (seed 42) of each word shingle of a text, of all its words if they are fewer; None for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower folds A-Z only, bytes.split cuts at 09-0D and 20
+    if not words:
+        return None
+    digest = xxhash.xxh64_intdigest
+    n, joined = max(1, len(words) - shingle + 1), b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    begin, end = [0, *ends[: n - 1].tolist()], [*(ends[shingle - 1 :] - 1).tolist()] or [len(joined)]
+    return np.fromiter((digest(joined[b:e], 42) for b, e in zip(begin, end, strict=True)), np.uint64, n)
+
+
+def fingerprint_bits(h: np.ndarray) -> np.uint64:
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 1 << 16):  # bounds the bit matrix of a very long text
+        ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h)).view(">u8")[0]
+
+
 def _fingerprints(texts: list, shingle: int) -> np.ndarray:
-    out, digest = np.zeros(len(texts), np.uint64), xxhash.xxh64_intdigest
+    out = np.zeros(len(texts), np.uint64)
     for i, text in enumerate(texts):
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower folds A-Z only, bytes.split cuts at 09-0D and 20
-        if not words:
-            continue
-        n, joined = max(1, len(words) - shingle + 1), b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        begin, end = [0, *ends[: n - 1].tolist()], [*(ends[shingle - 1 :] - 1).tolist()] or [len(joined)]
-        h = np.fromiter((digest(joined[b:e], 42) for b, e in zip(begin, end, strict=True)), np.uint64, n)
-        ones = np.zeros(BITS, np.int64)
-        for at in range(0, n, 1 << 16):  # bounds the bit matrix of a very long text
-            ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out[i] = np.packbits(2 * ones > n).view(">u8")[0]
+        h = shingle_hashes(text, shingle)
+        if h is not None:
+            out[i] = fingerprint_bits(h)
     return out
 
 
