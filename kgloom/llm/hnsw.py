@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import components, materialize
 
 M, M0, EF_BUILD, EF = 12, 24, 48, 32
+#: Queries whose links overrun the widest beam up to this are scored against the whole shard.
+WIDE = 1024
 #: Rows of a shard and of a block of queries: what one task holds.
 SHARD_ROWS, BLOCK_ROWS, MIN_SHARDS = 65_536, 16_384, 4
 BATCH = 512
@@ -63,7 +65,7 @@ class Graph:
         links[nodes, : chosen.shape[1]] = chosen
         src, dst = np.repeat(nodes, chosen.shape[1]), chosen.ravel()
         src, dst = src[dst != NONE], dst[dst != NONE]
-        order = np.argsort(dst, kind="stable")
+        order = np.lexsort((-np.einsum("ed,ed->e", self.x[src], self.x[dst]), dst))  # the most similar of a target come first
         src, dst = src[order], dst[order]
         targets, first, count = np.unique(dst, return_index=True, return_counts=True)
         extra = min(int(count.max(initial=0)), 2 * width)
@@ -139,11 +141,23 @@ class Graph:
             done[at] = np.take_along_axis(all_d, best, 1) | (sims[at] == -2)
         return ids, sims
 
+    def unreached(self) -> np.ndarray:
+        """Nodes that no walk over the lowest level reaches from the first node: no beam is sure to find them."""
+        seen = np.zeros(len(self.x), bool)
+        front = np.zeros(min(1, len(self.x)), np.int64)
+        while len(front):
+            seen[front] = True
+            near = np.unique(self.links[0][front])
+            near = near[near != NONE]
+            front = near[~seen[near]]
+        return np.flatnonzero(~seen)
+
     def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         entry = np.zeros((len(q), 1), np.int64)
         for lv in range(len(self.links) - 1, 0, -1):
             entry = self.beam(q, entry, lv, 8)[0]
-        return self.beam(q, entry, 0, max(ef, 8))
+        first = np.where((entry == 0).any(1, keepdims=True), NONE, 0)  # the first node is always an entry, as unreached() assumes
+        return self.beam(q, np.concatenate([entry, first], 1), 0, max(ef, 9))
 
     def to_bytes(self) -> bytes:
         return b"".join([np.array([len(self.x), self.x.shape[1], len(self.links)], "<i8").tobytes(), self.x.astype("<f4").tobytes(), self.perm.astype("<i8").tobytes(), np.array([len(a) for a in self.links], "<i8").tobytes(), *(a.astype("<i4").tobytes() for a in self.links)])
@@ -167,14 +181,26 @@ class Graph:
         return g
 
 
+def scanned(x: np.ndarray, q: np.ndarray, which: np.ndarray, floor: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, indices of x whose cosine reaches floor) of the queries in which, by a blocked matrix product."""
+    step = max(1, (1 << 24) // max(len(x), 1))
+    for at in range(0, len(which), step):
+        part = which[at : at + step]
+        for i, row in zip(part.tolist(), (q[part] @ x.T) >= floor, strict=True):
+            yield i, np.flatnonzero(row)
+
+
 def linked(g: Graph, q: np.ndarray, floor: float, target: float, seed: int, audit: int = 128) -> Iterator[tuple[int, np.ndarray]]:
     """(query, nodes whose float32 cosine reaches floor) of each query that has any. Beams widen until they overrun the
-    links, and all of them again until the audit's recall reaches target; a beam as wide as the shard finds everything."""
+    links, and all of them again until the audits' recall reaches target. Queries whose links fill the widest beam, and
+    all of them where audits fail with such a beam, are scored against the whole shard; every query is scored against the
+    nodes that the graph doesn't reach."""
     n, ef = len(g.x), EF
+    lost, left = g.unreached(), np.arange(len(q))
     while True:
         found: dict[int, np.ndarray] = {}
         top = np.full(len(q), -2.0, np.float32)
-        todo, wide = np.arange(len(q)), ef
+        todo, wide, hot = left, ef, []
         while len(todo):
             again = []
             step = max(1, min(BATCH, (1 << 25) // max(n, 8 * wide)))
@@ -184,23 +210,36 @@ def linked(g: Graph, q: np.ndarray, floor: float, target: float, seed: int, audi
                 top[part] = sims[:, 0]
                 hit = (sims >= floor).sum(1)
                 for i in np.flatnonzero(hit):
-                    if hit[i] == sims.shape[1] and wide < n:
-                        again.append(part[i])
+                    if hit[i] < sims.shape[1] or wide >= n:
+                        found[int(part[i])] = ids[i, : hit[i]].astype(np.int32)  # a copy, so the beam can go
                     else:
-                        found[int(part[i])] = ids[i, : hit[i]]
+                        (again if wide * 4 <= WIDE else hot).append(part[i])
             todo, wide = np.array(again, np.int64), wide * 4
+        if hot:  # exact, so they need no audit and never come back
+            yield from scanned(g.x, q, np.array(hot, np.int64), floor)
+            left = np.setdiff1d(left, hot)
+        if len(lost):
+            for i, more in scanned(g.x[lost], q, left, floor):
+                if len(more):
+                    found[i] = np.union1d(found.get(i, np.zeros(0, np.int32)), lost[more])
+        if not len(left):
+            return
         rng = np.random.default_rng(seed)
-        near = np.argsort(-top, kind="stable")[: 4 * audit]  # where links are, half of the audit looks
-        sample = np.unique(np.concatenate([rng.permutation(len(q))[: audit // 2], rng.permutation(near)[: audit // 2]]))
-        truth = (q[sample] @ g.x.T) >= floor
-        want, got = int(truth.sum()), 0
-        for i, row in zip(sample.tolist(), truth, strict=True):
-            if i in found:
-                got += int(row[found[i]].sum())
-        if not want or got >= target * want or ef >= n:
+        near = left[np.argsort(-top[left], kind="stable")][: 4 * audit]  # where links are, a second audit looks
+        passed = True
+        for sample in (rng.permutation(left)[:audit], rng.permutation(near)[: audit // 2]):
+            want = got = 0
+            for i, all_ in scanned(g.x, q, sample, floor):
+                want += len(all_)
+                got += len(np.intersect1d(all_, found[i])) if i in found else 0
+            passed &= got >= target * want
+        if passed:
             yield from found.items()
             return
-        ef = min(n, ef * 2)
+        ef *= 2
+        if ef > min(WIDE, n):
+            yield from ((i, ids) for i, ids in scanned(g.x, q, left, floor) if len(ids))
+            return
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.995, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, min_shards: int = MIN_SHARDS) -> DataFrame:
