@@ -4,9 +4,9 @@ Candidates share one of 16 bands of 4 min-hashes (at a similarity of 0.8 a pair
 lie within 3 bits of each other's SimHash (covering masks, so none of those is missed). A pair links only if its shingle
 sets, compared in full, reach the similarity. Documents of equal sets are one row in the search.
 
-Rounds of stars keep hot groups linear: in each bucket all are compared with one member, another one each round. Then
-all pairs of a bucket whose documents are still in different components are compared, so no candidate pair that could
-join two components is left out.
+Candidate pairs are joined to clusters on ids alone. Then every set goes to its cluster, where all pairs that could join
+two groups are compared. Clusters of over CHUNK sets are dealt to tasks as pairs of chunks, so no task holds more than
+two; the sets of such a cluster are sent once for each of its chunks, and comparing them grows with their square.
 """
 
 from __future__ import annotations
@@ -14,15 +14,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize
-from .simhash import _signed, fingerprint_bits, masks, shingle_hashes
+from .simhash import fingerprint_bits, near_edges, shingle_hashes
 
-BANDS, ROWS, RADIUS, STARS = 16, 4, 3, 3
+BANDS, ROWS, RADIUS = 16, 4, 3
+CHUNK = 2048
 _MULT = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(12).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
@@ -60,57 +62,72 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(sh, s): the shingle set of each text (sh, text)."""
+    """(sh, cluster, s): the shingle set of each text (sh, cluster, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                s = [_set_of(t, shingle).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.list_(pa.int64()))], ["sh", "s"])
-
-    return texts.mapInArrow(run, "sh long, s array<long>")
-
-
-def _candidates(sets: DataFrame) -> DataFrame:
-    """(key, close, sh, n, fp): members of the buckets that hold several sets. close: the bucket is of SimHash."""
-    table = [F.xxhash64(F.lit(i), F.lit(_signed(m)).bitwiseAND(F.col("fp"))) for i, m in enumerate(masks(RADIUS))]
-    rows = lambda keys, close: sets.select(F.explode(keys).alias("key"), F.lit(close).alias("close"), "sh", "n", "fp")
-    banded = rows(F.col("bands"), False).unionByName(rows(F.array(*table), True))
-    hot = banded.groupBy("key", "close").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return banded.join(hot, ["key", "close"])
-
-
-def _side(df: DataFrame, p: str) -> DataFrame:
-    return df.select("key", "close", *[F.col(c).alias(p + c) for c in df.columns if c not in ("key", "close")])
-
-
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tenths: int = 8, stars: int = STARS) -> DataFrame:
+                s = [_set_of(t, shingle).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.binary())], ["sh", "cluster", "s"])
+
+    return texts.mapInArrow(run, "sh long, cluster long, s binary")
+
+
+def _clusters(sets: DataFrame) -> DataFrame:
+    """(id, cluster): sets (sh, fp, bands) that candidate pairs join, at whatever number of steps."""
+    band = sets.select("sh", F.explode("bands").alias("key"))
+    pairs = band.join(band.groupBy("key").agg(F.min("sh").alias("least"), F.count("*").alias("c")).where("c > 1"), "key").select(F.col("least").alias("a"), F.col("sh").alias("b"))
+    same = materialize(sets.groupBy("fp").agg(F.min("sh").alias("least")))
+    pairs = pairs.unionByName(sets.join(same, "fp").select(F.col("least").alias("a"), F.col("sh").alias("b")))
+    near = near_edges(same.select("fp"), RADIUS).toDF("fa", "fb")
+    ends = lambda f, c: same.select(F.col("fp").alias(f), F.col("least").alias(c))
+    pairs = pairs.unionByName(near.join(ends("fa", "a"), "fa").join(ends("fb", "b"), "fb").select("a", "b"))
+    pairs = materialize(pairs.where("a <> b").distinct())
+    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return materialize(components(nodes, pairs).withColumnRenamed("component", "cluster"))
+
+
+def _links(sets: list[np.ndarray], side: np.ndarray, lo: int, hi: int, tenths: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets. Of two chunks only links across them are looked at."""
+    size = np.array([len(x) for x in sets])
+    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    comp, found, flag = np.arange(len(sets)), [], np.zeros(len(vocabulary), np.int32)
+    for i in np.flatnonzero(side == lo):
+        if not ((comp != comp[i]) & (side == hi)).any():
+            continue
+        own = flat[start[i] : start[i] + size[i]]
+        flag[own] = 1
+        both = np.add.reduceat(flag[flat], start)
+        flag[own] = 0
+        for j in np.flatnonzero((10 * both >= tenths * (size + size[i] - both)) & (side == hi)):
+            if comp[i] != comp[j]:
+                comp[comp == comp[j]] = comp[i]
+                found.append((i, j))
+    return found
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tenths: int = 8, chunk: int = CHUNK) -> DataFrame:
     """(id, th, component) per row; th tells texts of one id apart, component names a group of near copies."""
     sig = materialize(_signatures(docs, id_col, text_col, shingle))
-    members = materialize(_candidates(sig.where("n > 0").dropDuplicates(["sh"])))
-    nodes = materialize(members.select(F.col("sh").alias("id")).distinct())
+    cluster = _clusters(sig.where("n > 0").groupBy("sh").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     text = F.col(text_col).cast("string")
-    one = sig.groupBy("sh").agg(F.min("th").alias("th")).join(nodes, F.col("sh") == F.col("id"), "left_semi")
-    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text")).join(one, "th").groupBy("sh").agg(F.first("text").alias("text"))
-    sets = materialize(_sets(texts.select("sh", "text"), shingle))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        fit = (10 * F.least("an", "bn") >= tenths * F.greatest("an", "bn")) & (~F.col("close") | (F.bit_count(F.col("afp").bitwiseXOR(F.col("bfp"))) <= RADIUS))
-        p = materialize(pairs.where(fit).select(F.least("ash", "bsh").alias("a"), F.greatest("ash", "bsh").alias("b")).distinct())
-        both = p.join(sets.select(F.col("sh").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("sh").alias("b"), F.col("s").alias("y")), "b")
-        both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
-        return materialize(both.where(10 * F.col("i") >= tenths * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b"))
-
-    edges, comp = None, nodes.select("id", F.col("id").alias("component"))
-    for r in range(stars + 1):
-        live = members.join(comp.withColumnRenamed("id", "sh"), "sh")
-        split = live.groupBy("key", "close").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "close")
-        live = materialize(live.join(split, ["key", "close"]))
-        a = live if r == stars else live.groupBy("key", "close").agg(F.min(F.struct(F.xxhash64(F.lit(r), "sh").alias("h"), "sh", "n", "fp", "component")).alias("x")).select("key", "close", "x.sh", "x.n", "x.fp", "x.component")
-        pairs = _side(a, "a").join(_side(live, "b"), ["key", "close"]).where("acomponent <> bcomponent")
-        found = verified(pairs.where("ash < bsh") if r == stars else pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        comp = materialize(components(nodes, edges))
+    one = sig.groupBy("sh").agg(F.min("th").alias("th")).join(cluster, F.col("sh") == F.col("id")).select("sh", "th", "cluster")
+    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text")).join(one, "th").dropDuplicates(["sh"])
+    k = F.ceil(F.col("c") / chunk).cast("int")
+    chunks = cluster.groupBy("cluster").agg(F.count("*").alias("c")).select("cluster", k.alias("k"))
+    rows = _sets(texts.select("sh", "cluster", "text"), shingle).join(chunks, "cluster")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sh"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sh", "s")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sh")
+        lo, hi, sh = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0]), pdf["sh"].to_numpy()
+        found = _links([np.frombuffer(x, np.uint64) for x in pdf["s"]], pdf["own"].to_numpy(), lo, hi, tenths)
+        return pd.DataFrame([(sh[i], sh[j]) for i, j in found], columns=["a", "b"])
+
+    edges = materialize(rows.groupBy("cluster", "lo", "hi").applyInPandas(run, "a long, b long"))
+    comp = materialize(components(cluster.select("id"), edges))
     return sig.select("id", "th", "sh").join(comp.withColumnRenamed("id", "sh"), "sh", "left").select("id", "th", F.coalesce("component", "sh").alias("component"))
 
 

@@ -17,8 +17,8 @@ def similar(a, b):
     return a == b or 10 * len(a & b) >= 8 * len(a | b)
 
 
-@pytest.mark.parametrize("stars", [3, 0])
-def test_near_copies(spark, stars):
+@pytest.mark.parametrize("chunk", [2048, 7])
+def test_near_copies(spark, chunk):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
     texts = [None, "", " \n", "One two", "one two", "one three"]
@@ -45,13 +45,13 @@ def test_near_copies(spark, stars):
                 root = [min(a, b) if x in (a, b) else x for x in root]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {}
-    for r in near_copies.near_copy_groups(df, stars=stars).collect():
+    for r in near_copies.near_copy_groups(df, chunk=chunk).collect():
         got.setdefault(r["component"], []).append(r["id"])
     want = {}
     for i, x in enumerate(root):
         want.setdefault(x, []).append(i)
     assert sorted(map(sorted, got.values())) == sorted(want.values())
-    if stars:
+    if chunk > 7:
         assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == sorted(want)
         assert near_copies.near_copy_dedup(df.limit(0)).count() == 0
         odd = spark.createDataFrame([(None, "x y z"), (None, "q r s t"), (5, "x y z"), (5, "other words"), (5, "x y z"), (None, "q r s t")], "doc_id long, text string")
