@@ -13,7 +13,7 @@ from .mixing import mix
 from .packing import pack
 from .quality import fit, score
 from .simhash import simhash_groups
-from .suffix_dedup import suffix_dedup
+from .suffix_dedup import Cut, suffix_dedup
 from .token_counts import token_counts
 from .winnowing import edited_fingerprints
 
@@ -34,8 +34,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = suffix_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """By 400 bytes; n_passages and text are by words: text is what is left without passages of 50 words or more that
+    start anywhere else."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = suffix_dedup(docs, cuts=(Cut("bytes", 400), Cut("words", 50)), out="cut")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    left = F.col("cut.words.kept").cast("string").alias("text")
+    return d.select("doc_id", n_bytes, "cut.bytes.n_removed", "cut.bytes.n_spans", F.sha2("cut.bytes.kept", 256).alias("kept_sha256"), F.col("cut.words.n_spans").alias("n_passages"), left)
 
 
 def tokenizer_path(name: str) -> str:

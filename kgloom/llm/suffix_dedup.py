@@ -1,19 +1,22 @@
-"""Exact removal of long repeated byte strings with sparse suffix arrays, built by deep-shallow sorting.
+"""Exact removal of long repeated strings with sparse suffix arrays, built by deep-shallow sorting.
 
-Every byte covered by a `length`-byte string that also starts anywhere else goes. A suffix array of all bytes of a
-corpus can't be shuffled, so only anchor suffixes are: each window of `length` bytes picks its k-gram of least hash
-(leftmost of equal ones), a choice that depends on the window's bytes alone, so equal windows have equal k-grams at
-equal places. An anchor stands for the run of windows that picked it. Anchors are grouped by their k-gram:
+Everything covered by a string of `length` units that also starts anywhere else goes; units are bytes, or words (so that
+white space between them doesn't matter). A suffix array of a whole corpus can't be shuffled, so only anchor suffixes are:
+each window of `length` units picks its k-gram of least hash (leftmost of equal ones), a choice that depends on the
+window's content alone, so equal windows have equal k-grams at equal places. An anchor stands for the run of windows that
+picked it. Anchors are grouped by their k-gram:
 
 * a k-gram seen once: none of its windows repeats;
-* anchors whose whole stretches (all windows of the run) are equal: counted by hash, all their windows repeat;
-* one anchor of each remaining class is compared with the other classes of its k-gram by a sparse suffix array: the
-  texts right of the k-gram are sorted by multikey quicksort to a shallow depth and by blind tries below it, the texts
-  left of it likewise (reversed), and merging the intervals of the right order by falling common prefix finds, for each
-  anchor, the partner that shares most on the left;
-* k-grams with more than HOT classes are not gathered anywhere: their windows are counted by 128-bit hash.
-
-Hashes other than the last are 64 bits within a 64-bit group. Work and memory follow the input at any skew.
+* anchors whose whole stretches (all windows of the run) have equal hashes (64 bits within a k-gram's 64 bits): all their
+  windows repeat, and one of them stands for the class from here on, so copies of any number are one row;
+* classes of one k-gram are compared by a sparse suffix array: the texts right of the k-gram are sorted by multikey
+  quicksort to a shallow depth and by blind tries below it, the texts left of it likewise (reversed), and merging the
+  intervals of the right order by falling common prefix finds, for each anchor, the partner that shares most on the left.
+
+A k-gram with more than `hot` classes is extended before it is compared: two anchors that share at least `length` units
+share either the first half of what is needed on the right, or more than the other half on the left, so each anchor goes
+to a group by either. Groups still too large are split again, at last by whole windows, where to meet is to be equal. So
+no task gathers a large group, and work and memory follow the input at any skew.
 """
 
 from __future__ import annotations
@@ -21,24 +24,95 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import materialize
+from .common import KeyBits, materialize
 
-#: Classes of one k-gram that one task may gather (about 600 bytes each).
-HOT = 20_000
-#: Bytes of a text that are hashed at once; positions within must fit in 24 bits.
-SEGMENT = 1 << 22
+#: Classes of one group that one task may gather (about 600 bytes each); the result is the same for any number.
+HOT = 2048
+#: Units of a text that are hashed at once; positions within must fit in 24 bits.
+SEGMENT = 1 << 20
 SHALLOW = 16
 _BASE = 0x9E3779B97F4A7C15 | 5
 _MOD = 1 << 64
 
 
+class Cut(NamedTuple):
+    """What counts as a repeat: at least `length` units, which are "bytes" or "words"."""
+
+    unit: str
+    length: int
+
+    @property
+    def k(self) -> int:
+        """Shorter k-grams make fewer anchors (one per (length - k) / 2 units) but more variants of each."""
+        return max(1, self.length // 6)
+
+    @property
+    def least_bytes(self) -> int:
+        return self.length if self.unit == "bytes" else 2 * self.length - 1
+
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_starts(buf: np.ndarray) -> np.ndarray:
+    space = _SPACE[buf]
+    return np.flatnonzero(~space & np.append(True, space[:-1])) if len(buf) else np.zeros(0, np.int64)
+
+
+class Line:
+    """A text as a sequence of units. data[at[i]:at[i + 1]] is unit i of words, each of which ends in one space, whatever
+    white space follows it in the text."""
+
+    def __init__(self, text: bytes, unit: str) -> None:
+        self.data, self.at, self.size = text, None, len(text)
+        if unit == "words":
+            buf = np.frombuffer(text + b" ", np.uint8)
+            space = _SPACE[buf]
+            buf = np.where(space, np.uint8(32), buf)[~space | np.append(False, ~space[:-1])]
+            self.data, self.at = buf.tobytes(), np.append(0, np.flatnonzero(buf == 32) + 1)
+            self.size = len(self.at) - 1
+
+    def edges(self, units: np.ndarray) -> list[int]:
+        """Where units begin in data."""
+        return (units if self.at is None else self.at[units]).tolist()
+
+    def part(self, a: int, b: int) -> bytes:
+        return self.data[a:b] if self.at is None else self.data[self.at[a] : self.at[b]]
+
+    def back(self, a: int, b: int) -> bytes:
+        """The units from b - 1 down to a."""
+        return self.data[a:b][::-1] if self.at is None else b" ".join([*reversed(self.part(a, b).split()), b""])
+
+    def values(self) -> np.ndarray:
+        """A number for each unit, by which k-grams are picked; equal numbers of different words do no harm."""
+        buf = np.frombuffer(self.data, np.uint8)
+        if self.at is None:
+            return _byte_values()[buf]
+        (up, down), out, i = _powers(), np.zeros(self.size, np.uint64), 0
+        while i < self.size:
+            j = max(i + 1, int(np.searchsorted(self.at, self.at[i] + SEGMENT, "right")) - 1)
+            begin, part = self.at[i], buf[self.at[i] : self.at[j]]
+            if len(part) < len(up):
+                prefix = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(_byte_values()[part] * up[: len(part)], out=prefix[1:])
+                at = self.at[i : j + 1] - begin
+                h = (prefix[at[1:] - 1] - prefix[at[:-1]]) * down[at[:-1]]
+                out[i:j] = (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+            else:  # one word longer than a segment
+                out[i] = xxhash.xxh3_64_intdigest(part.tobytes())
+            i = j
+        return out
+
+
 @cache
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     n = SEGMENT + (1 << 16)
@@ -52,12 +126,12 @@ def _byte_values() -> np.ndarray:
     return np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-def _runs(buf: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(values: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of one segment: position, first and last window start of its run."""
     up, down = _powers()
-    n = len(buf)
+    n = len(values)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_byte_values()[buf] * up[:n], out=prefix[1:])
+    np.cumsum(values * up[:n], out=prefix[1:])
     h = (prefix[k:] - prefix[:-k]) * down[: n - k + 1]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -74,16 +148,20 @@ def _runs(buf: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray,
     return at[first], first, np.append(first[1:], len(at)) - 1
 
 
-def anchors_of(text: bytes, length: int, k: int) -> list[tuple[int, int, int, int, int]]:
-    """(position, first window, last window, hash of the k-gram, hash of the whole stretch) of each anchor."""
-    out, digest = [], xxhash.xxh3_64_intdigest
-    for base in range(0, max(1, len(text) - length + 1), SEGMENT):
-        part = text[base : base + SEGMENT + length - 1]
-        if len(part) < length:
-            continue
-        for m, lo, hi in zip(*map(np.ndarray.tolist, _runs(np.frombuffer(part, np.uint8), length, k)), strict=True):
-            out.append((base + m, base + lo, base + hi, digest(part[m : m + k]), digest(part[lo : hi + length], m - lo)))
-    return out
+def anchors_of(line: Line, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, first window and last window of each anchor."""
+    if line.size < cut.length:
+        return (np.zeros(0, np.int64),) * 3
+    values = line.values()
+    found = [_runs(values[base : base + SEGMENT + cut.length - 1], cut.length, cut.k) for base in range(0, line.size - cut.length + 1, SEGMENT)]
+    return tuple(np.concatenate([f[i] + n * SEGMENT for n, f in enumerate(found)]) for i in range(3))
+
+
+def _digests(line: Line, begin: np.ndarray, end: np.ndarray, seeds: list[int] | int) -> list[int]:
+    digest, data, pairs = xxhash.xxh3_64_intdigest, line.data, zip(line.edges(begin), line.edges(end), strict=True)
+    if isinstance(seeds, int):
+        return [digest(data[x:y], seeds) for x, y in pairs]
+    return [digest(data[x:y], s) for (x, y), s in zip(pairs, seeds, strict=True)]
 
 
 def _lcp(a: bytes, b: bytes) -> int:
@@ -151,16 +229,20 @@ def deep_shallow_sort(s: list[bytes], shallow: int = SHALLOW) -> list[int]:
     return out
 
 
-def shared_ranges(left: list[bytes], right: list[bytes], need: int) -> list[list[tuple[int, int]]]:
-    """For each anchor of one k-gram the ranges of x (bytes taken left of the k-gram) for which the x bytes on its left
-    and the need-x bytes on its right are found at some other anchor too. left is reversed: nearest byte first."""
+def shared_ranges(left: list[bytes], right: list[bytes], need: int, unit: str = "bytes") -> list[list[tuple[int, int]]]:
+    """For each anchor of one k-gram the ranges of x (units taken left of the k-gram) for which the x units on its left
+    and the need-x units on its right are found at some other anchor too. left is reversed: nearest unit first."""
+    def common(a: bytes, b: bytes) -> int:
+        n = _lcp(a, b)
+        return n if unit == "bytes" else a.count(b" ", 0, n)
+
     found: list[list[tuple[int, int]]] = [[] for _ in left]
     rank = [0] * len(left)
     by_left = deep_shallow_sort(left)
     for r, x in enumerate(by_left):
         rank[x] = r
     order = deep_shallow_sort(right)
-    steps = sorted(((_lcp(right[a], right[b]), i) for i, (a, b) in enumerate(zip(order, order[1:], strict=False))), reverse=True)
+    steps = sorted(((common(right[a], right[b]), i) for i, (a, b) in enumerate(zip(order, order[1:], strict=False))), reverse=True)
     root, sets = list(range(len(order))), [[rank[x]] for x in order]
 
     def find(i: int) -> int:
@@ -177,9 +259,9 @@ def shared_ranges(left: list[bytes], right: list[bytes], need: int) -> list[list
             at = bisect_left(big, r)
             for q in big[max(0, at - 1) : at + 1]:
                 x, y = by_left[r], by_left[q]
-                common = _lcp(left[x], left[y])
-                if common + shared >= need:
-                    span = (need - shared, common)
+                both = common(left[x], left[y])
+                if both + shared >= need:
+                    span = (need - shared, both)
                     found[x].append(span)
                     found[y].append(span)
         for r in small:
@@ -204,133 +286,195 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _key(doc_id: Column, text: Column) -> list[Column]:
-    return [F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")]
+def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    xy = np.array(rows, np.int64).reshape(-1, len(names))
+    return pa.RecordBatch.from_arrays([pa.array(xy[:, i]) for i in range(len(names))], names)
+
+
+_SIDES = pa.schema([(c, pa.binary() if c in ("left", "right") else pa.int64()) for c in ("core", "g", "lo", "hi", "variants", "id", "th", "cut", "at", "c", "left", "right")])
+_SIDES_DDL = ", ".join(f"{f.name} {'binary' if f.name in ('left', 'right') else 'long'}" for f in _SIDES)
+_SPANS = ["id", "th", "cut", "begin", "end"]
+_SPANS_DDL = ", ".join(f"{c} long" for c in _SPANS)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
-    """(id, th, begin, end) of repeated stretches, overlapping ones included. docs: id, th and text (bytes)."""
-    k = max(1, length // 6)  # shorter k-grams make fewer anchors (one per (length - k) / 2 bytes) but more variants of each
-    need = length - k
+def repeated_spans(docs: DataFrame, cuts: tuple[Cut, ...], hot: int = HOT) -> DataFrame:
+    """(id, th, cut, begin, end) of repeated stretches in units of cuts[cut], overlapping ones included. docs: id, th and
+    text (bytes), read three times."""
+    if any(c.length >= 1 << 16 for c in cuts):
+        raise ValueError("length must be below 65536")
+
+    def anchors(b: pa.RecordBatch) -> Iterator[tuple]:
+        for at in range(0, b.num_rows, 1024):
+            for d, h, text in zip(*(b.column(i).slice(at, 1024).to_pylist() for i in range(3)), strict=True):
+                for n, cut in enumerate(cuts):
+                    line = Line(text, cut.unit)
+                    yield d, h, n, cut, line, anchors_of(line, cut)
+
+    def core_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cores = [_digests(line, m, m + cut.k, n) for _, _, n, cut, line, (m, _, _) in anchors(b)]
+            yield pa.RecordBatch.from_arrays([_signed([c for cs in cores for c in cs])], ["core"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "th", "pos", "core", "e"]
         for b in batches:
-            rows, cores, es = [], [], []
-            for d, h, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for m, lo, hi, core, e in anchors_of(text, length, k):
-                    rows.append((d, h, m << 32 | (m - lo) << 16 | hi - lo))
-                    cores.append(core)
-                    es.append(e)
-            xy = np.array(rows, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(pa.array(xy[:, i]) for i in range(3)), _signed(cores), _signed(es)], names)
-
-    if length >= 1 << 16:
-        raise ValueError("length must be below 65536")
-    anchors = materialize(docs.where(F.octet_length("text") >= length).select("id", "th", "text").mapInArrow(find, "id long, th long, pos long, core long, e long"))
-    cores = anchors.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+            rows, cores, es = [np.zeros((0, 4), np.int64)], [], []
+            for d, h, n, cut, line, (m, lo, hi) in anchors(b):
+                rows.append(np.stack([np.full(len(m), d), np.full(len(m), h), np.full(len(m), n), m << 32 | (m - lo) << 16 | hi - lo], 1))
+                cores += _digests(line, m, m + cut.k, n)
+                es += _digests(line, lo, hi + cut.length, (m - lo).tolist())
+            xy = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([*(pa.array(xy[:, i]) for i in range(4)), _signed(cores), _signed(es)], ["id", "th", "cut", "pos", "core", "e"])
+
+    long_enough = docs.where(F.octet_length("text") >= min(c.least_bytes for c in cuts)).select("id", "th", "text")
+    cores = long_enough.mapInArrow(core_only, "core long").groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
     cores = materialize(cores.select("core"))  # apart from the join, which can then split a hot k-gram
-    again = materialize(anchors.join(cores, "core"))
+    anchors_all = long_enough.mapInArrow(find, "id long, th long, cut long, pos long, core long, e long")
+    again = materialize(anchors_all.join(cores, "core"))
     m, lo = F.shiftright("pos", 32), F.shiftright("pos", 32) - F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF))
-    whole = [F.col("id"), F.col("th"), lo.alias("begin"), (lo + F.col("pos").bitwiseAND(F.lit(0xFFFF)) + length).alias("end")]
-    classes = materialize(again.groupBy("core", "e").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "pos")).alias("rep")))
+    length = F.element_at(F.array(*[F.lit(c.length) for c in cuts]), (F.col("cut") + 1).cast("int"))
+    whole = ["id", "th", "cut", lo.alias("begin"), (lo + F.col("pos").bitwiseAND(F.lit(0xFFFF)) + length).alias("end")]
+    classes = materialize(again.groupBy("core", "e").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "cut", "pos")).alias("rep")))
     sure = again.join(classes.where("c > 1").select("core", "e"), ["core", "e"], "left_semi").select(*whole)
-    sizes = classes.groupBy("core").agg(F.count("*").alias("variants")).where("variants > 1").select("core", (F.col("variants") > hot).alias("is_hot"))
-    places = classes.join(sizes, "core").select("rep.id", "rep.th", F.struct("core", "rep.pos", "c", "is_hot").alias("x")).groupBy("id", "th").agg(F.collect_list("x").alias("xs"))
-    sides_schema = "id long, th long, core long, lo long, c long, is_hot boolean, left binary, kgram binary, right binary"
+    sizes = materialize(classes.groupBy("core").agg(F.count("*").alias("variants")).where("variants > 1"))
+    places = classes.join(sizes, "core").select("rep.id", "rep.th", F.struct("core", "rep.cut", "rep.pos", "c", "variants").alias("x"))
+    places = materialize(places.groupBy("id", "th").agg(F.collect_list("x").alias("xs")))  # a document's own anchors
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("core", pa.int64()), ("lo", pa.int64()), ("c", pa.int64()), ("is_hot", pa.bool_()), ("left", pa.binary()), ("kgram", pa.binary()), ("right", pa.binary())])
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for d, h, text, xs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                for x in xs:
-                    p = x["pos"]
-                    at, first = p >> 32, (p >> 32) - (p >> 16 & 0xFFFF)
-                    last = first + (p & 0xFFFF)
-                    rows.append({"id": d, "th": h, "core": x["core"], "lo": first, "c": x["c"], "is_hot": x["is_hot"], "left": text[first:at][::-1], "kgram": text[at : at + k] if x["is_hot"] else b"", "right": text[at + k : last + length]})
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    sides = materialize(docs.join(places.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "xs").mapInArrow(cut, sides_schema))
+            for start in range(0, b.num_rows, 256):
+                rows = []
+                for d, h, text, xs in zip(*(b.column(i).slice(start, 256).to_pylist() for i in range(4)), strict=True):
+                    lines = {n: Line(text, cuts[n].unit) for n in {x["cut"] for x in xs}}
+                    for x in xs:
+                        p, cut, line = x["pos"], cuts[x["cut"]], lines[x["cut"]]
+                        at, first = p >> 32, (p >> 32) - (p >> 16 & 0xFFFF)
+                        last = first + (p & 0xFFFF)
+                        rows.append({"core": x["core"], "g": 0, "lo": 0, "hi": cut.length - cut.k, "variants": x["variants"], "id": d, "th": h, "cut": x["cut"], "at": at, "c": x["c"], "left": line.back(first, at), "right": line.part(at + cut.k, last + cut.length)})
+                yield pa.RecordBatch.from_pylist(rows, _SIDES)
+
+    asked = KeyBits(places, ["id", "th"]).rows(docs, True).join(places.hint("shuffle_hash"), ["id", "th"])
+    sides = asked.select("id", "th", "text", "xs").mapInArrow(cut_out, _SIDES_DDL)
+    found = [sure]
+    if not sizes.where(F.col("variants") > hot).isEmpty():
+        sides, met = _extended(materialize(sides), cuts, hot)
+        found.append(met)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spans(group: list[tuple]) -> list[tuple[int, int, int, int]]:
-            out = []
-            for (d, h, lo, c, left, _), ranges in zip(group, shared_ranges([g[4] for g in group], [g[5] for g in group], need), strict=True):
+        def spans(group: list[tuple]) -> list[tuple]:
+            n, out = group[0][2], []
+            cut = cuts[n]
+            shared = shared_ranges([g[5] for g in group], [g[6] for g in group], cut.length - cut.k, cut.unit)
+            for (d, h, _, at, c, _, _), ranges in zip(group, shared, strict=True):
                 if c == 1:
-                    at = lo + len(left)
-                    out += [(d, h, b, e) for b, e in merge([(at - x1, at - x0 + length) for x0, x1 in ranges])]
+                    out += [(d, h, n, b, e) for b, e in merge([(at - x1, at - x0 + cut.length) for x0, x1 in ranges])]
             return out
 
-        def batch(found: list) -> pa.RecordBatch:
-            xy = np.array(found, np.int64).reshape(-1, 4)
-            return pa.RecordBatch.from_arrays([pa.array(xy[:, i]) for i in range(4)], ["id", "th", "begin", "end"])
-
         last, group = None, []
         for b in batches:
-            found = []
-            for core, *row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if core != last:
+            out = []
+            for core, g, *row in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+                if (core, g) != last:
                     if len(group) > 1:
-                        found += spans(group)
-                    last, group = core, []
+                        out += spans(group)
+                    last, group = (core, g), []
                 group.append(tuple(row))
-            yield batch(found)
+            yield _table(out, _SPANS)
         if len(group) > 1:
-            yield batch(spans(group))
+            yield _table(spans(group), _SPANS)
+
+    grouped = sides.select("core", "g", "id", "th", "cut", "at", "c", "left", "right").repartition("core", "g").sortWithinPartitions("core", "g")
+    found.append(grouped.mapInArrow(compare, _SPANS_DDL))
+    return found[0].unionByName(found[1]) if len(found) == 2 else found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _extended(sides: DataFrame, cuts: tuple[Cut, ...], hot: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of sides in groups (core, g) of at most hot, and spans of anchors that met in a group of one whole window.
 
-    span_schema = "id long, th long, begin long, end long"
-    near = sides.where("not is_hot").select("core", "id", "th", "lo", "c", "left", "right").repartition("core").sortWithinPartitions("core").mapInArrow(compare, span_schema)
+    A row is of a group for pairs that share from lo to hi units on the right, and so at least need - hi on the left.
+    Halving that range gives two groups whose members share more; pairs of the group are in one of them or in both."""
+    def head(s: bytes, n: int, unit: str) -> bytes | None:
+        """The first n units, None if there are fewer."""
+        if unit == "bytes":
+            return s[:n] if len(s) >= n else None
+        return b" ".join([*s.split(b" ", n)[:n], b""]) if s.count(b" ") >= n else None
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_intdigest
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, h1, h2 = [], [], []
-            for d, h, lo, left, kgram, right in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                text = left[::-1] + kgram + right
-                for s in range(len(text) - length + 1):
-                    x = digest(text[s : s + length])
-                    rows.append((d, h, lo + s))
-                    h1.append(x >> 64)
-                    h2.append(x & (1 << 64) - 1)
-            xy = np.array(rows, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(pa.array(xy[:, i]) for i in range(3)), _signed(h1), _signed(h2)], ["id", "th", "begin", "h1", "h2"])
-
-    hashed = sides.where("is_hot").select("id", "th", "lo", "left", "kgram", "right").mapInArrow(windows, "id long, th long, begin long, h1 long, h2 long")
-    if not sides.where("is_hot").isEmpty():
-        hashed = materialize(hashed)
-        twice = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-        near = near.unionByName(hashed.join(twice, ["h1", "h2"]).select("id", "th", "begin", (F.col("begin") + length).alias("end")))
-    return sure.unionByName(near)
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = HOT, as_text: bool = False) -> DataFrame:
-    """All columns of docs with n_bytes, n_removed, n_spans, spans (half-open byte ranges) and kept (the bytes left; if
-    as_text, the text left, without the halves of characters that a cut has split).
-
-    A null text is empty. Rows with equal id and text are separate documents, so each repeats the other. Texts shorter
-    than length lose nothing. Strings are judged on the input, not on what is left. Columns of docs with the names of
-    the added ones must be dropped before.
+            for at in range(0, b.num_rows, 1024):
+                rows = []
+                for r in b.slice(at, 1024).to_pylist():
+                    cut, mid = cuts[r["cut"]], (r["lo"] + r["hi"]) // 2
+                    for lo, hi in ((r["lo"], mid), (mid + 1, r["hi"])):
+                        x, y = head(r["right"], lo, cut.unit), head(r["left"], cut.length - cut.k - hi, cut.unit)
+                        if x is not None and y is not None:
+                            g = xxhash.xxh3_64_intdigest(x + bytes([lo & 255, lo >> 8, hi & 255, hi >> 8]) + y)
+                            rows.append(r | {"g": g - (1 << 63), "lo": lo, "hi": hi})
+                yield pa.RecordBatch.from_pylist(rows, _SIDES)
+
+    ready, met = [sides.where(F.col("variants") <= hot)], []
+    todo = sides.where(F.col("variants") > hot)
+    while not todo.isEmpty():
+        parts = materialize(todo.mapInArrow(halve, _SIDES_DDL))
+        sizes = parts.groupBy("core", "g").agg(F.count("*").alias("variants")).where("variants > 1")
+        parts = materialize(parts.drop("variants").join(materialize(sizes), ["core", "g"]).select(*_SIDES.names))
+        begin = F.col("at") - F.element_at(F.array(*[F.lit(c.length - c.k) for c in cuts]), (F.col("cut") + 1).cast("int")) + F.col("lo")
+        length = F.element_at(F.array(*[F.lit(c.length) for c in cuts]), (F.col("cut") + 1).cast("int"))
+        met.append(parts.where("lo = hi and c = 1").select("id", "th", "cut", begin.alias("begin"), (begin + length).alias("end")))
+        ready.append(parts.where((F.col("variants") <= hot) & F.expr("lo < hi")))
+        todo = parts.where((F.col("variants") > hot) & F.expr("lo < hi"))
+    for some in (ready, met):
+        while len(some) > 1:
+            some.append(some.pop().unionByName(some.pop()))
+    return ready[0], met[0]
+
+
+def _byte_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte spans of word spans: from the first word to the next one after the last, or the text's end."""
+    at = np.append(word_starts(np.frombuffer(text, np.uint8)), len(text)).tolist()
+    return [(at[b], at[e]) for b, e in spans]
+
+
+def suffix_dedup(docs: DataFrame, cuts: tuple[Cut, ...] = (Cut("bytes", 400),), id_col: str = "doc_id", text_col: str = "text", out: str = "repeats", hot: int = HOT) -> DataFrame:
+    """The columns of docs and `out`, a struct that has for each cut, under the name of its unit, n_removed (bytes),
+    n_spans, spans (half-open byte ranges) and kept (the bytes left). A cut by words also takes the white space that
+    follows its words, and leaves whole characters.
+
+    A null text is empty. Rows with equal id and text are separate documents, so each repeats the other. Shorter texts
+    lose nothing. Strings are judged on the input, not on what is left, and each cut on its own. A column of docs that is
+    named like `out` is replaced; other names can't clash. Empty table: no rows. docs is read five times.
     """
-    key = [c.alias(f"__{c_}") for c, c_ in zip(_key(F.col(id_col), F.col(text_col)), ("id", "th"), strict=True)]
-    data = docs.select("*", *key, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__bytes"))
-    spans = repeated_spans(data.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("__bytes").alias("text")), length, hot)
-    per_doc = spans.distinct().groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
-    joined = data.drop("__bytes").join(per_doc.hint("shuffle_hash"), ["__id", "__th"], "left").drop("__id", "__th")
-    extra = "n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept " + ("string" if as_text else "binary")
-    schema = docs.schema
-    arrow_extra = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string() if as_text else pa.binary())])
+    if len({c.unit for c in cuts}) != len(cuts):
+        raise ValueError("one cut for each unit")
+    names = [c for c in docs.columns if c != out]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    data = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text.cast("binary").alias("text"))
+    spans = repeated_spans(data.select("id", "th", "text"), cuts, hot)
+    per_doc = materialize(spans.groupBy("id", "th").agg(F.collect_set(F.struct("cut", "begin", "end")).alias("spans")))  # within a document
+    bits, data = KeyBits(per_doc, ["id", "th"]), data.drop("text")
+    some = bits.rows(data, True).join(per_doc.hint("shuffle_hash"), ["id", "th"], "left").select("row", "spans")
+    none = data.select("row", bits.place.alias("place"))
+    one = StructType([StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("spans", ArrayType(StructType([StructField("begin", LongType()), StructField("end", LongType())]))), StructField("kept", BinaryType())])
+    arrow_one = pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+    arrow_all = pa.struct([(c.unit, arrow_one) for c in cuts])
+
+    def judged(text: bytes, cut: Cut, spans: list[tuple[int, int]]) -> dict:
+        gone = merge(spans)
+        if cut.unit == "words":
+            gone = _byte_spans(text, gone) if gone else []
+        ends = [0, *(e for _, e in gone)]
+        kept = b"".join(text[x:y] for x, y in zip(ends, [*(s for s, _ in gone), len(text)], strict=True))
+        return {"n_removed": len(text) - len(kept), "n_spans": len(gone), "spans": [{"begin": x, "end": y} for x, y in gone], "kept": kept}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, rows = b.schema.get_field_index("__spans"), []
-            for text, spans in zip(b.column(b.schema.get_field_index(text_col)).to_pylist(), b.column(at).to_pylist(), strict=True):
-                text, gone = (text or "").encode("utf-8"), merge([(x["begin"], x["end"]) for x in spans or []])
-                ends = [0, *(e for _, e in gone)]
-                kept = b"".join(text[x:y] for x, y in zip(ends, [*(s for s, _ in gone), len(text)], strict=True))
-                rows.append({"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(gone), "spans": [{"begin": x, "end": y} for x, y in gone], "kept": kept.decode("utf-8", "ignore") if as_text else kept})
-            new = pa.RecordBatch.from_pylist(rows, arrow_extra)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != at), *new.columns], [*(x for i, x in enumerate(b.schema.names) if i != at), *arrow_extra.names])
-
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), extra])
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__spans").mapInArrow(cut, ddl)
+            for at in range(0, b.num_rows, 1024):
+                part, rows = b.slice(at, 1024), []
+                spans = part.column(1).to_pylist() if part.schema.names[1] == "spans" else None
+                part = part if spans is not None else bits.keep(part, 1, False)
+                texts = part.column(0).flatten()[part.column(0).type.get_field_index(text_col)].cast(pa.binary()).to_pylist()
+                for text, x in zip(texts, spans or [None] * len(texts), strict=True):
+                    rows.append({c.unit: judged(text or b"", c, [(y["begin"], y["end"]) for y in x or () if y["cut"] == n]) for n, c in enumerate(cuts)})
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, arrow_all)], ["row", "cuts"])
+
+    schema = StructType([StructField("row", data.schema["row"].dataType), StructField("cuts", StructType([StructField(c.unit, one) for c in cuts]))])
+    return some.mapInArrow(cut, schema).unionByName(none.mapInArrow(cut, schema)).select("row.*", F.col("cuts").alias(out))
