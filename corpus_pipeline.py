@@ -16,7 +16,7 @@ from kgloom.llm.near_copies import near_copy_dedup
 from kgloom.llm.packing import pack
 from kgloom.llm.quality import score
 from kgloom.llm.queries import quality_model, tokenizer_path
-from kgloom.llm.suffix_dedup import suffix_dedup
+from kgloom.llm.suffix_dedup import Cut, suffix_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose every byte of a 400-byte string that also starts elsewhere; no document goes."""
-    kept = suffix_dedup(docs, as_text=True)
-    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
-    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    """Texts lose every word of a passage of 50 words or more that also starts elsewhere; no document goes."""
+    cut = suffix_dedup(docs, cuts=(Cut("words", 50),), out="__repeats").withColumn("__kept", F.col("__repeats.words.kept").cast("string"))
+    new = {"text": F.col("__kept"), "n_chars": F.char_length("__kept").cast("long")}
+    return cut.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
