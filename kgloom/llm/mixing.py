@@ -20,7 +20,8 @@ from .common import materialize, small_or_joined, word_count
 WEIGHTS = (5, 2, 1)
 #: Multipliers of the block permutation: primes above any shard's number of blocks.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
-NULL = "￿"
+#: Sources of a mix: their rows (about 40 bytes each) meet in one task, as highest quotients compare all of them.
+MAX_SOURCES = 5_000_000
 
 
 def water_fill(weights: np.ndarray, caps: np.ndarray, budget: float) -> np.ndarray:
@@ -63,7 +64,11 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray | None = None)
 
 
 def targets(sizes: DataFrame, share: float, max_copies: int, block: int, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """sizes: source, source_size. Adds target and quota (blocks). One row per source meets in one task, no documents."""
+    """sizes: source, source_size. Adds target and quota (blocks). One row per source meets in one task, no documents; more
+    than MAX_SOURCES of them are an error."""
+    if sizes.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key = pdf["source"].map(lambda x: (x is None or x != x, "" if x is None or x != x else x))
         pdf = pdf.loc[key.sort_values(key=lambda s: s).index]
@@ -108,24 +113,34 @@ def position(j: Column, n_blocks: Column, seed: Column) -> Column:
     return F.pmod(j * a + F.pmod(seed, n_blocks), n_blocks)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.withColumns({"__source": F.coalesce(F.col(source_col).cast("string"), F.lit(NULL)), "__size": word_count(text), "__order": F.xxhash64(F.lit(seed), F.col(id_col), text)})
+def _source_key(source: Column) -> Column:
+    """A key that is never null, so that rows without a source join like others."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def _source_name(key: str) -> Column:
+    return F.when(F.col(key) != "", F.substr(F.col(key), F.lit(2)))
 
 
 def _placed(docs: DataFrame, keep: list[str], id_col: str, text_col: str, source_col: str, share: float, max_copies: int, block: int, shard_words: int, seed: int) -> DataFrame:
-    """The kept columns of docs, and __-columns: what each row takes and from where on its shard's line."""
-    keyed = _keyed(docs, id_col, text_col, source_col, seed).select(*keep, "__source", "__size", "__order")
-    slim = materialize(keyed.select("__source", "__size", "__order"))
-    sizes = slim.groupBy("__source").agg(F.sum("__size").alias("source_size")).select(F.nullif("__source", F.lit(NULL)).alias("source"), "source_size")
+    """The kept columns of docs, and __-columns: what each row takes and from where on its shard's line. Texts that are not
+    kept are read once."""
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in keep], _source_key(F.col(f"`{source_col}`")).alias("__source"), word_count(text).alias("__size"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text).alias("__order"))
+    if text_col in keep:
+        slim = materialize(keyed.select("__source", "__size", "__order"))
+    else:
+        slim = keyed = materialize(keyed)
+    sizes = materialize(slim.groupBy("__source").agg(F.sum("__size").alias("source_size")).select(_source_name("__source").alias("source"), "source_size"))
     wanted = targets(sizes, share, max_copies, block)
-    wanted = materialize(wanted.select(F.coalesce("source", F.lit(NULL)).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("quota").alias("__quota")))
+    wanted = materialize(wanted.select(_source_key(F.col("source")).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("quota").alias("__quota")))
+    wanted = small_or_joined(wanted, 50_000)  # rows are not dealt by source, one of which may hold most of them
     shard = F.pmod(F.col("__order"), F.greatest(F.lit(1), F.ceil(F.col("__source_size") / shard_words))).cast("int")
     shards = slim.join(wanted, "__source").withColumn("shard", shard).groupBy(F.col("__source").alias("source"), "shard").agg(F.sum("__size").alias("shard_size"), F.first("__quota").alias("quota"))
     quotas = materialize(_shard_quotas(shards, block, max_copies))
     quotas = quotas.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), F.greatest("n_blocks", F.lit(1)).alias("__n_blocks"), F.col("blocks").alias("__blocks"))
     line = Window.partitionBy("__source", "__shard").orderBy("__order", "__size")
-    rows = keyed.join(small_or_joined(wanted, 50_000), "__source").withColumn("__shard", shard)  # texts are not dealt by source
+    rows = keyed.join(wanted, "__source").withColumn("__shard", shard)
     rows = rows.withColumn("__first", F.sum("__size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")).join(small_or_joined(quotas, 50_000), ["__source", "__shard"])
     rows = rows.withColumns({"__passes": F.floor(F.col("__blocks") / F.col("__n_blocks")).cast("int"), "__rest": F.col("__blocks") % F.col("__n_blocks"), "__block_seed": F.xxhash64(F.lit(seed), "__source", "__shard")})
     part = taken_in_blocks(F.col("__first"), F.col("__size"), F.col("__n_blocks"), F.col("__rest"), F.col("__block_seed"), block)
@@ -142,7 +157,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     rows = _placed(docs, [id_col], id_col, text_col, source_col, share, max_copies, block, shard_words, seed)
     names = ("size", "source_size", "target", "taken", "first", "n_blocks", "passes", "rest", "block_seed")
-    return rows.select(F.col(id_col).alias("doc_id"), F.nullif("__source", F.lit(NULL)).alias("source"), *[F.col(f"__{c}").alias(c) for c in names])
+    return rows.select(F.col(id_col).alias("doc_id"), _source_name("__source").alias("source"), *[F.col(f"__{c}").alias(c) for c in names])
 
 
 def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_copies: int = 2, block: int = 64, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
