@@ -30,6 +30,14 @@ def _grams(a: np.ndarray, dim: int) -> Iterator[np.ndarray]:
         yield ((p[:-2] * np.uint32(0x9E3779B1) + p[1:-1] * np.uint32(0x85EBCA6B) + p[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(8)) % np.uint32(dim)
 
 
+def _repeated(words: list[bytes], span: int = 256) -> float:
+    """Share of words that occurred before within their stretch of span words: the same measure for texts of any length.
+    Fewer than 8 words: none."""
+    if len(words) < 8:
+        return 0.0
+    return 1 - sum(len(set(words[at : at + span])) for at in range(0, len(words), span)) / len(words)
+
+
 def features(text: str | None) -> np.ndarray:
     """Sorted numbers of the indicators that are on; none for a null or empty text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -53,7 +61,7 @@ def features(text: str | None) -> np.ndarray:
             share[SHAPE_DIM + d] = sum(map(operator.eq, words, words[d:])) / (len(words) - d)
     lines = raw.split(b"\n")
     share[SHAPE_DIM + 5] = 1 - len(set(lines)) / len(lines)
-    share[SHAPE_DIM + 6] = max(0.0, 1 - len(set(words)) / len(words) - 0.3) if 8 <= len(words) < 4096 else 0.0
+    share[SHAPE_DIM + 6] = max(0.0, _repeated(words) - 0.3)
     out = [np.flatnonzero(on)]
     for i, s in enumerate(SHARES):
         out.append(BYTE_DIM + i * (SHAPE_DIM + REPEAT_DIM) + np.flatnonzero(share > s))
@@ -147,7 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float], text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 (higher: better) from the whole text alone; a null text scores as an empty one."""
+    """docs with a score from 0 to 1 (higher: better) from the whole text alone; a null text scores as an empty one. A column
+    of docs that is named like the score is replaced."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f.name for f in docs.schema.fields]
     at = names.index(text_col)
