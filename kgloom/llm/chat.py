@@ -1,9 +1,9 @@
 """Chat formatting from event logs.
 
-A log row is an event of a conversation: `start` opens a message (its role), `delta` appends streamed text, `edit`
-replaces the message's text, `regenerate` clears it so that later deltas rewrite it. Logs are grouped by message, sorted
-by sequence and folded to final messages; a conversation's messages are rendered with a template whose control strings
-can't occur in escaped text, and read_back() undoes it. Only DataFrame functions run here.
+A log row is an event of a conversation's message: `start` opens it (its text is the role), `delta` appends streamed text,
+`edit` replaces the message's text, `regenerate` clears it so that later deltas rewrite it. Logs are partitioned by
+conversation in one shuffle, sorted by message and sequence and folded to final messages; these are rendered with a
+template whose control strings can't occur in escaped text, and read_back() undoes it. Only DataFrame functions run here.
 """
 
 from __future__ import annotations
@@ -27,35 +27,61 @@ def unescape(c: Column, table: tuple = ESCAPES) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(p[1]), F.lit(p[0])), reversed(table), c)
 
 
-def turns_as_events(turns: DataFrame, pieces: int = 1) -> DataFrame:
-    """The event log of a table of finished turns (conv_id, turn, role, text): per row a start and a delta."""
-    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    event = F.explode(F.array(F.struct(F.lit(0).alias("seq"), F.lit("start").alias("event"), F.lit("").alias("text")), F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("event"), F.col("text"))))
-    # rows that repeat a turn number are messages of their own: role and text tell them apart, and n counts equal ones
-    keyed = t.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
-    keyed = keyed.withColumn("message", F.struct("turn", "role", F.xxhash64("text").alias("h"), "copy"))
-    return keyed.withColumn("x", event).select("conv_id", "message", "role", F.col("x.seq").alias("seq"), F.col("x.event").alias("event"), F.col("x.text").alias("text"))
+def turns_as_events(turns: DataFrame, masked: str = "assistant", draft: str = "...") -> DataFrame:
+    """The event log of a table of finished turns (conv_id, turn, role, text; nulls are empty), as a chat service would
+    have written it: each message starts with a draft, which a regeneration clears if its role is the masked one and an
+    edit replaces otherwise, and the rest of its text is streamed."""
+    text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
+    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("at"), F.monotonically_increasing_id().alias("message"), role.alias("role"), text.alias("text"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    a, b = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+
+    def event(seq: int, kind: str, text: Column) -> Column:
+        return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("event"), text.alias("text"))
+
+    begin = [event(0, "start", F.col("role")), event(1, "delta", F.lit(draft))]
+    again = F.array(*begin, event(2, "regenerate", F.lit("")), event(3, "delta", a), event(4, "delta", b))
+    edited = F.array(*begin, event(2, "edit", a), event(3, "delta", b))
+    return t.select("conv_id", "at", "message", F.explode(F.when(F.col("role") == masked, again).otherwise(edited)).alias("x")).select("conv_id", "at", "message", "x.*")
 
 
 def fold_messages(events: DataFrame) -> DataFrame:
-    """(conv_id, message, role, text): final messages. events: conv_id, message, role, seq, event, text.
+    """(conv_id, messages): each conversation's final messages (at, role, text) in order. events: conv_id, at, message, seq,
+    event, text.
 
+    Messages stand in order of `at`, equal ones in order of role, then text; `message` tells those of one place apart.
     Events before the last edit or regeneration are overridden; what follows is joined in sequence. Equal sequence
-    numbers go by event, then text. Null texts are empty. Unknown events have no effect.
+    numbers go by event, then text. Null texts are empty, a message without a start has an empty role. Unknown events
+    have no effect. Work follows the number of events.
     """
-    log = F.array_sort(F.collect_list(F.struct("seq", "event", F.coalesce("text", F.lit("")).alias("text"))))
-    resets = F.max(F.when(F.col("event").isin("edit", "regenerate"), F.struct("seq", "event")))
-    m = events.groupBy("conv_id", "message").agg(F.max("role").alias("role"), log.alias("log"), resets.alias("reset"))
-    live = F.filter("log", lambda e: e["event"].isin("delta", "edit") & (F.col("reset").isNull() | (F.struct(e["seq"], e["event"]) >= F.struct(F.col("reset.seq"), F.col("reset.event")))))
-    live = F.filter(live, lambda e: F.col("reset").isNull() | (e["event"] == "delta") | (e["seq"] == F.col("reset.seq")))
-    return m.select("conv_id", "message", "role", F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"))
+    log = F.array_sort(F.collect_list(F.struct("at", "message", "seq", "event", F.coalesce("text", F.lit("")).alias("text"))))
+    c = events.groupBy("conv_id").agg(log.alias("log")).withColumn("n", F.size("log"))
+
+    def first(i: Column) -> Column:
+        x, before = F.get("log", i), F.get("log", i - 1)
+        return (i == 0) | ~(x["at"].eqNullSafe(before["at"]) & x["message"].eqNullSafe(before["message"]))
+
+    c = c.withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("n") - 1), first))
+    c = c.select("conv_id", F.transform("starts", lambda s, k: F.slice("log", s + 1, F.coalesce(F.get("starts", k + 1), F.col("n")) - s)).alias("logs"))
+
+    def reset(m: Column) -> Column:
+        """Number of the last event that overrides what was before."""
+        return F.coalesce(F.array_max(F.transform(m, lambda e, i: F.when(e["event"].isin("edit", "regenerate"), i))), F.lit(-1))
+
+    def message(x: Column) -> Column:
+        m, last = x["m"], x["last"]
+        live = F.filter(m, lambda e, i: (i >= last) & ((e["event"] == "delta") | ((e["event"] == "edit") & (i == last))))
+        role = F.coalesce(F.get(F.filter(m, lambda e: e["event"] == "start"), F.lit(0))["text"], F.lit(""))
+        return F.struct(F.get(m, F.lit(0))["at"].alias("at"), role.alias("role"), F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"))
+
+    c = c.select("conv_id", F.transform("logs", lambda m: F.struct(m.alias("m"), reset(m).alias("last"))).alias("logs"))
+    return c.select("conv_id", F.array_sort(F.transform("logs", message)).alias("messages"))
 
 
-def render(messages: DataFrame) -> DataFrame:
+def render(conversations: DataFrame) -> DataFrame:
     """(conv_id, formatted): each message is OPEN, escaped role, a newline, escaped text, CLOSE, in message order."""
-    turn = F.concat(F.lit(OPEN), escape(F.col("role"), ROLE_ESCAPES), F.lit("\n"), escape(F.col("text")), F.lit(CLOSE))
-    ordered = F.array_sort(F.collect_list(F.struct("message", turn.alias("turn"))))
-    return messages.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["turn"]), "").alias("formatted"))
+    turn = lambda m: F.concat(F.lit(OPEN), escape(m["role"], ROLE_ESCAPES), F.lit("\n"), escape(m["text"]), F.lit(CLOSE))
+    return conversations.select("conv_id", F.array_join(F.transform("messages", turn), "").alias("formatted"))
 
 
 def read_back(formatted: DataFrame, masked: str = "assistant") -> DataFrame:
