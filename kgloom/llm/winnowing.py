@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-Hashes roll over the k-grams of words; each window of w of them keeps its least one, the rightmost of equal ones, with
-its position. Two texts that share k + w - 1 words in a row share a kept hash. A kept entry is one number: 44 bits of
-the hash, then 20 bits of position counted down, so that a plain minimum breaks ties to the right (positions repeat
-after 2^20 words, which only affects ties across that seam).
+Hashes of the k-grams of words; each window of w of them keeps its least one, the rightmost of equal ones, with its
+position. Two texts that share k + w - 1 words in a row share a kept hash. A kept entry is one number: 38 bits of the
+hash, then 26 bits of position counted down, so that a plain minimum breaks ties to the right. A text of 2^26 words or
+more (over 128 MB) is an error. A k-gram's hash is made of the hashes of its k words, each hashed once: array functions
+can't carry a rolling sum from one element to the next without copying the array, and for five words it would save little.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from .common import parts
 
 K, W = 5, 16
-_LOW = (1 << 20) - 1
+POSITION_BITS = 26
+_LOW = (1 << POSITION_BITS) - 1
 
 
 def winnow(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
@@ -26,8 +28,8 @@ def winnow(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFr
     df = df.withColumn("__words", words)
     df = df.withColumn("__h", F.filter(F.transform("__words", lambda x: F.xxhash64(x)), lambda x: x != F.xxhash64(F.lit(""))))
     n = F.size("__h")
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*[F.get("__h", i + j) for j in range(k)]).bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.lit(_LOW) - i.bitwiseAND(F.lit(_LOW))))
-    df = df.withColumn("__v", F.when(n > 0, grams).otherwise(F.array().cast("array<bigint>")))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*[F.get("__h", i + j) for j in range(k)]).bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.lit(_LOW) - i))
+    df = df.withColumn("__v", F.when(n > _LOW, F.raise_error(F.lit("a text of too many words"))).when(n > 0, grams).otherwise(F.array().cast("array<bigint>")))
     span = 1
     while span < w:  # least of 2, 4, 8 ... in a row; zip_with pads with nulls, which least ignores
         df = df.withColumn("__v", F.zip_with("__v", F.slice("__v", span + 1, F.greatest(F.size("__v") - span, F.lit(0))), lambda a, b: F.least(a, b)))
@@ -37,7 +39,7 @@ def winnow(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFr
 
 
 def hashes(entries: str) -> Column:
-    return F.array_distinct(F.transform(entries, lambda v: F.shiftright(v, 20)))
+    return F.array_distinct(F.transform(entries, lambda v: F.shiftright(v, POSITION_BITS)))
 
 
 def likeness(a: str, b: str) -> Column:
