@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_or_joined
+from .common import Ranges, parts
 
 #: Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,8 +32,6 @@ FRAME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising ban
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORD_CUT = re.compile(r"[^a-z0-9]+")
-#: Quantiles of names by which a large directory can be cut.
-CUTS = 1024
 #: Where a line stands.
 OWN, OPEN, FRAME = 2, 1, 0
 
@@ -187,58 +185,94 @@ def _line_hashes(lines: list[str]) -> list[int]:
     return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines]
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_pages: int = 2_000) -> DataFrame:
+def _neighbours(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(row, row before or None, row after or None) of a sorted stream."""
+    before = now = None
+    for row in rows:
+        if now is not None:
+            yield now, before, row
+        before, now = now, row
+    if now is not None:
+        yield now, before, None
+
+
+def _frame_lines(path: str, keys: list[int], near: list[tuple[str, list[int]]]) -> list[bool]:
+    """Whether each line is shared with the page of nearest path. A page with all these lines is a copy and tells nothing
+    about the frame, so the other neighbour is asked then."""
+    for _, other in sorted(near, key=lambda x: -_prefix(path, x[0])):
+        if not all(on := shared_lines(keys, other)):
+            return on
+    return [False] * len(keys)
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text) of every row: lines that differencing and their place leave, joined by one space.
 
     A null or empty page has the empty text. A null URL belongs to the empty host. Pages with equal URLs are neighbours;
-    repeated rows stay. A host of more than max_pages pages is dealt out by directory, and such a directory by ranges
-    of its names, at quantiles, so that one host is never one task; pages at a cut pair with the neighbour on their side.
+    repeated rows stay. Pages are dealt out in ranges of the order of host, path, URL and id, so that no host is one
+    task; the edge pages of a range are also sent to the ranges beside it, so pairs don't depend on where ranges end.
     """
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
+    url = F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))
+    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
+    path = F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
+    number = F.lpad(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), 20, " ")
+    key = F.concat_ws("\x00", host, path, url, number)
+    ranges = pages.sparkSession.sparkContext.broadcast(Ranges(pages, key, 8 * parts(pages.sparkSession)))
+    base = pages.select(key.alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = ranges.value
         for b in batches:
-            texts, places, keys = [], [], []
-            for page in b.column(6).to_pylist():
-                lines = lines_of(page)
-                texts.append([x for x, _ in lines])
-                places.append(bytes(p for _, p in lines))
-                keys.append(_line_hashes(texts[-1]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "url", "host", "path", "dir", "name_key", "texts", "places", "keys"])
-
-    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    path = F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("__html"))
-    directory, name = F.regexp_extract("path", r"^(.*/)[^/]*/?$", 1), F.regexp_extract("path", r"([^/]*)/?$", 1)
-    key = F.conv(F.rpad(F.substring(F.hex(name), 1, 12), 12, "0"), 16, 10).cast("double")  # six bytes keep the order of names
-    base = base.withColumn("dir", directory).withColumn("name_key", key)
-    hot = materialize(base.groupBy("host", "dir").agg(F.count("*").alias("n")).where(F.col("n") > max_pages))
-    cuts = base.select("host", "dir", "name_key").join(small_or_joined(hot, 100_000), ["host", "dir"]).groupBy("host", "dir").agg(F.first("n").alias("n"), F.percentile_approx("name_key", [i / CUTS for i in range(1, CUTS)], 100 * CUTS).alias("q"))
-    cuts = cuts.withColumn("ranges", F.least(F.ceil(F.col("n") / max_pages) * 2, F.lit(CUTS)).cast("int"))
-    bounds = F.transform(F.sequence(F.lit(1), F.col("ranges") - 1), lambda i: F.get("q", F.floor(i * CUTS / F.col("ranges")).cast("int") - 1))
-    cuts = materialize(cuts.select("host", "dir", bounds.alias("q")))
-    lines = base.select("id", "url", "host", "path", "dir", "name_key", "__html").mapInArrow(parse, f"id {id_type}, url {url_type}, host string, path string, dir string, name_key double, texts array<string>, places binary, keys array<bigint>")
-    busy = base.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > max_pages).select("host", (F.ceil(F.col("n") / max_pages) * 2).alias("parts"))
-    small = F.when(F.col("parts").isNull(), F.lit("")).otherwise(F.pmod(F.xxhash64("dir"), F.coalesce("parts", F.lit(1))).cast("string"))
-    cut = F.when(F.col("q").isNull(), small).otherwise(F.concat_ws(" ", F.size(F.filter("q", lambda x: x < F.col("name_key"))).cast("string"), "dir"))
-    lines = lines.join(small_or_joined(cuts, 2000), ["host", "dir"], "left").join(small_or_joined(materialize(busy), 100_000), "host", "left").withColumn("cut", cut)
-    order = Window.partitionBy("host", "cut").orderBy("path", "url", "id")
-    lines = lines.select("id", "url", "path", "texts", "places", "keys", *[f(c).over(order).alias(f"{n}_{c}") for n, f in (("before", F.lag), ("after", F.lead)) for c in ("path", "keys")])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                row, number, own, texts, places, keys = [], [], [], [], [], []
+                for i, (k, page) in enumerate(zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    lines = lines_of(page)
+                    hashes = _line_hashes([x for x, _ in lines])
+                    for r, mine in cut.places(k):
+                        row.append(i)
+                        number.append(r)
+                        own.append(mine)
+                        texts.append([x for x, _ in lines] if mine else [])
+                        places.append(bytes(p for _, p in lines) if mine else b"")
+                        keys.append(hashes)
+                took = [c.take(pa.array(row, pa.int64())) for c in part.columns[:3]]
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *took, pa.array(own), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["range", "key", "id", "url", "own", "texts", "places", "keys"])
+
+    lines = base.mapInArrow(parse, f"range int, key string, id {id_type}, url {url_type}, own boolean, texts array<string>, places binary, keys array<bigint>")
+    lines = lines.repartition("range").sortWithinPartitions("range", "key", "own")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for path, texts, places, keys, p0, k0, p1, k1 in zip(*(b.column(i).to_pylist() for i in range(2, 10)), strict=True):
-                near = [k for k in ((k1, k0) if k0 is None or (k1 is not None and _prefix(path, p1) > _prefix(path, p0)) else (k0, k1)) if k is not None]
-                shared = [False] * len(keys)
-                for other in near:  # a page with all these lines is a copy and tells nothing about the frame
-                    if not all(on := shared_lines(keys, other)):
-                        shared = on
-                        break
-                own = any(p == OWN for p in places)
-                keep = [p == OWN or (p == OPEN and not own and not s) for p, s in zip(places, shared, strict=True)]
-                out.append(" ".join(t for t, k in zip(texts, keep, strict=True) if k))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], [id_col, url_col, "text"])
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    yield from zip(*(part.column(i).to_pylist() for i in range(8)), strict=True)
+
+        ids, urls, out = [], [], []
+        for now, before, after in _neighbours(rows()):
+            r, key, page, url, own, texts, places, keys = now
+            if not own:
+                continue
+            host, path, *_ = key.split("\x00")
+            near = [(p[1], x[7]) for x in (before, after) if x is not None and x[0] == r and (p := x[1].split("\x00"))[0] == host]
+            shared = _frame_lines(path, keys, near)
+            article = any(p == OWN for p in places)
+            keep = [p == OWN or (p == OPEN and not article and not s) for p, s in zip(places, shared, strict=True)]
+            ids.append(page)
+            urls.append(url)
+            out.append(" ".join(t for t, k in zip(texts, keep, strict=True) if k))
+            if len(out) == 256:
+                yield _texts(ids, urls, out)
+                ids, urls, out = [], [], []
+        yield _texts(ids, urls, out)
+
+    types = lines.select("id", "url").schema
+
+    def _texts(ids: list, urls: list, out: list[str]) -> pa.RecordBatch:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        return pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(types["id"].dataType)), pa.array(urls, to_arrow_type(types["url"].dataType)), pa.array(out, pa.string())], [id_col, url_col, "text"])
 
     return lines.mapInArrow(difference, f"`{id_col}` {id_type}, `{url_col}` {url_type}, text string")
