@@ -1,7 +1,7 @@
 """Embedding near-duplicates with hierarchical navigable small-world graphs.
 
-Distinct unit vectors are dealt to shards; one graph is built per shard; blocks of queries (every vector) search every
-shard's graph with a beam. A beam whose worst member still is a link is widened and searched again; then a seeded audit
+Distinct unit vectors are dealt to shards, bounded by rows and bytes; one graph is built per shard; blocks of queries
+(every vector) stream past every shard's graph, which a task loads once, and search it with a beam. A beam whose worst member still is a link is widened and searched again; then a seeded audit
 of queries compares the links found with a brute-force scan of the shard, and beams widen until its recall passes.
 Cosines are verified in double precision. Copies of a vector enter the search once and count by their number. Searches
 go in lock-step: numpy steps all queries of a batch at once.
@@ -22,8 +22,9 @@ from .common import components, materialize
 M, M0, EF_BUILD, EF = 12, 24, 48, 32
 #: Queries whose links overrun the widest beam up to this are scored against the whole shard.
 WIDE = 1024
-#: Rows of a shard and of a block of queries: what one task holds.
-SHARD_ROWS, BLOCK_ROWS, MIN_SHARDS = 65_536, 16_384, 4
+#: A shard's rows, and bytes of its vectors in double precision: what one task holds. Rows of a block of queries, which
+#: stream: a graph is sent once for each block, a vector once for each shard. Queries that are searched together.
+SHARD_ROWS, SHARD_BYTES, BLOCK_ROWS, MIN_SHARDS, CHUNK_ROWS = 65_536, 64 << 20, 262_144, 4, 16_384
 BATCH = 512
 NONE = -1
 
@@ -242,22 +243,49 @@ def linked(g: Graph, q: np.ndarray, floor: float, target: float, seed: int, audi
             return
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.995, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, min_shards: int = MIN_SHARDS) -> DataFrame:
+def _linked_counts(g: Graph, reps: np.ndarray, copies: np.ndarray, exact: np.ndarray, ids: np.ndarray, q: np.ndarray, threshold: float, recall: float, seed: int) -> list[tuple[int, int, int]]:
+    """(query, query, number of linked vectors) and (query, node, 0) of a spanning forest of the links, for components."""
+    out: list[tuple[int, int, int]] = []
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, nodes in linked(g, q.astype(np.float32), threshold - 1e-4, recall, seed):
+        nodes = g.perm[nodes]
+        nodes = nodes[(exact[nodes] @ q[i] >= threshold) & (reps[nodes] != ids[i])]
+        if len(nodes):
+            out.append((int(ids[i]), int(ids[i]), int(copies[nodes].sum())))
+            for b in np.unique(reps[nodes]).tolist():
+                x, y = find(int(ids[i])), find(b)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(ids[i]), b, 0))
+    return out
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.995, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, min_shards: int = MIN_SHARDS, shard_bytes: int = SHARD_BYTES, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per input row: id, n_links (other rows linked directly), component_id (smallest id reachable).
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing.
-    Equal unit vectors (also of different lengths, so not only copies) link with each other. Vectors of unequal dimension
-    never link. Rows that repeat an id are vectors of their own. Empty table: no rows.
+    Equal unit vectors (also of different lengths, so not only copies) link with each other; they are told by 128 bits of
+    hash. Vectors of unequal dimension never link. Rows that repeat an id are vectors of their own. Empty table: no rows.
     """
     comp = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     v = vectors.select(F.col(id_col).cast("long").alias("id"), comp.alias("v"))
     finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rows = materialize(v.withColumn("ok", finite).withColumn("norm", F.when(F.col("ok"), norm)).withColumn("u", F.when(F.col("id").isNotNull() & F.col("ok") & (F.col("norm") > 0) & (F.col("norm") < float("inf")), F.transform("v", lambda x: x / F.col("norm")))).select("id", "u"))
-    classes = materialize(rows.where("u is not null").groupBy("u").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
-    classes = classes.withColumn("rep", F.monotonically_increasing_id())  # over a checkpoint, so every reading gives the same
-    count = classes.count()
-    shards, blocks = max(min_shards, -(-count // shard_rows)), max(min_shards, -(-count // block_rows))
+    good = F.col("id").isNotNull() & F.col("ok") & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
+    units = v.withColumn("ok", finite).withColumn("norm", F.when(F.col("ok"), norm)).withColumn("u", F.when(good, F.transform("v", lambda x: x / F.col("norm") + 0.0)))  # no negative zero
+    units = units.select("id", "u", F.when(F.col("u").isNotNull(), F.xxhash64("u")).alias("h1"), F.xxhash64(F.lit(1), "u").alias("h2"))
+    classes = units.where("u is not null").groupBy("h1", "h2").agg(F.any_value("u").alias("u"), F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = materialize(classes).withColumn("rep", F.monotonically_increasing_id())  # over a checkpoint, so every reading gives the same
+    rows = units.select("id", "h1", "h2")
+    shape = classes.agg(F.count("*").alias("n"), F.max(F.size("u")).alias("dim")).first()
+    shard_rows = max(1, min(shard_rows, shard_bytes // (8 * (shape["dim"] or 1))))
+    shards, blocks = max(min_shards, -(-shape["n"] // shard_rows)), max(min_shards, -(-shape["n"] // block_rows))
     pool = classes.select("rep", "copies", "u", F.size("u").alias("dim"), F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(blocks)).cast("int").alias("block"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -266,43 +294,41 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return pd.DataFrame([[pdf["dim"].iloc[0], pdf["shard"].iloc[0], g.to_bytes(), pdf["rep"].to_numpy("<i8").tobytes(), pdf["copies"].to_numpy("<i8").tobytes(), np.stack(pdf["u"].to_numpy()).astype("<f8").tobytes()]], columns=["dim", "shard", "graph", "reps", "copies", "exact"])
 
     graphs = materialize(pool.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary, reps binary, copies binary, exact binary"))
-    sides = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = pool.select("rep", "u", "dim", "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["a", "b", "n"]
-        if not len(left) or not len(right):
-            return pd.DataFrame([], columns=columns)
-        g = Graph.from_bytes(left["graph"].iloc[0])
-        reps, copies = np.frombuffer(left["reps"].iloc[0], "<i8"), np.frombuffer(left["copies"].iloc[0], "<i8")
-        exact = np.frombuffer(left["exact"].iloc[0], "<f8").reshape(len(reps), -1)
-        right = right.sort_values("rep")
-        ids, q = right["rep"].to_numpy(np.int64), np.stack(right["u"].to_numpy())
-        out: list[tuple[int, int, int]] = []
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for i, nodes in linked(g, q.astype(np.float32), threshold - 1e-4, recall, int(left["shard"].iloc[0])):
-            nodes = g.perm[nodes]
-            nodes = nodes[(exact[nodes] @ q[i] >= threshold) & (reps[nodes] != ids[i])]
-            if len(nodes):
-                out.append((int(ids[i]), int(ids[i]), int(copies[nodes].sum())))
-                for b in np.unique(reps[nodes]).tolist():  # a spanning forest of the links, for the components
-                    x, y = find(int(ids[i])), find(b)
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        out.append((int(ids[i]), b, 0))
-        return pd.DataFrame(out, columns=columns)
+    sides = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(-1).cast("long").alias("rep"), F.lit(None).cast("array<double>").alias("u"), "graph", "reps", "copies", "exact")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("graph", "reps", "copies", "exact")]
+    queries = pool.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "rep", "u", *none)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows: a shard's graph comes first (rep -1), then the queries of a block."""
+        def answered(held: tuple | None, key: tuple, ids: list[int], q: list[np.ndarray]) -> pa.RecordBatch:
+            found = _linked_counts(*held, np.array(ids), np.stack(q), threshold, recall, key[1]) if held and ids else []
+            xy = np.array(found, np.int64).reshape(-1, 3)
+            return pa.RecordBatch.from_arrays([pa.array(xy[:, i]) for i in range(3)], ["a", "b", "n"])
+
+        key, held, ids, q = None, None, [], []
+        for b in batches:
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+            reps, u = b.column(3).to_pylist(), b.column(4)
+            flat, ends = u.values.to_numpy(), u.offsets.to_numpy()
+            for i, (k, rep) in enumerate(zip(keys, reps, strict=True)):
+                if k != key or len(ids) >= chunk_rows:
+                    yield answered(held, key, ids, q)
+                    ids, q = [], []
+                    key, held = k, held if k == key else None
+                if rep < 0:
+                    g, *parts = (b.column(c)[i].as_buffer() for c in (5, 6, 7, 8))
+                    held = (Graph.from_bytes(g.to_pybytes()), *(np.frombuffer(x.to_pybytes(), t) for x, t in zip(parts[:2], ("<i8", "<i8"), strict=True)), np.frombuffer(parts[2].to_pybytes(), "<f8").reshape(-1, k[0]))
+                else:
+                    ids.append(rep)
+                    q.append(flat[ends[i] : ends[i + 1]].copy())
+        if key is not None:
+            yield answered(held, key, ids, q)
 
     keys = ["dim", "shard", "block"]
-    found = materialize(sides.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, "a long, b long, n long"))
+    found = materialize(sides.unionByName(queries).repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(search, "a long, b long, n long"))
     degree = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comp = components(classes.select(F.col("rep").alias("id")), found.select("a", "b"))
-    named = materialize(classes.join(comp.withColumnRenamed("id", "rep"), "rep").join(degree, "rep", "left").select("u", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component", "least"))
+    named = materialize(classes.select("rep", "h1", "h2", "copies", "least").join(comp.withColumnRenamed("id", "rep"), "rep").join(degree, "rep", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component", "least"))
     top = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked_rows = rows.where("u is not null").join(named.join(top, "component").select("u", "n_links", "component_id"), "u").select("id", "n_links", "component_id")
-    return linked_rows.unionByName(rows.where("u is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    linked_rows = rows.where("h1 is not null").join(named.join(top, "component").select("h1", "h2", "n_links", "component_id"), ["h1", "h2"]).select("id", "n_links", "component_id")
+    return linked_rows.unionByName(rows.where("h1 is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
