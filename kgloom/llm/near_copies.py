@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import ROW_KEY, components, first_rows, materialize, row_key
 from .simhash import fingerprint_bits, near_edges, shingle_hashes
 
 BANDS, ROWS, RADIUS = 16, 4, 3
@@ -42,11 +42,11 @@ def _set_of(text: str | None, shingle: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, th, sh, n, fp, bands) per row: hashes of text and shingle set, size of the set, SimHash, min-hash bands."""
+    """ROW_KEY, sh, n, fp, bands per row: hash of the shingle set, size of the set, SimHash, min-hash bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sh, n, fp, bands = [], [], np.zeros(b.num_rows, np.uint64), []
-            for i, text in enumerate(b.column(2).to_pylist()):
+            for i, text in enumerate(b.column(3).to_pylist()):
                 h = shingle_hashes(text, shingle)
                 s = np.zeros(0, np.uint64) if h is None else np.unique(h)
                 sh.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
@@ -54,11 +54,10 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
                 bands.append(np.array(_bands(s) if len(s) else [], np.uint64).view(np.int64).tolist())
                 if h is not None:
                     fp[i] = fingerprint_bits(h)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sh, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(fp.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["id", "th", "sh", "n", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.array(sh, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(fp.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], [*ROW_KEY, "sh", "n", "fp", "bands"])
 
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
-    return rows.mapInArrow(run, "id long, th long, sh long, n long, fp long, bands array<long>")
+    key = [c.alias(n) for n, c in row_key(id_col, text_col).items()]
+    return docs.select(*key, F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "__n boolean, __id long, __th long, sh long, n long, fp long, bands array<long>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -108,12 +107,12 @@ def _links(sets: list[np.ndarray], side: np.ndarray, lo: int, hi: int, tenths: i
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tenths: int = 8, chunk: int = CHUNK) -> DataFrame:
-    """(id, th, component) per row; th tells texts of one id apart, component names a group of near copies."""
+    """ROW_KEY and component, which names a group of near copies, per row."""
     sig = materialize(_signatures(docs, id_col, text_col, shingle))
     cluster = _clusters(sig.where("n > 0").groupBy("sh").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    text = F.col(text_col).cast("string")
-    one = sig.groupBy("sh").agg(F.min("th").alias("th")).join(cluster, F.col("sh") == F.col("id")).select("sh", "th", "cluster")
-    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text")).join(one, "th").dropDuplicates(["sh"])
+    one = sig.groupBy("sh").agg(F.min(F.struct(*ROW_KEY)).alias("x")).join(cluster, F.col("sh") == F.col("id")).select("x.*", "sh", "cluster")  # one row's text for each set
+    keyed = docs.select(*[c.alias(n) for n, c in row_key(id_col, text_col).items()], F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = keyed.join(one, ROW_KEY).dropDuplicates(ROW_KEY)
     k = F.ceil(F.col("c") / chunk).cast("int")
     chunks = cluster.groupBy("cluster").agg(F.count("*").alias("c")).select("cluster", k.alias("k"))
     rows = _sets(texts.select("sh", "cluster", "text"), shingle).join(chunks, "cluster")
@@ -128,14 +127,9 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     edges = materialize(rows.groupBy("cluster", "lo", "hi").applyInPandas(run, "a long, b long"))
     comp = materialize(components(cluster.select("id"), edges))
-    return sig.select("id", "th", "sh").join(comp.withColumnRenamed("id", "sh"), "sh", "left").select("id", "th", F.coalesce("component", "sh").alias("component"))
+    return sig.select(*ROW_KEY, "sh").join(comp.withColumnRenamed("id", "sh"), "sh", "left").select(*ROW_KEY, F.coalesce("component", "sh").alias("component"))
 
 
 def near_copy_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of docs that stay: of each group the one of smallest id (nulls last; then of least text hash), one of
-    them if the whole row's id and text are repeated."""
-    g = near_copy_groups(docs, id_col, text_col, shingle)
-    first = g.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.th").alias("__th"))
-    keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    kept = keyed.join(first, keyed[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__th")), "left_semi")
-    return kept.dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
+    """The rows of docs that first_rows() keeps of groups of near copies."""
+    return first_rows(docs, near_copy_groups(docs, id_col, text_col, shingle), id_col, text_col)

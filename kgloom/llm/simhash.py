@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import ROW_KEY, components, first_rows, materialize, row_key
 
 BITS = 64
 #: Buckets with more distinct fingerprints are dealt to tasks as pairs of chunks of this many.
@@ -56,13 +56,13 @@ def _fingerprints(texts: list, shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, th, fp): one row per input row with a hash of its text; null and empty texts have fingerprint zero."""
+    """ROW_KEY and fp: one row per input row; null and empty texts have fingerprint zero."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_fingerprints(b.column(2).to_pylist(), shingle).view(np.int64))], ["id", "th", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(_fingerprints(b.column(3).to_pylist(), shingle).view(np.int64))], [*ROW_KEY, "fp"])
 
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, fp long")
+    key = [c.alias(n) for n, c in row_key(id_col, text_col).items()]
+    return docs.select(*key, F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "__n boolean, __id long, __th long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -144,7 +144,7 @@ def near_edges(fps: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, chunk: int) -> DataFrame:
-    """(id, th, fp, component) per row: th tells texts of one id apart, component names a group."""
+    """ROW_KEY, fp and component (which names a group) per row."""
     fp = materialize(fingerprints(docs, id_col, text_col, shingle))
     distinct = materialize(fp.select("fp").distinct())
     edges = near_edges(distinct, radius, chunk)
@@ -159,16 +159,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row there. Repeated ids keep their rows; null ids come after all others, and a group of them alone has a null
     component_id. Other columns are ignored. Empty table: no rows.
     """
-    g = materialize(_groups(docs, id_col, text_col, shingle, radius, chunk))
+    g = _groups(docs, id_col, text_col, shingle, radius, chunk).select(F.when(~F.col("__n"), F.col("__id")).alias("id"), "fp", "component")
+    g = materialize(g)
     least = g.groupBy("component").agg(F.min("id").alias("component_id"))
     return g.join(materialize(least), "component").select("id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of docs that stay: of each group the one of smallest id (nulls last; then of least text hash), one of
-    them if the whole row's id and text are repeated."""
-    g = _groups(docs, id_col, text_col, shingle, radius, CHUNK)
-    first = g.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.th").alias("__th"))
-    keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    kept = keyed.join(first, keyed[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__th")), "left_semi")
-    return kept.dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
+    """The rows of docs that first_rows() keeps of groups of near SimHashes."""
+    return first_rows(docs, _groups(docs, id_col, text_col, shingle, radius, CHUNK), id_col, text_col)
