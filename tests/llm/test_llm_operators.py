@@ -2,6 +2,7 @@
 columns and hot groups."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kgloom.llm import chat, hnsw, html_text, mixing, packing, quality, simhash, suffix_dedup, token_counts, winnowing
+from kgloom.llm import chat, common, hnsw, html_text, mixing, packing, quality, simhash, suffix_dedup, token_counts, winnowing
 from kgloom.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 DOC = "doc_id long, text string"
@@ -103,33 +104,90 @@ def test_deep_shallow_sort():
         assert [s[i] for i in suffix_dedup.deep_shallow_sort(s, rng.choice([0, 8, 16]))] == sorted(s)
 
 
-@pytest.mark.parametrize(("n", "hot"), [(12, 20_000), (12, 3), (40, 2), (1, 20_000)])
+def brute_words(texts, n):
+    """(bytes removed, runs, text left): words of n-word strings that start twice go, with the white space after them."""
+    ws = [[(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    seen = Counter(tuple(x for _, x in w[i : i + n]) for w in ws for i in range(len(w) - n + 1))
+    out = []
+    for t, w in zip(texts, ws):
+        gone = np.zeros(len(w) + 2, bool)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(x for _, x in w[i : i + n])] > 1:
+                gone[i + 1 : i + n + 1] = True
+        starts = [s for s, _ in w] + [len(t)]
+        kept = t[: starts[0]] + b"".join(t[starts[i] : starts[i + 1]] for i in range(len(w)) if not gone[i + 1])
+        out.append((len(t) - len(kept), int((np.diff(gone.astype(int)) == 1).sum()), kept))
+    return out
+
+
+@pytest.mark.parametrize(("n", "hot"), [(12, 2048), (12, 3), (40, 2), (1, 2048), (3, 1)])
 def test_suffix_dedup(spark, n, hot):
     rng = random.Random(n + hot)
     passages = ["".join(rng.choice("abcdé ") for _ in range(2 * n)) for _ in range(4)]
-    texts = [None, "", "a" * 90, "ab" * 60]
+    texts = [None, "", "a" * 90, "ab" * 60, " \t\n", "a b\tc  d\n" * 30]
     for _ in range(60):
         t = "".join(rng.choice("abcdefghijklmnop é") for _ in range(rng.randrange(60)))
         for _ in range(rng.randrange(3)):
             p = rng.choice(passages)
             a = rng.randrange(len(p))
-            t += p[a : a + rng.randrange(3 * n)] + "".join(rng.choice("qrstuv") for _ in range(rng.randrange(20)))
+            t += p[a : a + rng.randrange(3 * n)] + "".join(rng.choice("qrstuv ") for _ in range(rng.randrange(20)))
         texts.append(t)
+    common = [rng.choice("abc") * rng.randrange(1, 3) for _ in range(3 * n)]
+    for _ in range(40):
+        a = rng.randrange(2 * n)
+        own = lambda: [rng.choice("uvwxyz") for _ in range(rng.randrange(4))]
+        texts.append(rng.choice(["", " "]) + rng.choice([" ", "  ", "\n"]).join([*own(), *common[a : a + rng.randrange(2 * n)], *own()]))
     rows = list(enumerate(texts + texts[4:9])) + [(7, texts[7]), (None, "null id"), (None, "null id")]
-    df = spark.createDataFrame(rows, DOC).withColumn("id", F.lit(0)).withColumn("begin", F.lit("x"))
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(df, length=n, hot=hot).collect()]
-    want = [(d, *w) for (d, _), w in zip(rows, brute_spans([(t or "").encode() for _, t in rows], n))]
+    df = spark.createDataFrame(rows, DOC).withColumns({c: F.lit("clash") for c in ("id", "th", "begin", "kept", "row", "spans", "repeats")})
+    raw = [(t or "").encode() for _, t in rows]
+    cuts = (suffix_dedup.Cut("bytes", n), suffix_dedup.Cut("words", max(1, n // 3)))
+    out = suffix_dedup.suffix_dedup(df, cuts, hot=hot)
+    assert out.columns == df.columns
+    got = [(r["doc_id"], r["kept"], *((x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in (r["repeats"]["bytes"], r["repeats"]["words"]))) for r in out.collect()]
+    want = [(d, "clash", (x[1], x[2], x[3]), y) for (d, _), x, y in zip(rows, brute_spans(raw, n), brute_words(raw, max(1, n // 3)))]
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(got, key=key) == sorted(want, key=key)
-    assert suffix_dedup.suffix_dedup(df.limit(0), length=n).count() == 0
+    assert suffix_dedup.suffix_dedup(df.limit(0), cuts).count() == 0
+
+
+def test_suffix_query(spark, sf):
+    """The registered query against counts of all 400-byte and 50-word windows."""
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passages"], r["text"]) for r in QUERIES["op8_suffix_array_dedup"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    raw = [(r["text"] or "").encode() for r in rows]
+    want = zip(rows, brute_spans(raw, 400), brute_words(raw, 50))
+    assert got == {r["doc_id"]: (*x[:3], hashlib.sha256(x[3]).hexdigest(), y[1], y[2].decode()) for r, x, y in want}
 
 
 def test_suffix_segments(monkeypatch):
     rng = random.Random(5)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 64)
-    text = bytes(rng.choice(b"abc") for _ in range(500))
-    starts = sorted(s for _, lo, hi, _, _ in suffix_dedup.anchors_of(text, 20, 6) for s in range(lo, hi + 1))
-    assert starts == list(range(len(text) - 19))
+    for unit, text in (("bytes", bytes(rng.choice(b"abc") for _ in range(500))), ("words", b" ".join(rng.choice([b"a", b"bc"]) for _ in range(500)))):
+        suffix_dedup._powers.cache_clear()
+        _, first, last = suffix_dedup.anchors_of(suffix_dedup.Line(text, unit), suffix_dedup.Cut(unit, 20))
+        assert sorted(s for lo, hi in zip(first, last) for s in range(lo, hi + 1)) == list(range(500 - 19))
+    suffix_dedup._powers.cache_clear()
+
+
+def test_line(monkeypatch):
+    rng = random.Random(14)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 64)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "bc", "é", " ", "\n", "\t ", "w" * 9]) for _ in range(rng.randrange(60))).encode() + b"x" * rng.choice([0, 0, 70_000])
+        line, w = suffix_dedup.Line(t, "words"), t.split()
+        assert line.size == len(w) and line.part(0, line.size) == b"".join(x + b" " for x in w)
+        assert [t[s : s + len(x)] for s, x in zip(suffix_dedup.word_starts(np.frombuffer(t, np.uint8)), w)] == w
+        if w:
+            assert line.back(0, len(w)).split() == w[::-1] and len(set(zip(w, line.values().tolist()))) == len(set(w))
+
+
+def test_key_bits(spark):
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
+    bits = common.KeyBits(keys, ["k"])
+    rows = spark.range(3000).withColumnRenamed("id", "k").withColumn("x", F.lit("é"))
+    on, off = ({r["k"] for r in bits.rows(rows, p).collect()} for p in (True, False))
+    assert on >= set(range(0, 3000, 3)) and not on & off and len(on) + len(off) == 3000 and len(on) < 1500
+    assert common.KeyBits(keys.limit(0), ["k"]).rows(rows, True).count() == 0
 
 
 # Mixing
@@ -262,23 +320,40 @@ def test_chat_oracle(spark, duck, sf):
 
 
 def test_chat_events(spark):
-    log = [(1, 1, "user", 0, "start", ""), (1, 1, "user", 1, "delta", "hel"), (1, 1, "user", 2, "delta", "lo"), (1, 2, "assistant", 4, "delta", "bad"), (1, 2, "assistant", 5, "regenerate", None), (1, 2, "assistant", 7, "delta", "od"), (1, 2, "assistant", 6, "delta", "go"), (1, 1, "user", 8, "edit", "hi"), (1, 1, "user", 9, "delta", "!"), (1, 1, "user", 9, "seen", "x")]
-    e = spark.createDataFrame(log, "conv_id long, message long, role string, seq long, event string, text string")
-    r = chat.format_chats(e).first()
-    assert [(t["role"], t["text"]) for t in r["turns"]] == [("user", "hi!"), ("assistant", "good")] and r["loss_text"] == "good"
+    log = [(1, 1, 7, 0, "start", "user"), (1, 1, 7, 1, "delta", "hel"), (1, 1, 7, 2, "delta", "lo"), (1, 2, 3, 4, "delta", "bad"), (1, 2, 3, 5, "regenerate", None), (1, 2, 3, 7, "delta", "od"), (1, 2, 3, 6, "delta", "go"), (1, 2, 3, 0, "start", "assistant"), (1, 1, 7, 8, "edit", "hi"), (1, 1, 7, 9, "delta", "!"), (1, 1, 7, 9, "seen", "x")]
+    log += [(2, None, None, 1, "delta", "no role"), (2, 5, 1, 0, "start", "b"), (2, 5, 2, 0, "start", "a"), (2, 5, 2, 1, "edit", None), (2, 6, 1, 0, "regenerate", None)]
+    e = spark.createDataFrame(log, "conv_id long, at long, message long, seq long, event string, text string").withColumn("role", F.lit("clash"))
+    r = {x["conv_id"]: x for x in chat.format_chats(e).collect()}
+    turns = {c: [(t["role"], t["text"]) for t in x["turns"]] for c, x in r.items()}
+    assert turns == {1: [("user", "hi!"), ("assistant", "good")], 2: [("", "no role"), ("a", ""), ("b", ""), ("", "")]}
+    assert r[1]["loss_text"] == "good" and r[2]["loss_text"] == ""
     assert chat.format_chats(e.limit(0)).count() == 0
 
 
+def test_chat_log(spark):
+    """The query's own log really streams, edits and regenerates."""
+    t = spark.createDataFrame([(1, 0, "user", "abc"), (1, 1, "assistant", "defg")], "conv_id long, turn long, role string, text string")
+    kinds = Counter(r["event"] for r in chat.turns_as_events(t).collect())
+    assert kinds == {"start": 2, "delta": 5, "edit": 1, "regenerate": 1}
+
+
+def test_chat_long(spark):
+    """One conversation of thousands of turns and one very long text."""
+    t = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(6000)] + [(2, 0, "assistant", "<é" * 500_000)], "conv_id long, turn long, role string, text string")
+    r = {x["conv_id"]: x for x in chat.format_chats(chat.turns_as_events(t)).collect()}
+    assert [x["text"] for x in r[1]["turns"]] == [f"t{i}" for i in range(6000)] and r[2]["loss_text"] == "<é" * 500_000
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(8)
     parts = ["</s>", "<s>[INST]", "[/INST]", "&lt;", "&amp;", "&", "<", "[", "\n", "é", " ", "&lb;", "&nl;"]
     text = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(8)))
     turns = [(c, t, rng.choice(["user", "assistant", text()]), rng.choice([None, text()])) for c in range(40) for t in range(3)]
-    turns += [(50, 0, None, None), (50, 0, None, None), (None, None, "assistant", "x")]
+    turns += [(50, 0, None, None), (50, 0, None, None), (50, 0, "a", "y"), (50, 0, "a", "x"), (50, None, "b", "x"), (None, None, "assistant", "x")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1))
     got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.format_chats(chat.turns_as_events(df)).collect()}
     want = {}
-    for c, t, r, x in sorted(turns, key=lambda v: (v[0] is None, v[0] or 0, v[1] or 0, v[2] or "", v[3] or "")):
+    for c, t, r, x in sorted(turns, key=lambda v: (v[0] is None, v[0] or 0, v[1] is not None, v[1] or 0, v[2] or "", v[3] or "")):
         want.setdefault(c, []).append((r or "", x or ""))
     assert got == want
 
@@ -318,7 +393,7 @@ def test_token_counts(spark):
 
 
 def brute_winnow(t, k=5, w=16):
-    low = (1 << 20) - 1
+    low = (1 << 26) - 1
     ws = words(t)
     if not ws:
         return []
@@ -330,7 +405,7 @@ def brute_winnow(t, k=5, w=16):
             seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
         return seed - (1 << 64) if seed >> 63 else seed
 
-    g = [gram(h[i : i + k]) & ~low | low - (i & low) for i in range(max(1, len(h) - k + 1))]
+    g = [gram(h[i : i + k]) & ~low | low - i for i in range(max(1, len(h) - k + 1))]
     out = []
     for i in range(max(1, len(g) - w + 1)):
         m = min(g[i : i + w])
@@ -341,7 +416,7 @@ def brute_winnow(t, k=5, w=16):
 
 def brute_edited(rows):
     rows = sorted(rows, key=lambda r: (-r[0]))
-    like = lambda a, b: 1.0 if not {*a, *b} else len({x >> 20 for x in a} & {x >> 20 for x in b}) / len({x >> 20 for x in a} | {x >> 20 for x in b})
+    like = lambda a, b: 1.0 if not {*a, *b} else len({x >> 26 for x in a} & {x >> 26 for x in b}) / len({x >> 26 for x in a} | {x >> 26 for x in b})
     text = lambda f: " ".join(f"{x & (1 << 64) - 1:016X}" for x in f)
     out = {}
     for i, (d, t) in enumerate(rows):
@@ -400,7 +475,38 @@ def test_differencing(spark):
     got = Counter((r["page_id"], r["text"]) for r in html_text.extract_text(df).collect())
     assert got[2, "second"] == 1 and got[3, "Site title alone All rights reserved"] == 1 and got[4, ""] == 1 and sum(got.values()) == 6
     assert html_text.extract_text(df.limit(0)).count() == 0
-    assert Counter((r["page_id"], r["text"]) for r in html_text.extract_text(df, max_pages=1).collect())[4, ""] == 1
+
+
+def brute_pages(rows):
+    """Whole sites in one list, sorted, each page differenced with the neighbour of the longest shared path."""
+    cut = re.compile(r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*))?([^?#]*)")
+    keyed = sorted((cut.match(u or "")[1] or "", cut.match(u or "")[2], u or "", str(p).rjust(20), html_text.lines_of(h)) for p, u, h in rows)
+    out = Counter()
+    for i, (host, path, _, p, lines) in enumerate(keyed):
+        near = [keyed[j] for j in (i - 1, i + 1) if 0 <= j < len(keyed) and keyed[j][0] == host]
+        near.sort(key=lambda x: -len(os.path.commonprefix([path, x[1]])))
+        shared = [False] * len(lines)
+        for x in near:
+            on = html_text.shared_lines(html_text._line_hashes([t for t, _ in lines]), html_text._line_hashes([t for t, _ in x[4]]))
+            if not all(on):
+                shared = on
+                break
+        article = any(k == html_text.OWN for _, k in lines)
+        out[int(p), " ".join(t for (t, k), s in zip(lines, shared) if k == html_text.OWN or (k == html_text.OPEN and not article and not s))] += 1
+    return out
+
+
+def test_html_brute(spark, sf):
+    """The registered query against one sorted list, also with a page in each range and with a hot host."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    want = brute_pages(rows)
+    assert Counter((r["page_id"], r["text"]) for r in QUERIES["op10_html_extraction"](spark, sf).collect()) == want
+    rng = random.Random(13)
+    frame = lambda i: f"<div>Site {i % 3}</div><div>own {i}</div><p>All rights {i % 2}</p>"
+    hot = [(i, f"http://hot.com/{rng.choice(['a', 'b/c', ''])}/article-{rng.randrange(9)}?q={rng.randrange(3)}", frame(i)) for i in range(300)]
+    hot += [(1000 + i, "http://hot.com/same", frame(i)) for i in range(50)] + [(2000, "http://big.com/", "<p>x</p>" * 60_000), (2001, "http://big.com/2", "<p>x</p><p>y</p>")]
+    df = spark.createDataFrame(hot, "page_id long, url string, html string")
+    assert Counter((r["page_id"], r["text"]) for r in html_text.extract_text(df).collect()) == brute_pages(hot)
 
 
 # Embeddings
@@ -419,7 +525,7 @@ def test_near_duplicates(spark):
     near = u @ u.T >= 0.9
     np.fill_diagonal(near, False)
     comp = union(n, np.argwhere(near).tolist())
-    got = {r["id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(df, shard_rows=300, block_rows=200).collect()}
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(df, shard_bytes=300 * 8 * 16, block_rows=400, chunk_rows=150).collect()}
     assert len(got) == n + 6 and all(got[i] == (0, i) for i in range(n, n + 6))
     links = sum(got[i][0] for i in range(n))
     assert 0.97 * near.sum() <= links <= near.sum()

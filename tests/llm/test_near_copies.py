@@ -46,7 +46,7 @@ def test_near_copies(spark, chunk):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {}
     for r in near_copies.near_copy_groups(df, chunk=chunk).collect():
-        got.setdefault(r["component"], []).append(r["id"])
+        got.setdefault(r["component"], []).append(r["__id"])
     want = {}
     for i, x in enumerate(root):
         want.setdefault(x, []).append(i)
