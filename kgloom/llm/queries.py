@@ -43,6 +43,32 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", n_bytes, "cut.bytes.n_removed", "cut.bytes.n_spans", F.sha2("cut.bytes.kept", 256).alias("kept_sha256"), F.col("cut.words.n_spans").alias("n_passages"), left)
 
 
+# Windows of 400 bytes (as hexadecimal digits) and of 50 words are counted by two hashes; texts are cut into overlapping
+# stretches first, as taking a window from a long string costs as much as its place.
+ORACLES["op8_suffix_array_dedup"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS MATERIALIZED (SELECT r, 256 * c AS c, substr(x, 512 * c + 1, 1310) AS x FROM (SELECT r, x, unnest(range((length(x) // 2 - 399 + 255) // 256)) AS c FROM d WHERE length(x) >= 800)),
+h AS MATERIALIZED (SELECT r, c + i AS i, hash(s) AS a, hash(s || '.') AS b FROM (SELECT r, c, i, substr(x, 2 * i + 1, 800) AS s FROM (SELECT r, c, x, unnest(range(least(256, length(x) // 2 - 399))) AS i FROM c))),
+twice AS (SELECT a, b FROM h GROUP BY a, b HAVING count(*) > 1),
+hit AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM h JOIN twice USING (a, b)),
+runs AS MATERIALIZED (SELECT r, min(i) AS b, max(i) + 400 AS e FROM (SELECT r, i, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM hit) GROUP BY r, g),
+cut AS (SELECT r, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r),
+edges AS (SELECT r, e AS b, lead(b) OVER (PARTITION BY r ORDER BY b) AS e FROM (SELECT r, b, e FROM runs UNION ALL SELECT r, -1, 0 FROM d)),
+kept AS (SELECT r, sha256(unhex(string_agg(substr(x, 2 * b + 1, 2 * (coalesce(e, length(x) // 2) - b)), '' ORDER BY b))) AS kept_sha256 FROM edges JOIN d USING (r) GROUP BY r),
+ws AS MATERIALIZED (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ws, regexp_extract(t, '^[\x20\x09-\x0D]*') AS lead FROM d),
+v AS MATERIALIZED (SELECT r, 128 * c AS c, list_transform(ws[128 * c + 1 : 128 * c + 177], lambda y: rtrim(y, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS ws FROM (SELECT r, ws, unnest(range((len(ws) - 49 + 127) // 128)) AS c FROM ws WHERE len(ws) >= 50)),
+vh AS MATERIALIZED (SELECT r, c + i AS i, hash(s) AS a, hash(s || '.') AS b FROM (SELECT r, c, i, array_to_string(ws[i + 1 : i + 50], ' ') AS s FROM (SELECT r, c, ws, unnest(range(least(128, len(ws) - 49))) AS i FROM v))),
+vtwice AS (SELECT a, b FROM vh GROUP BY a, b HAVING count(*) > 1),
+vhit AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM vh JOIN vtwice USING (a, b)),
+vruns AS MATERIALIZED (SELECT r, min(i) AS b, max(i) + 50 AS e FROM (SELECT r, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM vhit) GROUP BY r, g),
+vcut AS (SELECT r, count(*) AS n_passages FROM vruns GROUP BY r),
+vedges AS (SELECT r, e AS b, lead(b) OVER (PARTITION BY r ORDER BY b) AS e FROM (SELECT r, b, e FROM vruns UNION ALL SELECT r, -1, 0 FROM d)),
+left_over AS (SELECT r, any_value(lead) || string_agg(array_to_string(ws[b + 1 : coalesce(e, len(ws))], ''), '' ORDER BY b) AS text FROM vedges JOIN ws USING (r) GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256, coalesce(n_passages, 0) AS n_passages, text
+FROM (SELECT r, doc_id, x FROM d) JOIN kept USING (r) JOIN left_over USING (r) LEFT JOIN cut USING (r) LEFT JOIN vcut USING (r)
+"""
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -121,3 +147,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
     return d.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+ORACLES["op2_embedding_near_dedup"] = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS MATERIALIZED (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT id AS vec_id, min(root) AS component_id FROM reach GROUP BY id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+"""
