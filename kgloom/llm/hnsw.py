@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,6 +244,26 @@ def linked(g: Graph, q: np.ndarray, floor: float, target: float, seed: int, audi
             return
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, u, h1, h2): unit vectors in double precision and 128 bits of their hash, null where a vector links with nothing."""
+    for b in batches:
+        v = b.column(1)
+        flat, ends = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy().astype(np.int64)  # a null component is NaN
+        size = np.where(v.is_valid().to_numpy(zero_copy_only=False) & b.column(0).is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+        u: list = [None] * len(v)
+        for n in np.unique(size[size > 0]).tolist():
+            rows = np.flatnonzero(size == n)
+            with np.errstate(over="ignore", invalid="ignore"):
+                x = flat[ends[rows][:, None] + np.arange(n)]
+                norm = np.sqrt((x * x).sum(1))
+            good = np.isfinite(norm) & (norm > 0)
+            for i, unit in zip(rows[good].tolist(), x[good] / norm[good, None] + 0.0, strict=True):  # no negative zero
+                u[i] = unit
+        h = [None if x is None else xxhash.xxh3_128_intdigest(x.tobytes()) for x in u]
+        cut = lambda f: pa.array([None if x is None else f(x) - (1 << 63) for x in h], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(u, pa.list_(pa.float64())), cut(lambda x: x >> 64), cut(lambda x: x & (1 << 64) - 1)], ["id", "u", "h1", "h2"])
+
+
 def _linked_counts(g: Graph, reps: np.ndarray, copies: np.ndarray, exact: np.ndarray, ids: np.ndarray, q: np.ndarray, threshold: float, recall: float, seed: int) -> list[tuple[int, int, int]]:
     """(query, query, number of linked vectors) and (query, node, 0) of a spanning forest of the links, for components."""
     out: list[tuple[int, int, int]] = []
@@ -273,13 +294,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Equal unit vectors (also of different lengths, so not only copies) link with each other; they are told by 128 bits of
     hash. Vectors of unequal dimension never link. Rows that repeat an id are vectors of their own. Empty table: no rows.
     """
-    comp = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), comp.alias("v"))
-    finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    good = F.col("id").isNotNull() & F.col("ok") & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
-    units = v.withColumn("ok", finite).withColumn("norm", F.when(F.col("ok"), norm)).withColumn("u", F.when(good, F.transform("v", lambda x: x / F.col("norm") + 0.0)))  # no negative zero
-    units = units.select("id", "u", F.when(F.col("u").isNotNull(), F.xxhash64("u")).alias("h1"), F.xxhash64(F.lit(1), "u").alias("h2"))
+    units = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).mapInArrow(_units, "id long, u array<double>, h1 long, h2 long")
     classes = units.where("u is not null").groupBy("h1", "h2").agg(F.any_value("u").alias("u"), F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = materialize(classes).withColumn("rep", F.monotonically_increasing_id())  # over a checkpoint, so every reading gives the same
     rows = units.select("id", "h1", "h2")
