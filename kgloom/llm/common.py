@@ -87,13 +87,13 @@ class KeyBits:
 
 class Ranges:
     """Ranges of a string key that cut a table's rows into parts of about equal numbers, with each range's least and
-    greatest key: at most `most` keys of each kind at the driver and in tasks. The cuts are the keys of least hash, so they
-    follow where rows are; the more of the rows one key has, the likelier it is a range of its own."""
+    greatest key: at most `most` keys of each kind in tasks. The cuts are every fourth of the keys of least hash, so they
+    follow where the keys are. Rows of one key stay together."""
 
     def __init__(self, df: DataFrame, key: Column, n: int, most: int = 1 << 13) -> None:
         keys = df.select(key.alias("k")).where("k is not null")
-        cuts = keys.distinct().orderBy(F.xxhash64("k"), "k").limit(min(n, most)).collect()
-        self.cuts = sorted(r["k"] for r in cuts)
+        cuts = keys.distinct().orderBy(F.xxhash64("k"), "k").limit(4 * min(n, most)).collect()
+        self.cuts = sorted(r["k"] for r in cuts)[::4]
         found = materialize(self.numbered(keys, "k").groupBy("range").agg(F.min("k").alias("low"), F.max("k").alias("high"))).collect()
         found.sort(key=lambda r: r["range"])
         self.low, self.high = {r["range"]: r["low"] for r in found}, {r["range"]: r["high"] for r in found}

@@ -218,7 +218,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     path = F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
     number = F.lpad(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), 20, " ")
     key = F.concat_ws("\x00", host, path, url, number)
-    ranges = pages.sparkSession.sparkContext.broadcast(Ranges(pages, key, 8 * parts(pages.sparkSession)))
+    ranges = pages.sparkSession.sparkContext.broadcast(Ranges(pages, key, 32 * parts(pages.sparkSession)))
     base = pages.select(key.alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *took, pa.array(own), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["range", "key", "id", "url", "own", "texts", "places", "keys"])
 
     lines = base.mapInArrow(parse, f"range int, key string, id {id_type}, url {url_type}, own boolean, texts array<string>, places binary, keys array<bigint>")
-    lines = lines.repartition("range").sortWithinPartitions("range", "key", "own")
+    lines = lines.repartition(4 * parts(pages.sparkSession), "range").sortWithinPartitions("range", "key", "own")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
