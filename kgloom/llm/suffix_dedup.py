@@ -298,8 +298,8 @@ _SPANS_DDL = ", ".join(f"{c} long" for c in _SPANS)
 
 
 def repeated_spans(docs: DataFrame, cuts: tuple[Cut, ...], hot: int = HOT) -> DataFrame:
-    """(id, th, cut, begin, end) of repeated stretches in units of cuts[cut], overlapping ones included. docs: id, th and
-    text (bytes), read three times."""
+    """(id, th, span) of repeated stretches, overlapping ones included: span has cut, begin and end in units of cuts[cut], or
+    is null for an anchor that doesn't repeat as a whole. docs: id, th and text (bytes), read three times."""
     if any(c.length >= 1 << 16 for c in cuts):
         raise ValueError("length must be below 65536")
 
@@ -332,9 +332,9 @@ def repeated_spans(docs: DataFrame, cuts: tuple[Cut, ...], hot: int = HOT) -> Da
     again = materialize(anchors_all.join(cores, "core"))
     m, lo = F.shiftright("pos", 32), F.shiftright("pos", 32) - F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF))
     length = F.element_at(F.array(*[F.lit(c.length) for c in cuts]), (F.col("cut") + 1).cast("int"))
-    whole = ["id", "th", "cut", lo.alias("begin"), (lo + F.col("pos").bitwiseAND(F.lit(0xFFFF)) + length).alias("end")]
+    whole = F.struct("cut", lo.alias("begin"), (lo + F.col("pos").bitwiseAND(F.lit(0xFFFF)) + length).alias("end"))
     classes = materialize(again.groupBy("core", "e").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "cut", "pos")).alias("rep")))
-    sure = again.join(classes.where("c > 1").select("core", "e"), ["core", "e"], "left_semi").select(*whole)
+    sure = again.join(classes.select("core", "e", "c"), ["core", "e"]).select("id", "th", F.when(F.col("c") > 1, whole).alias("span"))
     sizes = materialize(classes.groupBy("core").agg(F.count("*").alias("variants")).where("variants > 1"))
     places = classes.join(sizes, "core").select("rep.id", "rep.th", F.struct("core", "rep.cut", "rep.pos", "c", "variants").alias("x"))
     places = materialize(places.groupBy("id", "th").agg(F.collect_list("x").alias("xs")))  # a document's own anchors
@@ -357,7 +357,7 @@ def repeated_spans(docs: DataFrame, cuts: tuple[Cut, ...], hot: int = HOT) -> Da
     found = [sure]
     if not sizes.where(F.col("variants") > hot).isEmpty():
         sides, met = _extended(materialize(sides), cuts, hot)
-        found.append(met)
+        found.append(met.select("id", "th", F.struct(*_SPANS[2:]).alias("span")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spans(group: list[tuple]) -> list[tuple]:
@@ -383,7 +383,7 @@ def repeated_spans(docs: DataFrame, cuts: tuple[Cut, ...], hot: int = HOT) -> Da
             yield _table(spans(group), _SPANS)
 
     grouped = sides.select("core", "g", "id", "th", "cut", "at", "c", "left", "right").repartition("core", "g").sortWithinPartitions("core", "g")
-    found.append(grouped.mapInArrow(compare, _SPANS_DDL))
+    found.append(grouped.mapInArrow(compare, _SPANS_DDL).select("id", "th", F.struct(*_SPANS[2:]).alias("span")))
     return found[0].unionByName(found[1]) if len(found) == 2 else found[0].unionByName(found[1]).unionByName(found[2])
 
 
@@ -449,7 +449,8 @@ def suffix_dedup(docs: DataFrame, cuts: tuple[Cut, ...] = (Cut("bytes", 400),),
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     data = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text.cast("binary").alias("text"))
     spans = repeated_spans(data.select("id", "th", "text"), cuts, hot)
-    per_doc = materialize(spans.groupBy("id", "th").agg(F.collect_set(F.struct("cut", "begin", "end")).alias("spans")))  # within a document
+    per_doc = spans.groupBy("id", "th").agg(F.collect_set("span").alias("spans"))  # within a document, nulls apart
+    per_doc = materialize(per_doc.where(F.size("spans") > 0))
     bits, data = KeyBits(per_doc, ["id", "th"]), data.drop("text")
     some = bits.rows(data, True).join(per_doc.hint("shuffle_hash"), ["id", "th"], "left").select("row", "spans")
     none = data.select("row", bits.place.alias("place"))
