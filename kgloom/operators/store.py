@@ -1,12 +1,13 @@
-"""Stored graphs: create, merge, update, delete, histories. Tables are Parquet folders; a change writes a new version of
-the folder and switches to it, so readers and retried tasks never see half of it."""
+"""Stored graphs: create, merge, update, delete, uploads, analyses, histories."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import first_filled, nonzero
 from .graph import Graph
@@ -20,34 +21,48 @@ def with_defaults(nodes: DataFrame, edges: DataFrame) -> Graph:
 
 
 def merge_nodes(old: DataFrame, new: DataFrame, strategy: str = "append") -> DataFrame:
-    """Nodes matched by label. append: only unmatched ones come in; update: matched ones take the greatest size and the
-    new attributes (map) over the old; replace: the new ones alone. Rows of the batch with one label merge first."""
+    """Nodes matched by label; all columns of both stay. append: only unmatched ones come in; update: matched ones take the
+    greatest size and the new attributes (map) over the old; replace: the new ones alone. Of several new nodes of one label
+    the first by id counts; update merges the others into it."""
     has = "attributes" in old.columns and "attributes" in new.columns
-    latest = [F.max_by("attributes", F.col("id")).alias("attributes")] if has else []
-    batch = new.groupBy("label").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.min_by("type", "id").alias("type"), *latest)
+    batch = new.groupBy("label").agg(F.min_by(F.struct(*[c for c in new.columns if c != "label"]), "id").alias("x"), F.max("size").alias("size"), *([F.max_by("attributes", "id").alias("attributes")] if has else []))
+    changed = {"size", "attributes"} if strategy == "update" and has else {"size"} if strategy == "update" else set()
+    batch = batch.select(*[F.col(c) if c == "label" or c in changed else F.col(f"x.{c}").alias(c) for c in new.columns])
     if strategy == "replace":
-        return batch.select(*[c for c in old.columns if c in batch.columns])
+        return batch
+    fresh = batch.join(old.select("label"), "label", "left_anti").select(*new.columns)
     if strategy == "append":
-        fresh = batch.join(old.select("label"), "label", "left_anti")
-        return old.unionByName(fresh.select(*[c for c in old.columns if c in fresh.columns]), allowMissingColumns=True)
-    b = batch.select(F.col("label"), *[F.col(c).alias(f"__{c}") for c in batch.columns if c != "label"])
-    both = old.join(b, "label", "full_outer")
-    out = {"id": F.coalesce("id", "__id"), "size": F.greatest("size", "__size"), "type": F.coalesce("type", "__type")}
+        return old.unionByName(fresh, allowMissingColumns=True)
+    b = batch.select("label", *[F.col(c).alias(f"__{c}") for c in changed])
+    none = F.create_map().cast("map<string,string>")
+    out = {"size": F.greatest("size", "__size")}
     if has:
-        keep = F.map_filter(F.coalesce("attributes", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(F.coalesce("__attributes", F.create_map().cast("map<string,string>")), k))
-        out["attributes"] = F.map_concat(keep, F.coalesce("__attributes", F.create_map().cast("map<string,string>")))
-    return both.select(*[out[c].alias(c) if c in out else F.col(c) for c in old.columns])
+        mine, theirs = F.coalesce("attributes", none), F.coalesce("__attributes", none)
+        out["attributes"] = F.map_concat(F.map_filter(mine, lambda k, v: ~F.map_contains_key(theirs, k)), theirs)
+    matched = old.join(b, "label", "left").select(*[out[c].alias(c) if c in out else F.col(c) for c in old.columns])
+    return matched.unionByName(fresh, allowMissingColumns=True)
 
 
 def merge_edges(old: DataFrame, new: DataFrame, strategy: str = "append") -> DataFrame:
-    """Edges matched by source and target whatever their type; update sums weights."""
-    batch = new.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.min("relationship_type").alias("relationship_type"))
+    """Edges matched by source and target whatever their type; all columns of both stay. update: the summed weight of the new
+    edges goes to the first matched one (by type, then the whole row), or to a new edge; else unmatched ones come in with
+    the first one's weight. First of several new edges of a pair: the least by type, then the whole row."""
+    pair = ["src", "dst"]
+    rest = [c for c in new.columns if c not in (*pair, "relationship_type")]
+    first = F.min(F.struct("relationship_type", *rest)).alias("x")
+    batch = new.groupBy(*pair).agg(first, F.sum("weight").alias("weight"))
+    batch = batch.select(*[F.col("weight") if c == "weight" and strategy == "update" else F.col(c) if c in pair else F.col(f"x.{c}").alias(c) for c in new.columns])
     if strategy == "replace":
-        return batch.select("src", "dst", "weight", "relationship_type")
+        return batch
+    fresh = batch.join(old.select(*pair), pair, "left_anti").select(*new.columns)
     if strategy == "append":
-        return old.select("src", "dst", "weight", "relationship_type").unionByName(batch.join(old.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "weight", "relationship_type"))
-    b = batch.select("src", "dst", F.col("weight").alias("__w"), F.col("relationship_type").alias("__r"))
-    return old.join(b, ["src", "dst"], "full_outer").select("src", "dst", (F.coalesce("weight", F.lit(0)) + F.coalesce("__w", F.lit(0))).alias("weight"), F.coalesce("relationship_type", "__r").alias("relationship_type"))
+        return old.unionByName(fresh, allowMissingColumns=True)
+    order = [F.col(c) for c in ("relationship_type", *(c for c in old.columns if c not in (*pair, "relationship_type")))]
+    ranked = old.withColumn("__first", F.row_number().over(Window.partitionBy(*pair).orderBy(*order)) == 1)
+    joined = ranked.join(batch.select(*pair, F.col("weight").alias("__w")), pair, "left")
+    added = F.when(F.col("__first"), F.coalesce("__w", F.lit(0.0))).otherwise(F.lit(0.0))
+    matched = joined.withColumn("weight", (F.coalesce("weight", F.lit(0.0)) + added).cast(old.schema["weight"].dataType)).select(*old.columns)
+    return matched.unionByName(fresh, allowMissingColumns=True)
 
 
 def update_node(nodes: DataFrame, id: str, **values: object) -> DataFrame:  # noqa: A002
@@ -78,58 +93,166 @@ def history(df: DataFrame, kind: str | None = None, limit: int = 50, offset: int
     return df.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
 
 
+#: What the rows of each stored table are dealt to buckets by; other tables: by all their columns.
+BUCKET_KEYS = {"nodes": ["label"], "edges": ["src", "dst"], "metadata": ["graph_id"], "uploads": ["upload_id"], "analyses": ["analysis_id"]}
+
+
 class GraphStore:
-    """Graphs under a folder that all executors share: <root>/<table>/v=<version>; a small file names the current one."""
+    """Graphs under a folder that all executors share.
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    Rows of a table lie in buckets by the hash of their key: <root>/data/<table>/<change>/__bucket=<b>. A change writes new
+    folders for the buckets it touches and then one small manifest that names the folders of all tables, so readers and
+    retried jobs see all of a change or nothing of it, and a small change rewrites little. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self, path: str):  # noqa: ANN202
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, table: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{table}")
-        if not fs.exists(p):
+    def manifest(self) -> dict:
+        """The current state: version, batch (the last streamed one) and, for each table, its columns and folders by bucket."""
+        fs, p = self._fs(f"{self.root}/manifests")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName().endswith(".json")) if fs.exists(p) else []
+        if not names:
+            return {"version": 0, "batch": -1, "tables": {}}
+        fs, p = self._fs(f"{self.root}/manifests/{names[-1]}")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, state: dict) -> None:
+        state = state | {"version": state["version"] + 1}
+        final = f"{self.root}/manifests/{state['version']:010d}.json"
+        fs, p = self._fs(f"{self.root}/manifests/.{uuid.uuid4().hex}")
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        to = self._fs(final)[1]
+        if fs.exists(to) or not fs.rename(p, to):
+            raise RuntimeError(f"another writer has made version {state['version']}")
+
+    def _bucket(self, table: str, df: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(*BUCKET_KEYS.get(table, df.columns)), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, table: str, df: DataFrame) -> list[int]:
+        return [r["b"] for r in df.select(self._bucket(table, df).alias("b")).distinct().collect()]  # at most self.buckets numbers
+
+    def read(self, table: str, only: list[int] | None = None) -> DataFrame | None:
+        known = self.manifest()["tables"].get(table)
+        if known is None:
             return None
-        done = sorted(x.getPath().getName() for x in fs.listStatus(p) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")))
-        return f"{self.root}/{table}/{done[-1]}" if done else None
+        schema = StructType.fromJson(known["schema"])
+        paths = [p for b, ps in known["folders"].items() if only is None or int(b) in only for p in ps]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def read(self, table: str) -> DataFrame | None:
-        at = self._current(table)
-        return self.spark.read.parquet(at) if at else None
+    def commit(self, changes: dict[str, tuple[DataFrame, list[int] | None]], append: bool = False, batch: int | None = None) -> None:
+        """Writes tables, then publishes all of them at once. A change is rows and the buckets that they replace (None: all
+        of them); append: rows are added to what is there."""
+        state = self.manifest()
+        tables = dict(state["tables"])
+        for table, (df, touched) in changes.items():
+            folder = f"{self.root}/data/{table}/{uuid.uuid4().hex}"
+            df.withColumn("__bucket", self._bucket(table, df)).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(folder)
+            fs, p = self._fs(folder)
+            new = {n.partition("=")[2]: [f"{folder}/{n}"] for x in fs.listStatus(p) if (n := x.getPath().getName()).startswith("__bucket=")}
+            old = tables.get(table, {"folders": {}, "schema": StructType().jsonValue()})
+            kept = old["folders"] if append else {} if touched is None else {b: ps for b, ps in old["folders"].items() if int(b) not in touched}
+            schema = StructType.fromJson(old["schema"])
+            for f in df.schema.fields:
+                schema = schema if f.name in schema.names else schema.add(f.name, f.dataType, True)
+            tables[table] = {"schema": schema.jsonValue(), "folders": {b: kept.get(b, []) + new.get(b, []) for b in {*kept, *new}}}
+        self._publish(state | {"tables": tables, "batch": state["batch"] if batch is None else batch})
 
-    def write(self, table: str, df: DataFrame) -> None:
-        now = self._current(table)
-        n = int(now.rpartition("v=")[2]) + 1 if now else 0
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={n:08d}")
+    def ensure(self, table: str, schema: str) -> bool:
+        """Makes an empty table if there is none; whether there was one."""
+        there = table in self.manifest()["tables"]
+        if not there:
+            self.commit({table: (self.spark.createDataFrame([], schema), None)})
+        return there
 
     def create(self, graph: Graph, title: str, graph_id: str | None = None) -> str:
         """Adds a graph and its metadata row; defaults fill what is missing."""
         graph_id = graph_id or uuid.uuid4().hex
         g = with_defaults(graph.nodes, graph.edges)
-        for table, df in (("nodes", g.nodes), ("edges", g.edges)):
-            df, old = df.withColumn("graph_id", F.lit(graph_id)), self.read(table)
-            self.write(table, df if old is None else old.unionByName(df, allowMissingColumns=True))
         meta = with_row(g.nodes.agg(F.count("*").alias("node_count")), g.edges.agg(F.count("*").alias("edge_count"))).select(F.lit(graph_id).alias("graph_id"), F.lit(title).alias("title"), "node_count", "edge_count")
-        old = self.read("metadata")
-        self.write("metadata", meta if old is None else old.unionByName(meta))
+        named = lambda df: df.withColumn("graph_id", F.lit(graph_id))
+        self.commit({"nodes": (named(g.nodes), None), "edges": (named(g.edges), None), "metadata": (meta, None)}, append=True)
         return graph_id
 
-    def merge(self, graph: Graph, strategy: str = "append") -> None:
+    def merge(self, graph: Graph, strategy: str = "append", batch: int | None = None) -> None:
+        """Merges a graph's nodes and edges in one change; only buckets that it touches are read and rewritten. A numbered
+        batch that is in already has no second effect."""
+        if batch is not None and self.manifest()["batch"] >= batch:
+            return
         g = with_defaults(graph.nodes, graph.edges)
-        for table, df, merge in (("nodes", g.nodes, merge_nodes), ("edges", g.edges, merge_edges)):
-            old = self.read(table)
-            self.write(table, df if old is None else merge(old, df, strategy))
+        changes = {}
+        for table, df, merged in (("nodes", g.nodes, merge_nodes), ("edges", g.edges, merge_edges)):
+            touched = None if strategy == "replace" else self._touched(table, df)
+            old = self.read(table, touched)
+            changes[table] = (merged(df.limit(0) if old is None else old, df, strategy), touched)
+        self.commit(changes, batch=batch)
+
+    def create_edge(self, src: str, dst: str, weight: float | None = None, relationship_type: str | None = None) -> None:
+        """One more edge, whether the pair has others or not."""
+        row = self.spark.createDataFrame([(src, dst, weight or 1.0, relationship_type or "RELATED_TO")], "src string, dst string, weight double, relationship_type string")
+        self.commit({"edges": (row, None)}, append=True)
+
+    def update_node(self, id: str, **values: object) -> None:  # noqa: A002
+        """Sets columns of a node, and updated_at."""
+        nodes = self.read("nodes")
+        known = {c: v for c, v in values.items() if c in nodes.columns}
+        changed = lambda df: update_node(df, id, **known)
+        hit = nodes.where(F.col("id") == id)
+        touched = sorted({*self._touched("nodes", hit), *self._touched("nodes", changed(hit))})
+        old = self.read("nodes", touched)
+        old = old if "updated_at" in old.columns else old.withColumn("updated_at", F.lit(None).cast("timestamp"))
+        self.commit({"nodes": (changed(old).withColumn("updated_at", F.when(F.col("id") == id, F.current_timestamp()).otherwise(F.col("updated_at"))), touched)})
 
     def delete_node(self, id: str) -> None:  # noqa: A002
-        g = delete_nodes(Graph(self.read("nodes"), self.read("edges")), self.spark.createDataFrame([(id,)], "id string"))
-        self.write("edges", g.edges)
-        self.write("nodes", g.nodes)
+        """Removes a node and every edge that touches it, in one change."""
+        changes = {}
+        for table, hit in (("nodes", F.col("id") == id), ("edges", (F.col("src") == id) | (F.col("dst") == id))):
+            touched = self._touched(table, self.read(table).where(hit))
+            changes[table] = (self.read(table, touched).where(~F.coalesce(hit, F.lit(False))), touched)
+        self.commit(changes)
+
+    def set_status(self, upload_id: str, status: str, **about: str) -> None:
+        """Adds or updates the record of an upload: the named fields change, the others stay."""
+        fields = ("filename", "file_type", "method", "graph_id", "error")
+        new = self.spark.createDataFrame([(upload_id, status, *(about.get(f) for f in fields))], "upload_id string, status string, " + ", ".join(f"{f} string" for f in fields))
+        new = new.withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
+        touched = self._touched("uploads", new)
+        old = self.read("uploads", touched)
+        if old is not None:
+            o = old.select(*[F.col(c).alias(f"__{c}") for c in old.columns])
+            mine = [F.coalesce("__created_at", "created_at").alias(c) if c == "created_at" else F.coalesce(c, F.col(f"__{c}")).alias(c) for c in new.columns]
+            new = new.join(o, F.col("upload_id") == F.col("__upload_id"), "left").select(*mine).unionByName(old.where(F.col("upload_id") != upload_id))
+        self.commit({"uploads": (new, touched)})
+
+    def save_analysis(self, analysis_id: str, analysis_type: str, graph_id: str | None, parameters: dict, results: dict, processing_time: float | None = None) -> bool:
+        """Keeps a result under its id; False if there is one already, which stays."""
+        row = self.spark.createDataFrame([(analysis_id, analysis_type, graph_id, json.dumps(parameters), json.dumps(results), processing_time)], "analysis_id string, analysis_type string, graph_id string, parameters string, results string, processing_time double")
+        row = row.withColumn("created_at", F.current_timestamp())
+        old = self.read("analyses", self._touched("analyses", row))
+        if old is not None and not old.where(F.col("analysis_id") == analysis_id).isEmpty():
+            return False
+        self.commit({"analyses": (row, None)}, append=True)
+        return True
+
+    def analyses(self, part_of_id: str) -> DataFrame:
+        """Results whose id contains the text."""
+        return self.read("analyses").where(F.contains("analysis_id", F.lit(part_of_id)))
+
+    def export_json(self, path: str) -> None:
+        """Nodes and edges in the client's form, as JSON lines under <path>/nodes and <path>/edges."""
+        self.read("nodes").write.mode("overwrite").json(f"{path}/nodes")
+        self.read("edges").withColumnsRenamed({"src": "source", "dst": "target"}).write.mode("overwrite").json(f"{path}/edges")
 
     def clear(self) -> None:
-        for table in ("nodes", "edges", "metadata"):
-            old = self.read(table)
-            if old is not None:
-                self.write(table, old.limit(0))
+        known = self.manifest()["tables"]
+        self.commit({t: (self.read(t).limit(0), None) for t in ("nodes", "edges", "metadata") if t in known})

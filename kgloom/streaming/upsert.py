@@ -12,13 +12,11 @@ from ..operators.store import GraphStore
 
 def merge_stream(nodes_of, edges: DataFrame, store: GraphStore, checkpoint: str, strategy: str = "update") -> StreamingQuery:  # noqa: ANN001
     """Each micro-batch of edges (and the nodes that nodes_of makes of it) is merged into the store. The batch number is
-    stored with it, so a batch that is replayed after a failure has no second effect."""
+    published in the same manifest as its rows, so a batch that is replayed after a failure has no second effect."""
     def run(batch: DataFrame, number: int) -> None:
-        done = store.read("batches")
-        if done is not None and not done.where(F.col("batch") >= number).isEmpty():
-            return
-        store.merge(Graph(nodes_of(batch), batch), strategy)
-        store.write("batches", batch.sparkSession.createDataFrame([(number,)], "batch long"))
+        batch = batch.persist()  # read by each table's merge
+        store.merge(Graph(nodes_of(batch), batch), strategy, number)
+        batch.unpersist()
 
     return edges.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
