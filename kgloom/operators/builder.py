@@ -2,15 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import alnum, filled, first_filled, jaccard, nonzero, prettified, round_half_up, slug, tokens
+from ..functions.columns import alnum, filled, first_filled, jaccard, nonzero, number, prettified, round_half_up, slug, tokens
 from .graph import Graph, components
-from .iterate import materialize, with_row
+from .iterate import materialize, numbered, with_row
 from .transform import first_edges
 
 
+#: Fields of loosely keyed objects, and the words that name one when a key contains them; the first counts.
+KEY_WORDS = [("source", "source"), ("target", "target"), ("weight", "weight"), ("label", "label"), ("type", "type"), ("size", "size"), ("id", "id"), ("nodes", "nodes"), ("links", "links"), ("edges", "links"), ("relationship", "links"), ("description", "description"), ("domain", "domain"), ("component", "components"), ("trait", "traits"), ("formula", "formula"), ("quantification", "quantification"), ("frequency", "frequency"), ("maturity", "research_maturity"), ("citation", "citation_potential")]
+
+
+def field_of(key: Column) -> Column:
+    """The field that a loosely written key means, else its letters and digits."""
+    low = F.lower(key)
+    return F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(f)) for w, f in KEY_WORDS], alnum(key))
+
+
+def entries_of(answers: DataFrame, kind: str, text_col: str = "text") -> DataFrame:
+    """(columns of answers but the text, pos, object): the objects (maps of strings) in every top-level list of a JSON answer
+    whose key means `kind` (nodes or links). Text around the outermost braces, such as code fences, is passed over; an answer
+    without readable JSON gives none."""
+    cut = F.regexp_extract(text_col, r"(?s)\{.*\}", 0)
+    lists = F.map_filter(F.from_json(cut, "map<string,string>"), lambda k, v: field_of(k) == kind)
+    items = F.flatten(F.transform(F.map_values(lists), lambda v: F.coalesce(F.from_json(v, "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))))
+    return answers.select(*[c for c in answers.columns if c != text_col], F.posexplode(items).alias("pos", "object"))
+
+
+def repaired(objects: DataFrame, fields: list[str]) -> DataFrame:
+    """Objects (maps of strings) with loosely written keys as columns: the last key that means a field gives it."""
+    named = F.transform(F.map_entries("object"), lambda e: F.struct(field_of(e["key"]).alias("f"), e["value"].alias("v")))
+    pick = lambda f: F.element_at(F.filter("__n", lambda e: (e["f"] == f) & e["v"].isNotNull()), -1)["v"]
+    with_names = objects.withColumn("__n", named)
+    has = lambda f: F.size(F.filter("__n", lambda e: (e["f"] == f) & e["v"].isNotNull())) > 0
+    return with_names.select(*[c for c in objects.columns if c != "object"], *[F.when(has(f), pick(f)).alias(f) for f in fields])
+
+
+def graph_of_answers(answers: DataFrame, text_col: str = "text") -> Graph:
+    """A clean graph of a model's JSON answers: objects with any spelling of their keys are repaired, then built as usual."""
+    nodes = repaired(entries_of(answers, "nodes", text_col), ["id", "label", "size", "type"])
+    links = repaired(entries_of(answers, "links", text_col), ["source", "target", "label", "weight"])
+    raw = nodes.select("pos", "id", "label", F.lit(None).cast("string").alias("name"), number("size").alias("size"), "type")
+    return build(raw, links.select("pos", F.col("source").alias("src"), F.col("target").alias("dst"), "label", number("weight").alias("weight")))
+
+
 def clean_nodes(raw: DataFrame) -> DataFrame:
     """(pos, id, label, size, type) of raw nodes (pos, id, label, name, size, type): those with any name."""
     label = first_filled("label", "name", "id")
@@ -43,34 +80,50 @@ def resolve(links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def densify(nodes: DataFrame, edges: DataFrame, share: float = 0.6) -> DataFrame:
-    """Adds links of weight 2 until there are min(ceil(share N), N (N - 1) / 2): pairs in order of falling size. With k links
-    missing only the first nodes whose pairs could all be needed are looked at, a number of the order of the root of N."""
+    """Adds links of weight 2 until there are min(ceil(share N), N (N - 1) / 2): pairs in order of falling size. As share is at
+    most 1, the pairs of the first two nodes are enough, so what is looked at grows with N."""
+    if share > 1:
+        raise ValueError("share must be at most 1")
     n, have = nodes.count(), edges.count()
     missing = min(-(-n * int(share * 1000) // 1000), n * (n - 1) // 2) - have
     if missing <= 0:
         return edges
-    # node i pairs with all later ones before node i+1 does: the first few nodes make missing + have pairs
-    heads = next(h for h in range(1, n + 1) if h * (n - 1) - h * (h - 1) // 2 >= missing + have or h == n)
-    order = Window.orderBy(F.coalesce("size", F.lit(0)).desc(), "id")
-    ranked = materialize(nodes.select("id", F.row_number().over(order).alias("i")))
-    a, b = ranked.where(F.col("i") <= heads).select(F.col("id").alias("src"), F.col("i").alias("i")), ranked.select(F.col("id").alias("dst"), F.col("i").alias("j"))
+    ranked = numbered(nodes.select("id", "size"), [F.coalesce("size", F.lit(0)).desc(), F.col("id")], "j")
+    heads = [F.struct(F.lit(r["j"]).alias("i"), F.lit(r["id"]).alias("src")) for r in ranked.where("j < 2").orderBy("j").collect()]
     old = edges.select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct()
-    pairs = b.join(F.broadcast(a.limit(heads)), F.col("i") < F.col("j")) if heads <= 1000 else b.join(a, F.col("i") < F.col("j"))
+    pairs = ranked.select(F.col("id").alias("dst"), "j", F.explode(F.array(*heads)).alias("a")).where("a.i < j").select("a.i", "j", "a.src", "dst")
     pairs = pairs.withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst")).join(old, ["lo", "hi"], "left_anti")
-    extra = pairs.orderBy("i", "j").limit(missing).select(F.lit(1 << 30).cast("int").alias("pos"), "src", "dst", F.lit("related_to").alias("label"), F.lit(2.0).alias("weight"))
+    extra = numbered(pairs, ["i", "j"], "place").where(F.col("place") < missing).select(F.lit(1 << 30).cast("int").alias("pos"), "src", "dst", F.lit("related_to").alias("label"), F.lit(2.0).alias("weight"))
     return edges.unionByName(extra)
 
 
-def bridge(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Links every smaller component to the largest at the pair of labels most alike (words shared; none: by id). Labels
-    meet by shared words, so no pair without one is ever made."""
+def _word_sets(ws: str) -> Column:
+    """All non-empty subsets of a sorted array of words, each as one string."""
+    more = lambda acc, w: F.concat(acc, F.transform(acc, lambda x: F.concat(x, w, F.lit(" "))))
+    return F.filter(F.aggregate(ws, F.array(F.lit("")), more), lambda x: x != "")
+
+
+def bridge(nodes: DataFrame, edges: DataFrame, many: int = 8) -> DataFrame:
+    """Links every smaller component to the largest at the pair of labels most alike (Jaccard likeness of words; none shared:
+    by id). Labels with equal words are one row. Of labels with at most `many` words each subset of words keeps only the
+    smallest label of the largest component that has them, as none that shares just these is more alike; so a common word
+    makes no pairs. Labels with more words, which are few, meet by word."""
     comp = materialize(nodes.select("id", "label").join(components(nodes.select("id").distinct(), edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "id"))
     sizes = comp.groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     main = sizes.orderBy(F.desc("n"), "component").limit(1).select(F.col("component").alias("main"), F.col("first").alias("main_first"))
-    words = with_row(comp.withColumn("ws", tokens("label", "[^a-z0-9]+")), main)
-    t = words.select("*", F.explode_outer("ws").alias("w"))
-    inner = t.where("component = main").select("w", F.col("id").alias("dst"), F.col("ws").alias("wb"))
-    pairs = t.where("component <> main").join(inner, "w").select("component", F.col("id").alias("src"), "dst", jaccard(F.col("ws"), F.col("wb")).alias("score"))
+    words = with_row(comp.withColumn("ws", F.array_sort(tokens("label", "[^a-z0-9]+"))), main).where(F.size("ws") > 0)
+    words = materialize(words.groupBy(F.when(F.col("component") != F.col("main"), F.col("component")).alias("component"), "ws").agg(F.min("id").alias("id")).withColumn("k", F.size("ws")))
+    inner = words.where("component is null").select("ws", "k", F.col("id").alias("dst"))
+    outer = words.where("component is not null").select("component", "ws", "k", F.col("id").alias("src"))
+    few = F.col("k") <= many
+    least = inner.where(few).select(F.explode(_word_sets("ws")).alias("s"), "k", "dst").groupBy("s").agg(F.min(F.struct("k", "dst")).alias("m"))
+    asked = outer.where(few).select("component", "src", "k", F.explode(_word_sets("ws")).alias("s"))
+    shared = F.size(F.split(F.trim("s"), " "))
+    pairs = asked.join(least, "s").select("component", "src", F.col("m.dst").alias("dst"), (shared / (F.col("k") + F.col("m.k") - shared)).alias("score"))
+    word = lambda df: df.select("*", F.explode("ws").alias("w"))
+    rows = lambda df, k, w: df.withColumnRenamed("k", k).withColumnRenamed("ws", w)
+    long_ = rows(word(outer), "ka", "wa").join(rows(word(inner), "kb", "wb"), "w").where((F.col("ka") > many) | (F.col("kb") > many))
+    pairs = pairs.unionByName(long_.select("component", "src", "dst", jaccard(F.col("wa"), F.col("wb")).alias("score")))
     best = pairs.groupBy("component").agg(F.min(F.struct((-F.col("score")).alias("s"), "src", "dst")).alias("x"))
     rest = with_row(sizes, main).where("component <> main").join(best, "component", "left")
     score = F.coalesce(-F.col("x.s"), F.lit(0.0))

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_filled
-from .iterate import components, materialize
+from .iterate import components, materialize, numbered
 
 
 @dataclass(frozen=True)
@@ -124,12 +124,14 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(id, level): ids within depth steps in any direction of the start ids, with their least distance."""
-    adj = materialize(endpoints(edges).distinct())
+    """(id, level): ids within depth steps in any direction of the start ids, with their least distance. Each step reads the
+    edges once in each direction and keeps only ids that it reaches."""
+    e = edges.select("src", "dst")
     seen = materialize(start.select("id").distinct().withColumn("level", F.lit(0)))
     front = seen
     for level in range(1, depth + 1):
-        reached = front.join(adj, "id").select(F.col("other").alias("id")).distinct()
+        at = front.select(F.col("id").alias("__at"))
+        reached = e.join(at, F.col("src") == F.col("__at"), "left_semi").select(F.col("dst").alias("id")).unionByName(e.join(at, F.col("dst") == F.col("__at"), "left_semi").select(F.col("src").alias("id"))).distinct()
         front = materialize(reached.join(seen, "id", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
@@ -170,8 +172,26 @@ def paths(edges: DataFrame, src: str, dst: str | None = None, max_length: int =
     return out if dst is None else out.where(F.col("at") == dst)
 
 
-def shortest_path(edges: DataFrame, src: str, dst: str, max_length: int = 5) -> DataFrame:
-    return paths(edges, src, dst, max_length).orderBy("length", "total_weight", "vertices").limit(1)
+def shortest_path(edges: DataFrame, src: str, dst: str | Column, max_length: int = 5) -> DataFrame:
+    """The first of the paths that paths() lists by length, total weight and vertices, to a vertex or to any that meets a
+    condition on `at`; none within max_length: no row. A vertex keeps only the best path of the step that reaches it first,
+    and the search ends at the first step that reaches a target, so rows are vertices, not walks."""
+    goal = F.col("at") == dst if isinstance(dst, str) else dst
+    e = edges.select("src", "dst", "weight", "relationship_type")
+    both = F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to")))
+    front = edges.sparkSession.createDataFrame([(src,)], "at string").select("at", F.array("at").alias("vertices"), F.array().cast("array<string>").alias("types"), F.lit(0).alias("length"), F.lit(0.0).alias("total_weight"))
+    seen = front.select("at")
+    for n in range(1, max_length + 1):
+        step = e.select(F.explode(both).alias("e"), "weight", "relationship_type").select("e.at", "e.to", "weight", "relationship_type")
+        more = front.join(step, "at").join(seen.select(F.col("at").alias("to")), "to", "left_anti")
+        path = F.struct((F.col("total_weight") + F.coalesce("weight", F.lit(1))).alias("total_weight"), F.concat("vertices", F.array("to")).alias("vertices"), F.concat("types", F.array("relationship_type")).alias("types"))
+        best = more.select("to", path.alias("p")).groupBy("to").agg(F.min("p").alias("p"))
+        front = materialize(best.select(F.col("to").alias("at"), "p.vertices", "p.types", F.lit(n).alias("length"), "p.total_weight"))
+        seen = seen.unionByName(front.select("at"))
+        found = front.where(goal)
+        if not found.isEmpty() or front.isEmpty():
+            return found.orderBy("total_weight", "vertices").limit(1)
+    return front.limit(0)
 
 
 def connected(graph: Graph) -> DataFrame:
@@ -184,17 +204,16 @@ def communities(graph: Graph) -> DataFrame:
     """Components of two nodes or more: community number (by least id), its size, and its nodes."""
     c = materialize(connected(graph))
     groups = c.groupBy("component").agg(F.count("*").alias("community_size")).where("community_size > 1")
-    ranked = groups.withColumn("community", (F.row_number().over(Window.orderBy("component")) - 1).cast("long"))
+    ranked = numbered(groups, ["component"], "community")
     return c.join(ranked, "component").select("community", "community_size", "id")
 
 
 def named_clusters(graph: Graph) -> DataFrame:
     """Components named by their largest node, as '<label> Group' and 'n connected concepts'."""
     c = graph.nodes.join(connected(graph), "id")
-    g = c.groupBy("component").agg(F.max_by("label", F.struct(F.coalesce("size", F.lit(0.0)), F.hash("id"))).alias("__l"), F.count("*").alias("n_nodes"), F.max(F.coalesce("size", F.lit(0.0))).alias("top_size"))
-    top = Window.partitionBy("component").orderBy(F.coalesce("size", F.lit(0.0)).desc(), "id")
-    names = c.withColumn("rn", F.row_number().over(top)).where("rn = 1").select("component", "label")
-    return g.join(names, "component").select("component", F.concat("label", F.lit(" Group")).alias("name"), "n_nodes", F.concat(F.col("n_nodes").cast("string"), F.lit(" connected concepts")).alias("description"))
+    largest = F.min_by("label", F.struct((-F.coalesce("size", F.lit(0.0))).alias("s"), "id"))
+    g = c.groupBy("component").agg(largest.alias("label"), F.count("*").alias("n_nodes"))
+    return g.select("component", F.concat("label", F.lit(" Group")).alias("name"), "n_nodes", F.concat(F.col("n_nodes").cast("string"), F.lit(" connected concepts")).alias("description"))
 
 
 def resolve_clusters(nodes: DataFrame, clusters: DataFrame) -> DataFrame:

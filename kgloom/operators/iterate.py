@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -11,11 +12,15 @@ from pyspark.sql import functions as F
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint, so that lost executors never force a whole recomputation.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is set.
+    The folder is the session's spark.checkpoint.dir; where that is unset, a temporary one is set in local mode (tests on one
+    machine) and on a cluster, whose machines don't share one, it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kgloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -24,7 +29,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
 
     Alternates large-star and small-star rounds (both are a min per key, which Spark combines before its shuffle)
     until the edges form stars. Nodes must be distinct; ids on an edge must be in nodes. Self-loops and repeated
-    edges are harmless; no edges: every node is its own component.
+    edges are harmless; no edges: every node is its own component. Rounds grow with the logarithm of the longest path;
+    edges that are no stars after max_rounds are an error.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -41,10 +47,25 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components were not found in {max_rounds} rounds")
     star = e.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(star, nodes["id"] == star["u"], "left").select("id", F.coalesce("m", "id").alias("component"))
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with the place of each row in an order, from 0: rows are sorted in ranges, counted by range and numbered from where
+    their range begins, so no task sees them all. Order by something unique for a definite result."""
+    inner = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # place within the partition
+    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__range"), inner.alias("__place")))
+    begin, bases = 0, []
+    for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # one row a partition
+        bases.append((r["__range"], begin))
+        begin += r["n"]
+    base = df.sparkSession.createDataFrame(bases, "__range int, __base long")
+    return ranged.join(F.broadcast(base), "__range").withColumn(name, F.col("__base") + F.col("__place")).drop("__range", "__place", "__base")
+
+
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """df with the columns of a table of one row (nulls if it has none), as a scalar subquery: no join is planned."""
     one = row.select(F.struct(*[F.col(c) for c in row.columns]).alias("one")).scalar()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import jaccard, tokens
 from .graph import Graph, adjacency, connected, drop_dangling, endpoints, top_by
-from .iterate import materialize, with_row
+from .iterate import materialize, numbered, with_row
 
 
 def structure(graph: Graph) -> DataFrame:
@@ -49,8 +49,8 @@ def isolated_nodes(graph: Graph, k: int = 10) -> DataFrame:
 
 
 def hubs(graph: Graph, share: float = 0.1) -> DataFrame:
-    """The ceil(share N) nodes of highest degree. The cut is found from the degree histogram, so no task ranks all nodes;
-    only the nodes of the last degree are ranked."""
+    """The ceil(share N) nodes of highest degree. The cut is found from the degree histogram; the nodes of the last degree are
+    numbered by id in ranges."""
     d = materialize(degrees(graph))
     total = d.count()
     want = -(-total * int(round(share * 1000)) // 1000)
@@ -62,7 +62,7 @@ def hubs(graph: Graph, share: float = 0.1) -> DataFrame:
         above += r["count"]
     if cut is None:
         return d.limit(0)
-    return d.where(F.col("degree") > cut).unionByName(d.where(F.col("degree") == cut).orderBy("id").limit(want - above))
+    return d.where(F.col("degree") > cut).unionByName(numbered(d.where(F.col("degree") == cut), ["id"], "__place").where(F.col("__place") < want - above).drop("__place"))
 
 
 def degree_centrality(graph: Graph) -> DataFrame:
