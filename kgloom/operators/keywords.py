@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp
-from .iterate import with_row
+from .iterate import materialize, with_row
 
 
 def words(text: Column) -> Column:
@@ -16,8 +18,9 @@ def words(text: Column) -> Column:
 
 
 def top_keywords(docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, keyword, n, rank): each document's k most frequent words, earlier ones first of equal ones."""
-    w = docs.select(id_col, F.posexplode(words(F.col(text_col))).alias("pos", "keyword"))
+    """(id_col, keyword, n, rank): each document's k most frequent words, earlier ones first of equal ones. Documents are dealt
+    by id once, which serves the count and the ranking."""
+    w = docs.repartition(id_col).select(id_col, F.posexplode(words(F.col(text_col))).alias("pos", "keyword"))
     n = w.groupBy(id_col, "keyword").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "first_pos"))
     return n.withColumn("rank", rank).where(F.col("rank") <= k).select(id_col, "keyword", "n", "rank")
@@ -26,11 +29,11 @@ def top_keywords(docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col:
 def weighted_keywords(docs: DataFrame, stopwords: list[str], k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, keyword, score, rank): words without stopwords and pure digits, and pairs of neighbours among the kept
     words (6 to 29 characters) at eight tenths of a word's weight. Hangul counts as letters."""
-    parts = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^A-Za-z0-9_\s가-힣]", " "), r"\s+")
-    stop = F.array(*map(F.lit, stopwords)) if stopwords else F.array().cast("array<string>")
-    kept = F.filter(parts, lambda w: (F.char_length(w) > 2) & ~F.array_contains(stop, w) & ~w.rlike(r"^\d+$"))
-    d = docs.select(id_col, kept.alias("__w")).withColumn("__n", F.size("__w"))
-    pairs = F.filter(F.transform(F.when(F.col("__n") > 1, F.sequence(F.lit(0), F.col("__n") - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws(" ", F.get("__w", i), F.get("__w", i + 1))), lambda p: (F.char_length(p) > 5) & (F.char_length(p) < 30))
+    parts = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^A-Za-z0-9_\s가-힣]+", " "), r"\s+")
+    kept = F.filter(parts, lambda w: (F.char_length(w) > 2) & ~w.isin(stopwords) & (F.translate(w, "0123456789", "") != ""))
+    d = docs.repartition(id_col).select(id_col, kept.alias("__w"))
+    pairs = F.zip_with("__w", F.slice("__w", 2, F.greatest(F.size("__w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))  # null after the last
+    pairs = F.filter(pairs, lambda p: (F.char_length(p) > 5) & (F.char_length(p) < 30))
     items = F.concat(F.transform("__w", lambda w: F.struct(w.alias("keyword"), F.lit(1.0).alias("s"))), F.transform(pairs, lambda p: F.struct(p.alias("keyword"), F.lit(0.8).alias("s"))))
     x = d.select(id_col, F.posexplode(items).alias("pos", "x")).select(id_col, "pos", "x.keyword", "x.s")
     n = x.groupBy(id_col, "keyword").agg(F.round(F.sum("s"), 6).alias("score"), F.min("pos").alias("first_pos"))
@@ -73,6 +76,7 @@ def keyword_nodes(paper_kw: DataFrame, papers: DataFrame, min_frequency: int = 2
 def cooccurrence(paper_kw: DataFrame, min_frequency: int = 2) -> DataFrame:
     """(a, b, weight): pairs of keywords in one paper, a < b, with the number of papers. Pairs are made inside each
     paper's bounded keyword list and summed before the shuffle."""
+    paper_kw = materialize(paper_kw)
     common = paper_kw.groupBy("keyword").agg(F.count("*").alias("n")).where(F.col("n") >= min_frequency).select("keyword")
     lists = paper_kw.join(common, "keyword").groupBy("paper_ix").agg(F.array_sort(F.collect_set("keyword")).alias("ks"))
     pairs = F.flatten(F.transform("ks", lambda a, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
@@ -82,7 +86,6 @@ def cooccurrence(paper_kw: DataFrame, min_frequency: int = 2) -> DataFrame:
 def keyword_graph(papers: DataFrame, max_keywords: int = 10, min_frequency: int = 2):  # noqa: ANN201
     """Keywords as nodes and their co-occurrence as edges."""
     from .graph import Graph
-    from .iterate import materialize
 
     kw = materialize(paper_keywords(papers, max_keywords))
     n = keyword_nodes(kw, papers, min_frequency)
@@ -105,3 +108,32 @@ def field_graph_nodes(papers: DataFrame, last_year: int) -> DataFrame:
     x = papers.select(F.explode(items).alias("x"), year.alias("y"), F.coalesce(F.col("citations").cast("double"), F.lit(0.0)).alias("c")).select("x.*", "y", "c")
     g = x.groupBy("id", "kind", "label").agg(F.count("*").alias("frequency"), F.sum("c").alias("citations"), F.min("y").alias("first_year"), F.max("y").alias("last_year"))
     return g.withColumn("size", clamp(6 * F.log(F.col("frequency") + 1.0) + 0.3 * F.log(F.col("citations") + 1.0), 8.0, 45.0))
+
+
+#: Request names of the options of a CSV run.
+OPTION_NAMES = {"max_keywords": "maxKeywords", "min_frequency": "minFrequency", "include_authors": "includeAuthors", "include_journals": "includeJournals", "max_nodes": "maxNodes", "min_weight": "minWeight"}
+
+
+def csv_options(given: dict | str | None) -> dict:
+    """Options by their own names, with defaults where they are missing or zero; text is read as JSON, unreadable text counts
+    as none."""
+    if isinstance(given, str):
+        try:
+            given = json.loads(given)
+        except ValueError:
+            given = {}
+    named = {OPTION_NAMES.get(k, k): v for k, v in (given or {}).items()}
+    return named | {"maxKeywords": named.get("maxKeywords") or 10, "minFrequency": named.get("minFrequency") or 2, "includeAuthors": named.get("includeAuthors") is not False, "includeJournals": named.get("includeJournals") is not False}
+
+
+def csv_graph(papers: DataFrame, name: str, options: dict | str | None = None):  # noqa: ANN201
+    """(graph, metadata row) of a paper file: keywords and their co-occurrence, and a title that names the file. papers: title,
+    abstract, keywords as strings. A file without rows is an error."""
+    o = csv_options(options)
+    rows = papers.withColumn("paper_ix", F.monotonically_increasing_id())
+    rows = materialize(rows)
+    n = rows.count()
+    if not n:
+        raise ValueError(f"{name} holds no rows")
+    meta = papers.sparkSession.createDataFrame([(f"Knowledge Graph from {name}", f"Generated from CSV file with {n} rows", n)], "title string, description string, source_papers long")
+    return keyword_graph(rows, o["maxKeywords"], o["minFrequency"]), meta

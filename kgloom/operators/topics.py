@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import contains_any, first_filled, leading_int, occurrences, word_match
 from ..functions.dictionaries import PERIODS, TOPIC_KEYWORDS
 from .graph import Graph
-from .iterate import with_row
+from .iterate import numbered, with_row
 
 
 def valid_papers(papers: DataFrame, first: int = 1995, last: int = 2025) -> DataFrame:
@@ -32,11 +34,22 @@ def cleaned(title: Column, abstract: Column) -> Column:
 
 
 def topic_matches(papers: DataFrame, topics: dict[str, list[str]] = TOPIC_KEYWORDS) -> DataFrame:
-    """(paper_ix, pub_year, topic): each topic with a keyword in the paper, as a whole word. The text is scanned once for
-    each topic; one row per match leaves."""
-    flags = [F.when(word_match(F.col("__t"), *words), F.lit(t)) for t, words in topics.items()]
-    found = papers.select("paper_ix", "pub_year", cleaned(F.col("title"), F.col("abstract")).alias("__t")).select("paper_ix", "pub_year", F.explode(F.array_compact(F.array(*flags))).alias("topic"))
-    return found
+    """(paper_ix, pub_year, topic): each topic with a keyword in the paper, as a whole word. A text is cut to words once and
+    these are looked up for each topic; keywords of several words are searched only where their first word stands. One row
+    per match leaves."""
+    cut = re.compile(r"[^A-Za-z0-9_]+")
+
+    def found(words: list[str]) -> Column:
+        single, longer = [w for w in words if not cut.search(w)], [w for w in words if cut.search(w)]
+        there = lambda ws: F.arrays_overlap("__ws", F.array(*map(F.lit, ws)))
+        c = there(single) if single else F.lit(False)
+        return c | (there(sorted({cut.split(w)[0] for w in longer})) & word_match(F.col("__t"), *longer)) if longer else c
+
+    flags = [F.when(found(words), F.lit(t)) for t, words in topics.items()]
+    title, abstract = F.col("title"), F.col("abstract")
+    raw = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit(""))))
+    texts = papers.select("paper_ix", "pub_year", F.split(raw, cut.pattern).alias("__ws"), cleaned(title, abstract).alias("__t"))
+    return texts.select("paper_ix", "pub_year", F.explode(F.array_compact(F.array(*flags))).alias("topic"))
 
 
 def coverage(papers: DataFrame, topics: dict[str, list[str]] = TOPIC_KEYWORDS) -> DataFrame:
@@ -158,9 +171,10 @@ def class_relationships(graph: Graph) -> DataFrame:
 
 
 def papers_of_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes as papers: title, abstract and year with their defaults."""
+    """Nodes as papers: title, abstract and year with their defaults, numbered by id where they have no number."""
+    if "paper_ix" not in nodes.columns:
+        nodes = numbered(nodes, ["id"], "paper_ix")
     names = set(nodes.columns)
     extra = [F.col(c) for c in ("description", "abstract") if c in names]
     year = F.col("pub_year").cast("int") if "pub_year" in names else F.lit(2020)
-    ix = F.row_number().over(Window.orderBy("id")) - 1 if "paper_ix" not in names else F.col("paper_ix")
-    return nodes.select(ix.alias("paper_ix"), first_filled("label", *(["name"] if "name" in names else []), F.concat(F.lit("Node "), F.col("id"))).alias("title"), first_filled(*extra, F.lit("")).alias("abstract") if extra else F.lit("").alias("abstract"), F.coalesce(year, F.lit(2020)).alias("pub_year"))
+    return nodes.select("paper_ix", first_filled("label", *(["name"] if "name" in names else []), F.concat(F.lit("Node "), F.col("id"))).alias("title"), first_filled(*extra, F.lit("")).alias("abstract") if extra else F.lit("").alias("abstract"), F.coalesce(year, F.lit(2020)).alias("pub_year"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import first_filled, header_name, node_size, nonzero, clamp
 from ..functions.dictionaries import FILE_KINDS
+from ..operators.builder import migrated_graph
 from ..operators.graph import Graph
 
 
@@ -122,6 +123,28 @@ def read_many(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFra
     return papers if papers is not None else empty, spark.createDataFrame(status, "path string, status string, error string")
 
 
+def migrate_folder(spark: SparkSession, folder: str, store, kind: str | None = None, dry_run: bool = False) -> DataFrame:  # noqa: ANN001
+    """Every graph (JSON) and paper (CSV) file of a folder into a store, one graph each: (path, status, error, nodes, edges) per
+    file. A file that fails doesn't stop the others; a dry run only counts."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = sorted(x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if x.isFile())
+    status = []
+    for name in (n for n in names if (n.endswith(f".{kind}") if kind else n.lower().endswith((".json", ".csv")))):
+        path = f"{folder}/{name}"
+        try:
+            if (kind or name.rpartition(".")[2]).lower() == "json":
+                g = read_graph_json(spark, path)
+            else:
+                g = migrated_graph(papers_of(read_csv(spark, path)).withColumn("row_ix", F.monotonically_increasing_id()))
+            found = (g.nodes.count(), g.edges.count())
+            if not dry_run:
+                store.create(g, name)
+            status.append((path, "read" if dry_run else "stored", None, *found))
+        except Exception as e:  # noqa: BLE001
+            status.append((path, "failed", str(e)[:200], None, None))
+    return spark.createDataFrame(status, "path string, status string, error string, nodes long, edges long")
+
+
 def char_budget_sample(rows: DataFrame, budget: int = 300_000, seed: int = 42, text_col: str = "value", header_chars: int = 0) -> DataFrame:
     """Rows in seeded random order as long as their running length (one more for each) fits the budget; all if all fit.
     The kept prefix is at most budget characters, so only that much is ever ordered in one task: rows are first cut to the

@@ -64,13 +64,6 @@ def geo_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes(spark, sf_dir).where("type in ('supplier', 'customer', 'nation', 'region')"), place_edges(spark, sf_dir))
 
 
-def touched_graph(spark: SparkSession, sf_dir: str, min_weight: int) -> Graph:
-    """The supply graph at a weight, with only the nodes on its edges."""
-    e = supply_edges(spark, sf_dir, min_weight)
-    ids = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return Graph(nodes(spark, sf_dir).join(ids, "id", "left_semi"), e)
-
-
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as papers: the first line is the title, the rest the abstract, the year comes from the id."""
     d = table(spark, sf_dir, "documents")
