@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.dictionaries import NODE_TYPE_ALIASES, NODE_TYPES, PERIODS, RELATIONSHIP_ALIASES, RELATIONSHIP_TYPES
+from ..functions.dictionaries import CITATION_PATTERNS, NODE_TYPE_ALIASES, NODE_TYPES, PERIODS, RELATIONSHIP_ALIASES, RELATIONSHIP_TYPES, TOPIC_KEYWORDS
 from ..operators import builder, extract, graph, keywords, metrics, store, topics, transform
 from ..operators.iterate import with_row
 from ..sources import readers, tables
@@ -31,9 +31,7 @@ VIEWS = {
       UNION ALL SELECT 'nation_' || n_nationkey, 'region_' || n_regionkey, 1.0, 'PART_OF' FROM nation""",
     "g_edges": "SELECT * FROM supply UNION ALL SELECT * FROM places",
     "geo_nodes": "SELECT * FROM g_nodes WHERE type IN ('supplier', 'customer', 'nation', 'region')",
-    "s3": "SELECT * FROM supply WHERE weight >= 3",
-    "s3_nodes": "SELECT * FROM g_nodes WHERE id IN (SELECT src FROM s3 UNION SELECT dst FROM s3)",
-    "s3_both": "SELECT src AS a, dst AS b FROM s3 UNION SELECT dst, src FROM s3",
+    "g_both": "SELECT src AS a, dst AS b FROM g_edges WHERE src <> dst UNION SELECT dst, src FROM g_edges WHERE src <> dst",
     "degrees": """SELECT n.id, n.label, n.type, count(e.other) AS degree FROM g_nodes n LEFT JOIN
       (SELECT src AS id, dst AS other FROM g_edges UNION ALL SELECT dst, src FROM g_edges WHERE src <> dst) e ON n.id = e.id GROUP BY n.id, n.label, n.type""",
     "papers": """SELECT doc_id AS paper_ix, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract,
@@ -153,9 +151,9 @@ def type_counts(s, d):
     return metrics.type_counts(tables.nodes(s, d))
 
 
-@query("SELECT coalesce(type, 'unknown') AS type, count(*) AS n, list_sort(list(id)) AS ids FROM geo_nodes WHERE type <> 'customer' GROUP BY 1", "geo_nodes")
+@query("SELECT coalesce(type, 'unknown') AS type, count(*) AS n, list_sort(list(id)) AS ids FROM g_nodes GROUP BY 1", "g_nodes")
 def nodes_by_type(s, d):
-    return metrics.by_type(tables.geo_graph(s, d).nodes.where("type <> 'customer'"))
+    return metrics.by_type(tables.nodes(s, d))
 
 
 @query("SELECT relationship_type, count(*) AS n FROM g_edges GROUP BY 1", "g_edges")
@@ -192,9 +190,10 @@ def hubs(s, d):
     return metrics.hubs(tables.graph(s, d)).select("id", "label", "degree")
 
 
-@query("SELECT id FROM (SELECT n.id FROM g_nodes n WHERE n.id NOT IN (SELECT src FROM s3 UNION SELECT dst FROM s3)) ORDER BY id LIMIT 10", "g_nodes", "s3")
+@query("SELECT id FROM g_nodes WHERE id NOT IN (SELECT src FROM places UNION SELECT dst FROM places) ORDER BY id LIMIT 10", "g_nodes", "places")
 def isolated_nodes(s, d):
-    return metrics.isolated_nodes(tables.graph(s, d, 3, places=False)).select("id")
+    """All nodes, which place edges alone leave partly unlinked."""
+    return metrics.isolated_nodes(graph.Graph(tables.nodes(s, d), tables.place_edges(s, d))).select("id")
 
 
 @query("SELECT id, label, degree * degree AS betweenness FROM degrees", "degrees")
@@ -217,9 +216,9 @@ def feature_clusters(s, d):
     return metrics.feature_clusters(tables.nodes(s, d))
 
 
-@query("SELECT id, list_sort(list(DISTINCT other)) AS neighbours FROM (SELECT src AS id, dst AS other FROM s3 UNION ALL SELECT dst, src FROM s3) GROUP BY id", "s3")
+@query("SELECT a AS id, list_sort(list(DISTINCT b)) AS neighbours FROM (SELECT src AS a, dst AS b FROM g_edges UNION ALL SELECT dst, src FROM g_edges) GROUP BY a", "g_edges")
 def adjacency(s, d):
-    return graph.adjacency(tables.supply_edges(s, d, 3))
+    return graph.adjacency(tables.graph(s, d).edges)
 
 
 @query("SELECT count(*) AS communities, round(sum(coalesce(i.internal, 0) / e.e - pow(z.n * (z.n - 1) / (2.0 * e.e), 2)), 9) AS modularity FROM (SELECT type, count(*) AS n FROM g_nodes GROUP BY type) z CROSS JOIN (SELECT count(*)::DOUBLE AS e FROM g_edges) e LEFT JOIN (SELECT a.type, count(*)::DOUBLE AS internal FROM g_edges x JOIN g_nodes a ON x.src = a.id JOIN g_nodes b ON x.dst = b.id WHERE a.type = b.type GROUP BY 1) i ON z.type = i.type", "g_nodes", "g_edges")
@@ -234,85 +233,84 @@ def hop(start: str, edges: str, depth: int) -> str:
     return f"hop(id, level) AS (SELECT '{start}', 0 UNION SELECT e.b, h.level + 1 FROM hop h JOIN (SELECT src AS a, dst AS b FROM {edges} UNION ALL SELECT dst, src FROM {edges}) e ON e.a = h.id WHERE h.level < {depth})"
 
 
-@query("SELECT id, min(level)::INT AS level FROM hop GROUP BY id", "places", recursive=hop("region_0", "places", 2))
+@query("SELECT id, min(level)::INT AS level FROM hop GROUP BY id", "g_edges", recursive=hop("region_0", "g_edges", 3))
 def k_hop(s, d):
-    return graph.k_hop(tables.place_edges(s, d), s.createDataFrame([("region_0",)], "id string"), 2)
+    return graph.k_hop(tables.graph(s, d).edges, s.createDataFrame([("region_0",)], "id string"), 3)
 
 
-@query("SELECT DISTINCT e.* FROM places e JOIN (SELECT id, min(level) AS level FROM hop GROUP BY id) h ON (e.src = h.id OR e.dst = h.id) WHERE h.level < 2", "places", recursive=hop("nation_1", "places", 2))
+@query("SELECT DISTINCT e.* FROM g_edges e JOIN (SELECT id, min(level) AS level FROM hop GROUP BY id) h ON (e.src = h.id OR e.dst = h.id) WHERE h.level < 2", "g_edges", recursive=hop("nation_1", "g_edges", 2))
 def subgraph_edges(s, d):
-    return graph.subgraph(tables.geo_graph(s, d), "nation_1", 2).edges
+    return graph.subgraph(tables.graph(s, d), "nation_1", 2).edges
 
 
-@query("SELECT id, min(level)::INT AS level FROM hop GROUP BY id HAVING min(level) > 0", "places", recursive=hop("nation_2", "places", 2))
+@query("SELECT id, min(level)::INT AS level FROM hop GROUP BY id HAVING min(level) > 0", "g_edges", recursive=hop("nation_2", "g_edges", 2))
 def neighbour_levels(s, d):
-    return graph.neighbour_levels(tables.place_edges(s, d), "nation_2")
+    return graph.neighbour_levels(tables.graph(s, d).edges, "nation_2")
 
 
-WALK = """step AS (SELECT src || '>' || dst AS e, src AS a, dst AS b, weight, relationship_type AS t FROM places WHERE src NOT LIKE 'customer%' UNION ALL SELECT src || '>' || dst, dst, src, weight, relationship_type FROM places WHERE src NOT LIKE 'customer%'),
+WALK = """step AS (SELECT src || '>' || dst AS e, src AS a, dst AS b, weight, relationship_type AS t FROM places UNION ALL SELECT src || '>' || dst, dst, src, weight, relationship_type FROM places),
   walk(place, vertices, types, used, length, total_weight) AS (SELECT 'supplier_1', ['supplier_1'], []::VARCHAR[], []::VARCHAR[], 0, 0.0::DOUBLE
   UNION ALL SELECT s.b, list_append(w.vertices, s.b), list_append(w.types, s.t), list_append(w.used, s.e), w.length + 1, w.total_weight + s.weight FROM walk w JOIN step s ON s.a = w.place WHERE w.length < 3 AND NOT list_contains(w.used, s.e))"""
 
 
 @query("SELECT place AS \"at\", vertices, types, length, total_weight FROM walk WHERE length > 0", "places", recursive=WALK)
 def paths(s, d):
-    return graph.paths(tables.place_edges(s, d).where("src not like 'customer%'"), "supplier_1", None, 3)
+    return graph.paths(tables.place_edges(s, d), "supplier_1", None, 3)
 
 
 @query("SELECT place AS \"at\", vertices, types, length, total_weight FROM walk WHERE place LIKE 'region%' AND length > 0 ORDER BY length, total_weight, vertices LIMIT 1", "places", recursive=WALK)
 def shortest_path(s, d):
-    e = tables.place_edges(s, d).where("src not like 'customer%'")
-    return graph.paths(e, "supplier_1", None, 3).where("at like 'region%'").orderBy("length", "total_weight", "vertices").limit(1)
+    return graph.shortest_path(tables.place_edges(s, d), "supplier_1", F.col("at").like("region%"), 3).select("at", "vertices", "types", "length", "total_weight")
 
 
-REACH = "reach(id, root) AS (SELECT id, id FROM s3_nodes UNION SELECT e.b, r.root FROM reach r JOIN s3_both e ON e.a = r.id WHERE e.b > r.root)"
-COMP = "(SELECT id, min(root) AS component FROM reach GROUP BY id)"
-REACH_ALL = "reach(id, root) AS (SELECT id, id FROM s3_nodes UNION SELECT e.b, r.root FROM reach r JOIN s3_both e ON e.a = r.id)"
+# Components in SQL: rounds of the least name among a node and its neighbours, more than the test graphs' longest paths.
+ROUND = "m{j} AS MATERIALIZED (SELECT n.id, least(n.c, coalesce(min(p.c), n.c)) AS c FROM m{i} n LEFT JOIN both_ways e ON e.a = n.id LEFT JOIN m{i} p ON p.id = e.b GROUP BY n.id, n.c)"
+LEAST = "both_ways AS MATERIALIZED (SELECT * FROM g_both), m0 AS (SELECT id, id AS c FROM g_nodes), " + ", ".join(ROUND.format(i=i, j=i + 1) for i in range(10))
+COMP = "(SELECT id, c AS component FROM m10)"
 
 
-@query(f"SELECT id, component FROM {COMP}", "s3_nodes", "s3_both", recursive=REACH_ALL)
+@query(f"SELECT id, component FROM {COMP}", "g_nodes", "g_both", recursive=LEAST)
 def connected_components(s, d):
-    return graph.connected(tables.touched_graph(s, d, 3))
+    return graph.connected(tables.graph(s, d))
 
 
-@query(f"SELECT dense_rank() OVER (ORDER BY component) - 1 AS community, community_size, id FROM (SELECT *, count(*) OVER (PARTITION BY component) AS community_size FROM {COMP}) WHERE community_size > 1", "s3_nodes", "s3_both", recursive=REACH_ALL)
+@query(f"SELECT dense_rank() OVER (ORDER BY component) - 1 AS community, community_size, id FROM (SELECT *, count(*) OVER (PARTITION BY component) AS community_size FROM {COMP}) WHERE community_size > 1", "g_nodes", "g_both", recursive=LEAST)
 def communities(s, d):
-    return graph.communities(tables.touched_graph(s, d, 3))
+    return graph.communities(tables.graph(s, d))
 
 
-@query(f"SELECT component, arg_min(label, (-coalesce(size, 0), id)) || ' Group' AS name, count(*) AS n_nodes, count(*) || ' connected concepts' AS description FROM s3_nodes JOIN {COMP} USING (id) GROUP BY component", "s3_nodes", "s3_both", recursive=REACH_ALL)
+@query(f"SELECT component, arg_min(label, (-coalesce(size, 0), id)) || ' Group' AS name, count(*) AS n_nodes, count(*) || ' connected concepts' AS description FROM g_nodes JOIN {COMP} USING (id) GROUP BY component", "g_nodes", "g_both", recursive=LEAST)
 def named_clusters(s, d):
-    return graph.named_clusters(tables.touched_graph(s, d, 3))
+    return graph.named_clusters(tables.graph(s, d))
 
 
-@query(f"SELECT count(*) AS communities, round(sum(coalesce(i.n, 0) / e.e - (c.degree * c.degree / (4 * e.e)) / e.e), 9) AS modularity FROM (SELECT component, count(*) AS size, sum(degree)::DOUBLE AS degree FROM {COMP} JOIN (SELECT a AS id, count(*) AS degree FROM s3_both GROUP BY a) USING (id) GROUP BY component) c CROSS JOIN (SELECT count(*)::DOUBLE AS e FROM s3) e LEFT JOIN (SELECT component, count(*)::DOUBLE AS n FROM s3 JOIN {COMP} x ON s3.src = x.id GROUP BY component) i USING (component) WHERE c.size > 1", "s3", "s3_nodes", "s3_both", recursive=REACH_ALL)
+@query(f"SELECT count(*) AS communities, round(sum(coalesce(i.n, 0) / e.e - (c.degree * c.degree / (4 * e.e)) / e.e), 9) AS modularity FROM (SELECT component, count(*) AS size, sum(degree)::DOUBLE AS degree FROM {COMP} JOIN (SELECT a AS id, count(*) AS degree FROM (SELECT src AS a FROM g_edges UNION ALL SELECT dst FROM g_edges WHERE src <> dst) GROUP BY a) USING (id) GROUP BY component) c CROSS JOIN (SELECT count(*)::DOUBLE AS e FROM g_edges) e LEFT JOIN (SELECT component, count(*)::DOUBLE AS n FROM g_edges JOIN {COMP} x ON g_edges.src = x.id GROUP BY component) i USING (component) WHERE c.size > 1", "g_nodes", "g_edges", "g_both", recursive=LEAST)
 def component_modularity(s, d):
-    return metrics.component_modularity(tables.touched_graph(s, d, 3)).withColumn("modularity", F.round("modularity", 9))
+    return metrics.component_modularity(tables.graph(s, d)).withColumn("modularity", F.round("modularity", 9))
 
 
-FORWARD = "fw(s, id, d) AS (SELECT id, id, 0 FROM geo_nodes WHERE type <> 'customer' UNION SELECT f.s, e.dst, f.d + 1 FROM fw f JOIN places e ON e.src = f.id WHERE f.d < 5)"
+FORWARD = "fw(s, id, d) AS (SELECT id, id, 0 FROM geo_nodes UNION SELECT f.s, e.dst, f.d + 1 FROM fw f JOIN places e ON e.src = f.id WHERE f.d < 5)"
 
 
-@query("SELECT s AS id, reached, avg_distance, CASE WHEN avg_distance < 999 THEN 1 / avg_distance ELSE 0 END AS closeness FROM (SELECT s, count(*) - 1 AS reached, (sum(d) + (n - 1 - (count(*) - 1)) * 999) / (n - 1)::DOUBLE AS avg_distance FROM (SELECT s, id, min(d) AS d FROM fw GROUP BY s, id) CROSS JOIN (SELECT count(*) AS n FROM geo_nodes WHERE type <> 'customer') GROUP BY s, n)", "geo_nodes", "places", recursive=FORWARD)
+@query("SELECT s AS id, reached, avg_distance, CASE WHEN avg_distance < 999 THEN 1 / avg_distance ELSE 0 END AS closeness FROM (SELECT s, count(*) - 1 AS reached, (sum(d) + (n - 1 - (count(*) - 1)) * 999) / (n - 1)::DOUBLE AS avg_distance FROM (SELECT s, id, min(d) AS d FROM fw GROUP BY s, id) CROSS JOIN (SELECT count(*) AS n FROM geo_nodes) GROUP BY s, n)", "geo_nodes", "places", recursive=FORWARD)
 def closeness(s, d):
-    g = tables.geo_graph(s, d)
-    return graph.closeness(graph.Graph(g.nodes.where("type <> 'customer'"), g.edges.where("src not like 'customer%'")))
+    return graph.closeness(tables.geo_graph(s, d))
 
 
-LPA_ROUND = "SELECT id, label FROM (SELECT a AS id, label, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, label) AS r FROM s3_both JOIN {prev} p ON p.id = s3_both.b GROUP BY a, label) WHERE r = 1"
+LPA_ROUND = "SELECT n.id, coalesce(x.label, n.label) AS label FROM {prev} n LEFT JOIN (SELECT a AS id, label, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, label) AS r FROM (SELECT src AS a, dst AS b FROM g_edges UNION SELECT dst, src FROM g_edges) e JOIN {prev} p ON p.id = e.b GROUP BY a, label) x ON x.id = n.id AND x.r = 1"
 
 
-@query("SELECT * FROM l2", "s3_nodes", "s3_both", recursive="l0 AS (SELECT id, id AS label FROM s3_nodes), l1 AS (" + LPA_ROUND.format(prev="l0") + "), l2 AS (" + LPA_ROUND.format(prev="l1") + ")")
+@query("SELECT * FROM l2", "g_nodes", "g_edges", recursive="l0 AS (SELECT id, id AS label FROM g_nodes), l1 AS MATERIALIZED (" + LPA_ROUND.format(prev="l0") + "), l2 AS (" + LPA_ROUND.format(prev="l1") + ")")
 def label_propagation(s, d):
-    return graph.label_propagation(tables.touched_graph(s, d, 3), 2)
+    return graph.label_propagation(tables.graph(s, d), 2)
 
 
-@query("SELECT line FROM (SELECT format('{} ({})', label, coalesce(nullif(type, ''), 'concept')) AS line FROM s3_nodes UNION ALL SELECT format('{} -> {} ({})', a.label, b.label, e.relationship_type) FROM s3 e JOIN s3_nodes a ON e.src = a.id JOIN s3_nodes b ON e.dst = b.id)", "s3", "s3_nodes")
+@query("SELECT line FROM (SELECT format('{} ({})', label, coalesce(nullif(type, ''), 'concept')) AS line FROM g_nodes UNION ALL SELECT format('{} -> {} ({})', a.label, b.label, e.relationship_type) FROM g_edges e JOIN g_nodes a ON e.src = a.id JOIN g_nodes b ON e.dst = b.id)", "g_nodes", "g_edges")
 def graph_to_text(s, d):
-    return graph.graph_to_text(tables.touched_graph(s, d, 3))
+    return graph.graph_to_text(tables.graph(s, d))
 
 
-CLUSTERS = "m AS (SELECT id, split_part(id, '_', 1) || '_' || (split_part(id, '_', 2)::BIGINT % 3) AS cluster FROM geo_nodes)"
+CLUSTERS = "m AS (SELECT id, split_part(id, '_', 1) || '_' || (split_part(id, '_', 2)::BIGINT % 3) AS cluster FROM g_nodes)"
 
 
 def _clusters(g: graph.Graph) -> DataFrame:
@@ -320,24 +318,28 @@ def _clusters(g: graph.Graph) -> DataFrame:
     return g.nodes.select("id", F.concat(kind, F.lit("_"), (n % 3).cast("string")).alias("cluster"))
 
 
-LINKS = "(SELECT least(x.cluster, y.cluster) AS a, greatest(x.cluster, y.cluster) AS b, count(*) AS connections, sum(coalesce(weight, 1)) AS strength FROM places e JOIN m x ON e.src = x.id JOIN m y ON e.dst = y.id WHERE x.cluster <> y.cluster GROUP BY 1, 2)"
+LINKS_OF = "(SELECT least(x.cluster, y.cluster) AS a, greatest(x.cluster, y.cluster) AS b, count(*) AS connections, sum(coalesce(weight, 1)) AS strength FROM {edges} e JOIN m x ON e.src = x.id JOIN m y ON e.dst = y.id WHERE x.cluster <> y.cluster GROUP BY 1, 2)"
+
 
+LINKS, PLACE_LINKS = LINKS_OF.format(edges="g_edges"), LINKS_OF.format(edges="places")
 
-@query(f"SELECT * FROM {LINKS}", "geo_nodes", "places", recursive=CLUSTERS)
+
+@query(f"SELECT * FROM {LINKS}", "g_nodes", "g_edges", recursive=CLUSTERS)
 def cluster_links(s, d):
-    g = tables.geo_graph(s, d)
+    g = tables.graph(s, d)
     return metrics.cluster_links(g, _clusters(g))
 
 
-@query(f"SELECT 'weak' AS kind, a, b, connections FROM {LINKS} l JOIN (SELECT cluster, count(*) AS n FROM m GROUP BY 1) x ON l.a = x.cluster JOIN (SELECT cluster, count(*) AS n FROM m GROUP BY 1) y ON l.b = y.cluster WHERE connections < 0.1 * least(x.n, y.n) UNION ALL SELECT 'isolated', cluster, NULL, 0 FROM (SELECT cluster, count(*) AS n FROM m GROUP BY 1) WHERE n > 3 AND cluster NOT IN (SELECT a FROM {LINKS} UNION SELECT b FROM {LINKS})", "geo_nodes", "places", recursive=CLUSTERS)
+@query(f"SELECT 'weak' AS kind, a, b, connections FROM {PLACE_LINKS} l JOIN (SELECT cluster, count(*) AS n FROM m GROUP BY 1) x ON l.a = x.cluster JOIN (SELECT cluster, count(*) AS n FROM m GROUP BY 1) y ON l.b = y.cluster WHERE connections < 0.1 * least(x.n, y.n) UNION ALL SELECT 'isolated', cluster, NULL, 0 FROM (SELECT cluster, count(*) AS n FROM m GROUP BY 1) WHERE n > 3 AND cluster NOT IN (SELECT a FROM {PLACE_LINKS} UNION SELECT b FROM {PLACE_LINKS})", "g_nodes", "places", recursive=CLUSTERS)
 def structural_gaps(s, d):
-    g = tables.geo_graph(s, d)
+    """All nodes, which place edges alone leave partly unlinked."""
+    g = graph.Graph(tables.nodes(s, d), tables.place_edges(s, d))
     return metrics.structural_gaps(g, _clusters(g))
 
 
-@query("SELECT density, variance, CASE WHEN variance > 100 THEN 'focused' WHEN density < 0.01 THEN 'sparse' WHEN density > 0.1 THEN 'dense' ELSE 'balanced' END AS bias, CASE WHEN variance > 100 THEN greatest(0.6, CASE WHEN density < 0.01 THEN 0.3 WHEN density > 0.1 THEN 0.8 ELSE 0.5 END) WHEN density < 0.01 THEN 0.3 WHEN density > 0.1 THEN 0.8 ELSE 0.5 END::DOUBLE AS score FROM (SELECT (2.0 * e / (n * (n - 1)))::DOUBLE AS density, v AS variance FROM (SELECT count(*) AS n FROM geo_nodes), (SELECT count(*) AS e FROM places), (SELECT var_pop(c) AS v FROM (SELECT count(*) AS c FROM m GROUP BY cluster)))", "geo_nodes", "places", recursive=CLUSTERS)
+@query("SELECT density, variance, CASE WHEN variance > 100 THEN 'focused' WHEN density < 0.01 THEN 'sparse' WHEN density > 0.1 THEN 'dense' ELSE 'balanced' END AS bias, CASE WHEN variance > 100 THEN greatest(0.6, CASE WHEN density < 0.01 THEN 0.3 WHEN density > 0.1 THEN 0.8 ELSE 0.5 END) WHEN density < 0.01 THEN 0.3 WHEN density > 0.1 THEN 0.8 ELSE 0.5 END::DOUBLE AS score FROM (SELECT (2.0 * e / (n * (n - 1)))::DOUBLE AS density, v AS variance FROM (SELECT count(*) AS n FROM g_nodes), (SELECT count(*) AS e FROM g_edges), (SELECT var_pop(c) AS v FROM (SELECT count(*) AS c FROM m GROUP BY cluster)))", "g_nodes", "g_edges", recursive=CLUSTERS)
 def network_bias(s, d):
-    g = tables.geo_graph(s, d)
+    g = tables.graph(s, d)
     return metrics.network_bias(g, _clusters(g))
 
 
@@ -356,11 +358,10 @@ def windowed_event_counts(s, d):
     return windowed_counts(tables.table(s, d, "events"))
 
 
-@query("SELECT e.b AS id, count(*) AS shared FROM s3_both o JOIN s3_both e ON e.a = o.b WHERE o.a = (SELECT min(src) FROM s3) AND e.b <> o.a AND e.b NOT IN (SELECT b FROM s3_both WHERE a = (SELECT min(src) FROM s3)) GROUP BY 1 ORDER BY shared DESC, id LIMIT 10", "s3", "s3_both")
+@query("SELECT e.b AS id, count(*) AS shared FROM g_both o JOIN g_both e ON e.a = o.b WHERE o.a = (SELECT min(src) FROM g_edges) AND e.b <> o.a AND e.b NOT IN (SELECT b FROM g_both WHERE a = (SELECT min(src) FROM g_edges)) GROUP BY 1 ORDER BY shared DESC, id LIMIT 10", "g_edges", "g_both")
 def common_neighbours(s, d):
-    g = tables.touched_graph(s, d, 3)
-    first = g.edges.agg(F.min("src").alias("m")).first()["m"]
-    return metrics.common_neighbours(g, first or "")
+    g = tables.graph(s, d)
+    return metrics.common_neighbours(g, g.edges.agg(F.min("src").alias("m")).first()["m"] or "")
 
 
 # Likeness
@@ -376,11 +377,13 @@ def structural_similarity(s, d):
     return metrics.structural_similarity(tables.supply_edges(s, d), "supplier_1", "supplier_2")
 
 
-@query("SELECT a.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity FROM embeddings a CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
+@query("SELECT b.vec_id AS query_id, a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity FROM embeddings a CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) b")
 def embedding_cosine(s, d):
-    e = tables.table(s, d, "embeddings")
-    probe = e.where("vec_id = 0").limit(1).select(F.col("embedding").alias("p"))
-    return with_row(e, probe).select("vec_id", F.round(extract.cosine(F.col("embedding"), F.col("p")), 9).alias("similarity"))
+    """Every vector whose id is divisible by 20 against all vectors. Both sides are cut into blocks of hashed ids; a task
+    scores one block of queries against one block of vectors."""
+    e = tables.table(s, d, "embeddings").select("vec_id", "embedding")
+    probes = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("p"))
+    return extract.cosine_pairs(probes, e)
 
 
 # Keywords
@@ -536,16 +539,23 @@ def quarantined_nodes(s, d):
     return transform.validate_nodes(tables.nodes(s, d))[1].select("id", "errors")
 
 
-@query("SELECT e.* FROM (SELECT src, dst, weight, relationship_type FROM places) e WHERE weight BETWEEN 0.1 AND 10", "places")
+@query("SELECT src, dst, 4 * weight AS weight, 'PART_OF' AS relationship_type FROM g_edges WHERE 4 * weight BETWEEN 0.1 AND 10", "g_edges")
 def valid_edges(s, d):
-    return transform.validate_edges(tables.place_edges(s, d))[0]
+    """Weights times four, so that some are out of range."""
+    e = tables.graph(s, d).edges.withColumns({"weight": 4 * F.col("weight"), "relationship_type": F.lit("PART_OF")})
+    return transform.validate_edges(e)[0]
 
 
-@query("SELECT label, count(*) AS n, max(size) AS size FROM (SELECT label, size FROM g_nodes WHERE type <> 'customer') GROUP BY label", "g_nodes")
+@query("SELECT src, dst, CASE WHEN 4 * weight > 10 THEN ['weight_range', 'type_known'] ELSE ['type_known'] END AS errors FROM supply", "supply")
+def quarantined_edges(s, d):
+    e = tables.supply_edges(s, d).withColumn("weight", 4 * F.col("weight"))
+    return transform.validate_edges(e)[1].select("src", "dst", "errors")
+
+
+@query("SELECT label, count(*) AS n, max(size) AS size FROM g_nodes GROUP BY label", "g_nodes")
 def merged_by_label(s, d):
-    n = tables.nodes(s, d).where("type <> 'customer'")
-    old = n.where("id like 'supplier%'")
-    merged = store.merge_nodes(old, n.where("id not like 'supplier%'"), "update")
+    n = tables.nodes(s, d)
+    merged = store.merge_nodes(n.where("id like 'supplier%'"), n.where("id not like 'supplier%'"), "update")
     return merged.select("label", "size").join(n.groupBy("label").agg(F.count("*").alias("n")), "label").select("label", "n", "size")
 
 
@@ -565,10 +575,12 @@ def rescaled_weights(s, d):
     return transform.rescale(tables.supply_edges(s, d), "weight", 1, 10)
 
 
-@query("SELECT label, id FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS r FROM g_nodes WHERE id LIKE 'part%') WHERE r = 1", "g_nodes")
+@query("SELECT label, CASE WHEN min(id) LIKE 'part%' THEN min(id) ELSE 'old_' || min(id) END AS id FROM g_nodes GROUP BY label", "g_nodes")
 def insert_new_rows(s, d):
-    n = tables.nodes(s, d).where("id like 'part%'").groupBy("label").agg(F.min("id").alias("id"))
-    return store.insert_new(n.limit(0), n, ["label"])
+    """All labels into a table that has those of places, suppliers and customers under other ids."""
+    n = tables.nodes(s, d).groupBy("label").agg(F.min("id").alias("id"))
+    old = n.where("id not like 'part%'").withColumn("id", F.concat(F.lit("old_"), F.col("id")))
+    return store.insert_new(old, n, ["label"])
 
 
 @query("SELECT 'nodes' AS collection, count(*) AS n FROM g_nodes UNION ALL SELECT 'edges', count(*) FROM g_edges", "g_nodes", "g_edges")
@@ -594,9 +606,12 @@ def _pages(s, d):
     return tables.table(s, d, "documents").select("doc_id", F.lit(1).alias("page_num"), "text")
 
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '\[(\d+(?:,\s*\d+)*)\]') ) AS n FROM pages")
+CITATIONS = "list_distinct(flatten([" + ", ".join(f"regexp_extract_all(html, '{p}')" for p in CITATION_PATTERNS) + "]))"
+
+
+@query(f"SELECT page_id, len({CITATIONS}) AS n FROM pages")
 def page_citation_counts(s, d):
-    return tables.table(s, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"\[(\d+(?:,\s*\d+)*)\]"), F.lit(0))).cast("long").alias("n"))
+    return tables.table(s, d, "pages").select("page_id", F.size(extract.citations(F.col("html"))).cast("long").alias("n"))
 
 
 @query("SELECT doc_id, (i - 1)::INT AS chunk, substr(text, ((i - 1) * 1800 + 1)::BIGINT, 2000) AS text FROM (SELECT doc_id, text, unnest(range(1, ((length(text) - 1) // 1800) + 2)) AS i FROM documents WHERE length(text) > 0)")
@@ -612,8 +627,8 @@ def extracted_nodes(s, d):
 @query()
 def sentence_relations(s, d):
     pages = _pages(s, d)
-    words = keywords.top_keywords(tables.table(s, d, "documents"), 5).select("doc_id", F.col("keyword").alias("label"))
-    return extract.sentence_edges(pages, words)
+    words = keywords.top_keywords(tables.table(s, d, "documents"), 10).select("doc_id", F.col("keyword").alias("label"))
+    return extract.sentence_edges(pages, words.unionByName(extract.node_candidates(pages).select("doc_id", "label")).distinct())
 
 
 @query(r"SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10))[1:20], lambda x: trim(x)), lambda x: length(x) > 20)[1], '') AS title, regexp_extract(text, '(?i)doi[:\s]*([0-9./a-zA-Z]+)', 1) AS doi, regexp_extract(text, '(20\d{2})', 1) AS year FROM documents")
@@ -628,8 +643,7 @@ def named_entities(s, d):
 
 @query()
 def hash_embeddings(s, d):
-    n = tables.nodes(s, d).where("id like 'nation%'")
-    return n.select("id", extract.hash_embedding(F.col("label"), 64).alias("embedding"))
+    return tables.nodes(s, d).select("id", extract.hash_embedding(F.col("label"), 64).alias("embedding"))
 
 
 # Built graphs
@@ -637,7 +651,7 @@ def hash_embeddings(s, d):
 
 @query()
 def built_graph(s, d):
-    g = tables.touched_graph(s, d, 3)
+    g = tables.graph(s, d)
     raw = g.nodes.withColumn("pos", F.hash("id")).withColumn("name", F.lit(None).cast("string"))
     links = g.edges.select(F.hash("src", "dst").alias("pos"), "src", "dst", F.lit(None).cast("string").alias("label"), "weight")
     return builder.build(raw, links).edges
@@ -676,106 +690,88 @@ def label_scores(s, d):
     return builder.score_labels(rows.where("l_quantity < 30"), rows.where("l_quantity >= 20"))
 
 
-# The same operators over the whole graph and all embeddings, where the SQL above stays with a part of them. Recursive SQL
-# is too slow for that, so tests/test_whole.py compares them with brute force.
-
-
-@query()
-def whole_connected_components(s, d):
-    return graph.connected(tables.graph(s, d))
-
-
-@query()
-def whole_communities(s, d):
-    return graph.communities(tables.graph(s, d))
-
-
-@query()
-def whole_named_clusters(s, d):
-    return graph.named_clusters(tables.graph(s, d))
-
-
-@query()
-def whole_component_modularity(s, d):
-    return metrics.component_modularity(tables.graph(s, d)).withColumn("modularity", F.round("modularity", 9))
+# The field's own keyword lists. The texts are invented, so each gets one or two keywords of the lists, by its number.
 
+ALL_WORDS = list(dict.fromkeys(w for ws in (*TOPIC_KEYWORDS.values(), *topics.BEST_TOPICS.values()) for w in ws))
+FIELD_PAPERS = f"field AS (SELECT paper_ix, pub_year, title, abstract || ' ' || words[paper_ix % {len(ALL_WORDS)} + 1] || ', ' || words[7 * paper_ix % {len(ALL_WORDS)} + 1] AS abstract FROM papers, (SELECT {ALL_WORDS!r} AS words))"
+FIELD_TEXT = r"(SELECT paper_ix, pub_year, lower(title || ' ' || abstract) AS raw, trim(regexp_replace(regexp_replace(lower(title || ' ' || abstract), '[^A-Za-z0-9_\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM field)"
+FIELD_ROWS = " UNION ALL ".join(f"SELECT paper_ix, pub_year, '{t}' AS topic FROM {FIELD_TEXT} WHERE {_match(w)}" for t, w in TOPIC_KEYWORDS.items())
+FIELD_NAMES = " UNION ALL ".join(f"SELECT '{t}' AS topic, {len(w)} AS keywords" for t, w in TOPIC_KEYWORDS.items())
 
-@query()
-def whole_label_propagation(s, d):
-    return graph.label_propagation(tables.graph(s, d), 2)
 
+def _field_papers(s, d):
+    words = F.array(*map(F.lit, ALL_WORDS))
+    at = lambda n: F.get(words, (n * F.col("paper_ix") % len(ALL_WORDS)).cast("int"))
+    return tables.papers(s, d).withColumn("abstract", F.concat("abstract", F.lit(" "), at(1), F.lit(", "), at(7)))
 
-@query()
-def whole_graph_to_text(s, d):
-    return graph.graph_to_text(tables.graph(s, d))
 
+@query(f"SELECT n.topic, coalesce(c.n, 0) AS n, 100.0 * coalesce(c.n, 0) / (SELECT count(*) FROM papers)::DOUBLE AS pct, n.keywords::INT AS keywords FROM ({FIELD_NAMES}) n LEFT JOIN (SELECT topic, count(*) AS n FROM ({FIELD_ROWS}) GROUP BY 1) c USING (topic)", "papers", recursive=FIELD_PAPERS)
+def field_topic_coverage(s, d):
+    return topics.coverage(_field_papers(s, d))
 
-@query()
-def whole_common_neighbours(s, d):
-    g = tables.graph(s, d)
-    return metrics.common_neighbours(g, g.edges.agg(F.min("src").alias("m")).first()["m"] or "")
 
+@query(f"SELECT n.topic, 100.0 * coalesce(t.n, 0) / (SELECT count(*) FROM papers)::DOUBLE AS pct, [{', '.join(f'coalesce(t.c{i}, 0)' for i in range(len(PERIODS)))}] AS series FROM ({FIELD_NAMES}) n LEFT JOIN (SELECT topic, count(*) AS n, {', '.join(f'count(*) FILTER (pub_year BETWEEN {a} AND {b}) AS c{i}' for i, (_, a, b) in enumerate(PERIODS))} FROM ({FIELD_ROWS}) GROUP BY 1) t USING (topic)", "papers", recursive=FIELD_PAPERS)
+def field_chart_series(s, d):
+    return topics.chart_series(_field_papers(s, d))
 
-@query()
-def whole_built_graph(s, d):
-    g = tables.graph(s, d)
-    raw = g.nodes.withColumn("pos", F.hash("id")).withColumn("name", F.lit(None).cast("string"))
-    links = g.edges.select(F.hash("src", "dst").alias("pos"), "src", "dst", F.lit(None).cast("string").alias("label"), "weight")
-    return builder.build(raw, links).edges
 
+FIELD_BEST = ", ".join(f"{' + '.join(_occ(w) for w in ws)} AS c{i}" for i, ws in enumerate(topics.BEST_TOPICS.values()))
+FIELD_CASE = "CASE " + " ".join(f"WHEN c{i} = greatest({', '.join(f'c{j}' for j in range(len(topics.BEST_TOPICS)))}) AND c{i} > 0 THEN '{t}'" for i, t in enumerate(topics.BEST_TOPICS)) + f" ELSE '{list(topics.BEST_TOPICS)[-1]}' END"
 
-@query()
-def whole_adjacency(s, d):
-    return graph.adjacency(tables.graph(s, d).edges)
 
+@query(f"SELECT paper_ix, {FIELD_CASE} AS topic, greatest({', '.join(f'c{j}' for j in range(len(topics.BEST_TOPICS)))})::INT AS score FROM (SELECT paper_ix, {FIELD_BEST} FROM {FIELD_TEXT})", "papers", recursive=FIELD_PAPERS)
+def field_best_topic(s, d):
+    return topics.best_topic(_field_papers(s, d))
 
-@query()
-def whole_isolated_nodes(s, d):
-    return metrics.isolated_nodes(tables.graph(s, d)).select("id")
 
+@query("SELECT id, kind, label, frequency, citations, first_year, last_year, round(least(45, greatest(8, 6 * ln(frequency + 1.0) + 0.3 * ln(citations + 1.0))), 6)::DOUBLE AS size FROM (SELECT id, kind, label, count(*) AS frequency, sum(c)::DOUBLE AS citations, min(y) AS first_year, max(y) AS last_year FROM (SELECT DISTINCT paper_ix, pub_year AS y, paper_ix % 100 AS c, unnest([{'id': journal, 'kind': 'keyword', 'label': journal}, {'id': keywords || '-text', 'kind': 'keyword', 'label': keywords || '-text'}, {'id': 'author:A' || paper_ix % 50, 'kind': 'author', 'label': 'A' || paper_ix % 50}, {'id': 'author:A' || paper_ix % 7, 'kind': 'author', 'label': 'A' || paper_ix % 7}, {'id': 'journal:' || journal, 'kind': 'journal', 'label': journal}], recursive := true) FROM papers) GROUP BY 1, 2, 3) WHERE id IS NOT NULL", "papers")
+def field_graph_nodes(s, d):
+    """Keywords (a source and a language in one field), authors and journals of papers."""
+    ix = F.col("paper_ix")
+    p = tables.papers(s, d).withColumns({"keywords": F.concat(F.upper("journal"), F.lit("; "), F.col("keywords"), F.lit("-text,ab")), "authors": F.concat(F.lit("A"), ix % 50, F.lit("; A"), ix % 7), "citations": (ix % 100).cast("string")})
+    return keywords.field_graph_nodes(p, 2026).withColumn("size", F.round("size", 6))
 
-@query()
-def whole_closeness(s, d):
-    return graph.closeness(tables.geo_graph(s, d))
 
+@query(r"SELECT lower(regexp_replace(regexp_replace(lower(label), '[^a-z0-9\s]', '', 'g'), '\s+', '_', 'g'))[1:50] AS id, arg_min(label, pos) AS label, max(size) AS size, arg_min(type, pos) AS type, string_agg(DISTINCT type, chr(10) ORDER BY type) AS description FROM (SELECT *, hash_pos AS pos FROM (SELECT *, row_number() OVER (ORDER BY type, id) AS hash_pos FROM g_nodes)) GROUP BY 1", "g_nodes")
+def merged_graphs(s, d):
+    """Nodes without ids, laid together by the slugs of their labels."""
+    from ..operators.iterate import numbered
 
-@query()
-def whole_paths(s, d):
-    return graph.paths(tables.place_edges(s, d), "supplier_1", None, 3)
+    n = numbered(tables.nodes(s, d), ["type", "id"], "pos").withColumns({"id": F.lit(None).cast("string"), "description": F.col("type")})
+    g = transform.merge_graphs(n, tables.place_edges(s, d).withColumn("label", F.col("relationship_type")))
+    return g.nodes.select("id", "label", "size", "type", "description")
 
 
-@query()
-def whole_shortest_path(s, d):
-    return graph.paths(tables.place_edges(s, d), "supplier_1", None, 3).where("at like 'region%'").orderBy("length", "total_weight", "vertices").limit(1)
+@query("SELECT l_orderkey, l_linenumber, floor(l_quantity)::BIGINT AS total_citations, l_tax AS importance_score, least(1, greatest(0, l_discount * 20 - 0.5))::DOUBLE AS bert_confidence, greatest(0, l_discount * 20 - 0.5)::DOUBLE AS distance, l_returnflag || l_linestatus AS context_sentence FROM lineitem")
+def coerced_attributes(s, d):
+    d_ = (F.col("l_discount") * 20 - 0.5).cast("string")
+    li = tables.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_quantity").cast("string"), F.lit(" times")).alias("total_citations"), F.col("l_tax").cast("string").alias("importance_score"), d_.alias("bert_confidence"), d_.alias("distance"), F.concat("l_returnflag", "l_linestatus").alias("context_sentence"))
+    return transform.coerced_attributes(li)
 
 
-@query()
-def whole_nodes_by_type(s, d):
-    return metrics.by_type(tables.geo_graph(s, d).nodes)
+@query("SELECT regexp_replace(regexp_replace(id, '[^a-zA-Z0-9_-]', '_', 'g'), '^[^a-zA-Z_]', '_') AS id, label FROM g_nodes", "g_nodes")
+def client_nodes(s, d):
+    return transform.client_nodes(transform.stored_nodes(tables.nodes(s, d))).select("id", "label")
 
 
-@query()
-def whole_merged_by_label(s, d):
-    n = tables.nodes(s, d)
-    merged = store.merge_nodes(n.where("id like 'supplier%'"), n.where("id not like 'supplier%'"), "update")
-    return merged.select("label", "size").join(n.groupBy("label").agg(F.count("*").alias("n")), "label").select("label", "n", "size")
+@query("SELECT row_number() OVER (ORDER BY id) - 1 AS paper_ix, label AS title, '' AS abstract, 2020 AS pub_year FROM g_nodes", "g_nodes")
+def node_papers(s, d):
+    return topics.papers_of_nodes(tables.nodes(s, d))
 
 
-@query()
-def whole_insert_new_rows(s, d):
-    n = tables.nodes(s, d).groupBy("label").agg(F.min("id").alias("id"))
-    return store.insert_new(n.limit(0), n, ["label"])
+@query("SELECT id, CASE WHEN id = 'nation_3' THEN 'new name' ELSE label END AS label, type, CASE WHEN id = 'nation_3' THEN 12.5 ELSE size END::DOUBLE AS size FROM g_nodes", "g_nodes")
+def updated_node(s, d):
+    return store.update_node(tables.nodes(s, d), "nation_3", label="new name", size=12.5)
 
 
-@query()
-def whole_hash_embeddings(s, d):
-    return tables.nodes(s, d).select("id", extract.hash_embedding(F.col("label"), 64).alias("embedding"))
+@query("SELECT p_name AS title, p_type AS abstract, p_size::VARCHAR AS year FROM part")
+def naive_csv_papers(s, d):
+    lines = tables.table(s, d, "part").select(F.concat_ws(",", "p_name", "p_size", "p_type").alias("value"))
+    return readers.naive_csv(lines, ["Paper Title", "Date", "Summary"])
 
 
-@query()
-def whole_embedding_cosine(s, d):
-    """Every vector whose id is divisible by 20 against all vectors. Both sides are cut into blocks of hashed ids; a task
-    scores one block of queries against one block of vectors."""
-    e = tables.table(s, d, "embeddings").select("vec_id", "embedding")
-    probes = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("p"))
-    return extract.cosine_pairs(probes, e)
+@query("SELECT insight FROM (SELECT format('{} structural gaps between clusters', count(*)) AS insight FROM (SELECT cluster, count(*) AS n FROM m GROUP BY 1 HAVING count(*) > 3 AND cluster NOT IN (SELECT x.cluster FROM places e JOIN m x ON e.src = x.id JOIN m y ON e.dst = y.id WHERE x.cluster <> y.cluster UNION SELECT y.cluster FROM places e JOIN m x ON e.src = x.id JOIN m y ON e.dst = y.id WHERE x.cluster <> y.cluster)))", "g_nodes", "places", recursive=CLUSTERS)
+def gap_insight(s, d):
+    """The bundle's line on gaps; place edges alone leave only isolated clusters."""
+    g = graph.Graph(tables.nodes(s, d), tables.place_edges(s, d))
+    return metrics.analysis_bundle(g, _clusters(g))["insights"].where("insight like '%gaps%'")

@@ -3,6 +3,7 @@
 import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgloom.functions import columns as C
@@ -101,19 +102,70 @@ def test_transform(spark):
 
 
 def test_store(spark, tmp_path):
-    st = store.GraphStore(spark, f"file://{tmp_path}/g")
+    st = store.GraphStore(spark, f"file://{tmp_path}/g", buckets=4)
     g = small(spark)
-    st.create(Graph(g.nodes.where("label <> ''"), g.edges), "t")
+    one_id = st.create(Graph(g.nodes.where("label <> ''"), g.edges), "t")
     assert st.read("metadata").first()["node_count"] == 4
-    new = Graph(spark.createDataFrame([("x", "beta", "concept", 50.0), ("y", "Omega", "concept", 5.0), ("z", "Omega", "concept", 7.0)], NODES), spark.createDataFrame([("a", "b", 2.0, "X")], EDGES))
+    new = Graph(spark.createDataFrame([("x", "beta", "concept", 50.0), ("y", "Omega", "concept", 5.0), ("z", "Omega", "concept", 7.0)], NODES), spark.createDataFrame([("a", "b", 2.0, "X"), ("y", "a", 1.0, "Z"), ("y", "a", 3.0, "W")], EDGES))
     st.merge(new, "update")
-    sizes = {r["label"]: (r["id"], r["size"]) for r in st.read("nodes").collect()}
-    assert sizes["beta"] == ("b", 50.0) and sizes["Omega"] == ("y", 7.0)
-    assert {r["weight"] for r in st.read("edges").where("src = 'a' and dst = 'b'").collect()} == {3.0, 4.0}
+    sizes = {r["label"]: (r["id"], r["size"], r["graph_id"]) for r in st.read("nodes").collect()}
+    assert sizes["beta"] == ("b", 50.0, one_id) and sizes["Omega"] == ("y", 7.0, None)
+    assert sorted((r["weight"], r["graph_id"]) for r in st.read("edges").where("src = 'a' and dst = 'b'").collect()) == [(2.0, one_id), (3.0, one_id)]  # the first of two
+    assert [(r["weight"], r["relationship_type"]) for r in st.read("edges").where("src = 'y'").collect()] == [(4.0, "W")]
+    st.create_edge("a", "b", 0, None)
+    assert st.read("edges").where("src = 'a' and dst = 'b'").count() == 3
+    st.update_node("b", label="beta two", size=9, nothing=1)
+    r = st.read("nodes").where("id = 'b'").collect()
+    assert [(x["label"], x["size"]) for x in r] == [("beta two", 9.0)] and r[0]["updated_at"] is not None and st.read("nodes").where("updated_at is null").count() == 4
     st.delete_node("b")
-    assert st.read("edges").where("src = 'b' or dst = 'b'").count() == 0
+    assert st.read("edges").where("src = 'b' or dst = 'b'").count() == 0 and st.read("edges").count() == 2 and st.read("nodes").count() == 4
+    st.export_json(f"{tmp_path}/out")
+    assert {r["source"] for r in spark.read.json(f"{tmp_path}/out/edges").collect()} == {"c", "y"}
+    second = st.create(g, "other")
+    assert st.read("metadata").count() == 2 and st.read("nodes").where(F.col("graph_id") == second).count() == 5
     st.clear()
-    assert st.read("nodes").count() == 0
+    assert st.read("nodes").count() == 0 and st.read("edges").columns == st.read("edges", []).columns
+
+
+def test_store_merge_strategies(spark):
+    cols = EDGES + ", note string"
+    old = spark.createDataFrame([("a", "b", 1.0, "Y", "p"), ("a", "b", 1.0, "X", "q"), ("c", "d", None, None, "r")], cols)
+    new = spark.createDataFrame([("a", "b", 5.0, "Z", 1), ("c", "d", 2.0, "Z", 2), ("e", "f", 2.0, "Y", 3), ("e", "f", 4.0, "X", 4)], EDGES + ", k int")
+    rows = lambda df: sorted((r["src"], r["relationship_type"] or "", r["weight"], r["note"] if "note" in df.columns else None) for r in df.collect())
+    assert rows(store.merge_edges(old, new, "update")) == [("a", "X", 6.0, "q"), ("a", "Y", 1.0, "p"), ("c", "", 2.0, "r"), ("e", "X", 6.0, None)]
+    assert [r for r in rows(store.merge_edges(old.na.fill(0), new, "append")) if r[0] == "e"] == [("e", "X", 4.0, None)]
+    assert rows(store.merge_edges(old, new, "replace")) == [("a", "Z", 5.0, None), ("c", "Z", 2.0, None), ("e", "X", 4.0, None)]
+
+
+def test_store_crash(spark, tmp_path, monkeypatch):
+    """A change whose writer dies before it publishes leaves nothing; the same batch again has its effect once."""
+    st = store.GraphStore(spark, f"file://{tmp_path}/g")
+    g = Graph(spark.createDataFrame([("a", "A", "concept", 1.0)], NODES), spark.createDataFrame([("a", "a", 1.0, "X")], EDGES))
+    st.merge(g, "update", 0)
+    publish = store.GraphStore._publish
+
+    def dies(self, state):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store.GraphStore, "_publish", dies)
+    with pytest.raises(RuntimeError):
+        st.merge(g, "update", 1)
+    monkeypatch.setattr(store.GraphStore, "_publish", publish)
+    assert st.read("edges").first()["weight"] == 1.0
+    for _ in range(2):
+        st.merge(g, "update", 1)
+        assert st.read("edges").first()["weight"] == 2.0 and st.manifest()["batch"] == 1
+    assert st.ensure("edges", "x int") and not st.ensure("other", "x int") and st.ensure("other", "x int")
+
+
+def test_store_records(spark, tmp_path):
+    st = store.GraphStore(spark, f"file://{tmp_path}/g")
+    st.set_status("u1", "processing", filename="f.csv")
+    st.set_status("u2", "processing")
+    st.set_status("u1", "completed", graph_id="g")
+    assert sorted((r["upload_id"], r["status"], r["filename"], r["graph_id"]) for r in st.read("uploads").collect()) == [("u1", "completed", "f.csv", "g"), ("u2", "processing", None, None)]
+    assert st.save_analysis("abc", "network", "g", {"k": 1}, {"n": [1]}) and not st.save_analysis("abc", "other", None, {}, {}) and st.save_analysis("xbc", "peo", None, {}, {}, 1.5)
+    assert {r["analysis_id"] for r in st.analyses("bc").collect()} == {"abc", "xbc"} and json.loads(st.analyses("ab").first()["results"]) == {"n": [1]}
 
 
 def test_attribute_merge(spark):
@@ -205,6 +257,85 @@ def test_builder(spark):
     assert graph.connected(Graph(ids, g.edges)).select("component").distinct().count() == 1
 
 
+@pytest.mark.parametrize("many", [8, 2, 0])
+def test_bridge(spark, many):
+    """The most alike pair of labels of each component, by all pairs."""
+    import random
+
+    rng = random.Random(many)
+    rows = [(f"n{i:02d}", " ".join(rng.sample("red green blue dark light cold".split(), rng.randrange(4)))) for i in range(40)]
+    comp = {i: "n00" if int(i[1:]) < 22 else f"n{int(i[1:]) // 2 * 2:02d}" for i, _ in rows}
+    e = [(comp[i], i, "x", 1.0, 0) for i, _ in rows if comp[i] != i]
+    nodes, edges = spark.createDataFrame(rows, "id string, label string"), spark.createDataFrame(e, "src string, dst string, label string, weight double, pos int")
+    got = {(r["src"], r["dst"], r["weight"]) for r in builder.bridge(nodes, edges, many).where("label = 'contextual_link'").collect()}
+    want = set()
+    for c in {*comp.values()} - {"n00"}:
+        pairs = []
+        for i, x in rows:
+            for j, y in rows:
+                x_, y_ = set(x.split()), set(y.split())
+                if comp[i] == c and comp[j] == "n00" and x_ & y_:
+                    pairs.append((-len(x_ & y_) / len(x_ | y_), i, j))
+        s, i, j = min(pairs, default=(-0.3, c, "n00"))
+        want.add((i, j, float(max(2, math.floor(-s * 10 + 0.5)))))
+    assert got == want
+
+
+def test_answers(spark):
+    text = """Here is it:
+    ```json
+    {"Nodes_list": [{"Node ID": "a", "labelName": "Alpha", "SIZE": "12"}, {"label": "Beta thing", "extra": 1}], "Relationships": [{"Source": "a", "target_node": "Beta thing", "weight": 0}], "note": "x"}
+    ```"""
+    df = spark.createDataFrame([(1, text), (2, "no braces"), (3, "{broken"), (4, None)], "doc_id long, text string")
+    objects = builder.entries_of(df, "nodes")
+    rows = [(r["doc_id"], r["id"], r["label"], r["size"]) for r in builder.repaired(objects, ["id", "label", "size"]).orderBy("pos").collect()]
+    assert rows == [(1, "a", "Alpha", "12"), (1, None, "Beta thing", None)]
+    g = builder.graph_of_answers(df)
+    assert {r["id"] for r in g.nodes.collect()} == {"a", "beta_thing"} and [(r["src"], r["dst"], r["weight"]) for r in g.edges.collect()] == [("a", "beta_thing", 3.0)]
+
+
+def test_csv_run(spark, tmp_path):
+    assert keywords.csv_options('{"max_keywords": 3, "minFrequency": 0, "include_authors": false}') == {"maxKeywords": 3, "minFrequency": 2, "includeAuthors": False, "includeJournals": True}
+    assert keywords.csv_options("nonsense")["maxKeywords"] == 10
+    p = tmp_path / "in" / "p.csv"
+    p.parent.mkdir()
+    p.write_text("Title,Abstract,Keywords\nred fox,fox runs,alpha; beta\nred owl,owl runs,beta\n")
+    (tmp_path / "in" / "g.json").write_text(json.dumps({"nodes": [{"id": "x"}, {"id": "y"}], "edges": [{"source": "x", "target": "y"}]}))
+    (tmp_path / "in" / "bad.json").write_text("{")
+    (tmp_path / "in" / "other.txt").write_text("x")
+    g, meta = keywords.csv_graph(readers.papers_of(readers.read_csv(spark, str(p))), "p.csv", {"max_keywords": 5})
+    assert {"keyword_red", "keyword_runs", "keyword_beta"} == {r["id"] for r in g.nodes.collect()} and meta.first()["source_papers"] == 2
+    with pytest.raises(ValueError):
+        keywords.csv_graph(readers.papers_of(readers.read_csv(spark, str(p))).limit(0), "e")
+    st = store.GraphStore(spark, f"file://{tmp_path}/g")
+    dry = {r["path"].rpartition("/")[2]: (r["status"], r["nodes"]) for r in readers.migrate_folder(spark, f"{tmp_path}/in", st, dry_run=True).collect()}
+    assert dry["g.json"] == ("read", 2) and dry["p.csv"] == ("read", 4) and set(dry) == {"g.json", "p.csv", "bad.json"} and st.read("nodes") is None
+    done = readers.migrate_folder(spark, f"{tmp_path}/in", st, "json")
+    assert {r["status"] for r in done.where("path like '%g.json'").collect()} == {"stored"} and st.read("nodes").count() >= 2
+
+
+def test_paths_and_measures(spark):
+    e = spark.createDataFrame([("a", "b", 5.0, "X"), ("a", "c", 1.0, "X"), ("b", "d", 1.0, "Y"), ("c", "d", 9.0, "Y"), ("d", "e", None, "Z"), ("d", "e", 4.0, "W"), ("a", "a", 1.0, "L")], EDGES)
+    want = graph.paths(e, "a", "e", 5).orderBy("length", "total_weight", "vertices").first()
+    got = graph.shortest_path(e, "a", "e").first()
+    assert (got["vertices"], got["types"], got["length"], got["total_weight"]) == (want["vertices"], want["types"], want["length"], want["total_weight"]) == (["a", "b", "d", "e"], ["X", "Y", "Z"], 3, 7.0)
+    assert graph.shortest_path(e, "a", "nowhere").count() == 0 and graph.shortest_path(e, "a", "e", 2).count() == 0
+    g = Graph(spark.createDataFrame([(i, i, "concept", 1.0) for i in "abcde"], NODES), e)
+    c = metrics.centrality(g, ("degree", "closeness", "nothing"))
+    assert set(c) == {"degree", "closeness"} and {r["id"]: r["degree"] for r in c["degree"].collect()}["d"] == 4
+    member = spark.createDataFrame([(f"x{i}", "p") for i in range(20)] + [(f"y{i}", "q") for i in range(20)], "id string, cluster string")
+    weak = metrics.structural_gaps(Graph(member.select("id"), spark.createDataFrame([("x1", "y1", 1.0, "X")], EDGES)), member).collect()
+    assert [(r["kind"], r["a"], r["b"], r["connections"]) for r in weak] == [("weak", "p", "q", 1)]
+
+
+def test_numbered(spark):
+    from kgloom.operators.iterate import numbered
+
+    df = spark.range(1000).withColumn("x", F.col("id") % 7)
+    got = {r["id"]: r["p"] for r in numbered(df, ["x", "id"], "p").collect()}
+    assert got == {i: p for p, i in enumerate(sorted(range(1000), key=lambda i: (i % 7, i)))} and numbered(df.limit(0), ["id"], "p").count() == 0
+
+
 def test_resolve_clusters_and_scores(spark):
     n = small(spark).nodes
     c = spark.createDataFrame([("one", " BETA"), ("two", "none")], "cluster string, label string")
