@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.dictionaries import CITATION_PATTERNS, NODE_TYPE_ALIASES, NODE_TYPES, PERIODS, RELATIONSHIP_ALIASES, RELATIONSHIP_TYPES, TOPIC_KEYWORDS
 from ..operators import builder, extract, graph, keywords, metrics, store, topics, transform
-from ..operators.iterate import with_row
 from ..sources import readers, tables
 from ..streaming.upsert import windowed_counts
 
@@ -427,7 +426,10 @@ def keyword_nodes(s, d):
     return keywords.keyword_nodes(_paper_kw(s, d), tables.papers(s, d))
 
 
-@query("SELECT a.keyword AS a, b.keyword AS b, count(*) AS weight FROM (SELECT * FROM pk WHERE keyword IN (SELECT keyword FROM pk GROUP BY 1 HAVING count(*) >= 2)) a JOIN (SELECT * FROM pk WHERE keyword IN (SELECT keyword FROM pk GROUP BY 1 HAVING count(*) >= 2)) b ON a.paper_ix = b.paper_ix AND a.keyword < b.keyword GROUP BY 1, 2", "papers", recursive=PAPER_KW)
+PAIRS = "SELECT a.keyword AS a, b.keyword AS b, count(*) AS weight FROM (SELECT * FROM pk WHERE keyword IN (SELECT keyword FROM pk GROUP BY 1 HAVING count(*) >= 2)) a JOIN (SELECT * FROM pk WHERE keyword IN (SELECT keyword FROM pk GROUP BY 1 HAVING count(*) >= 2)) b ON a.paper_ix = b.paper_ix AND a.keyword < b.keyword GROUP BY 1, 2"
+
+
+@query(PAIRS, "papers", recursive=PAPER_KW)
 def keyword_cooccurrence(s, d):
     return keywords.cooccurrence(_paper_kw(s, d))
 
@@ -641,9 +643,13 @@ def named_entities(s, d):
     return extract.entities(tables.table(s, d, "documents"))
 
 
-@query()
+HASHED = "list_transform(string_split_regex(lower(label), '\\s+'), lambda w: abs(list_reduce(list_concat([0::BIGINT], list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)))"
+
+
+@query(f"SELECT id, list_transform(v, lambda x: round(x / norm, 6) + 0.0) AS embedding FROM (SELECT id, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS norm FROM (SELECT id, list_transform(range(64), lambda i: list_sum(list_transform(hs, lambda h, j: sin((h + i) * 0.01::DOUBLE) / j))) AS v FROM (SELECT id, {HASHED} AS hs FROM g_nodes)))", "g_nodes")
 def hash_embeddings(s, d):
-    return tables.nodes(s, d).select("id", extract.hash_embedding(F.col("label"), 64).alias("embedding"))
+    """Components to six digits."""
+    return tables.nodes(s, d).select("id", F.transform(extract.hash_embedding(F.col("label"), 64), lambda x: F.round(x, 6)).alias("embedding"))
 
 
 # Built graphs
@@ -657,7 +663,7 @@ def built_graph(s, d):
     return builder.build(raw, links).edges
 
 
-@query()
+@query("SELECT 'keyword_' || a AS src, 'keyword_' || b AS dst, weight::DOUBLE AS weight, 'CO_OCCURS' AS relationship_type FROM (" + PAIRS + ")", "papers", recursive=PAPER_KW)
 def keyword_graph(s, d):
     return keywords.keyword_graph(tables.papers(s, d).drop("keywords")).edges
 
