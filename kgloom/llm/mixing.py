@@ -8,8 +8,6 @@ blocks chosen by a seeded permutation of its token line. Documents lie on the li
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
