@@ -155,14 +155,15 @@ def test_stages_against_plain(spark, sf):
 
 def test_pipeline_edges(spark, tmp_path):
     """Nulls in every column, empty and repeated rows, and a single label class."""
-    text = "A quiet river runs along the old town and past the mill where people meet on market days to talk."
-    docs = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, None, None, None, None), (3, "", "en", "b", 0), (None, text, None, "a", None), (None, None, None, None, None), (4, text + " And more of it.", "de", None, 1), (5, " \n", "", "", 3)]
+    rng = random.Random(5)
+    text, other = (" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)) for _ in range(2))
+    docs = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, None, None, None, None), (3, "", "en", "b", 0), (None, text, None, "a", None), (None, None, None, None, None), (4, other, "de", None, 1), (5, " \n", "", "", 3)]
     sf_dir = save(spark, tmp_path, docs, [(1, 1, 0), (2, None, None), (None, 1, 1), (9, 1, 0)])
     out = corpus_pipeline.run(spark, sf_dir).collect()
     seqs = Counter()
     for r in out:
         seqs[r["sequence_id"]] += r["length"]
-    assert out and max(seqs.values()) <= 2048
+    assert {r["doc_id"] for r in out} == {1, 4} and max(seqs.values()) <= 2048
     assert {r["doc_id"] for r in QUERIES["op5_quality_classifier"](spark, sf_dir).collect()} == {1, 2, 3, 4, 5, None}
 
 
