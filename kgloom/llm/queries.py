@@ -9,6 +9,7 @@ from .common import read_table
 from .chat import format_chats, turns_as_events
 from .hnsw import near_duplicates
 from .html_text import extract_text
+from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
 from .quality import fit, score
@@ -157,3 +158,20 @@ reach(id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM (SELECT id AS vec_id, min(root) AS component_id FROM reach GROUP BY id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
 """
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM d),
+k AS (SELECT *, translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+often AS (SELECT k, max(doc_id) AS keeper FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT r) >= 5),
+m AS (SELECT k.*, o.k IS NOT NULL AND k.doc_id IS DISTINCT FROM keeper AS gone FROM k LEFT JOIN often o ON k.k = o.k)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
