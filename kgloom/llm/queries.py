@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .chat import format_chats, turns_as_events
+from .fill_middle import fill_in_middle, restored
 from .hnsw import near_duplicates
 from .html_text import extract_text
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack
+from .prefix_trie import branched, conversations, prefix_trie
 from .quality import fit, score
 from .simhash import simhash_groups
 from .suffix_dedup import Cut, suffix_dedup
@@ -175,3 +177,49 @@ m AS (SELECT k.*, o.k IS NOT NULL AND k.doc_id IS DISTINCT FROM keeper AS gone F
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r, doc_id
 """
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"), unit="lines", rate=100, spm_rate=50, seed=7)
+    return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS us FROM d),
+k AS (SELECT *, len(us) AS n, ('0x' || h[1:8])::BIGINT % (len(us) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(us) + 1) AS b FROM u),
+p AS (SELECT *, array_to_string(us[1 : least(a, b)], '') AS prefix, array_to_string(us[least(a, b) + 1 : greatest(a, b)], '') AS middle, array_to_string(us[greatest(a, b) + 1 : n], '') AS suffix,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain' WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(branched(conversations(read_table(spark, sf_dir, "conversations")), every=20, most=4))
+
+
+# A node is the digest of its turns' digests; hexadecimal digits of crc32 come from a table, as there is no function for it.
+ORACLES["op13_conversation_trie"] = r"""
+WITH RECURSIVE t AS (SELECT conv_id AS c, turn, sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, ''))) AS h, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, h) AS i, h, w FROM t),
+bits(n, k, x) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT n, k + 1, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(x ORDER BY n) AS tab FROM bits WHERE k = 8),
+c AS (SELECT DISTINCT c FROM t),
+h AS MATERIALIZED (SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda j: ascii(substr(c::VARCHAR, j, 1))::BIGINT)), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295::BIGINT) % 4 AS h FROM c, crc),
+r AS (SELECT h.c, o.i, o.h, o.w FROM h JOIN o ON o.c = h.c - h.c % 20 AND o.i <= h.h UNION ALL SELECT h.c, o.i, o.h, o.w FROM h JOIN o ON o.c = h.c AND o.i > h.h),
+q AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, h, w FROM r),
+p AS MATERIALIZED (SELECT c, d, sha256(string_agg(h, '') OVER (PARTITION BY c ORDER BY d)) AS p, w FROM q UNION ALL SELECT c, 0, '', 0 FROM c),
+n AS MATERIALIZED (SELECT p, d, min(c) AS c, count(*) AS n, any_value(w) AS w FROM p GROUP BY p, d),
+up AS MATERIALIZED (SELECT n.p, n.d, any_value(b.p) AS up FROM n JOIN p a ON a.p = n.p AND a.d = n.d AND a.c = n.c JOIN p b ON b.c = a.c AND b.d = a.d - 1 GROUP BY n.p, n.d),
+kids AS (SELECT up AS p, d - 1 AS d, count(*) AS k FROM up GROUP BY 1, 2),
+f AS MATERIALIZED (SELECT n.*, coalesce(k, 0) AS k, (n.n - 1) * w AS own, (k IS NULL)::BIGINT AS leaf FROM n LEFT JOIN kids ON kids.p = n.p AND kids.d = n.d),
+sums AS (SELECT a.p, a.d, sum(f.own) AS saved, sum(f.leaf) AS leaves FROM f JOIN p b ON b.p = f.p AND b.d = f.d AND b.c = f.c JOIN p a ON a.c = b.c AND a.d <= b.d GROUP BY a.p, a.d),
+last AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+ends AS (SELECT p.p, p.d, sha256(string_agg(p.c::VARCHAR, ',' ORDER BY p.c)) AS e FROM p JOIN last ON last.c = p.c AND last.d = p.d GROUP BY p.p, p.d)
+SELECT f.c AS conv_id, f.d::BIGINT AS depth, g.c AS parent_conv_id, f.n::BIGINT AS n_convs, f.k::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM f JOIN sums ON sums.p = f.p AND sums.d = f.d LEFT JOIN up ON up.p = f.p AND up.d = f.d LEFT JOIN n g ON g.p = up.up AND g.d = f.d - 1 LEFT JOIN ends ON ends.p = f.p AND ends.d = f.d
+"""
