@@ -88,6 +88,7 @@ class Forest:
     def __init__(self, r: Range) -> None:
         n = len(r.conv)
         self.r = r
+        # count is 0 where a node was found to be a copy of another
         self.depth, self.first, self.count, self.low = np.diff(r.begin).tolist(), list(range(n)), [1] * n, r.conv.tolist()
         self.ends, self.kids, self.leaves, self.saved, self.up = [1] * n, [0] * n, [0] * n, [0] * n, [-1] * n
         common = r.common()
@@ -106,10 +107,11 @@ class Forest:
                 a = self._branch(d, a)
             if self.depth[b] > d:
                 self._attach(b, a)
-            else:  # a copy
-                self.ends[a] += 1
             self.count[a] += self.count[b]
             self.low[a] = min(self.low[a], self.low[b])
+            if self.depth[b] == d:  # a copy: no node of its own
+                self.ends[a] += 1
+                self.count[b] = 0
             root[right], node[left] = left, a
         top = node[find(n - 1)]
         self.top = top if self.depth[top] == 0 else self._branch(0, top)
@@ -148,7 +150,7 @@ class Forest:
     def open_rows(self) -> Iterator[tuple]:
         """OPEN rows: of each open node its sums over what is closed below it, then further chunks of ids."""
         r = self.r
-        for c in range(len(self.depth)):
+        for c in np.flatnonzero(self.count).tolist():
             to = min(self.open_to(c), self.depth[c])
             for d in range(self.depth[self.up[c]] + 1 if self.up[c] >= 0 else 0, to + 1):
                 on_left, on_right = self.first[c] == 0 and d <= r.left, self.first[c] + self.count[c] == len(r.conv) and d <= r.right
@@ -171,7 +173,7 @@ class Forest:
         to = np.maximum(np.where(first == 0, r.left, -1), np.where(first + count == len(r.conv), r.right, -1))
         above = np.where(up >= 0, depth[up], -1)
         begin = np.maximum(to, above) + 1
-        m = np.maximum(depth - begin + 1, 0)
+        m = np.where(count > 0, np.maximum(depth - begin + 1, 0), 0)
         node = np.repeat(np.arange(len(depth)), m)
         d = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + begin[node]
         last, head = d == depth[node], d == begin[node]
@@ -291,7 +293,7 @@ def _bounds(ranged: DataFrame) -> dict[int, tuple[int, int]]:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, pa.int64())], schema=schema)
 
     found = sorted((r["range"], r["left"]) for r in edges.repartition(1).sortWithinPartitions("range").mapInArrow(run, "range int, left long").collect())
-    return {n: (left, right) for (n, left), (_, right) in zip(found, [*found[1:], (None, -1)], strict=True)}
+    return {n: (left, right) for (n, left), (_, right) in zip(found, [*found[1:], (None, -1)], strict=False)}
 
 
 def prefix_trie(convs: DataFrame) -> DataFrame:
