@@ -64,7 +64,15 @@ class LineRuns:
         self.levels: list[list[DataFrame]] = []
 
     def _sorted(self, keys: DataFrame) -> DataFrame:
-        return keys.repartition(parts(keys.sparkSession), *KEY).sortWithinPartitions(*KEY)
+        """A run. It is made by a plan that isn't adaptive, as the checkpoint of an adaptive one doesn't know that it is partitioned
+        and sorted and would be shuffled and sorted again for each batch."""
+        spark = keys.sparkSession
+        adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            return materialize(keys.repartition(parts(spark), *KEY).sortWithinPartitions(*KEY))
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -78,15 +86,13 @@ class LineRuns:
     def add(self, rows: DataFrame) -> DataFrame:
         """Adds a batch of line_keys() as a run of its own and returns the run. A key that came with an earlier batch keeps the
         keeper that it has there."""
-        keys = self._sorted(_counted(rows))
         if self.runs():
-            keys = materialize(keys)
-            new = self.unseen(keys).select(*KEY, F.lit(True).alias("__new"))
+            keys = self._sorted(_counted(rows))
+            new = self.unseen(keys.select(*KEY)).withColumn("__new", F.lit(True))
             keys = keys.join(new.hint("merge"), KEY, "left").select(*KEY, "n_docs", "n_lines", F.when(F.col("__new"), F.col("keeper")).alias("keeper"), F.coalesce("__new", F.lit(False)).alias("new"))
-            keys = self._sorted(keys)
         else:
-            keys = keys.withColumn("new", F.lit(True))
-        run = materialize(keys)
+            keys = _counted(rows).withColumn("new", F.lit(True))
+        run = self._sorted(keys)
         self._put(run, 0)
         return run
 
@@ -95,7 +101,7 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = materialize(self._sorted(_merged(self.levels[level])))
+            merged = self._sorted(_merged(self.levels[level]))
             self.levels[level] = []
             self._put(merged, level + 1)
 
