@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import contains_any, first_filled, leading_int, occurrences, word_match
+from ..functions.columns import contains_any, first_filled, leading_int
 from ..functions.dictionaries import PERIODS, TOPIC_KEYWORDS
+from .dictionary import hit_any, hit_count, numbered_patterns, pattern_hits
 from .graph import Graph
 from .iterate import numbered, with_row
 
@@ -34,22 +33,12 @@ def cleaned(title: Column, abstract: Column) -> Column:
 
 
 def topic_matches(papers: DataFrame, topics: dict[str, list[str]] = TOPIC_KEYWORDS) -> DataFrame:
-    """(paper_ix, pub_year, topic): each topic with a keyword in the paper, as a whole word. A text is cut to words once and
-    these are looked up for each topic; keywords of several words are searched only where their first word stands. One row
-    per match leaves."""
-    cut = re.compile(r"[^A-Za-z0-9_]+")
-
-    def found(words: list[str]) -> Column:
-        single, longer = [w for w in words if not cut.search(w)], [w for w in words if cut.search(w)]
-        there = lambda ws: F.arrays_overlap("__ws", F.array(*map(F.lit, ws)))
-        c = there(single) if single else F.lit(False)
-        return c | (there(sorted({cut.split(w)[0] for w in longer})) & word_match(F.col("__t"), *longer)) if longer else c
-
-    flags = [F.when(found(words), F.lit(t)) for t, words in topics.items()]
-    title, abstract = F.col("title"), F.col("abstract")
-    raw = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit(""))))
-    texts = papers.select("paper_ix", "pub_year", F.split(raw, cut.pattern).alias("__ws"), cleaned(title, abstract).alias("__t"))
-    return texts.select("paper_ix", "pub_year", F.explode(F.array_compact(F.array(*flags))).alias("topic"))
+    """(paper_ix, pub_year, topic): each topic with a keyword in the paper, as a whole word. All keywords are found in one pass
+    over the text; one row per match leaves."""
+    words, places = numbered_patterns(topics)
+    hits = pattern_hits(papers.select("paper_ix", "pub_year", cleaned(F.col("title"), F.col("abstract")).alias("__t")), "__t", words)
+    flags = [F.when(hit_any("hits", at, whole=True), F.lit(t)) for t, at in places.items()]
+    return hits.select("paper_ix", "pub_year", F.explode(F.array_compact(F.array(*flags))).alias("topic"))
 
 
 def coverage(papers: DataFrame, topics: dict[str, list[str]] = TOPIC_KEYWORDS) -> DataFrame:
@@ -100,11 +89,17 @@ BEST_TOPICS = {
 }
 
 
+def _lowered() -> Column:
+    return F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
+
+
 def best_topic(papers: DataFrame, topics: dict[str, list[str]] = BEST_TOPICS) -> DataFrame:
-    """(paper_ix, topic, score): the topic of most keyword occurrences, the first of equal ones; none: the last topic."""
-    text = papers.select("paper_ix", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))).alias("__t"))
-    scores = [F.struct(sum((occurrences("__t", w) for w in words), F.lit(0)).alias("score"), F.lit(-i).alias("ord"), F.lit(t).alias("topic")) for i, (t, words) in enumerate(topics.items())]
-    best = text.select("paper_ix", F.array_max(F.array(*scores)).alias("b"))
+    """(paper_ix, topic, score): the topic of most keyword occurrences (also within words), the first of equal ones; none: the
+    last topic. All keywords are counted in one pass over the text."""
+    words, places = numbered_patterns(topics)
+    hits = pattern_hits(papers.select("paper_ix", _lowered().alias("__t")), "__t", words)
+    scores = [F.struct(hit_count("hits", at).alias("score"), F.lit(-i).alias("ord"), F.lit(t).alias("topic")) for i, (t, at) in enumerate(places.items())]
+    best = hits.select("paper_ix", F.array_max(F.array(*scores)).alias("b"))
     last = list(topics)[-1]
     return best.select("paper_ix", F.when(F.col("b.score") > 0, F.col("b.topic")).otherwise(last).alias("topic"), F.col("b.score").alias("score"))
 
@@ -133,11 +128,11 @@ def year_histogram(papers: DataFrame, first: int = 2000, last: int = 2025) -> Da
 
 def topic_keyword_counts(papers: DataFrame, topics: dict[str, list[str]] = BEST_TOPICS, k: int = 20) -> DataFrame:
     """The k most frequent keywords; one in two topics counts twice."""
-    words = [w for ws in topics.values() for w in ws]
-    text = papers.select(F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))).alias("__t"))
-    sums = text.agg(*[F.sum(occurrences("__t", w)).alias(f"c{i}") for i, w in enumerate(words)])
-    rows = sums.select(F.explode(F.array(*[F.struct(F.lit(w).alias("keyword"), F.col(f"c{i}").alias("n")) for i, w in enumerate(words)])).alias("x")).select("x.*")
-    return rows.groupBy("keyword").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "keyword").limit(k)
+    words, places = numbered_patterns(topics)
+    times = [sum(at.count(i) for at in places.values()) for i in range(len(words))]
+    hits = pattern_hits(papers.select(_lowered().alias("__t")), "__t", words).select(F.explode("hits").alias("h"))
+    named = [F.get(F.array(*map(F.lit, values)), F.col("h.pattern")) for values in (words, times)]
+    return hits.groupBy(named[0].alias("keyword")).agg(F.sum(F.col("h.n") * named[1]).alias("n")).orderBy(F.desc("n"), "keyword").limit(k)
 
 
 def node_class(label: Column, type: Column) -> Column:  # noqa: A002

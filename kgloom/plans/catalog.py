@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.dictionaries import CITATION_PATTERNS, NODE_TYPE_ALIASES, NODE_TYPES, PERIODS, RELATIONSHIP_ALIASES, RELATIONSHIP_TYPES, TOPIC_KEYWORDS
-from ..operators import builder, extract, graph, keywords, metrics, store, topics, transform
+from ..operators import builder, dictionary, extract, graph, keywords, metrics, store, topics, transform
 from ..sources import readers, tables
 from ..streaming.upsert import windowed_counts
 
@@ -626,6 +626,23 @@ def extracted_nodes(s, d):
     return extract.node_candidates(_pages(s, d))
 
 
+# Every document's first one to four words are labels: found in SQL by joining runs of words of the same number.
+RUN = "array_to_string(ps[i:i + n - 1], '')"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+|[^a-z0-9_]+') AS ps FROM documents),
+  labels AS (SELECT DISTINCT label FROM (SELECT trim(regexp_extract(lower(text), '^[^a-z0-9_]*((?:[a-z0-9_]+[^a-z0-9_]+){{' || n || '}}[a-z0-9_]+)', 1)) AS label FROM documents, (SELECT unnest(range(4)) AS n)) WHERE label <> ''),
+  sized AS (SELECT label, len(regexp_extract_all(label, '[a-z0-9_]+|[^a-z0-9_]+')) AS n FROM labels),
+  runs AS (SELECT DISTINCT doc_id, {RUN} AS label FROM (SELECT doc_id, ps, n, unnest(range(1, len(ps) - n + 2)) AS i FROM t, (SELECT DISTINCT n FROM sized)) WHERE regexp_matches(ps[i], '^[a-z0-9_]'))
+SELECT label, count(*) AS n_docs, min(doc_id) AS first_doc FROM runs JOIN sized USING (label) GROUP BY label""")
+def label_mentions(s, d):
+    docs = tables.table(s, d, "documents").select("doc_id", "text")
+    low = F.lower("text")
+    label = [F.regexp_extract(low, rf"^[^a-z0-9_]*((?:[a-z0-9_]+[^a-z0-9_]+){{{n}}}[a-z0-9_]+)", 1) for n in range(4)]
+    labels = docs.select(F.explode(F.array(*label)).alias("label")).where("label <> ''").distinct()
+    return dictionary.label_mentions(docs, labels, ["doc_id"]).groupBy("label").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
 @query()
 def sentence_relations(s, d):
     pages = _pages(s, d)
