@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import alnum, filled, first_filled, jaccard, nonzero, number, prettified, round_half_up, slug, tokens
+from ..functions.columns import alnum, filled, first_filled, nonzero, number, prettified, round_half_up, slug, tokens
 from .graph import Graph, components
 from .iterate import materialize, numbered, with_row
+from .similarity import best_matches
 from .transform import first_edges
 
 
@@ -97,34 +98,15 @@ def densify(nodes: DataFrame, edges: DataFrame, share: float = 0.6) -> DataFrame
     return edges.unionByName(extra)
 
 
-def _word_sets(ws: str) -> Column:
-    """All non-empty subsets of a sorted array of words, each as one string."""
-    more = lambda acc, w: F.concat(acc, F.transform(acc, lambda x: F.concat(x, w, F.lit(" "))))
-    return F.filter(F.aggregate(ws, F.array(F.lit("")), more), lambda x: x != "")
-
-
-def bridge(nodes: DataFrame, edges: DataFrame, many: int = 8) -> DataFrame:
+def bridge(nodes: DataFrame, edges: DataFrame, many: int = 8, common: int = 64) -> DataFrame:
     """Links every smaller component to the largest at the pair of labels most alike (Jaccard likeness of words; none shared:
-    by id). Labels with equal words are one row. Of labels with at most `many` words each subset of words keeps only the
-    smallest label of the largest component that has them, as none that shares just these is more alike; so a common word
-    makes no pairs. Labels with more words, which are few, meet by word."""
+    by id). common and many bound the work at common words, see best_matches."""
     comp = materialize(nodes.select("id", "label").join(components(nodes.select("id").distinct(), edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "id"))
     sizes = comp.groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     main = sizes.orderBy(F.desc("n"), "component").limit(1).select(F.col("component").alias("main"), F.col("first").alias("main_first"))
-    words = with_row(comp.withColumn("ws", F.array_sort(tokens("label", "[^a-z0-9]+"))), main).where(F.size("ws") > 0)
-    words = materialize(words.groupBy(F.when(F.col("component") != F.col("main"), F.col("component")).alias("component"), "ws").agg(F.min("id").alias("id")).withColumn("k", F.size("ws")))
-    inner = words.where("component is null").select("ws", "k", F.col("id").alias("dst"))
-    outer = words.where("component is not null").select("component", "ws", "k", F.col("id").alias("src"))
-    few = F.col("k") <= many
-    least = inner.where(few).select(F.explode(_word_sets("ws")).alias("s"), "k", "dst").groupBy("s").agg(F.min(F.struct("k", "dst")).alias("m"))
-    asked = outer.where(few).select("component", "src", "k", F.explode(_word_sets("ws")).alias("s"))
-    shared = F.size(F.split(F.trim("s"), " "))
-    pairs = asked.join(least, "s").select("component", "src", F.col("m.dst").alias("dst"), (shared / (F.col("k") + F.col("m.k") - shared)).alias("score"))
-    word = lambda df: df.select("*", F.explode("ws").alias("w"))
-    rows = lambda df, k, w: df.withColumnRenamed("k", k).withColumnRenamed("ws", w)
-    long_ = rows(word(outer), "ka", "wa").join(rows(word(inner), "kb", "wb"), "w").where((F.col("ka") > many) | (F.col("kb") > many))
-    pairs = pairs.unionByName(long_.select("component", "src", "dst", jaccard(F.col("wa"), F.col("wb")).alias("score")))
-    best = pairs.groupBy("component").agg(F.min(F.struct((-F.col("score")).alias("s"), "src", "dst")).alias("x"))
+    words = materialize(with_row(comp.select("component", F.col("id").alias("key"), tokens("label", "[^a-z0-9]+").alias("ws")), main))
+    best = best_matches(words.where("component <> main").withColumnRenamed("component", "grp"), words.where("component = main"), common, many)
+    best = best.select(F.col("grp").alias("component"), F.struct((-F.col("likeness")).alias("s"), F.col("a").alias("src"), F.col("b").alias("dst")).alias("x"))
     rest = with_row(sizes, main).where("component <> main").join(best, "component", "left")
     score = F.coalesce(-F.col("x.s"), F.lit(0.0))
     extra = rest.select(F.lit(1 << 30).cast("int").alias("pos"), F.coalesce("x.src", "first").alias("src"), F.coalesce("x.dst", "main_first").alias("dst"), F.lit("contextual_link").alias("label"), F.greatest(F.lit(2.0), round_half_up(F.when(score > 0, score).otherwise(0.3) * 10)).cast("double").alias("weight"))

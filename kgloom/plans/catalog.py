@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.dictionaries import CITATION_PATTERNS, NODE_TYPE_ALIASES, NODE_TYPES, PERIODS, RELATIONSHIP_ALIASES, RELATIONSHIP_TYPES, TOPIC_KEYWORDS
-from ..operators import builder, dictionary, extract, graph, keywords, metrics, store, topics, transform
+from ..operators import builder, dictionary, extract, graph, keywords, metrics, similarity, store, topics, transform
 from ..sources import readers, tables
 from ..streaming.upsert import windowed_counts
 
@@ -626,6 +626,24 @@ def extracted_nodes(s, d):
     return extract.node_candidates(_pages(s, d))
 
 
+PART_WORDS = "(SELECT p_partkey AS k, list_distinct(string_split(p_name, ' ')) AS ws FROM part)"
+
+
+@query(f"SELECT a, b, round(i / (m + n - i), 9)::DOUBLE AS likeness FROM (SELECT x.k AS a, y.k AS b, len(x.ws) AS m, len(y.ws) AS n, len(list_intersect(x.ws, y.ws))::DOUBLE AS i FROM {PART_WORDS} x JOIN {PART_WORDS} y ON x.k < y.k) WHERE i / (m + n - i) >= 0.6")
+def similar_names(s, d):
+    names = tables.table(s, d, "part").select(F.col("p_partkey").alias("key"), F.split("p_name", " ").alias("ws"))
+    return similarity.similar_pairs(names, None, 0.6).withColumn("likeness", F.round("likeness", 9))
+
+
+@query("SELECT DISTINCT n_name AS part, c.doc_id FROM (SELECT DISTINCT lower(substr(text, 1, 6)) AS n_name FROM documents WHERE length(text) > 5) JOIN (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS t FROM documents) c ON contains(t, n_name)")
+def contained_texts(s, d):
+    """First lines of documents that hold another's first six characters."""
+    docs = tables.table(s, d, "documents")
+    heads = docs.where(F.char_length("text") > 5).select(F.lower(F.substring("text", 1, 6)).alias("text")).distinct().withColumn("key", F.col("text"))
+    lines = docs.select(F.col("doc_id").alias("key"), F.lower(F.substring_index("text", "\n", 1)).alias("text"))
+    return similarity.contained_pairs(heads, lines).select(F.col("a").alias("part"), F.col("b").alias("doc_id")).distinct()
+
+
 # Every document's first one to four words are labels: found in SQL by joining runs of words of the same number.
 RUN = "array_to_string(ps[i:i + n - 1], '')"
 
