@@ -86,11 +86,11 @@ def truncated(c: Column | str, n: int = 150) -> Column:
 
 def header(c: Column | str) -> Column:
     """Normalised CSV header."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(col(c))), '"', ""), r"\s+", "_")
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(col(c))), "['\"]", ""), r"\s+", "_")
 
 
 def header_name(h: str) -> str:
-    return re.sub(r"\s+", "_", h.strip().lower().replace('"', ""))
+    return re.sub(r"\s+", "_", re.sub("['\"]", "", h.strip().lower()))
 
 
 def _alias(c: Column, names: dict[str, str], allowed: list[str], default: str) -> Column:

@@ -124,14 +124,13 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(id, level): ids within depth steps in any direction of the start ids, with their least distance. Each step reads the
-    edges once in each direction and keeps only ids that it reaches."""
-    e = edges.select("src", "dst")
+    """(id, level): ids within depth steps in any direction of the start ids, with their least distance. The edges are written
+    once in both directions; each step keeps only ids that it reaches."""
+    both = materialize(endpoints(edges)) if depth > 1 else endpoints(edges)
     seen = materialize(start.select("id").distinct().withColumn("level", F.lit(0)))
     front = seen
     for level in range(1, depth + 1):
-        at = front.select(F.col("id").alias("__at"))
-        reached = e.join(at, F.col("src") == F.col("__at"), "left_semi").select(F.col("dst").alias("id")).unionByName(e.join(at, F.col("dst") == F.col("__at"), "left_semi").select(F.col("src").alias("id"))).distinct()
+        reached = both.join(front.select("id"), "id", "left_semi").select(F.col("other").alias("id")).distinct()
         front = materialize(reached.join(seen, "id", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
@@ -158,8 +157,8 @@ def neighbour_levels(edges: DataFrame, id: str) -> DataFrame:  # noqa: A002
 
 def paths(edges: DataFrame, src: str, dst: str | None = None, max_length: int = 5) -> DataFrame:
     """All paths in any direction of 1 to max_length edges from src (to dst), no edge used twice: vertices, types,
-    length (edges) and total weight."""
-    numbered = edges.select("src", "dst", "weight", "relationship_type").withColumn("eid", F.xxhash64("src", "dst", "relationship_type"))
+    length (edges) and total weight. Parallel edges are edges of their own, also equal ones."""
+    numbered = materialize(edges.select("src", "dst", "weight", "relationship_type")).withColumn("eid", F.monotonically_increasing_id())
     ends = F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to")))
     step = materialize(numbered.withColumn("e", F.explode(F.array_distinct(ends))).select("e.at", "e.to", "weight", "relationship_type", "eid"))
     front = edges.sparkSession.createDataFrame([(src,)], "at string").select("at", F.array("at").alias("vertices"), F.array().cast("array<string>").alias("types"), F.array().cast("array<bigint>").alias("used"), F.lit(0.0).alias("total_weight"))

@@ -17,28 +17,37 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: F.char_length(w) > 2)
 
 
+def _tallied(docs: DataFrame, items: Column, k: int, n: str, pair: float = 1.0) -> DataFrame:
+    """docs less `__items`, with the k commonest strings of the array items of each row as (keyword, n, rank), counted in the row:
+    its strings are sorted with their places, so that a string's places lie together. An occurrence counts 1, of a string with a space `pair`."""
+    s = docs.withColumn("__s", F.sort_array(F.transform(items, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))).withColumn("__size", F.size("__s"))
+    first = lambda x, i: (i == 0) | (x["w"] != F.get("__s", i - 1)["w"])
+    s = s.withColumn("__b", F.filter(F.transform("__s", lambda x, i: F.when(first(x, i), i)), lambda i: i.isNotNull()))
+    each = F.transform("__b", lambda b, j: F.struct((b - F.coalesce(F.get("__b", j + 1), F.col("__size"))).alias("less"), F.get("__s", b)["i"].alias("i"), F.get("__s", b)["w"].alias("w")))
+    if pair != 1.0:
+        each = F.transform(each, lambda x: F.struct(F.round(x["less"] * F.when(F.contains(x["w"], F.lit(" ")), pair).otherwise(1.0), 6).alias("less"), x["i"].alias("i"), x["w"].alias("w")))
+    rows = s.select(*[c for c in docs.columns if c != "__items"], F.posexplode(F.slice(F.sort_array(each), 1, k)).alias("__r", "__x"))
+    return rows.withColumns({"keyword": F.col("__x.w"), n: -F.col("__x.less"), "rank": F.col("__r") + 1}).drop("__r", "__x")
+
+
 def top_keywords(docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, keyword, n, rank): each document's k most frequent words, earlier ones first of equal ones. Documents are dealt
-    by id once, which serves the count and the ranking."""
-    w = docs.repartition(id_col).select(id_col, F.posexplode(words(F.col(text_col))).alias("pos", "keyword"))
-    n = w.groupBy(id_col, "keyword").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "first_pos"))
-    return n.withColumn("rank", rank).where(F.col("rank") <= k).select(id_col, "keyword", "n", "rank")
+    """(id_col, keyword, n, rank): each document's k most frequent words, earlier ones first of equal ones. A row is a document
+    and is counted where it is; nothing is shuffled."""
+    w = docs.select(id_col, words(F.col(text_col)).alias("__items"))
+    return _tallied(w, F.col("__items"), k, "n").select(id_col, "keyword", F.col("n").cast("long").alias("n"), "rank")
 
 
 def weighted_keywords(docs: DataFrame, stopwords: list[str], k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, keyword, score, rank): words without stopwords and pure digits, and pairs of neighbours among the kept
-    words (6 to 29 characters) at eight tenths of a word's weight. Hangul counts as letters."""
+    words (6 to 29 characters) at eight tenths of a word's weight. Hangul counts as letters. A row is a document and is counted
+    where it is; nothing is shuffled."""
     parts = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^A-Za-z0-9_\s가-힣]+", " "), r"\s+")
     kept = F.filter(parts, lambda w: (F.char_length(w) > 2) & ~w.isin(stopwords) & (F.translate(w, "0123456789", "") != ""))
-    d = docs.repartition(id_col).select(id_col, kept.alias("__w"))
+    d = docs.select(id_col, kept.alias("__w"))
     pairs = F.zip_with("__w", F.slice("__w", 2, F.greatest(F.size("__w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))  # null after the last
     pairs = F.filter(pairs, lambda p: (F.char_length(p) > 5) & (F.char_length(p) < 30))
-    items = F.concat(F.transform("__w", lambda w: F.struct(w.alias("keyword"), F.lit(1.0).alias("s"))), F.transform(pairs, lambda p: F.struct(p.alias("keyword"), F.lit(0.8).alias("s"))))
-    x = d.select(id_col, F.posexplode(items).alias("pos", "x")).select(id_col, "pos", "x.keyword", "x.s")
-    n = x.groupBy(id_col, "keyword").agg(F.round(F.sum("s"), 6).alias("score"), F.min("pos").alias("first_pos"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "first_pos"))
-    return n.withColumn("rank", rank).where(F.col("rank") <= k).select(id_col, "keyword", "score", "rank")
+    d = d.select(id_col, F.concat("__w", pairs).alias("__items"))
+    return _tallied(d, F.col("__items"), k, "score", pair=0.8).select(id_col, "keyword", F.round("score", 6).alias("score"), "rank")
 
 
 def field_keywords(field: Column) -> Column:

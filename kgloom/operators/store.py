@@ -21,7 +21,7 @@ def with_defaults(nodes: DataFrame, edges: DataFrame) -> Graph:
 
 
 def merge_nodes(old: DataFrame, new: DataFrame, strategy: str = "append") -> DataFrame:
-    """Nodes matched by label; all columns of both stay. append: only unmatched ones come in; update: matched ones take the
+    """Nodes matched by label (nodes without one by its lack); all columns of both stay. append: only unmatched ones come in; update: matched ones take the
     greatest size and the new attributes (map) over the old; replace: the new ones alone. Of several new nodes of one label
     the first by id counts; update merges the others into it."""
     has = "attributes" in old.columns and "attributes" in new.columns
@@ -30,16 +30,16 @@ def merge_nodes(old: DataFrame, new: DataFrame, strategy: str = "append") -> Dat
     batch = batch.select(*[F.col(c) if c == "label" or c in changed else F.col(f"x.{c}").alias(c) for c in new.columns])
     if strategy == "replace":
         return batch
-    fresh = batch.join(old.select("label"), "label", "left_anti").select(*new.columns)
+    fresh = batch.join(old.select(F.col("label").alias("__l")), F.col("label").eqNullSafe(F.col("__l")), "left_anti").select(*new.columns)
     if strategy == "append":
         return old.unionByName(fresh, allowMissingColumns=True)
-    b = batch.select("label", *[F.col(c).alias(f"__{c}") for c in changed])
+    b = batch.select(F.col("label").alias("__l"), *[F.col(c).alias(f"__{c}") for c in changed])
     none = F.create_map().cast("map<string,string>")
     out = {"size": F.greatest("size", "__size")}
     if has:
         mine, theirs = F.coalesce("attributes", none), F.coalesce("__attributes", none)
         out["attributes"] = F.map_concat(F.map_filter(mine, lambda k, v: ~F.map_contains_key(theirs, k)), theirs)
-    matched = old.join(b, "label", "left").select(*[out[c].alias(c) if c in out else F.col(c) for c in old.columns])
+    matched = old.join(b, F.col("label").eqNullSafe(F.col("__l")), "left").select(*[out[c].alias(c) if c in out else F.col(c) for c in old.columns])
     return matched.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -102,11 +102,13 @@ class GraphStore:
 
     Rows of a table lie in buckets by the hash of their key: <root>/data/<table>/<change>/__bucket=<b>. A change writes new
     folders for the buckets it touches and then one small manifest that names the folders of all tables, so readers and
-    retried jobs see all of a change or nothing of it, and a small change rewrites little. One writer at a time.
+    retried jobs see all of a change or nothing of it, and a small change rewrites little. One writer at a time. The number of
+    buckets is fixed by the first change; one that is given for a store that is there has no effect.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.spark, self.root = spark, root.rstrip("/")
+        self.buckets = self.manifest().get("buckets", buckets)
 
     def _fs(self, path: str):  # noqa: ANN202
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -166,7 +168,27 @@ class GraphStore:
             for f in df.schema.fields:
                 schema = schema if f.name in schema.names else schema.add(f.name, f.dataType, True)
             tables[table] = {"schema": schema.jsonValue(), "folders": {b: kept.get(b, []) + new.get(b, []) for b in {*kept, *new}}}
-        self._publish(state | {"tables": tables, "batch": state["batch"] if batch is None else batch})
+        self._publish(state | {"tables": tables, "buckets": self.buckets, "batch": state["batch"] if batch is None else batch})
+
+    def rewrite(self, table: str) -> None:
+        """Joins a table's many small files to one folder of buckets and drops the folders that it lay in before. Readers that
+        began earlier may miss them."""
+        self.commit({table: (self.read(table), None)})
+        kept = {p.rpartition("/")[0] for ps in self.manifest()["tables"][table]["folders"].values() for p in ps}
+        fs, p = self._fs(f"{self.root}/data/{table}")
+        for x in fs.listStatus(p):
+            if f"{self.root}/data/{table}/{x.getPath().getName()}" not in kept:
+                fs.delete(x.getPath(), True)
+
+    def upload_csv(self, path: str, table: str = "metadata_collection") -> int:
+        """Appends the rows of a CSV file to a table of documents, made if it isn't there, with all columns of both; the number of rows. A
+        file without rows is an error."""
+        rows = self.spark.read.csv(path, header=True, inferSchema=False)
+        n = rows.count() if rows.columns else 0
+        if not n:
+            raise ValueError("the CSV file is empty or could not be parsed")
+        self.commit({table: (rows, None)}, append=True)
+        return n
 
     def ensure(self, table: str, schema: str) -> bool:
         """Makes an empty table if there is none; whether there was one."""

@@ -296,6 +296,32 @@ def closeness(s, d):
     return graph.closeness(tables.geo_graph(s, d))
 
 
+@query()
+def sketched_closeness(s, d):
+    return metrics.sketched_closeness(tables.graph(s, d))
+
+
+def _brandes(levels: int, pivots: str) -> str:
+    """Brandes' sums from the pivots (a query of ids) with one step for each level, forwards and backwards."""
+    steps = ["adj AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM g_edges UNION ALL SELECT dst, src FROM g_edges) WHERE a <> b)", f"p0 AS MATERIALIZED (SELECT id AS s, id, 1.0::DOUBLE AS paths FROM ({pivots}))"]
+    for d in range(1, levels + 1):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM p{e} x WHERE x.s = p.s AND x.id = adj.b)" for e in range(max(0, d - 2), d))
+        steps.append(f"p{d} AS MATERIALIZED (SELECT s, b AS id, sum(paths) AS paths FROM p{d - 1} p JOIN adj ON a = id WHERE true {seen} GROUP BY s, b)")
+    for d in range(levels, 0, -1):
+        share = f"LEFT JOIN c{d + 1} c ON c.s = p.s AND c.id = p.id" if d < levels else "LEFT JOIN (SELECT 0.0 AS share) c ON true"
+        steps.append(f"h{d} AS MATERIALIZED (SELECT p.s, p.id, paths, paths * coalesce(c.share, 0) AS delta FROM p{d} p {share})")
+        steps.append(f"c{d} AS MATERIALIZED (SELECT h.s, b AS id, sum((1 + delta) / h.paths) AS share FROM h{d} h JOIN adj ON a = h.id JOIN p{d - 1} q ON q.s = h.s AND q.id = b GROUP BY h.s, b)")
+    deltas = " UNION ALL ".join(f"SELECT id, delta FROM h{d}" for d in range(1, levels + 1))
+    return ", ".join([*steps, f"deltas AS (SELECT id, sum(delta) AS b FROM ({deltas}) GROUP BY id)"])
+
+
+@query("SELECT id, round(coalesce(b, 0) * (SELECT count(*) FROM g_nodes) / (SELECT count(*) FROM p0) / 2, 4)::DOUBLE AS betweenness FROM g_nodes LEFT JOIN deltas USING (id)", "g_nodes", "g_edges", recursive=_brandes(16, "SELECT id FROM g_nodes WHERE type = 'nation'"))
+def betweenness(s, d):
+    """Over the whole graph, from the nations as pivots."""
+    g = tables.graph(s, d)
+    return metrics.betweenness(g, g.nodes.where("type = 'nation'")).withColumn("betweenness", F.round("betweenness", 4))
+
+
 LPA_ROUND = "SELECT n.id, coalesce(x.label, n.label) AS label FROM {prev} n LEFT JOIN (SELECT a AS id, label, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, label) AS r FROM (SELECT src AS a, dst AS b FROM g_edges UNION SELECT dst, src FROM g_edges) e JOIN {prev} p ON p.id = e.b GROUP BY a, label) x ON x.id = n.id AND x.r = 1"
 
 
@@ -644,19 +670,19 @@ def contained_texts(s, d):
     return similarity.contained_pairs(heads, lines).select(F.col("a").alias("part"), F.col("b").alias("doc_id")).distinct()
 
 
-# Every document's first one to four words are labels: found in SQL by joining runs of words of the same number.
+# Every document's first one to three words are labels: found in SQL by joining runs of words of the same number.
 RUN = "array_to_string(ps[i:i + n - 1], '')"
 
 
 @query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+|[^a-z0-9_]+') AS ps FROM documents),
-  labels AS (SELECT DISTINCT label FROM (SELECT trim(regexp_extract(lower(text), '^[^a-z0-9_]*((?:[a-z0-9_]+[^a-z0-9_]+){{' || n || '}}[a-z0-9_]+)', 1)) AS label FROM documents, (SELECT unnest(range(4)) AS n)) WHERE label <> ''),
+  labels AS (SELECT DISTINCT label FROM (SELECT trim(regexp_extract(lower(text), '^[^a-z0-9_]*((?:[a-z0-9_]+[^a-z0-9_]+){{' || n || '}}[a-z0-9_]+)', 1)) AS label FROM documents, (SELECT unnest(range(3)) AS n)) WHERE label <> ''),
   sized AS (SELECT label, len(regexp_extract_all(label, '[a-z0-9_]+|[^a-z0-9_]+')) AS n FROM labels),
   runs AS (SELECT DISTINCT doc_id, {RUN} AS label FROM (SELECT doc_id, ps, n, unnest(range(1, len(ps) - n + 2)) AS i FROM t, (SELECT DISTINCT n FROM sized)) WHERE regexp_matches(ps[i], '^[a-z0-9_]'))
 SELECT label, count(*) AS n_docs, min(doc_id) AS first_doc FROM runs JOIN sized USING (label) GROUP BY label""")
 def label_mentions(s, d):
     docs = tables.table(s, d, "documents").select("doc_id", "text")
     low = F.lower("text")
-    label = [F.regexp_extract(low, rf"^[^a-z0-9_]*((?:[a-z0-9_]+[^a-z0-9_]+){{{n}}}[a-z0-9_]+)", 1) for n in range(4)]
+    label = [F.regexp_extract(low, rf"^[^a-z0-9_]*((?:[a-z0-9_]+[^a-z0-9_]+){{{n}}}[a-z0-9_]+)", 1) for n in range(3)]
     labels = docs.select(F.explode(F.array(*label)).alias("label")).where("label <> ''").distinct()
     return dictionary.label_mentions(docs, labels, ["doc_id"]).groupBy("label").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 

@@ -13,10 +13,16 @@ from ..operators.graph import Graph
 
 def read_csv(spark: SparkSession, path: str, normalise: bool = True) -> DataFrame:
     """All columns as strings; headers normalised or as they are; rows with too few fields dropped, extra fields ignored;
-    values trimmed and free of quote characters."""
-    df = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", quote='"', escape="\0", columnNameOfCorruptRecord="__bad", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    names = [header_name(c) for c in df.columns] if normalise else df.columns
-    return df.toDF(*names).select(*[F.trim(F.replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit('"'), F.lit(""))).alias(c) for c in names])
+    values trimmed and free of single and double quotes. A row is a line; blank lines count for nothing."""
+    options = {"header": True, "mode": "PERMISSIVE", "quote": '"', "escape": "\0", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    found = spark.read.csv(path, inferSchema=False, **options).columns
+    names = [header_name(c) for c in found] if normalise else found
+    plain = [f"c{i}" for i in range(len(found))]
+    # Spark keeps the line of a row with too few or too many fields
+    df = spark.read.csv(path, schema=", ".join(f"{c} string" for c in [*plain, "__bad"]), columnNameOfCorruptRecord="__bad", **options)
+    whole = F.col("__bad").isNull() | (F.size(parse_csv_line(F.col("__bad"))) >= len(found))
+    read = F.octet_length(F.coalesce("c0", F.lit(""))) >= 0  # Spark refuses to read lines alone, as a count would
+    return df.where(whole & read).select(*[F.regexp_replace(F.trim(F.coalesce(F.col(c), F.lit(""))), "['\"]", "").alias(n) for c, n in zip(plain, names, strict=True)])
 
 
 def parse_csv_line(line: Column) -> Column:
@@ -147,8 +153,8 @@ def migrate_folder(spark: SparkSession, folder: str, store, kind: str | None = N
 
 def char_budget_sample(rows: DataFrame, budget: int = 300_000, seed: int = 42, text_col: str = "value", header_chars: int = 0) -> DataFrame:
     """Rows in seeded random order as long as their running length (one more for each) fits the budget; all if all fit.
-    The kept prefix is at most budget characters, so only that much is ever ordered in one task: rows are first cut to the
-    lowest hashes that could fit."""
+    A row is one character or more, so no more than `budget` rows can be in it and only those of least hash are ordered in one
+    task; rows are cut to the lowest hashes that could fit before."""
     sized = rows.withColumn("__h", F.xxhash64(F.lit(seed), text_col)).withColumn("__n", F.char_length(text_col) + 1)
     total = sized.agg(F.sum("__n").alias("n")).first()["n"] or 0
     if total + header_chars <= budget:
@@ -160,7 +166,7 @@ def char_budget_sample(rows: DataFrame, budget: int = 300_000, seed: int = 42, t
     counts = sized.groupBy(bucket.alias("b")).agg(F.sum("__n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     keep = counts.withColumn("before", before).where(F.col("before") + header_chars < budget).select("b")
-    near = sized.withColumn("b", bucket).join(keep, "b", "left_semi")
+    near = sized.withColumn("b", bucket).join(keep, "b", "left_semi").orderBy("__h", text_col).limit(budget)
     run = F.sum("__n").over(Window.orderBy("__h", text_col).rowsBetween(Window.unboundedPreceding, 0))
     return near.withColumn("__run", run).where(F.col("__run") + header_chars <= budget).select(*rows.columns)
 

@@ -343,3 +343,59 @@ def test_resolve_clusters_and_scores(spark):
     gold, found = spark.createDataFrame([(1, "A-b"), (1, "c")], "doc_id int, label string"), spark.createDataFrame([(1, "ab"), (1, "x")], "doc_id int, label string")
     r = builder.score_labels(gold, found).first()
     assert (r["precision"], r["recall"], r["f1"]) == (0.5, 0.5, 0.5)
+
+
+def test_store_buckets(spark, tmp_path):
+    """The number of buckets is the store's, whoever opens it; small files are joined; nodes without a label merge."""
+    nodes = spark.createDataFrame([(f"n{i}", f"L{i}", "concept", 10.0) for i in range(20)] + [("none", None, "concept", 10.0)], NODES)
+    edges = spark.createDataFrame([("n0", "n1", 1.0, "X")], EDGES)
+    root = f"file://{tmp_path}/g"
+    store.GraphStore(spark, root, buckets=16).merge(Graph(nodes, edges))
+    again = store.GraphStore(spark, root, buckets=3)
+    assert again.buckets == 16
+    for strategy in ("append", "update"):
+        again.merge(Graph(nodes, edges), strategy)
+        assert again.read("nodes").count() == 21 and again.read("edges").count() == 1
+    for _ in range(3):
+        again.create_edge("a", "b")
+    before = {(r["src"], r["dst"], r["weight"], r["relationship_type"]) for r in again.read("edges").collect()}
+    again.rewrite("edges")
+    assert again.read("edges").count() == 4 and {(r["src"], r["dst"], r["weight"], r["relationship_type"]) for r in again.read("edges").collect()} == before
+    assert len(list((tmp_path / "g" / "data" / "edges").iterdir())) == 1 and again.read("nodes").count() == 21
+
+
+def test_csv_upload(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("title,year\nfox,2001\nowl,2002\n")
+    (tmp_path / "b.csv").write_text("title,doi\ncat,10.1/x\n")
+    (tmp_path / "empty.csv").write_text("title,year\n")
+    st = store.GraphStore(spark, f"file://{tmp_path}/g")
+    assert st.upload_csv(f"{tmp_path}/a.csv") == 2 and st.upload_csv(f"{tmp_path}/b.csv") == 1
+    with pytest.raises(ValueError):
+        st.upload_csv(f"{tmp_path}/empty.csv")
+    assert {(r["title"], r["year"], r["doi"]) for r in st.read("metadata_collection").collect()} == {("fox", "2001", None), ("owl", "2002", None), ("cat", None, "10.1/x")}
+
+
+def test_csv_rows(spark, tmp_path):
+    p = tmp_path / "p.csv"
+    p.write_text("'Paper' \"Title\",Abs,Year\n\"A, B\",x,2001\n\nshort,row\nO'Neil,\" y \",1999,extra\n,,\n\"q, r\",only\n")
+    df = readers.read_csv(spark, str(p))
+    assert df.columns == ["paper_title", "abs", "year"]
+    assert sorted(tuple(r) for r in df.collect()) == [("", "", ""), ("A, B", "x", "2001"), ("ONeil", "y", "1999")]
+
+
+def test_parallel_paths(spark):
+    e = spark.createDataFrame([("a", "b", 1.0, "X"), ("a", "b", 1.0, "X"), ("b", "c", 2.0, "Y")], EDGES)
+    assert [(r["vertices"], r["total_weight"]) for r in graph.paths(e, "a", "a", 2).collect()] == [(["a", "b", "a"], 2.0)] * 2
+    assert graph.paths(e, "a", "c", 4).count() == 2
+
+
+def test_budget_rows(spark):
+    df = spark.createDataFrame([("",)] * 30 + [("x",)] * 30, "value string")
+    assert readers.char_budget_sample(df, 20).agg(F.sum(F.char_length("value") + 1)).first()[0] <= 20
+
+
+def test_keywords_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "red fox red owl"), (1, "owl owl fox"), (None, "cat cat dog"), (2, None), (3, "")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["rank"], r["keyword"], r["n"]) for r in keywords.top_keywords(docs, 2).collect())
+    assert got == [(0, 1, "cat", 2), (0, 2, "dog", 1), (1, 1, "owl", 2), (1, 1, "red", 2), (1, 2, "fox", 1), (1, 2, "fox", 1)]
+    assert "Exchange" not in keywords.top_keywords(docs, 2)._jdf.queryExecution().executedPlan().toString()
