@@ -41,12 +41,85 @@ def repaired(objects: DataFrame, fields: list[str]) -> DataFrame:
     return with_names.select(*[c for c in objects.columns if c != "object"], *[F.when(has(f), pick(f)).alias(f) for f in fields])
 
 
+#: Keys of a malformed link that name its relation, and a node's attributes.
+RELATION_WORDS = [
+    "regulates", "regulate", "controls", "control", "influences", "influence", "affects", "affect", "drives", "drive", "depends", "depend", "requires", "require", "produces", "produce", "induces", "induce", "limits", "limit",
+    "includes", "include", "spans", "span", "relates", "relate", "correlates", "correlate", "connects", "connect", "balances", "balance", "integrates", "integrate", "couples", "couple", "determines", "determine", "predicts", "predict",
+    "links", "link", "validates", "validate", "explains", "explain", "causes", "cause", "precedes", "precede", "describes", "describe", "models", "model", "aims", "aim", "characterizes", "characterize",
+]
+NODE_ATTRIBUTES = ["description", "traits", "components", "formula", "domain", "scale", "quantification", "frequency", "research_maturity", "citation_potential"]
+#: Keys that say something about a link and name no node.
+LINK_FIELDS = ["source", "target", "weight", "label", "type", "description", "direction", "evidence_level", "relationship"]
+
+
+def values_of(text: Column) -> Column:
+    """What a value of a loosely written object names, as strings: the elements of a JSON list, an object by its id, label or name, else
+    the text itself. Empty ones drop out."""
+    items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+    name = lambda v: F.coalesce(*[F.try_variant_get(v, p, "string") for p in ("$.id", "$.label", "$.name", "$")])
+    one = F.coalesce(*[F.try_variant_get(F.try_parse_json(text), p, "string") for p in ("$.id", "$.label", "$.name")], text)
+    return F.filter(F.transform(F.coalesce(F.transform(items, name), F.array(one)), lambda v: F.trim(v)), lambda v: v != "")
+
+
+def links_of(objects: DataFrame) -> DataFrame:
+    """(columns of objects but object, k, src, dst, label, weight, auto, attributes) of link objects (maps of strings). An object with a
+    source and a target, in any spelling of these keys, is one link. Any other is read entry by entry: a key that is a relation
+    word labels links from the node named before it (by the source field or the last other key) to its values, or, without
+    values, the next link; any other key is a node that is linked to its values. Such links have weight 3 and auto set, and
+    related_to for a label where no word gives one."""
+    fields = ["source", "target", "label", "weight", "description", "direction"]
+    named = repaired(objects.withColumn("__o", F.col("object")), fields)
+    whole = filled("source").isNotNull() & filled("target").isNotNull()
+    level = F.coalesce(F.try_element_at("__o", F.lit("evidence_level")), F.lit("moderate"))
+    about = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
+    given = about("description", F.coalesce("description", F.lit("")), "direction", first_filled("direction", F.lit("unidirectional")), "evidence_level", level)
+    link = lambda src, dst, label, weight, auto, attributes: F.struct(src.alias("src"), dst.alias("dst"), label.alias("label"), weight.alias("weight"), F.lit(auto).alias("auto"), attributes.alias("attributes"))
+    canonical = F.array(link(F.trim("source"), F.trim("target"), first_filled(F.trim("label"), F.lit("related_to")), nonzero("weight", 3), False, given))
+    derived = link(F.lit(""), F.lit(""), F.lit(""), F.lit(3.0), True, about("description", "Derived from a malformed link"))
+    entries = F.filter(F.map_entries("__o"), lambda e: ~F.lower(e["key"]).isin(LINK_FIELDS))
+    start = F.struct(filled(F.trim("source")).alias("src"), F.lit(None).cast("string").alias("label"), F.array().cast("array<struct<src:string,dst:string,label:string>>").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        key, values, word = F.trim(e["key"]), values_of(e["value"]), alnum(e["key"])
+        to = lambda src, label: F.concat(acc["out"], F.transform(values, lambda v: F.struct(src.alias("src"), v.alias("dst"), label.alias("label"))))
+        state = lambda src, label, out: F.struct(src.alias("src"), label.cast("string").alias("label"), out.alias("out"))
+        none, label = F.lit(None), F.coalesce(acc["label"], F.lit("related_to"))
+        usable = acc["src"].isNotNull() & (F.size(values) > 0)
+        as_word = F.when(usable, state(acc["src"], none, to(acc["src"], word))).otherwise(state(acc["src"], word, acc["out"]))
+        as_rest = F.when(usable, state(acc["src"], none, to(acc["src"], label))).otherwise(acc)
+        return F.when(word.isin(RELATION_WORDS), as_word).when(key != "", state(key, none, to(key, label))).otherwise(as_rest)
+
+    found = F.aggregate(entries, start, step)["out"]
+    mended = F.transform(found, lambda x: link(x["src"], x["dst"], x["label"], F.lit(3.0), True, derived["attributes"]))
+    kept = [c for c in objects.columns if c != "object"]
+    return named.select(*kept, F.posexplode(F.when(whole, canonical).otherwise(mended)).alias("k", "x")).select(*kept, "k", "x.*")
+
+
 def graph_of_answers(answers: DataFrame, text_col: str = "text") -> Graph:
-    """A clean graph of a model's JSON answers: objects with any spelling of their keys are repaired, then built as usual."""
-    nodes = repaired(entries_of(answers, "nodes", text_col), ["id", "label", "size", "type"])
-    links = repaired(entries_of(answers, "links", text_col), ["source", "target", "label", "weight"])
-    raw = nodes.select("pos", "id", "label", F.lit(None).cast("string").alias("name"), number("size").alias("size"), "type")
-    return build(raw, links.select("pos", F.col("source").alias("src"), F.col("target").alias("dst"), "label", number("weight").alias("weight")))
+    """A clean graph of a model's JSON answers: objects with any spelling of their keys are repaired, malformed links are read entry
+    by entry, then built as usual. Nodes and edges have attributes (maps of strings); those that no answer gave have
+    auto_generated among them. See build_metadata for the counts."""
+    numbered_ = lambda df: materialize(df).withColumn("pos", F.monotonically_increasing_id())
+    nodes = numbered_(repaired(entries_of(answers, "nodes", text_col), ["id", "label", "size", "type", *NODE_ATTRIBUTES]))
+    links = numbered_(links_of(entries_of(answers, "links", text_col)).drop("pos", "k"))
+    raw = nodes.select("pos", "id", "label", F.lit(None).cast("string").alias("name"), F.coalesce(number("size"), number("frequency")).alias("size"), "type")
+    g = build(raw, links.select("pos", "src", "dst", "label", "weight"))
+    auto = lambda text: F.create_map(F.lit("description"), F.lit(text), F.lit("auto_generated"), F.lit("true"))
+    of_node = nodes.select("pos", F.create_map(*[x for a in NODE_ATTRIBUTES for x in (F.lit(a), F.coalesce(a, F.lit("")))]).alias("attributes"))
+    of_link = links.select("pos", F.when(F.col("auto"), F.map_concat("attributes", F.create_map(F.lit("auto_generated"), F.lit("true")))).otherwise(F.col("attributes")).alias("attributes"))
+    n = g.nodes.join(of_node, "pos", "left").withColumn("attributes", F.coalesce("attributes", auto("Named by a link only")))
+    e = g.edges.join(of_link, "pos", "left").withColumn("attributes", F.coalesce("attributes", auto("Added to connect the graph")))
+    return Graph(n, e)
+
+
+def build_metadata(graph: Graph, share: float = 0.6) -> DataFrame:
+    """One row about a graph of graph_of_answers: its nodes and edges, those that no answer gave, and the links wanted at least."""
+    auto = F.count_if(F.map_contains_key("attributes", "auto_generated"))
+    n = graph.nodes.agg(F.count("*").alias("total_entities"), auto.alias("auto_generated_nodes"))
+    e = graph.edges.agg(F.count("*").alias("total_relationships"), auto.alias("auto_generated_edges"))
+    total = F.col("total_entities")
+    wanted = F.least(F.ceil(total * F.lit(share).cast("decimal(4,3)")), F.floor(total * (total - 1) / 2)).cast("long")
+    return with_row(n, e).select("total_entities", "total_relationships", "auto_generated_nodes", "auto_generated_edges", wanted.alias("desired_relationships"))
 
 
 def clean_nodes(raw: DataFrame) -> DataFrame:

@@ -724,6 +724,19 @@ def built_graph(s, d):
     return builder.build(raw, links).edges
 
 
+MALFORMED = "SELECT s_suppkey AS k, s_name AS src, n_name AS dst, 'related_to' AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_suppkey, s_name, r_name, 'regulates' FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT s_suppkey, s_name, 'Market ' || s_suppkey % 7, 'regulates' FROM supplier UNION ALL SELECT s_suppkey, s_name, n_name, 'linked' FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+
+
+@query(f"SELECT k, src, dst, label, label <> 'linked' AS auto FROM ({MALFORMED})")
+def malformed_links(s, d):
+    """Answers made of suppliers: a link with a node for its key, one with a relation word for its key, and a proper one."""
+    t = lambda n: tables.table(s, d, n)
+    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.format_string('Here: {"Links": [{"%s": "%s", "Regulates": ["%s", {"name": "Market %d"}]}, {"Source_Node": "%s", "target": "%s", "label": "linked", "weight": 2}]}', "s_name", "n_name", "r_name", F.col("s_suppkey") % 7, "s_name", "n_name")
+    answers = rows.select(F.col("s_suppkey").alias("supplier"), text.alias("text"))
+    return builder.links_of(builder.entries_of(answers, "links").drop("pos")).select(F.col("supplier").alias("k"), "src", "dst", "label", "auto")
+
+
 @query("SELECT 'keyword_' || a AS src, 'keyword_' || b AS dst, weight::DOUBLE AS weight, 'CO_OCCURS' AS relationship_type FROM (" + PAIRS + ")", "papers", recursive=PAPER_KW)
 def keyword_graph(s, d):
     return keywords.keyword_graph(tables.papers(s, d).drop("keywords")).edges

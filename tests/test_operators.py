@@ -399,3 +399,35 @@ def test_keywords_of_repeated_ids(spark):
     got = sorted((r["doc_id"] or 0, r["rank"], r["keyword"], r["n"]) for r in keywords.top_keywords(docs, 2).collect())
     assert got == [(0, 1, "cat", 2), (0, 2, "dog", 1), (1, 1, "owl", 2), (1, 1, "red", 2), (1, 2, "fox", 1), (1, 2, "fox", 1)]
     assert "Exchange" not in keywords.top_keywords(docs, 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_malformed_links(spark):
+    def links(*objects):
+        answers = spark.createDataFrame([(json.dumps({"links": list(objects)}),)], "text string")
+        return [(r["src"], r["dst"], r["label"], r["weight"], r["auto"]) for r in builder.links_of(builder.entries_of(answers, "links")).orderBy("pos", "k").collect()]
+
+    assert links({"Source Id": " a ", "TARGET": "b", "weight": "5", "Label": "x"}) == [("a", "b", "x", 5.0, False)]
+    assert links({"source": "a", "target": "b"}) == [("a", "b", "related_to", 3.0, False)]
+    assert links({"a": "b"}) == [("a", "b", "related_to", 3.0, True)]
+    assert links({"a": ["b", "", None, "c", {"label": "d"}, 7]}) == [("a", x, "related_to", 3.0, True) for x in ("b", "c", "d", "7")]
+    assert links({"a": None, "regulates": ["b", "c"]}) == [("a", "b", "regulates", 3.0, True), ("a", "c", "regulates", 3.0, True)]
+    assert links({"source": "a", "Drives": "b", "description": "why"}) == [("a", "b", "drives", 3.0, True)]
+    assert links({"a": "", "limits": "", "b": "c"}) == [("b", "c", "limits", 3.0, True)]
+    assert links({"a": "b", "regulates": "c", "d": {"id": "e", "x": 1}}) == [("a", "b", "related_to", 3.0, True), ("a", "c", "regulates", 3.0, True), ("d", "e", "related_to", 3.0, True)]
+    assert links({"regulates": "b"}, {}, {"source": "a"}, {"target": "b", "weight": 1}) == []
+    assert links({"a": "[broken", "": "c"}) == [("a", "[broken", "related_to", 3.0, True), ("a", "c", "related_to", 3.0, True)]
+
+
+def test_graph_of_malformed_answers(spark):
+    answer = {"nodes": [{"id": "a", "label": "Alpha", "traits": ["t"], "frequency": 40}, {"label": "Beta"}], "links": [{"Alpha": "Gamma", "drives": ["Beta"]}, {"source": "a", "target": "beta", "label": "late"}, {"x": "x"}]}
+    g = builder.graph_of_answers(spark.createDataFrame([(f"```json\n{json.dumps(answer)}```",), ("nothing",), (None,)], "text string"))
+    nodes = {r["id"]: r for r in g.nodes.collect()}
+    assert {i: "auto_generated" in r["attributes"] for i, r in nodes.items()} == {"a": False, "beta": False, "gamma": True, "x": True}
+    assert nodes["a"]["attributes"]["traits"] == '["t"]' and nodes["a"]["size"] == 40.0 and nodes["beta"]["attributes"]["formula"] == ""
+    edges = {(r["src"], r["dst"]): (r["label"], r["attributes"].get("auto_generated")) for r in g.edges.collect()}
+    assert edges["a", "gamma"] == ("related_to", "true") and edges["a", "beta"] == ("drives", "true")
+    m = builder.build_metadata(g).first()
+    assert (m["total_entities"], m["auto_generated_nodes"], m["desired_relationships"]) == (4, 2, 3)
+    assert m["total_relationships"] == len(edges) == m["auto_generated_edges"] and len(edges) >= 3
+    empty = builder.build_metadata(builder.graph_of_answers(spark.createDataFrame([("no json",)], "text string"))).first()
+    assert (empty["total_entities"], empty["total_relationships"], empty["desired_relationships"]) == (0, 0, 0)
