@@ -29,7 +29,8 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 CLOSES_P = BLOCK - frozenset("br body html head option optgroup caption td th tr tbody thead tfoot".split())
 #: Words in class, id or role that mark what isn't main text.
 FRAME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidebars aside footer masthead cookie cookies consent gdpr notice notices alert notification popup modal overlay toolbar pagination pager share sharing social related recommended recommendations newsletter subscribe subscription signup login comment comments disqus replies widget widgets complementary contentinfo dialog search skip hidden".split())
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
+#: A quote that is never closed ends with the page; attributes are read once, without going back.
+TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z))", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORD_CUT = re.compile(r"[^a-z0-9]+")
 #: Where a line stands.
