@@ -253,10 +253,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u: list = [None] * len(v)
         for n in np.unique(size[size > 0]).tolist():
             rows = np.flatnonzero(size == n)
-            with np.errstate(over="ignore", invalid="ignore"):
-                x = flat[ends[rows][:, None] + np.arange(n)]
-                norm = np.sqrt((x * x).sum(1))
-            good = np.isfinite(norm) & (norm > 0)
+            x = flat[ends[rows][:, None] + np.arange(n)]
+            most = np.abs(x).max(1)  # divided by first, so that no square overflows or vanishes
+            good = np.isfinite(most) & (most > 0)
+            x = np.where(good[:, None], x, 1.0) / np.where(good, most, 1.0)[:, None]
+            norm = np.sqrt((x * x).sum(1))
             for i, unit in zip(rows[good].tolist(), x[good] / norm[good, None] + 0.0, strict=True):  # no negative zero
                 u[i] = unit
         h = [None if x is None else xxhash.xxh3_128_intdigest(x.tobytes()) for x in u]
