@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,13 +16,27 @@ def materialize(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir; where that is unset, a temporary one is set in local mode (tests on one
     machine) and on a cluster, whose machines don't share one, it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    _folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As materialize, but as Parquet files in that folder, read again. A checkpoint keeps the size that was estimated for its plan,
+    which multiplies with each join: after some ten rounds of joins with itself planning alone takes minutes. Files have their true
+    size, so small sides are also broadcast."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kgloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.dictionaries import CITATION_PATTERNS, NODE_TYPE_ALIASES, NODE_TYPES, PERIODS, RELATIONSHIP_ALIASES, RELATIONSHIP_TYPES, TOPIC_KEYWORDS
-from ..operators import builder, dictionary, extract, graph, keywords, metrics, similarity, store, topics, transform
+from ..operators import builder, communities as modularity, dictionary, extract, graph, keywords, metrics, similarity, store, topics, transform
 from ..sources import readers, tables
 from ..streaming.upsert import windowed_counts
 
@@ -301,6 +301,11 @@ def sketched_closeness(s, d):
     return metrics.sketched_closeness(tables.graph(s, d))
 
 
+@query()
+def modularity_communities(s, d):
+    return modularity.modularity_communities(tables.graph(s, d))
+
+
 def _brandes(levels: int, pivots: str) -> str:
     """Brandes' sums from the pivots (a query of ids) with one step for each level, forwards and backwards."""
     steps = ["adj AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM g_edges UNION ALL SELECT dst, src FROM g_edges) WHERE a <> b)", f"p0 AS MATERIALIZED (SELECT id AS s, id, 1.0::DOUBLE AS paths FROM ({pivots}))"]
