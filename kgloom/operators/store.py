@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import first_filled, nonzero
-from .graph import Graph
+from .graph import Graph, filter_nodes, search_nodes
 from .iterate import with_row
 
 
@@ -94,7 +94,23 @@ def history(df: DataFrame, kind: str | None = None, limit: int = 50, offset: int
 
 
 #: What the rows of each stored table are dealt to buckets by; other tables: by all their columns.
-BUCKET_KEYS = {"nodes": ["label"], "edges": ["src", "dst"], "metadata": ["graph_id"], "uploads": ["upload_id"], "analyses": ["analysis_id"]}
+BUCKET_KEYS = {"nodes": ["label"], "edges": ["src", "dst"], "metadata": ["graph_id"], "uploads": ["upload_id"], "analyses": ["analysis_id"], "postings": ["gram"]}
+
+
+#: Characters of the pieces that labels are indexed by.
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """The distinct pieces of GRAM characters of a text in lower case; none of a shorter one."""
+    low = F.lower(text)
+    starts = F.when(F.char_length(low) >= GRAM, F.sequence(F.lit(1), F.char_length(low) - GRAM + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(GRAM))))
+
+
+def postings(nodes: DataFrame) -> DataFrame:
+    """(gram, label): the labels that hold each piece."""
+    return nodes.select("label").where("label is not null").distinct().select(F.explode(grams(F.col("label"))).alias("gram"), "label")
 
 
 class GraphStore:
@@ -154,7 +170,7 @@ class GraphStore:
 
     def commit(self, changes: dict[str, tuple[DataFrame, list[int] | None]], append: bool = False, batch: int | None = None) -> None:
         """Writes tables, then publishes all of them at once. A change is rows and the buckets that they replace (None: all
-        of them); append: rows are added to what is there."""
+        of them, an empty list: none, so that they are added); append: all rows are added to what is there."""
         state = self.manifest()
         tables = dict(state["tables"])
         for table, (df, touched) in changes.items():
@@ -203,7 +219,7 @@ class GraphStore:
         g = with_defaults(graph.nodes, graph.edges)
         meta = with_row(g.nodes.agg(F.count("*").alias("node_count")), g.edges.agg(F.count("*").alias("edge_count"))).select(F.lit(graph_id).alias("graph_id"), F.lit(title).alias("title"), "node_count", "edge_count")
         named = lambda df: df.withColumn("graph_id", F.lit(graph_id))
-        self.commit({"nodes": (named(g.nodes), None), "edges": (named(g.edges), None), "metadata": (meta, None)}, append=True)
+        self.commit({"nodes": (named(g.nodes), None), "edges": (named(g.edges), None), "metadata": (meta, None), **self._posted(g.nodes)}, append=True)
         return graph_id
 
     def merge(self, graph: Graph, strategy: str = "append", batch: int | None = None) -> None:
@@ -217,8 +233,39 @@ class GraphStore:
             touched = None if strategy == "replace" else self._touched(table, df)
             old = self.read(table, touched)
             changes[table] = (merged(df.limit(0) if old is None else old, df, strategy), touched)
+            if table == "nodes":
+                known = old if old is not None and strategy != "replace" else df.limit(0)
+                changes |= self._posted(df.join(known.select("label").distinct(), "label", "left_anti"))
         self.commit(changes, batch=batch)
 
+    def _posted(self, nodes: DataFrame) -> dict:
+        """The change that adds new labels to the index, if there is one."""
+        return {"postings": (postings(nodes), [])} if "postings" in self.manifest()["tables"] else {}
+
+    def index_labels(self) -> None:
+        """Indexes the labels of all nodes by their pieces; merges and new graphs keep the index up from then on. Labels that have gone
+        stay in it until it is made again; a search looks at the nodes."""
+        self.commit({"postings": (postings(self.read("nodes")), None)})
+
+    def search(self, query: str, type: str | None = None, limit: int = 20, sort: bool = True) -> DataFrame:  # noqa: A002
+        """search_nodes over the stored nodes, by the index if there is one: only the buckets of the query's pieces are read, and of
+        the nodes only the buckets of labels that hold all pieces. Queries of fewer than GRAM characters look at all nodes. Without
+        sort, the first `limit` nodes by id instead of the largest."""
+        rows = self.candidates(query)
+        if sort:
+            return search_nodes(rows, query, type, limit)
+        return filter_nodes(rows, type=type, search=query).orderBy("id").limit(limit).withColumn("score", F.lit(1.0))
+
+    def candidates(self, query: str) -> DataFrame:
+        """Nodes that may hold the query in their labels."""
+        pieces = self.spark.range(1).select(F.explode(grams(F.lit(query))).alias("gram"))
+        wanted = [r["gram"] for r in pieces.collect()]  # one for each character of the query
+        if not wanted or "postings" not in self.manifest()["tables"]:
+            return self.read("nodes")
+        near = self.read("postings", self._touched("postings", pieces)).where(F.col("gram").isin(wanted))
+        labels = near.groupBy("label").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted)).select("label")
+        return self.read("nodes", self._touched("nodes", labels)).join(labels, "label", "left_semi")
+
     def create_edge(self, src: str, dst: str, weight: float | None = None, relationship_type: str | None = None) -> None:
         """One more edge, whether the pair has others or not."""
         row = self.spark.createDataFrame([(src, dst, weight or 1.0, relationship_type or "RELATED_TO")], "src string, dst string, weight double, relationship_type string")

@@ -431,3 +431,31 @@ def test_graph_of_malformed_answers(spark):
     assert m["total_relationships"] == len(edges) == m["auto_generated_edges"] and len(edges) >= 3
     empty = builder.build_metadata(builder.graph_of_answers(spark.createDataFrame([("no json",)], "text string"))).first()
     assert (empty["total_entities"], empty["total_relationships"], empty["desired_relationships"]) == (0, 0, 0)
+
+
+def test_indexed_search(spark, tmp_path):
+    """The same rows as a search over all nodes, reading only the postings and nodes asked for; kept up by merges."""
+    import re
+
+    labels = ["Light reaction", "light harvesting", "Highlight", "LIGHT", "Dark reaction", "reaction centre", "é light é", "lig", "li", "", None, "İstanbul light"] + [f"other label {i:03d}" for i in range(60)]
+    nodes = spark.createDataFrame([(f"n{i:03d}", x, "concept" if i % 2 else "process", float(i % 7)) for i, x in enumerate(labels)], NODES)
+    none = spark.createDataFrame([], EDGES)
+    st = store.GraphStore(spark, f"file://{tmp_path}/g", buckets=32)
+    st.merge(Graph(nodes.where("id < 'n030'"), none))
+    plain = {q: [r["id"] for r in graph.search_nodes(st.read("nodes"), q).collect()] for q in ("light",)}
+    st.index_labels()
+    assert [r["id"] for r in st.search("light").collect()] == plain["light"]
+    st.merge(Graph(nodes, none), "update")
+    st.merge(Graph(nodes, none))
+    st.create(Graph(spark.createDataFrame([("new", "Moonlight", "concept", 9.0)], NODES), none), "t")
+    st.delete_node("n001")
+    for q in ("light", "REACTION", "ight r", "li", "", "label 04", "no such", "é light"):
+        for kind in (None, "concept"):
+            want = [tuple(r) for r in graph.search_nodes(st.read("nodes"), q, kind).select("id", "label", "score").collect()]
+            assert [tuple(r) for r in st.search(q, kind).select("id", "label", "score").collect()] == want
+    assert [r["id"] for r in st.search("light", sort=False, limit=3).collect()] == ["n000", "n002", "n003"]
+    files = st.candidates("moonlig").inputFiles()
+    of = lambda t: {re.search(r"__bucket=(\d+)", f)[1] for f in files if f"/{t}/" in f}
+    assert len(of("postings")) <= 5 and len(of("nodes")) == 1
+    st.rewrite("postings")
+    assert [r["id"] for r in st.search("moonlig").collect()] == ["new"]
