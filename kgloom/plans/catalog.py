@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.dictionaries import CITATION_PATTERNS, NODE_TYPE_ALIASES, NODE_TYPES, PERIODS, RELATIONSHIP_ALIASES, RELATIONSHIP_TYPES, TOPIC_KEYWORDS
-from ..operators import builder, communities as modularity, dictionary, extract, graph, keywords, metrics, similarity, store, topics, transform
+from ..operators import anomalies, builder, communities as modularity, dictionary, extract, graph, keywords, metrics, similarity, store, topics, transform
 from ..sources import readers, tables
 from ..streaming.upsert import windowed_counts
 
@@ -301,6 +301,11 @@ def sketched_closeness(s, d):
     return metrics.sketched_closeness(tables.graph(s, d))
 
 
+@query()
+def degree_anomalies(s, d):
+    return anomalies.anomalies(tables.graph(s, d))
+
+
 @query()
 def modularity_communities(s, d):
     return modularity.modularity_communities(tables.graph(s, d))
