@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.dictionaries import CITATION_PATTERNS, NODE_TYPE_ALIASES, NODE_TYPES, PERIODS, RELATIONSHIP_ALIASES, RELATIONSHIP_TYPES, TOPIC_KEYWORDS
-from ..operators import anomalies, builder, communities as modularity, dictionary, extract, graph, keywords, metrics, similarity, store, topics, transform
+from ..operators import anomalies, builder, communities as modularity, dictionary, evaluation, extract, graph, keywords, metrics, similarity, store, topics, transform
 from ..sources import readers, tables
 from ..streaming.upsert import windowed_counts
 
@@ -780,6 +780,26 @@ def label_scores(s, d):
     return builder.score_labels(rows.where("l_quantity < 30"), rows.where("l_quantity >= 20"))
 
 
+def _sides(kind: str, columns: str) -> str:
+    """Gold and found rows of each supplier side by side."""
+    side = lambda cut: " UNION ".join(f"SELECT l_suppkey AS d, {c} AS x FROM lineitem WHERE {cut}" for c in columns.split("; "))
+    return f"{kind} AS (SELECT coalesce(g.d, f.d) AS d, count(g.x)::DOUBLE AS g, count(f.x)::DOUBLE AS f, count(*) FILTER (g.x IS NOT NULL AND f.x IS NOT NULL)::DOUBLE AS h FROM ({side('l_quantity < 30')}) g FULL JOIN ({side('l_quantity >= 20')}) f ON g.d = f.d AND g.x = f.x GROUP BY 1)"
+
+
+def _rate_columns(t: str) -> str:
+    p, r = f"CASE WHEN {t}.f > 0 THEN {t}.h / {t}.f ELSE 0 END", f"CASE WHEN {t}.g > 0 THEN {t}.h / {t}.g ELSE 0 END"
+    return f"{p} AS {t}_precision, {r} AS {t}_recall, CASE WHEN {t}.h > 0 THEN 2 * {t}.h / ({t}.f + {t}.g) ELSE 0 END AS {t}_f1"
+
+
+@query(f"SELECT node.d AS doc_id, {_rate_columns('node')}, {_rate_columns('link')} FROM node JOIN link ON node.d = link.d", recursive=f"{_sides('node', chr(39) + 'part ' + chr(39) + ' || l_partkey; ' + chr(39) + 'order ' + chr(39) + ' || l_orderkey')}, {_sides('link', 'l_partkey || ' + chr(39) + ' ' + chr(39) + ' || l_orderkey')}")
+def graph_scores(s, d):
+    """Graphs of each supplier's parts and orders; labels of two words pair at equal words alone."""
+    rows = tables.table(s, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), tables.key("Part ", "l_partkey").alias("src"), tables.key("Order-", "l_orderkey").alias("dst"), "l_quantity")
+    gold, found = rows.where("l_quantity < 30"), rows.where("l_quantity >= 20").withColumns({"src": F.lower("src"), "dst": F.upper("dst")})
+    labels = lambda df: df.select("doc_id", F.explode(F.array("src", "dst")).alias("label"))
+    return evaluation.score_graphs(labels(gold), gold, labels(found), found, threshold=0.8)
+
+
 # The field's own keyword lists. The texts are invented, so each gets one or two keywords of the lists, by its number.
 
 ALL_WORDS = list(dict.fromkeys(w for ws in (*TOPIC_KEYWORDS.values(), *topics.BEST_TOPICS.values()) for w in ws))
