@@ -105,7 +105,7 @@ def read_graph_json(spark: SparkSession, path: str, strict: bool = True) -> Grap
 
 def read_file_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, text) of binary files: bytes as UTF-8, control characters as spaces, white space collapsed; under 100
-    characters, read again as Latin-1. Real PDF parsing needs a library that isn't installed."""
+    characters, read again as Latin-1. For the pages of PDF files see pdf.py."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "), r"\s+", " "))
     utf = clean(F.make_valid_utf8(F.col("content").cast("string")))
