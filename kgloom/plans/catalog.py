@@ -120,9 +120,9 @@ def top_nodes_by_size(s, d):
     return graph.top_by(tables.nodes(s, d), "size", 10)
 
 
-@query("SELECT * FROM supply ORDER BY coalesce(weight, 0) DESC, src, dst LIMIT 5", "supply")
+@query("SELECT * FROM g_edges ORDER BY coalesce(weight, 0) DESC, src, dst LIMIT 5", "g_edges")
 def strongest_edges(s, d):
-    return metrics.strongest(tables.supply_edges(s, d))
+    return metrics.strongest(tables.graph(s, d).edges)
 
 
 @query("SELECT event_id AS id, event_type AS analysis_type, ts AS created_at FROM events WHERE event_type = 'click' ORDER BY created_at DESC, id LIMIT 50 OFFSET 10")
@@ -247,19 +247,19 @@ def neighbour_levels(s, d):
     return graph.neighbour_levels(tables.graph(s, d).edges, "nation_2")
 
 
-WALK = """step AS (SELECT src || '>' || dst AS e, src AS a, dst AS b, weight, relationship_type AS t FROM places UNION ALL SELECT src || '>' || dst, dst, src, weight, relationship_type FROM places),
+WALK = """step AS (SELECT src || '>' || dst AS e, src AS a, dst AS b, weight, relationship_type AS t FROM g_edges UNION ALL SELECT src || '>' || dst, dst, src, weight, relationship_type FROM g_edges),
   walk(place, vertices, types, used, length, total_weight) AS (SELECT 'supplier_1', ['supplier_1'], []::VARCHAR[], []::VARCHAR[], 0, 0.0::DOUBLE
-  UNION ALL SELECT s.b, list_append(w.vertices, s.b), list_append(w.types, s.t), list_append(w.used, s.e), w.length + 1, w.total_weight + s.weight FROM walk w JOIN step s ON s.a = w.place WHERE w.length < 3 AND NOT list_contains(w.used, s.e))"""
+  UNION ALL SELECT s.b, list_append(w.vertices, s.b), list_append(w.types, s.t), list_append(w.used, s.e), w.length + 1, w.total_weight + s.weight FROM walk w JOIN step s ON s.a = w.place WHERE w.length < 2 AND NOT list_contains(w.used, s.e))"""
 
 
-@query("SELECT place AS \"at\", vertices, types, length, total_weight FROM walk WHERE length > 0", "places", recursive=WALK)
+@query("SELECT place AS \"at\", vertices, types, length, total_weight FROM walk WHERE length > 0", "g_edges", recursive=WALK)
 def paths(s, d):
-    return graph.paths(tables.place_edges(s, d), "supplier_1", None, 3)
+    return graph.paths(tables.graph(s, d).edges, "supplier_1", None, 2)
 
 
-@query("SELECT place AS \"at\", vertices, types, length, total_weight FROM walk WHERE place LIKE 'region%' AND length > 0 ORDER BY length, total_weight, vertices LIMIT 1", "places", recursive=WALK)
+@query("SELECT place AS \"at\", vertices, types, length, total_weight FROM walk WHERE place LIKE 'region%' AND length > 0 ORDER BY length, total_weight, vertices LIMIT 1", "g_edges", recursive=WALK)
 def shortest_path(s, d):
-    return graph.shortest_path(tables.place_edges(s, d), "supplier_1", F.col("at").like("region%"), 3).select("at", "vertices", "types", "length", "total_weight")
+    return graph.shortest_path(tables.graph(s, d).edges, "supplier_1", F.col("at").like("region%"), 3).select("at", "vertices", "types", "length", "total_weight")
 
 
 # Components in SQL: rounds of the least name among a node and its neighbours, more than the test graphs' longest paths.
@@ -288,12 +288,12 @@ def component_modularity(s, d):
     return metrics.component_modularity(tables.graph(s, d)).withColumn("modularity", F.round("modularity", 9))
 
 
-FORWARD = "fw(s, id, d) AS (SELECT id, id, 0 FROM geo_nodes UNION SELECT f.s, e.dst, f.d + 1 FROM fw f JOIN places e ON e.src = f.id WHERE f.d < 5)"
+FORWARD = "fw(s, id, d) AS (SELECT id, id, 0 FROM g_nodes UNION SELECT f.s, e.dst, f.d + 1 FROM fw f JOIN g_edges e ON e.src = f.id WHERE f.d < 5)"
 
 
-@query("SELECT s AS id, reached, avg_distance, CASE WHEN avg_distance < 999 THEN 1 / avg_distance ELSE 0 END AS closeness FROM (SELECT s, count(*) - 1 AS reached, (sum(d) + (n - 1 - (count(*) - 1)) * 999) / (n - 1)::DOUBLE AS avg_distance FROM (SELECT s, id, min(d) AS d FROM fw GROUP BY s, id) CROSS JOIN (SELECT count(*) AS n FROM geo_nodes) GROUP BY s, n)", "geo_nodes", "places", recursive=FORWARD)
+@query("SELECT s AS id, reached, avg_distance, CASE WHEN avg_distance < 999 THEN 1 / avg_distance ELSE 0 END AS closeness FROM (SELECT s, count(*) - 1 AS reached, (sum(d) + (n - 1 - (count(*) - 1)) * 999) / (n - 1)::DOUBLE AS avg_distance FROM (SELECT s, id, min(d) AS d FROM fw GROUP BY s, id) CROSS JOIN (SELECT count(*) AS n FROM g_nodes) GROUP BY s, n)", "g_nodes", "g_edges", recursive=FORWARD)
 def closeness(s, d):
-    return graph.closeness(tables.geo_graph(s, d))
+    return graph.closeness(tables.graph(s, d))
 
 
 @query()
@@ -407,9 +407,9 @@ def label_similarity(s, d):
     return metrics.label_similarity(tables.nodes(s, d), "part_1", "part_2")
 
 
-@query("SELECT count(*) FILTER (a AND b) / count(*)::DOUBLE AS similarity FROM (SELECT other, bool_or(id = 'supplier_1') AS a, bool_or(id = 'supplier_2') AS b FROM (SELECT src AS id, dst AS other FROM supply) WHERE id IN ('supplier_1', 'supplier_2') GROUP BY other)", "supply")
+@query("SELECT count(*) FILTER (a AND b) / count(*)::DOUBLE AS similarity FROM (SELECT other, bool_or(id = 'supplier_1') AS a, bool_or(id = 'supplier_2') AS b FROM (SELECT src AS id, dst AS other FROM g_edges) WHERE id IN ('supplier_1', 'supplier_2') GROUP BY other)", "g_edges")
 def structural_similarity(s, d):
-    return metrics.structural_similarity(tables.supply_edges(s, d), "supplier_1", "supplier_2")
+    return metrics.structural_similarity(tables.graph(s, d).edges, "supplier_1", "supplier_2")
 
 
 @query("SELECT b.vec_id AS query_id, a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity FROM embeddings a CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) b")
@@ -584,9 +584,9 @@ def valid_edges(s, d):
     return transform.validate_edges(e)[0]
 
 
-@query("SELECT src, dst, CASE WHEN 4 * weight > 10 THEN ['weight_range', 'type_known'] ELSE ['type_known'] END AS errors FROM supply", "supply")
+@query("SELECT src, dst, CASE WHEN 4 * weight > 10 THEN ['weight_range', 'type_known'] ELSE ['type_known'] END AS errors FROM g_edges WHERE 4 * weight > 10 OR relationship_type = 'SUPPLIES'", "g_edges")
 def quarantined_edges(s, d):
-    e = tables.supply_edges(s, d).withColumn("weight", 4 * F.col("weight"))
+    e = tables.graph(s, d).edges.withColumn("weight", 4 * F.col("weight"))
     return transform.validate_edges(e)[1].select("src", "dst", "errors")
 
 
@@ -597,20 +597,20 @@ def merged_by_label(s, d):
     return merged.select("label", "size").join(n.groupBy("label").agg(F.count("*").alias("n")), "label").select("label", "n", "size")
 
 
-@query("SELECT src, dst, sum(weight) AS weight, 'PART_OF' AS relationship_type FROM (SELECT * FROM places UNION ALL SELECT * FROM places WHERE src LIKE 'nation%') GROUP BY src, dst", "places")
+@query("SELECT src, dst, sum(weight) AS weight, relationship_type FROM (SELECT * FROM g_edges UNION ALL SELECT * FROM g_edges WHERE src LIKE 'nation%') GROUP BY src, dst, relationship_type", "g_edges")
 def merged_edges(s, d):
-    e = tables.place_edges(s, d)
+    e = tables.graph(s, d).edges
     return store.merge_edges(e, e.where("src like 'nation%'"), "update")
 
 
-@query("SELECT e.* FROM places e WHERE e.src NOT IN ('nation_1', 'nation_2') AND e.dst NOT IN ('nation_1', 'nation_2')", "places")
+@query("SELECT e.* FROM g_edges e WHERE e.src NOT IN ('nation_1', 'nation_2') AND e.dst NOT IN ('nation_1', 'nation_2')", "g_edges")
 def delete_cascade(s, d):
-    return store.delete_nodes(tables.geo_graph(s, d), s.createDataFrame([("nation_1",), ("nation_2",)], "id string")).edges
+    return store.delete_nodes(tables.graph(s, d), s.createDataFrame([("nation_1",), ("nation_2",)], "id string")).edges
 
 
-@query("SELECT src, dst, floor(1 + (weight - mn) / CASE WHEN mx > mn THEN mx - mn ELSE 1 END * 9 + 0.5)::BIGINT AS weight, relationship_type FROM supply CROSS JOIN (SELECT min(weight) AS mn, max(weight) AS mx FROM supply)", "supply")
+@query("SELECT src, dst, floor(1 + (weight - mn) / CASE WHEN mx > mn THEN mx - mn ELSE 1 END * 9 + 0.5)::BIGINT AS weight, relationship_type FROM g_edges CROSS JOIN (SELECT min(weight) AS mn, max(weight) AS mx FROM g_edges)", "g_edges")
 def rescaled_weights(s, d):
-    return transform.rescale(tables.supply_edges(s, d), "weight", 1, 10)
+    return transform.rescale(tables.graph(s, d).edges, "weight", 1, 10)
 
 
 @query("SELECT label, CASE WHEN min(id) LIKE 'part%' THEN min(id) ELSE 'old_' || min(id) END AS id FROM g_nodes GROUP BY label", "g_nodes")
