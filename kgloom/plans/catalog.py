@@ -782,7 +782,7 @@ def label_scores(s, d):
 
 def _sides(kind: str, columns: str) -> str:
     """Gold and found rows of each supplier side by side."""
-    side = lambda cut: " UNION ".join(f"SELECT l_suppkey AS d, {c} AS x FROM lineitem WHERE {cut}" for c in columns.split("; "))
+    side = lambda cut: " UNION ".join(f"SELECT DISTINCT l_suppkey AS d, {c} AS x FROM lineitem WHERE {cut}" for c in columns.split("; "))
     return f"{kind} AS (SELECT coalesce(g.d, f.d) AS d, count(g.x)::DOUBLE AS g, count(f.x)::DOUBLE AS f, count(*) FILTER (g.x IS NOT NULL AND f.x IS NOT NULL)::DOUBLE AS h FROM ({side('l_quantity < 30')}) g FULL JOIN ({side('l_quantity >= 20')}) f ON g.d = f.d AND g.x = f.x GROUP BY 1)"
 
 
