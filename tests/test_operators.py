@@ -394,13 +394,6 @@ def test_budget_rows(spark):
     assert readers.char_budget_sample(df, 20).agg(F.sum(F.char_length("value") + 1)).first()[0] <= 20
 
 
-def test_keywords_of_repeated_ids(spark):
-    docs = spark.createDataFrame([(1, "red fox red owl"), (1, "owl owl fox"), (None, "cat cat dog"), (2, None), (3, "")], "doc_id long, text string")
-    got = sorted((r["doc_id"] or 0, r["rank"], r["keyword"], r["n"]) for r in keywords.top_keywords(docs, 2).collect())
-    assert got == [(0, 1, "cat", 2), (0, 2, "dog", 1), (1, 1, "owl", 2), (1, 1, "red", 2), (1, 2, "fox", 1), (1, 2, "fox", 1)]
-    assert "Exchange" not in keywords.top_keywords(docs, 2)._jdf.queryExecution().executedPlan().toString()
-
-
 def test_malformed_links(spark):
     def links(*objects):
         answers = spark.createDataFrame([(json.dumps({"links": list(objects)}),)], "text string")
