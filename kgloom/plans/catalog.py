@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.dictionaries import CITATION_PATTERNS, NODE_TYPE_ALIASES, NODE_TYPES, PERIODS, RELATIONSHIP_ALIASES, RELATIONSHIP_TYPES, TOPIC_KEYWORDS
-from ..operators import anomalies, builder, communities as modularity, dictionary, evaluation, extract, graph, keywords, metrics, similarity, store, topics, transform
+from ..operators import anomalies, builder, communities as modularity, dictionary, evaluation, extract, graph, keywords, metrics, recommend, similarity, store, topics, transform
 from ..sources import readers, tables
 from ..streaming.upsert import windowed_counts
 
@@ -31,6 +31,7 @@ VIEWS = {
     "g_edges": "SELECT * FROM supply UNION ALL SELECT * FROM places",
     "geo_nodes": "SELECT * FROM g_nodes WHERE type IN ('supplier', 'customer', 'nation', 'region')",
     "g_both": "SELECT src AS a, dst AS b FROM g_edges WHERE src <> dst UNION SELECT dst, src FROM g_edges WHERE src <> dst",
+    "w_both": "SELECT a, b, sum(w) AS w FROM (SELECT src AS a, dst AS b, weight AS w FROM g_edges WHERE src <> dst UNION ALL SELECT dst, src, weight FROM g_edges WHERE src <> dst) GROUP BY a, b",
     "degrees": """SELECT n.id, n.label, n.type, count(e.other) AS degree FROM g_nodes n LEFT JOIN
       (SELECT src AS id, dst AS other FROM g_edges UNION ALL SELECT dst, src FROM g_edges WHERE src <> dst) e ON n.id = e.id GROUP BY n.id, n.label, n.type""",
     "papers": """SELECT doc_id AS paper_ix, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS abstract,
@@ -393,6 +394,14 @@ def windowed_event_counts(s, d):
     return windowed_counts(tables.table(s, d, "events"))
 
 
+@query("""SELECT id, rank, recommended, score FROM (SELECT id, recommended, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, recommended)::INT AS rank FROM (
+      SELECT d.a AS id, d.c AS recommended, round(d.dot / sqrt(p.sq * q.sq), 9) AS score FROM (SELECT x.a, y.a AS c, sum(x.w * y.w) AS dot FROM w_both x JOIN w_both y ON x.b = y.b WHERE x.a <> y.a GROUP BY 1, 2) d
+      JOIN (SELECT a, sum(w * w) AS sq FROM w_both GROUP BY a) p ON p.a = d.a JOIN (SELECT a, sum(w * w) AS sq FROM w_both GROUP BY a) q ON q.a = d.c
+      WHERE NOT EXISTS (SELECT 1 FROM w_both l WHERE l.a = d.a AND l.b = d.c))) WHERE rank <= 10""", "g_edges", "w_both")
+def recommendations(s, d):
+    return recommend.recommendations(tables.graph(s, d))
+
+
 @query("SELECT e.b AS id, count(*) AS shared FROM g_both o JOIN g_both e ON e.a = o.b WHERE o.a = (SELECT min(src) FROM g_edges) AND e.b <> o.a AND e.b NOT IN (SELECT b FROM g_both WHERE a = (SELECT min(src) FROM g_edges)) GROUP BY 1 ORDER BY shared DESC, id LIMIT 10", "g_edges", "g_both")
 def common_neighbours(s, d):
     g = tables.graph(s, d)
