@@ -16,7 +16,7 @@ def materialize(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir; where that is unset, a temporary one is set in local mode (tests on one
     machine) and on a cluster, whose machines don't share one, it is an error.
     """
-    _folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -24,12 +24,13 @@ def written(df: DataFrame) -> DataFrame:
     """As materialize, but as Parquet files in that folder, read again. A checkpoint keeps the size that was estimated for its plan,
     which multiplies with each join: after some ten rounds of joins with itself planning alone takes minutes. Files have their true
     size, so small sides are also broadcast."""
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder that all machines share."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)

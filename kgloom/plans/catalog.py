@@ -12,6 +12,7 @@ from ..functions.dictionaries import CITATION_PATTERNS, NODE_TYPE_ALIASES, NODE_
 from ..operators import anomalies, builder, communities as modularity, dictionary, evaluation, extract, graph, keywords, metrics, recommend, similarity, store, topics, transform
 from ..sources import readers, tables
 from ..streaming.upsert import windowed_counts
+from ..streaming.uploads import outcomes_so_far
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,6 +139,21 @@ def latest_upload_status(s, d):
     return store.latest_status(e)
 
 
+@query("""SELECT upload_id, CASE WHEN on_time THEN status ELSE 'failed' END AS status, started_at, CASE WHEN on_time THEN ended ELSE started_at + INTERVAL 12 HOUR END AS ended_at,
+      CASE WHEN on_time THEN (epoch_us(ended) - epoch_us(started_at)) // 1000 ELSE 43200000 END AS processing_ms, n_events, CASE WHEN NOT on_time THEN 'timeout' END AS error
+      FROM (SELECT *, coalesce(ended <= started_at + INTERVAL 12 HOUR, false) AS on_time FROM (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS upload_id, min(ts) AS started_at, count(*) AS n_events,
+        min(ts) FILTER (event_type IN ('purchase', 'error')) AS ended, CASE arg_min(event_type, ts) FILTER (event_type IN ('purchase', 'error')) WHEN 'error' THEN 'failed' ELSE 'completed' END AS status
+        FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1))
+      WHERE ended IS NOT NULL OR started_at + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL)""")
+def upload_lifecycle(s, d):
+    """The events of a user and day as one upload that a purchase completes and an error fails. The path is a pattern, as a stream
+    takes a folder or a pattern, not a single file."""
+    schema = tables.table(s, d, "events").schema
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
+    upload = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
+    return outcomes_so_far(s.readStream.schema(schema).parquet(f"{d}/[e]vents.parquet").select(upload.alias("upload_id"), F.col("ts").alias("at"), status.alias("status")), "12 hours")
+
+
 # Structure and degrees
 
 
