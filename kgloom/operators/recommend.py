@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from .iterate import numbered, written
 
 #: Entries of a dimension that meet in one block of pairs.
 BLOCK = 1024
+#: Products that a task should make.
+TASK = 1 << 24
 #: What scores, rounded to nine digits, may be apart from their exact values, with room to spare.
 SLACK = 1e-8
 
@@ -31,12 +35,17 @@ def _classes(graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _wedges(asked: DataFrame, given: DataFrame) -> DataFrame:
     """(a, c, dot) summed over the dimensions that asked and given share. A dimension's entries are cut into blocks of about
-    BLOCK, and every pair of blocks is a key of its own, so that a hub's work is spread however many nodes it has."""
+    BLOCK, and every pair of blocks is a key of its own, so that a hub's work is spread however many nodes it has. Tasks are as many as the products need: by the few bytes of the entries, which
+    is all that adaptive execution sees, one task would make them all."""
+    spark, per = asked.sparkSession, lambda df, n: df.groupBy("dim").agg(F.count("*").cast("double").alias(n))
+    products = per(asked, "x").join(per(given, "y"), "dim").agg(F.sum(F.col("x") * F.col("y")).alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(products / TASK))
     cuts = F.ceil(F.col("n") / BLOCK).cast("int")
     block = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), cuts).cast("int")
     every = F.explode(F.sequence(F.lit(0), cuts - 1))
     left = asked.select("dim", F.col("cls").alias("a"), F.col("w").alias("wa"), block("cls", 1).alias("i"), every.alias("j"))
     right = given.select("dim", F.col("cls").alias("c"), F.col("w").alias("wc"), block("cls", 2).alias("j"), every.alias("i"))
+    left, right = left.repartition(parts, "dim", "i", "j"), right.repartition(parts, "dim", "i", "j")
     return left.join(right, ["dim", "i", "j"]).groupBy("a", "c").agg(F.sum(F.col("wa") * F.col("wc")).alias("dot"))
 
 
