@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,34 +16,73 @@ from ..functions.columns import clamp
 from .iterate import materialize, with_row
 
 
-def words(text: Column) -> Column:
-    """Lower-case words of more than two ASCII word characters, in order, repeats included."""
-    parts = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^A-Za-z0-9_\s]", " "), r"\s+")
-    return F.filter(parts, lambda w: F.char_length(w) > 2)
+#: Bytes of ASCII: those of no word become spaces.
+_APART = bytes(c if chr(c).isalnum() and c < 128 or c == 95 else 32 for c in range(256))
+_WORD, _WORD_OR_HANGUL = re.compile("[A-Za-z0-9_]+"), re.compile("[A-Za-z0-9_가-힣]+")
+
+
+def _words(text: str, other: re.Pattern = _WORD) -> list[str]:
+    """Words of more than two characters, in order, repeats included; of ASCII, or as `other` has them."""
+    found = text.encode().translate(_APART).decode().split() if text.isascii() else other.findall(text)
+    return [w for w in found if len(w) > 2]
+
+
+def _ranked(docs: DataFrame, id_col: str, text_col: str, best: Callable[[list[str]], list[tuple]], columns: str, kind: pa.DataType) -> DataFrame:
+    """(id_col, keyword, a number, rank): what `best` names of each document's lower-case texts. Documents are dealt and sorted by id,
+    as several rows may hold one's texts, and counted one by one, so a task holds the counts of one document alone."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(done: list[tuple]) -> pa.RecordBatch:
+            rows = [(i, *x, r) for i, texts in done for r, x in enumerate(best(texts), 1)]
+            return pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], t) for n, t in enumerate((id_kind, pa.string(), kind, pa.int32()))], names)
+
+        at, id_kind, names = None, None, [id_col, *(c.split()[0] for c in columns.split(", "))]
+        for b in batches:
+            id_kind, done = b.schema.field(0).type, []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if at is None or at[0] != i:
+                    done += [at] if at else []
+                    at = (i, [])
+                at[1].append(text)
+            yield told(done)
+        if at:
+            yield told([at])
+
+    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__text")
+    return docs.repartition(id_col).sortWithinPartitions(id_col).select(id_col, text).mapInArrow(run, f"`{id_col}` {id_type}, {columns}")
+
+
+def _commonest(lists: list[list[str]], k: int) -> list[tuple[str, int]]:
+    """The k most frequent words of a document's lists with their numbers, of equal ones those that stand earlier in a list."""
+    if len(lists) == 1:
+        return Counter(lists[0]).most_common(k)
+    n, first = Counter(), {}
+    for ws in lists:
+        n.update(ws)
+        for at, w in enumerate(ws):
+            first[w] = min(first.get(w, at), at)
+    return sorted(n.items(), key=lambda x: (-x[1], first[x[0]], x[0]))[:k]
 
 
 def top_keywords(docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, keyword, n, rank): each document's k most frequent words, earlier ones first of equal ones. Documents are dealt
-    by id once, which serves the count and the ranking."""
-    w = docs.repartition(id_col).select(id_col, F.posexplode(words(F.col(text_col))).alias("pos", "keyword"))
-    n = w.groupBy(id_col, "keyword").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "first_pos"))
-    return n.withColumn("rank", rank).where(F.col("rank") <= k).select(id_col, "keyword", "n", "rank")
+    """(id_col, keyword, n, rank): each document's k most frequent lower-case words of more than two ASCII word characters, earlier ones
+    first of equal ones."""
+    return _ranked(docs, id_col, text_col, lambda texts: _commonest([_words(t) for t in texts], k), "keyword string, n long, rank int", pa.int64())
 
 
 def weighted_keywords(docs: DataFrame, stopwords: list[str], k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, keyword, score, rank): words without stopwords and pure digits, and pairs of neighbours among the kept
     words (6 to 29 characters) at eight tenths of a word's weight. Hangul counts as letters."""
-    parts = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^A-Za-z0-9_\s가-힣]+", " "), r"\s+")
-    kept = F.filter(parts, lambda w: (F.char_length(w) > 2) & ~w.isin(stopwords) & (F.translate(w, "0123456789", "") != ""))
-    d = docs.repartition(id_col).select(id_col, kept.alias("__w"))
-    pairs = F.zip_with("__w", F.slice("__w", 2, F.greatest(F.size("__w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))  # null after the last
-    pairs = F.filter(pairs, lambda p: (F.char_length(p) > 5) & (F.char_length(p) < 30))
-    items = F.concat(F.transform("__w", lambda w: F.struct(w.alias("keyword"), F.lit(1.0).alias("s"))), F.transform(pairs, lambda p: F.struct(p.alias("keyword"), F.lit(0.8).alias("s"))))
-    x = d.select(id_col, F.posexplode(items).alias("pos", "x")).select(id_col, "pos", "x.keyword", "x.s")
-    n = x.groupBy(id_col, "keyword").agg(F.round(F.sum("s"), 6).alias("score"), F.min("pos").alias("first_pos"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "first_pos"))
-    return n.withColumn("rank", rank).where(F.col("rank") <= k).select(id_col, "keyword", "score", "rank")
+    stop = frozenset(stopwords)
+
+    def best(texts: list[str]) -> list[tuple[str, float]]:
+        kept = [[w for w in _words(t, _WORD_OR_HANGUL) if w not in stop and not w.isdigit()] for t in texts]
+        pairs = [[f"{a} {b}" for a, b in pairwise(ws) if 5 < len(a) + 1 + len(b) < 30] for ws in kept]
+        both = [(w, float(n)) for w, n in _commonest(kept, k)] + [(p, round(0.8 * n, 6)) for p, n in _commonest(pairs, k)]
+        return sorted(both, key=lambda x: -x[1])[:k]
+
+    return _ranked(docs, id_col, text_col, best, "keyword string, score double, rank int", pa.float64())
 
 
 def field_keywords(field: Column) -> Column:

@@ -89,6 +89,17 @@ def test_keywords(spark):
     assert w["big dog"] == 1.6 and "cat" not in w and math.isclose(w["dog bird"], 0.8)
 
 
+def test_keywords_of_documents_in_several_rows(spark):
+    rows = [(1, "ÉTÉ one\x0btwo2 two2 가나다 one_1"), (2, "the cat sat, the CAT ran"), (1, "six six one 123 K2 \u212am\u0130x"), (None, "nil nil"), (None, "nil"), (3, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    top = keywords.top_keywords(d, 2)
+    got = sorted((r["doc_id"] or 0, r["rank"], r["keyword"], r["n"]) for r in top.collect())
+    assert got == [(0, 1, "nil", 3), (1, 1, "one", 2), (1, 2, "six", 2), (2, 1, "the", 2), (2, 2, "cat", 2)]
+    w = {r["keyword"]: r["score"] for r in keywords.weighted_keywords(d, ["the"], 50).where("doc_id = 1").collect()}
+    assert w["가나다"] == 1.0 and w["two2 two2"] == 0.8 and w["one"] == 2.0 and "123" not in w and w["six one"] == 0.8
+    assert "HashAggregate" not in top._jdf.queryExecution().executedPlan().toString()  # no table of counts in a task
+
+
 def test_transform(spark):
     g = small(spark)
     good, bad = transform.validate_nodes(g.nodes)
