@@ -73,3 +73,15 @@ def test_sketched_closeness(spark, sf):
             far = 999 * 0.03 * w["reached"] / (len(want) - 1)  # what is wrongly out of reach
             assert abs(got[i]["avg_distance"] - w["avg_distance"]) <= (0.03 * w["avg_distance"] if g is not wide else far)
     assert metrics.sketched_closeness(Graph(wide.nodes.limit(0), wide.edges)).count() == 0
+
+
+def test_betweenness_in_blocks_of_pivots(spark):
+    """Pivots that share rows, a column each, count as they do alone."""
+    rng = random.Random(4)
+    ids = [f"n{i:02d}" for i in range(30)]
+    edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(45)]
+    g = Graph(spark.createDataFrame([(i,) for i in ids], NODES), spark.createDataFrame(edges, EDGES))
+    want = {i: round(b, 9) for i, b in plain_betweenness(set(ids), edges, ids[:5]).items()}
+    for block in (1, 3, 63):
+        got = metrics.betweenness(g, g.nodes.where("id < 'n05'"), block=block)
+        assert {r["id"]: round(r["betweenness"], 9) for r in got.collect()} == want
