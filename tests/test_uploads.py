@@ -52,3 +52,22 @@ def test_life(feed):
     assert got == {"a": a, "b": b, "c": c, "d": d, "e": e}
     # a row older than the watermark (at 70) is dropped, not begun as a new upload
     assert feed([("g", at(10), "completed"), ("f", at(81), "completed")]) == got | {"f": ("completed", at(80), at(81), 60_000, 2, None)}
+
+
+@pytest.mark.parametrize("groups", [1, 5])
+def test_uploads_share_a_group(spark, tmp_path, groups):
+    """Uploads that share a row of state live and time out on their own."""
+    spark.conf.set(*STATE_STORE)
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    try:
+        for rows in ([(f"u{i}", at(i), "processing") for i in range(60)] + [(f"u{i}", at(i + 1), "completed") for i in range(0, 60, 3)], [(f"u{i}", at(i + 2), "failed") for i in range(55, 60)] + [("z", at(100), "processing")]):
+            spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(src)
+            got = upload_outcomes(spark.readStream.schema(LOG).parquet(src), "1 hour", "10 minutes", groups)
+            got.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(STATE_STORE[0])
+    want = {f"u{i}": ("completed", at(i + 1), 2, None) for i in range(0, 60, 3)}
+    want |= {f"u{i}": ("failed", at(i + 2), 2, None) for i in range(55, 60) if i % 3}
+    want |= {f"u{i}": ("failed", at(i + 60), 1, "timeout") for i in range(31) if i % 3}  # the watermark is at 90
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == len(want) and {r["upload_id"]: (r["status"], r["ended_at"], r["n_events"], r["error"]) for r in rows} == want
