@@ -463,3 +463,21 @@ def test_indexed_search(spark, tmp_path):
     assert len(of("postings")) <= 5 and len(of("nodes")) == 1
     st.rewrite("postings")
     assert [r["id"] for r in st.search("moonlig").collect()] == ["new"]
+
+
+def test_components_run_on_numbers(spark, monkeypatch):
+    """Rounds see numbers in the order of ids; edges of unknown or missing ends count nothing."""
+    from kgloom.operators import graph as g
+
+    seen, plain = [], g.components
+
+    def watched(nodes, edges, *args, **kw):
+        seen.append([*nodes.schema.fields, *edges.schema.fields])
+        return plain(nodes, edges, *args, **kw)
+
+    monkeypatch.setattr(g, "components", watched)
+    nodes = spark.createDataFrame([(x,) for x in ("b", "a10", "a9", "é", "Z", "b", "alone")], "id string")
+    edges = spark.createDataFrame([("b", "a9"), ("a9", "a10"), ("é", "Z"), ("é", "gone"), ("gone", "b"), ("Z", "Z"), (None, "b"), ("é", "Z")], "src string, dst string")
+    got = {r["id"]: r["component"] for r in g.connected(g.Graph(nodes, edges)).collect()}
+    assert got == {"b": "a10", "a10": "a10", "a9": "a10", "é": "Z", "Z": "Z", "alone": "alone"}
+    assert {f.dataType.simpleString() for f in seen[0]} == {"bigint"}
