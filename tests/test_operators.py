@@ -481,3 +481,20 @@ def test_components_run_on_numbers(spark, monkeypatch):
     got = {r["id"]: r["component"] for r in g.connected(g.Graph(nodes, edges)).collect()}
     assert got == {"b": "a10", "a10": "a10", "a9": "a10", "é": "Z", "Z": "Z", "alone": "alone"}
     assert {f.dataType.simpleString() for f in seen[0]} == {"bigint"}
+
+
+def test_embedding_of_odd_texts(spark, monkeypatch):
+    """A text's words are summed in several steps; null texts have null components."""
+    monkeypatch.setattr(extract, "_WORDS", 3)
+    texts = ["a b c d e f g", "", None, "x", " y  z "]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    got = {r["k"]: r["v"] for r in df.select("k", extract.hash_embedding(F.col("t"), 8).alias("v")).collect()}
+    for k, t in enumerate(texts):
+        if t is None:
+            assert got[k] == [None] * 8
+            continue
+        words = t.split(" ") if t.strip() == t else ["", "y", "z", ""]
+        code = [ord(w) if w else 0 for w in words]
+        raw = [sum(math.sin((h + i) * 0.01) / (j + 1) for j, h in enumerate(code)) for i in range(8)]
+        n = math.sqrt(sum(x * x for x in raw))
+        assert all(math.isclose(a, b / n, abs_tol=1e-9) for a, b in zip(got[k], raw, strict=True))
