@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import alnum, filled, first_filled, nonzero, number, prettified, round_half_up, slug, tokens
-from .graph import Graph, components
+from .graph import Graph, connected
 from .iterate import materialize, numbered, with_row
 from .similarity import best_matches
 from .transform import first_edges
@@ -174,7 +174,7 @@ def densify(nodes: DataFrame, edges: DataFrame, share: float = 0.6) -> DataFrame
 def bridge(nodes: DataFrame, edges: DataFrame, many: int = 8, common: int = 64) -> DataFrame:
     """Links every smaller component to the largest at the pair of labels most alike (Jaccard likeness of words; none shared:
     by id). common and many bound the work at common words, see best_matches."""
-    comp = materialize(nodes.select("id", "label").join(components(nodes.select("id").distinct(), edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "id"))
+    comp = materialize(nodes.select("id", "label").join(connected(Graph(nodes, edges)), "id"))
     sizes = comp.groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     main = sizes.orderBy(F.desc("n"), "component").limit(1).select(F.col("component").alias("main"), F.col("first").alias("main_first"))
     words = materialize(with_row(comp.select("component", F.col("id").alias("key"), tokens("label", "[^a-z0-9]+").alias("ws")), main))

@@ -498,3 +498,16 @@ def test_embedding_of_odd_texts(spark, monkeypatch):
         raw = [sum(math.sin((h + i) * 0.01) / (j + 1) for j, h in enumerate(code)) for i in range(8)]
         n = math.sqrt(sum(x * x for x in raw))
         assert all(math.isclose(a, b / n, abs_tol=1e-9) for a, b in zip(got[k], raw, strict=True))
+
+
+def test_bridge_finds_components_on_numbers(spark, monkeypatch):
+    from kgloom.operators import builder
+    from kgloom.operators import graph as g
+
+    seen, plain = [], g.components
+    monkeypatch.setattr(g, "components", lambda nodes, edges, *args, **kw: seen.append(edges.dtypes) or plain(nodes, edges, *args, **kw))
+    nodes = spark.createDataFrame([("a", "green leaf"), ("b", "root"), ("c", "leaf area")], "id string, label string")
+    edges = spark.createDataFrame([(0, "a", "b", "x", 2.0)], "pos int, src string, dst string, label string, weight double")
+    got = {(r["src"], r["dst"], r["label"]) for r in builder.bridge(nodes, edges).collect()}
+    assert got == {("a", "b", "x"), ("c", "a", "contextual_link")}
+    assert seen == [[("a", "bigint"), ("b", "bigint")]]
