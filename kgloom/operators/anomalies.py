@@ -1,15 +1,17 @@
-"""Anomalies by an isolation forest: random trees on bounded seeded samples, scored in DataFrame functions."""
+"""Anomalies by an isolation forest: random trees on bounded seeded samples, which each distinct row goes down once."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Graph, drop_dangling
-from .iterate import with_row
+from .iterate import written
 
 
 def mean_path(n: float) -> float:
@@ -57,24 +59,34 @@ def isolation_scores(features: DataFrame, columns: list[str], trees: int = 100,
     """features (id and numeric columns) with `score`, from 0 to 1: the sooner random cuts part a row from others, the nearer to 1; about
     0.5 and less is ordinary. Missing values are 0. Equal ids may repeat; reruns agree. Rows equal in all columns have equal
     scores; empty table: no rows."""
-    clean = features.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
+    clean = written(features.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}))
     forest = isolation_forest(clean, columns, trees, sample, seed)
     if not forest:
         return clean.withColumn("score", F.lit(0.0))
-    spark, depth = features.sparkSession, int(math.log2(len(forest[0].feature) + 1)) - 1
-    row = spark.createDataFrame([([(t.feature.tolist(), t.split.tolist(), t.length.tolist()) for t in forest],)], "__forest array<struct<f:array<int>,s:array<double>,l:array<double>>>")
+    # each distinct row goes down the trees once
+    kinds = clean.select(*columns).distinct().withColumn("__total", _lengths(forest)(F.array(*columns)))
+    size = min(sample, clean.limit(sample).count())
+    score = F.pow(F.lit(2.0), -F.col("__total") / len(forest) / max(mean_path(size), 1e-9))
+    return clean.join(kinds, columns).withColumn("score", score).select(*features.columns, "score")
 
-    def length(t: Column) -> Column:
-        def down(i: Column, _: Column) -> Column:
-            right = (F.get("__x", F.get(t["f"], i)) >= F.get(t["s"], i)).cast("int")
-            return F.when(F.get(t["f"], i) < 0, i).otherwise(2 * i + 1 + right)
 
-        return F.get(t["l"], F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down))
+def _lengths(forest: list[Tree]) -> Callable[[Column], Column]:
+    """The sum of the path lengths of rows (arrays of numbers) in all trees; a missing number lies above all others, as in Spark."""
+    depth = int(math.log2(len(forest[0].feature) + 1)) - 1
 
-    placed = with_row(clean.withColumn("__x", F.array(*columns)), row)
-    total = F.aggregate(F.transform("__forest", length), F.lit(0.0), lambda a, x: a + x)
-    size = min(sample, features.limit(sample).count())
-    return placed.withColumn("score", F.pow(F.lit(2.0), -total / len(forest) / max(mean_path(size), 1e-9))).drop("__x", "__forest")
+    def run(rows: pa.Array) -> pa.Array:
+        x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        each, total = np.arange(len(x)), np.zeros(len(x))
+        for t in forest:
+            at = np.zeros(len(x), np.int64)
+            for _ in range(depth):
+                f = t.feature[at]
+                at = np.where(f < 0, at, 2 * at + 1 + ~(x[each, f] < t.split[at]))
+            total += t.length[at]
+        return pa.array(total)
+
+    run.__annotations__ = {"rows": pa.Array, "return": pa.Array}  # as types, not as text
+    return F.arrow_udf(run, "double")
 
 
 def degree_features(graph: Graph) -> DataFrame:
@@ -83,7 +95,9 @@ def degree_features(graph: Graph) -> DataFrame:
     e = drop_dangling(graph.edges, graph.nodes).withColumn("w", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)))
     end = lambda c, out: e.select(F.col(c).alias("id"), F.lit(out).alias("out"), "w", "relationship_type")
     both = end("src", True).unionByName(end("dst", False))
-    sums = both.groupBy("id").agg(F.count_if(~F.col("out")).alias("edges_in"), F.count_if("out").alias("edges_out"), F.sum(F.when(~F.col("out"), F.col("w")).otherwise(0.0)).alias("weight_in"), F.sum(F.when(F.col("out"), F.col("w")).otherwise(0.0)).alias("weight_out"), F.count_distinct("relationship_type").alias("kinds"))
+    # by type first, so that types are counted without a row for each edge and count
+    each = both.groupBy("id", "relationship_type").agg(F.count_if(~F.col("out")).alias("edges_in"), F.count_if("out").alias("edges_out"), F.sum(F.when(~F.col("out"), F.col("w")).otherwise(0.0)).alias("weight_in"), F.sum(F.when(F.col("out"), F.col("w")).otherwise(0.0)).alias("weight_out"))
+    sums = each.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("edges_in", "edges_out", "weight_in", "weight_out")], F.count("relationship_type").alias("kinds"))
     return graph.nodes.select("id").distinct().join(sums, "id", "left").fillna(0)
 
 

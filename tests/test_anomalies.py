@@ -44,3 +44,20 @@ def test_graph_anomalies(spark, sf):
     more = Graph(g.nodes.unionByName(spark.createDataFrame([("hub", "Hub", "concept", 1.0)], "id string, label string, type string, size double")), g.edges.unionByName(hub))
     found = anomalies.anomalies(more, trees=30)
     assert found.count() == g.nodes.count() + 1 and found.orderBy(F.desc("score"), "id").first()["id"] == "hub"
+
+
+def test_equal_rows_go_down_once(spark, monkeypatch):
+    """Rows equal in all columns meet the trees as one row, and keep their own score; NaN and null are numbers too."""
+    rows = [(f"n{i:04}", float(i % 5), None if i % 5 == 2 else float("nan") if i % 5 == 4 else 1.0) for i in range(1000)]
+    table = spark.createDataFrame(rows, "id string, a double, b double")
+    met, lengths = spark.sparkContext.accumulator(0), anomalies._lengths
+
+    def watched(forest):
+        inner = lengths(forest)
+        count = F.udf(lambda x: met.add(1) or x, "array<double>")
+        return lambda x: inner(count(x))
+
+    monkeypatch.setattr(anomalies, "_lengths", watched)
+    got = anomalies.isolation_scores(table, ["a", "b"], trees=20, sample=64).collect()
+    assert len(got) == 1000 and len({r["id"] for r in got}) == 1000 and met.value == 5
+    assert len({(r["a"], r["score"]) for r in got}) == 5
