@@ -85,3 +85,14 @@ def test_betweenness_in_blocks_of_pivots(spark):
     for block in (1, 3, 63):
         got = metrics.betweenness(g, g.nodes.where("id < 'n05'"), block=block)
         assert {r["id"]: round(r["betweenness"], 9) for r in got.collect()} == want
+
+
+def test_sketches_are_told_until_none_changes(spark, monkeypatch):
+    """Hops end with the first that changes no sketch, and a bundle computes only what is asked for."""
+    g = Graph(spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double"))
+    calls, written = [], metrics.written
+    monkeypatch.setattr(metrics, "written", lambda df: calls.append(1) or written(df))
+    got = {r["id"]: r["reached"] for r in metrics.sketched_closeness(g, max_hops=50).collect()}
+    assert got == {"a": 2, "b": 1, "c": 0} and len(calls) < 8
+    member = g.nodes.withColumn("cluster", g.nodes["id"])
+    assert set(metrics.analysis_bundle(g, member, ("insights",))) == {"insights"}
