@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,14 @@ from .iterate import numbered, written
 BLOCK = 1024
 #: Products that a task should make.
 TASK = 1 << 24
+#: Entries of a block of nodes: at most so many meet at once, beside as many of another block.
+ENTRIES = 1 << 18
+#: Blocks of fewer entries aren't worth a call of Python.
+LEAST = 1 << 12
+#: Nodes of more entries than this are no part of a block.
+LONG = 1 << 18
+#: Pairs of nodes whose sums a task holds at once, and products that it adds up at once, so that they stay in a core's cache.
+CELLS, PRODUCTS = 1 << 18, 1 << 17
 #: What scores, rounded to nine digits, may be apart from their exact values, with room to spare.
 SLACK = 1e-8
 
@@ -49,56 +60,113 @@ def _wedges(asked: DataFrame, given: DataFrame) -> DataFrame:
     return left.join(right, ["dim", "i", "j"]).groupBy("a", "c").agg(F.sum(F.col("wa") * F.col("wc")).alias("dot"))
 
 
+def _blocks(reps: DataFrame) -> tuple[DataFrame, int]:
+    """(cls, block) of nodes of at most LONG entries (cls, n, center), and about how many blocks there are. Nodes of about as many
+    entries stand in the order of the mean number of their neighbours, so that nodes with common neighbours mostly share few
+    blocks; results don't depend on it."""
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    size = min(ENTRIES, max(LEAST, total // 16))
+    band = reps.select("cls", "center", F.floor(F.log2("n")).cast("int").alias("band"))
+    placed = numbered(band, ["band", "center", "cls"], "at")
+    first = placed.groupBy("band").agg(F.min("at").alias("first"))
+    inside = F.floor((F.col("at") - F.col("first")) * F.pow(F.lit(2.0), F.col("band") + 1) / size).cast("long")
+    return placed.join(F.broadcast(first), "band").select("cls", (F.shiftleft(F.col("band").cast("long"), 40) + inside).alias("block")), 2 * math.ceil(total / size)
+
+
+def _best(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """(a, c, s): of the nodes a of entries x (dim, cls, weight, square sum) and c of y, in order of dim, those that rounding can
+    leave among a's k + 1 best of y. Of equal scores the k + 1 least are enough."""
+    (xa, xf, xi), (ya, yf, yi) = (np.unique(e[1], return_index=True, return_inverse=True) for e in (x, y))
+    xq, yq = x[3][xf], y[3][yf]
+    order = np.argsort(xi, kind="stable")
+    dim, xi, w = x[0][order], xi[order], x[2][order]
+    link = np.minimum(np.searchsorted(ya, dim), len(ya) - 1)
+    tied = ya[link] == dim
+    begin = np.searchsorted(y[0], dim)  # of each entry those of y that share its dim
+    many = np.searchsorted(y[0], dim, "right") - begin
+    ends = np.searchsorted(xi, np.arange(len(xa) + 1))
+    products = np.concatenate([[0], np.cumsum(many)])[ends]
+    found, lo = [], 0
+    while lo < len(xa):
+        hi = min(lo + max(1, CELLS // len(ya)), max(lo + 1, int(np.searchsorted(products, products[lo] + PRODUCTS, "right")) - 1), len(xa))
+        here = slice(ends[lo], ends[hi])
+        p = many[here]
+        at = np.repeat(begin[here] - (np.cumsum(p) - p), p) + np.arange(p.sum())
+        m = np.bincount(np.repeat((xi[here] - lo) * len(ya), p) + yi[at], np.repeat(w[here], p) * y[2][at], (hi - lo) * len(ya)).reshape(hi - lo, len(ya))
+        m[xi[here][tied[here]] - lo, link[here][tied[here]]] = 0
+        if x is y:
+            m[np.arange(hi - lo), np.arange(lo, hi)] = 0
+        m = m / np.sqrt(xq[lo:hi, None] * yq)
+        last = max(0, len(ya) - k - 1)
+        least = np.partition(m, last, axis=1)[:, last, None] - SLACK
+        i, j = np.nonzero((m >= least) & (m > 0))
+        s = m[i, j]
+        order = np.lexsort((j, -s, i))
+        i, j, s = i[order], j[order], s[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (i[1:] != i[:-1]) | (s[1:] != s[:-1])
+        place = np.arange(len(s))
+        kept = place - np.maximum.accumulate(np.where(new, place, 0)) <= k
+        found.append((xa[lo + i[kept]], ya[j[kept]], s[kept]))
+        lo = hi
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _pair_of_blocks(k: int) -> Callable[[pa.Table], pa.Table]:
+    def run(t: pa.Table) -> pa.Table:
+        n = t["r"].combine_chunks().value_lengths().to_numpy()
+        dim, right = np.repeat(t["dim"].to_numpy(), n), np.repeat(t["right"].to_numpy(), n)
+        row, w, sq = (t[c].combine_chunks().flatten().to_numpy() for c in ("r", "w", "sq"))
+        order = np.lexsort((row, dim))
+        sides = [tuple(c[order][right[order] == s] for c in (dim, row, w, sq)) for s in (False, True)]
+        x, y = sides
+        both = ((x, x),) if t["lo"][0] == t["hi"][0] else ((x, y), (y, x)) if len(x[0]) and len(y[0]) else ()
+        found = [_best(*pair, k) for pair in both]
+        a, c, s = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": a, "c": c, "s": s})
+
+    return run
+
+
 def recommendations(graph: Graph, k: int = 10, probe: int = 16) -> DataFrame:
     """(id, rank from 1, recommended, score): the k best nodes of each node by the cosine of their weighted neighbours, rounded to
     nine digits; equal scores by id. Nodes linked to it, itself and nodes that share no neighbour with it are none. Links count in both directions, weights of
     parallel ones add up, self-loops and links to unknown nodes don't count; a weight that is null, not above 0 or not finite is
     1. A node without links, and an empty graph, give no rows. Node ids must be distinct.
 
-    Nodes of equal neighbours are computed once. The first pass pairs each entry of a dimension (a neighbour) with its `probe`
-    heaviest; such part sums are never above the true scores, so the k-th of them bounds what a recommendation must reach.
-    The second pass leaves out each node's commonest dimensions as long as they, alone, couldn't reach that bound (by their
-    norm, or by the heaviest entries in them), and then the pairs that they couldn't lift to it. Only what is left over is
-    summed in full: the result is exact. A hub's links meet in pairs of blocks. Where scores are flat the bounds save little, and
-    work is that of all two-step paths.
+    Nodes of equal neighbours are computed once. Nodes are dealt to blocks of about ENTRIES entries; a dimension's (a neighbour's)
+    entries in a block are one row, which is sent to the blocks that hold others of that dimension, so no product is ever a row: a
+    pair of blocks adds them up as matrices of at most CELLS pairs, and only what can be among a node's best leaves it. Nodes of
+    over LONG entries meet all others in pairs of blocks of each dimension instead. The result is exact, and work is that of all
+    two-step paths. `probe` is without effect: nothing is left out by bounds any more.
     """
     names, member, entries = _classes(graph)
     reps = member.where("id = cls").select("cls")
     own = entries.join(reps, entries["id"] == reps["cls"]).select("cls", F.col("other").alias("dim"), "w")
-    norms = own.groupBy("cls").agg(F.sum(F.col("w") * F.col("w")).alias("sq"))
-    unit = own.join(norms, "cls").withColumn("x", F.col("w") / F.sqrt("sq"))
-    dims = unit.groupBy("dim").agg(F.count("*").alias("n"), F.max("x").alias("top"))
-    rows = written(unit.join(dims, "dim").select("cls", "dim", "w", "x", "n", "top", F.floor(F.log2("n")).cast("int").alias("band")))
-    named = lambda to: norms.select(F.col("cls").alias(to), F.col("sq").alias(f"sq_{to}"))
-    scored = lambda pairs, name: pairs.join(named("a"), "a").join(named("c"), "c").withColumn(name, F.col("dot") / F.sqrt(F.col("sq_a") * F.col("sq_c"))).drop("sq_a", "sq_c")
-    to = lambda c, name: member.select(F.col("id").alias(c), F.col("cls").alias(name))
-    linked = written(own.join(to("dim", "c"), "dim").select(F.col("cls").alias("a"), "c").distinct())
-
-    # what a recommendation must reach: the k-th of the part sums over each dimension's heaviest entries
-    heavy = Window.partitionBy("dim").orderBy(F.desc("x"), "cls")
-    first = rows.withColumn("__r", F.row_number().over(heavy)).where(F.col("__r") <= probe).select("dim", "cls", "w", "n")
-    part = scored(_wedges(rows, first).where("a <> c").join(linked, ["a", "c"], "left_anti"), "s")
-    best = Window.partitionBy("a").orderBy(F.desc("s"), "c")
-    kth = part.withColumn("__r", F.row_number().over(best)).where(F.col("__r") == k).select(F.col("a").alias("cls"), F.col("s").alias("kth"))
-    full = member.groupBy("cls").agg(F.count("*").alias("size"))
-    need = F.when(F.col("size") > k, 1.0).otherwise(F.coalesce("kth", F.lit(0.0))) - SLACK
-    must = written(full.join(kth, "cls", "left").select("cls", "size", need.alias("need")))
-
-    # bands of dimensions by how common they are: from which on can a node's dimensions alone not reach that?
-    bands = rows.groupBy("cls", "band").agg(F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("top")).alias("xt"))
-    rest = Window.partitionBy("cls").orderBy("band").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    bounds = bands.withColumn("bound", F.least(F.sqrt(F.sum("xx").over(rest)), F.sum("xt").over(rest))).join(must, "cls")
-    last = written(bounds.groupBy("cls").agg(F.max(F.when(F.col("bound") >= F.col("need"), F.col("band"))).alias("last"), F.max(F.when(F.col("bound") < F.col("need"), F.col("bound"))).alias("left"), F.first("need").alias("need")))
-    cut = written(rows.join(last, "cls").select("cls", "dim", "w", "n", F.coalesce(F.col("band") <= F.col("last"), F.lit(False)).alias("kept")))
-    found = scored(_wedges(cut.where("kept"), rows).join(linked, ["a", "c"], "left_anti"), "s").join(last.select(F.col("cls").alias("a"), "left", "need"), "a")
-    found = written(found.where(F.col("s") + F.coalesce("left", F.lit(0.0)) >= F.col("need")).select("a", "c", "dot", F.col("left").isNotNull().alias("open")))
-    late = found.where("open").join(cut.where("not kept").select(F.col("cls").alias("a"), "dim", F.col("w").alias("wa")), "a").join(rows.select(F.col("cls").alias("c"), "dim", F.col("w").alias("wc")), ["c", "dim"])
-    whole = found.select("a", "c", "dot").unionByName(late.select("a", "c", (F.col("wa") * F.col("wc")).alias("dot"))).groupBy("a", "c").agg(F.sum("dot").alias("dot"))
+    norms = written(own.groupBy("cls").agg(F.sum(F.col("w") * F.col("w")).alias("sq"), F.count("*").alias("n"), F.avg("dim").alias("center")))
+    blocks, count = _blocks(norms.where(F.col("n") <= LONG))
+    blocks = written(blocks)
+    rows = own.join(blocks, "cls").join(norms.select("cls", "sq"), "cls")
+    cells = written(rows.groupBy("block", "dim").agg(F.collect_list(F.struct("cls", "w", "sq")).alias("e")))
+    meets = cells.select("dim", "block").unionByName(blocks.select(F.col("cls").alias("dim"), "block")).groupBy("dim").agg(F.collect_set("block").alias("others"))  # a dimension's own block too: there links to it count
+    sent = cells.join(meets, "dim").withColumn("other", F.explode("others"))
+    sent = sent.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("right"), "dim", F.col("e.cls").alias("r"), F.col("e.w").alias("w"), F.col("e.sq").alias("sq"))
+    n = max(int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * count)
+    best = sent.repartition(n, "lo", "hi").groupBy("lo", "hi").applyInArrow(_pair_of_blocks(k), "a long, c long, s double")
+    long = written(norms.where(F.col("n") > LONG).select("cls", "sq"))
+    if not long.isEmpty():
+        asked = own.join(own.groupBy("dim").agg(F.count("*").alias("n")), "dim")
+        given = asked.join(long.select("cls"), "cls")
+        linked = own.join(long.select(F.col("cls").alias("dim")), "dim").select(F.col("cls").alias("a"), F.col("dim").alias("c"))
+        dots = _wedges(asked, given).where("a <> c").join(linked, ["a", "c"], "left_anti")
+        sq = lambda c: norms.select(F.col("cls").alias(c), F.col("sq").alias(f"sq_{c}"))
+        pairs = written(dots.join(sq("a"), "a").join(sq("c"), "c").select("a", "c", (F.col("dot") / F.sqrt(F.col("sq_a") * F.col("sq_c"))).alias("s")))
+        back = pairs.join(long.select(F.col("cls").alias("a")), "a", "left_anti")
+        best = best.unionByName(pairs).unionByName(back.select(F.col("c").alias("a"), F.col("a").alias("c"), "s"))
 
     # k + 1 classes, and k + 1 members of each, hold the k best of every member; itself is one of those at most
-    score = scored(whole, "s").select("a", "c", F.round("s", 9).alias("score"))
-    sizes = full.where("size > 1").select(F.col("cls").alias("a"))
-    score = score.where("a <> c").unionByName(score.where("a = c").join(sizes, "a", "left_semi"))
+    same = member.groupBy("cls").agg(F.count("*").alias("size")).where("size > 1")
+    score = best.select("a", "c", F.round("s", 9).alias("score")).unionByName(same.select(F.col("cls").alias("a"), F.col("cls").alias("c"), F.lit(1.0).alias("score")))
     order = Window.partitionBy("a").orderBy(F.desc("score"), "c")
     top = score.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1).drop("__r")
     heads = member.withColumn("__r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("__r") <= k + 1).select(F.col("cls").alias("c"), F.col("id").alias("recommended"))

@@ -65,3 +65,23 @@ def test_whole_graph(spark, sf):
     ids = {r["id"] for r in g.nodes.collect()}
     edges = [(r["src"], r["dst"], r["weight"]) for r in g.edges.collect()]
     same(rows(recommend.recommendations(g, 10)), brute(ids, edges, 10))
+
+
+@pytest.mark.parametrize(("entries", "long", "cells"), [(40, 1 << 18, 64), (60, 12, 1 << 18)])
+def test_blocks(spark, entries, long, cells, monkeypatch):
+    """Pairs of small blocks, matrices of a few rows, and nodes too long for a block; no product of two links is a row of its own
+    unless a node is too long."""
+    monkeypatch.setattr(recommend, "LONG", long)
+    monkeypatch.setattr(recommend, "CELLS", cells)
+    monkeypatch.setattr(recommend, "ENTRIES", entries)
+    monkeypatch.setattr(recommend, "LEAST", 1)
+    wedges, calls = recommend._wedges, []
+    monkeypatch.setattr(recommend, "_wedges", lambda *a: (calls.append(1), wedges(*a))[1])
+    rng = random.Random(entries)
+    ids = [f"n{i:02d}" for i in range(50)]
+    edges = [(rng.choice(ids), rng.choice(ids), rng.choice([1.0, 2.0, 3.0, None])) for _ in range(150)]
+    edges += [("n00", f"n{i:02d}", 5.0) for i in range(20, 40)] + [(f"t{i}", "n01", 1.0) for i in range(9)] + [("n02", "gone", 1.0)]
+    ids += [f"t{i}" for i in range(9)] + ["alone"]
+    g = Graph(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(edges, EDGES))
+    same(rows(recommend.recommendations(g, 3)), brute(set(ids), edges, 3))
+    assert bool(calls) == (long == 12)
