@@ -45,7 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their places in sequences of at most 2048."""
-    return pack(docs, tokenizer_path("word_bpe_49k.json"), size=2048)
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), size=2048, remember=1 << 17)  # workers keep what they remember beside later stages
 
 
 STAGES = [("quality classifier", quality), ("simhash near-dedup", near_dedup), ("suffix-array dedup", repeats), ("source mixing", mixture), ("best-fit packing", packing)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.iterate import components, materialize
 
-__all__ = ["KeyBits", "ROW_KEY", "Ranges", "WORD", "components", "first_rows", "materialize", "parts", "read_table", "row_key", "small_or_joined", "word_count"]
+__all__ = ["KeyBits", "ROW_KEY", "Ranges", "WORD", "components", "first_rows", "materialize", "parts", "read_table", "row_key", "sliced", "small_or_joined", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,6 +25,18 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows whose texts a Python worker holds as strings at once.
+TEXTS = 256
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of so many rows: Spark's of 10,000 hold their texts as Arrow has them, but only a slice's become strings,
+    and results of a slice go before the next one's are made."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows or TEXTS):
+            yield b.slice(at, rows or TEXTS)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of the text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, components, first_rows, materialize, row_key
+from .common import ROW_KEY, components, first_rows, materialize, row_key, sliced
 from .simhash import fingerprint_bits, near_edges, shingle_hashes
 
 BANDS, ROWS, RADIUS = 16, 4, 3
@@ -44,7 +44,7 @@ def _set_of(text: str | None, shingle: int) -> np.ndarray:
 def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """ROW_KEY, sh, n, fp, bands per row: hash of the shingle set, size of the set, SimHash, min-hash bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sh, n, fp, bands = [], [], np.zeros(b.num_rows, np.uint64), []
             for i, text in enumerate(b.column(3).to_pylist()):
                 h = shingle_hashes(text, shingle)
@@ -63,11 +63,9 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Da
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(sh, cluster, s): the shingle set of each text (sh, cluster, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                s = [_set_of(t, shingle).tobytes() for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.binary())], ["sh", "cluster", "s"])
+        for b in sliced(batches):
+            s = [_set_of(t, shingle).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.binary())], ["sh", "cluster", "s"])
 
     return texts.mapInArrow(run, "sh long, cluster long, s binary")
 

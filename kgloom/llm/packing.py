@@ -12,15 +12,16 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import materialize, parts, sliced
 
-#: Distinct words whose ids a worker remembers; it starts anew beyond.
+#: Distinct words whose ids a worker remembers; beyond, the half that it met first stays, as frequent words come early.
 CACHE = 1_000_000
 #: Words longer than this are not remembered.
 CACHE_WORD = 200
@@ -38,8 +39,8 @@ class WordIds:
     """Ids of texts as little-endian 32-bit bytes, word by word. Its tokenizer never joins across white space (ids of a
     text are those of its words in turn)."""
 
-    def __init__(self, path: str) -> None:
-        self.tok, self.seen = _tokenizer(path), {}
+    def __init__(self, path: str, remember: int = CACHE) -> None:
+        self.tok, self.seen, self.remember = _tokenizer(path), {}, remember
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)]
@@ -51,29 +52,29 @@ class WordIds:
             return b"".join([seen[w] for w in words])
         except KeyError:
             new = list({w for w in words if w not in seen})
-            if len(seen) + len(new) > CACHE:
-                seen.clear()
-                new = list(set(words))
+            if len(seen) + len(new) > self.remember:
+                seen = self.seen = dict(islice(seen.items(), self.remember // 2))
+                new = list({w for w in words if w not in seen})
             seen.update(zip(new, self._encode(new), strict=True))
             out = b"".join([seen[w] for w in words])
             for w in new:
                 if len(w) > CACHE_WORD:
                     del seen[w]
-            if len(seen) > CACHE:
-                seen.clear()
+            if len(seen) > self.remember:
+                self.seen = dict(islice(seen.items(), self.remember // 2))
             return out
 
 
 @cache
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, remember: int = CACHE) -> WordIds:
     """One for each worker process, so that its tasks share what is remembered."""
-    return WordIds(path)
+    return WordIds(path, remember)
 
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, with_ids: bool = False, remember: int = CACHE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked, ids (binary, 32-bit little-endian).
 
     A document is its ids and end_id; only longer ones are cut, into pieces of size and a last, shorter one. A null or
@@ -83,8 +84,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(tokenizer)
-        for b in batches:
+        ids_of = word_ids(tokenizer, remember)
+        for b in sliced(batches):
             where, number, start, length, crc, kept = [], [], [], [], [], []
             for row, text in enumerate(b.column(1).to_pylist()):
                 ids = ids_of(text) + end
@@ -156,13 +157,14 @@ def plan(counts: np.ndarray) -> list[tuple[list[int], int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, block: int = 1 << 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, block: int = 1 << 16, remember: int = CACHE) -> DataFrame:
     """pieces() with sequence_id and offset. Sequences hold at most size tokens and are gapless from 0.
 
     The driver gets the histogram of lengths (size numbers) and tasks get the plan (patterns; each uses up at least one
     length, so there are O(size) of them). Empty table: no rows. Ties in rank are broken by id, piece and crc.
+    A worker remembers the ids of at most `remember` distinct words: memory against time, the result is the same.
     """
-    p = pieces(docs, tokenizer, id_col, text_col, size, end_id)
+    p = pieces(docs, tokenizer, id_col, text_col, size, end_id, remember=remember)
     salts = max(1, 4 * parts(docs.sparkSession))
     p = materialize(p.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")))
     hist = p.groupBy("length", "salt").agg(F.count("*").alias("n"))

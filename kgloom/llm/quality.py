@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 BYTE_DIM, SHAPE_DIM, REPEAT_DIM = 1 << 16, 1 << 14, 16
 #: An n-gram of the shape has an indicator for each of these shares that it reaches.
 SHARES = (0.0, 1 / 32, 1 / 8, 3 / 8)
@@ -137,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), "__id")  # bounded by max_rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             f = [features(t).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], ["id", "y", "f"])
 
@@ -164,7 +166,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, a, c = shared.value
-        for b in batches:
+        for b in sliced(batches):
             margin = np.fromiter((w[features(t)].sum(dtype=np.float64) + w[-1] for t in b.column(at).to_pylist()), np.float64, b.num_rows)
             s = 1 / (1 + np.exp(-np.clip(a * margin + c, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*names, out])

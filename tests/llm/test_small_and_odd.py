@@ -70,3 +70,17 @@ def test_extreme_lengths(spark):
     got = {r["id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(df).collect()}
     assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (2, 4), 5: (2, 4), 10: (2, 4), 11: (0, 11), **{i: (0, i) for i in (6, 7, 8, 9)}}
     assert hnsw.near_duplicates(df.where(F.col("vec_id") < 0)).count() == 0
+
+
+def test_words_remembered():
+    """Few remembered words bound a worker's memory and change no ids."""
+    from kgloom.llm.packing import WordIds
+    from kgloom.llm.queries import tokenizer_path
+
+    path = tokenizer_path("word_bpe_49k.json")
+    few, all_ = WordIds(path, 8), WordIds(path)
+    for i in range(40):
+        text = " ".join(f"word{i * j % 13} the Fall{i}" for j in range(1 + i % 9))
+        assert few(text) == all_(text)
+        assert len(few.seen) <= 8
+    assert few("") == b"" and few(None) == b""
