@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,17 @@ from .iterate import numbered, written
 BLOCK = 1024
 #: Products that a task should make.
 TASK = 1 << 24
-#: Entries of a block of nodes: at most so many meet at once, beside as many of another block.
-ENTRIES = 1 << 18
+#: Entries of a block of nodes, which a task holds, and chunks that a block is sent in, of which a task holds one beside its block.
+ENTRIES, CHUNKS = 1 << 22, 8
 #: Blocks of fewer entries aren't worth a call of Python.
 LEAST = 1 << 12
 #: Nodes of more entries than this are no part of a block.
 LONG = 1 << 18
-#: Pairs of nodes whose sums a task holds at once, and products that it adds up at once, so that they stay in a core's cache.
-CELLS, PRODUCTS = 1 << 18, 1 << 17
+#: Products that are added up at once, so that they stay in a core's cache, and pairs a product up to which sums are a matrix of all pairs;
+#: where there are more, products are sorted.
+CELLS, PRODUCTS = 6, 1 << 17
+#: Ranges of dimensions, as a power of two, by which a chunk is sent to the blocks that can need it.
+RANGES = 12
 #: What scores, rounded to nine digits, may be apart from their exact values, with room to spare.
 SLACK = 1e-8
 
@@ -61,69 +65,184 @@ def _wedges(asked: DataFrame, given: DataFrame) -> DataFrame:
 
 
 def _blocks(reps: DataFrame) -> tuple[DataFrame, int]:
-    """(cls, block) of nodes of at most LONG entries (cls, n, center), and about how many blocks there are. Nodes of about as many
-    entries stand in the order of the mean number of their neighbours, so that nodes with common neighbours mostly share few
-    blocks; results don't depend on it."""
-    total = reps.agg(F.sum("n")).first()[0] or 0
-    size = min(ENTRIES, max(LEAST, total // 16))
-    band = reps.select("cls", "center", F.floor(F.log2("n")).cast("int").alias("band"))
-    placed = numbered(band, ["band", "center", "cls"], "at")
-    first = placed.groupBy("band").agg(F.min("at").alias("first"))
-    inside = F.floor((F.col("at") - F.col("first")) * F.pow(F.lit(2.0), F.col("band") + 1) / size).cast("long")
-    return placed.join(F.broadcast(first), "band").select("cls", (F.shiftleft(F.col("band").cast("long"), 40) + inside).alias("block")), 2 * math.ceil(total / size)
-
-
-def _best(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
-    """(a, c, s): of the nodes a of entries x (dim, cls, weight, square sum) and c of y, in order of dim, those that rounding can
-    leave among a's k + 1 best of y. Of equal scores the k + 1 least are enough."""
-    (xa, xf, xi), (ya, yf, yi) = (np.unique(e[1], return_index=True, return_inverse=True) for e in (x, y))
-    xq, yq = x[3][xf], y[3][yf]
-    order = np.argsort(xi, kind="stable")
-    dim, xi, w = x[0][order], xi[order], x[2][order]
-    link = np.minimum(np.searchsorted(ya, dim), len(ya) - 1)
-    tied = ya[link] == dim
-    begin = np.searchsorted(y[0], dim)  # of each entry those of y that share its dim
-    many = np.searchsorted(y[0], dim, "right") - begin
-    ends = np.searchsorted(xi, np.arange(len(xa) + 1))
-    products = np.concatenate([[0], np.cumsum(many)])[ends]
-    found, lo = [], 0
-    while lo < len(xa):
-        hi = min(lo + max(1, CELLS // len(ya)), max(lo + 1, int(np.searchsorted(products, products[lo] + PRODUCTS, "right")) - 1), len(xa))
-        here = slice(ends[lo], ends[hi])
-        p = many[here]
-        at = np.repeat(begin[here] - (np.cumsum(p) - p), p) + np.arange(p.sum())
-        m = np.bincount(np.repeat((xi[here] - lo) * len(ya), p) + yi[at], np.repeat(w[here], p) * y[2][at], (hi - lo) * len(ya)).reshape(hi - lo, len(ya))
-        m[xi[here][tied[here]] - lo, link[here][tied[here]]] = 0
-        if x is y:
-            m[np.arange(hi - lo), np.arange(lo, hi)] = 0
-        m = m / np.sqrt(xq[lo:hi, None] * yq)
-        last = max(0, len(ya) - k - 1)
-        least = np.partition(m, last, axis=1)[:, last, None] - SLACK
-        i, j = np.nonzero((m >= least) & (m > 0))
-        s = m[i, j]
-        order = np.lexsort((j, -s, i))
-        i, j, s = i[order], j[order], s[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (i[1:] != i[:-1]) | (s[1:] != s[:-1])
-        place = np.arange(len(s))
-        kept = place - np.maximum.accumulate(np.where(new, place, 0)) <= k
-        found.append((xa[lo + i[kept]], ya[j[kept]], s[kept]))
-        lo = hi
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    """(cls, block, chunk) of nodes of at most LONG entries (cls, n, center), and how many blocks there are, numbered from 0. Nodes of
+    about as many entries stand in the order of the mean number of their neighbours, so that nodes with common neighbours mostly
+    stand in few chunks; results don't depend on it."""
+    placed = written(numbered(reps.withColumn("band", F.floor(F.log2("n")).cast("int")), ["band", "center", "cls"], "at"))
+    bands = placed.groupBy("band").agg(F.min("at").alias("first"), F.count("*").alias("many"), F.sum("n").alias("sum")).orderBy("band").collect()  # at most 19 rows
+    size, cuts, begin = min(ENTRIES, max(LEAST, sum(r["sum"] for r in bands) // 16)), [], 0
+    for r in bands:
+        cuts.append((r["band"], r["first"], r["many"], math.ceil(r["sum"] / size), begin))
+        begin += cuts[-1][3]
+    cut = F.broadcast(reps.sparkSession.createDataFrame(cuts, "band int, first long, many long, blocks long, begin long"))
+    placed = placed.join(cut, "band").withColumn("chunk", F.floor((F.col("at") - F.col("first")) * F.col("blocks") * CHUNKS / F.col("many")).cast("long") + F.col("begin") * CHUNKS)
+    return placed.select("cls", F.floor(F.col("chunk") / CHUNKS).cast("int").alias("block"), "chunk"), begin
+
 
+def _packed(shift: int) -> Callable[[pa.Table], pa.Table]:
+    """One row of each chunk: its entries by dimension, compressed, and the ranges of 2^shift numbers that its dimensions are in."""
 
-def _pair_of_blocks(k: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
-        n = t["r"].combine_chunks().value_lengths().to_numpy()
-        dim, right = np.repeat(t["dim"].to_numpy(), n), np.repeat(t["right"].to_numpy(), n)
-        row, w, sq = (t[c].combine_chunks().flatten().to_numpy() for c in ("r", "w", "sq"))
-        order = np.lexsort((row, dim))
-        sides = [tuple(c[order][right[order] == s] for c in (dim, row, w, sq)) for s in (False, True)]
-        x, y = sides
-        both = ((x, x),) if t["lo"][0] == t["hi"][0] else ((x, y), (y, x)) if len(x[0]) and len(y[0]) else ()
-        found = [_best(*pair, k) for pair in both]
-        a, c, s = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"a": a, "c": c, "s": s})
+        cls, dim, w, sq = (t[c].to_numpy() for c in ("cls", "dim", "w", "sq"))
+        order = np.lexsort((cls, dim))
+        nodes, first, col = np.unique(cls, return_index=True, return_inverse=True)
+        dims, many = np.unique(dim, return_counts=True)
+        col, w = col[order].astype(np.int32), w[order]
+        if w.max() < 256 and (w == np.floor(w)).all():
+            w = w.astype(np.uint8)
+        raw = pickle.dumps((nodes, sq[first], dims, many.astype(np.int32), col, w))
+        data = pa.compress(raw, codec="zstd", asbytes=True)
+        return pa.table({"block": t["block"][:1], "chunk": t["chunk"][:1], "size": pa.array([len(raw)], pa.int64()), "data": pa.array([data], pa.binary()), "near": pa.array([np.unique(dims >> shift)], pa.list_(pa.int64()))})
+
+    return run
+
+
+class _Rows:
+    """The nodes of a block with all their entries, and the best of what they have met so far."""
+
+    def __init__(self, chunks: list[tuple], k: int) -> None:
+        self.k, (nodes, sq, dims, many, col, w) = k, zip(*chunks, strict=True)
+        base = np.cumsum([0, *map(len, nodes)])
+        self.names, self.sq, w = np.concatenate(nodes), np.concatenate(sq), np.concatenate(w)
+        dim, row = np.concatenate([np.repeat(d, n) for d, n in zip(dims, many, strict=True)]), np.concatenate([c + b for c, b in zip(col, base, strict=False)])
+        self.dims, at = np.unique(dim, return_inverse=True)
+        order = np.lexsort((at, row))
+        self.row, self.at, self.w = row[order].astype(np.int64), at[order].astype(np.int32), w[order]
+        self.ends = np.searchsorted(self.row, np.arange(len(self.names) + 1))
+        self.least, self.found, self.size = np.full(len(self.names), -1.0), [], 0
+
+    def links(self, i: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Whether the nodes i are linked to those that are the dimensions d (-1: none of theirs)."""
+        out, some = np.zeros(len(i), bool), np.flatnonzero(d >= 0)
+        if len(some):
+            if not hasattr(self, "keys"):
+                self.keys = self.row * len(self.dims) + self.at
+            asked = i[some] * len(self.dims) + d[some]
+            out[some] = self.keys[np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)] == asked
+        return out
+
+    def meet(self, chunk: tuple) -> None:
+        """Adds up the products with a chunk, some rows at a time. Of each node those that rounding can leave among its k + 1 best are
+        kept; of equal scores the k + 1 least are enough."""
+        nodes, sq, dims, many, col, w = chunk
+        place = np.minimum(np.searchsorted(self.dims, dims), len(self.dims) - 1)
+        here = self.dims[place] == dims
+        begin, n = np.zeros(len(self.dims), np.int64), np.zeros(len(self.dims), np.int64)
+        begin[place[here]], n[place[here]] = (np.cumsum(many) - many)[here], many[here]
+        total = np.concatenate([[0], np.cumsum(n[self.at])])
+        products, width = total[self.ends], len(nodes)
+        link = np.minimum(np.searchsorted(self.dims, nodes), len(self.dims) - 1)
+        link = np.where(self.dims[link] == nodes, link, -1)
+        whole = self.w.dtype.kind == w.dtype.kind == "u"  # both below 2^8
+        col = col.astype(np.int64)
+        kind = np.int64 if whole else np.float64
+        w, mine, lo, rows = w.astype(kind), self.w, 0, len(self.names)
+        while lo < rows:
+            if products[lo] == products[-1]:
+                break
+            lo = int(np.searchsorted(products, products[lo], "right")) - 1  # nodes without products are passed over
+            hi = min(max(lo + 1, int(np.searchsorted(products, products[lo] + PRODUCTS, "right")) - 1), rows)
+            part = slice(self.ends[lo], self.ends[hi])
+            at, own = self.at[part], mine[part].astype(kind)
+            p = n[at]
+            from_ = np.repeat(begin[at] - (np.cumsum(p) - p), p)
+            from_ += np.arange(len(from_))
+            key = np.repeat((self.row[part] - lo) * width, p)
+            key += col[from_]
+            value = np.repeat(own, p)
+            value *= w[from_]
+            cells = (hi - lo) * width
+            if cells <= CELLS * len(key):
+                m = np.bincount(key, value, cells)
+                key = np.flatnonzero(m)
+                dot = m[key]
+            elif whole:
+                key <<= 16
+                key |= value
+                key.sort()
+                value = key & 0xFFFF
+                key >>= 16
+                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                dot, key = np.add.reduceat(value, new), key[new]
+            else:
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                dot, key = np.add.reduceat(value[order], new), key[new]
+            i = key // width
+            j = key - i * width
+            s = dot / np.sqrt(self.sq[lo:hi][i] * sq[j])
+            self.keep(lo, hi, i, j, s, nodes, link)
+            lo = hi
+
+    def keep(self, lo: int, hi: int, i: np.ndarray, j: np.ndarray, s: np.ndarray, nodes: np.ndarray, link: np.ndarray) -> None:
+        least = self.least[lo:hi]
+        some = s >= least[i] - SLACK
+        i, j, s = i[some], j[some], s[some]
+        out = (self.names[lo:hi][i] == nodes[j]) | self.links(i + lo, link[j])
+        if out.any():
+            i, j, s = i[~out], j[~out], s[~out]
+        ordered = np.sort(2.0 * i + (1 - s))  # a node's scores from best to least
+        first = np.searchsorted(i, np.arange(hi - lo + 1))
+        full = np.flatnonzero(np.diff(first) > self.k)
+        least[full] = np.maximum(least[full], 2 * full + 1 - ordered[first[full] + self.k])
+        some = s >= least[i] - SLACK
+        i, c, s = self.cut(i[some], nodes[j[some]], s[some])
+        self.found.append((i + lo, c, s))
+        self.size += len(i)
+        if self.size > max(1 << 21, 4 * self.k * len(self.names)):
+            self.best()
+
+    def cut(self, i: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+        """In the order of node, score and name; of equal scores of a node the k + 1 least names."""
+        order = np.lexsort((c, -s, i))
+        i, c, s = i[order], c[order], s[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (s[1:] != s[:-1])
+        place = np.arange(len(i))
+        kept = place - np.maximum.accumulate(np.where(new, place, 0)) <= self.k
+        return i[kept], c[kept], s[kept]
+
+    def best(self) -> pa.RecordBatch:
+        """What is left of all that was met."""
+        none = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        i, c, s = self.cut(*(np.concatenate(x) for x in zip(*none, *self.found, strict=True)))
+        first = np.searchsorted(i, np.arange(len(self.names) + 1))
+        full = np.flatnonzero(np.diff(first) > self.k)
+        self.least[full] = np.maximum(self.least[full], s[first[full] + self.k])
+        some = s >= self.least[i] - SLACK
+        self.found, self.size = [(i[some], c[some], s[some])], int(some.sum())
+        return pa.record_batch({"a": self.names[i[some]], "c": c[some], "s": s[some]})
+
+
+def _blocks_of_rows(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (block, other, size, data) in the order of block, a block's own chunks first (other false): the best of its nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, rows = None, [], None
+
+        def begun() -> _Rows:
+            out = rows or _Rows(own, k)
+            if rows is None:
+                for chunk in own:
+                    out.meet(chunk)
+                own.clear()
+            return out
+
+        for b in batches:
+            for block, other, size, data in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3), strict=True):
+                if block != now and now is not None:
+                    yield begun().best()
+                    own, rows = [], None
+                now = block
+                chunk = pickle.loads(pa.decompress(data.as_buffer(), decompressed_size=size, codec="zstd", asbytes=True))
+                if other:
+                    rows = begun()
+                    rows.meet(chunk)
+                else:
+                    own.append(chunk)
+        if now is not None:
+            yield begun().best()
 
     return run
 
@@ -134,9 +253,9 @@ def recommendations(graph: Graph, k: int = 10, probe: int = 16) -> DataFrame:
     parallel ones add up, self-loops and links to unknown nodes don't count; a weight that is null, not above 0 or not finite is
     1. A node without links, and an empty graph, give no rows. Node ids must be distinct.
 
-    Nodes of equal neighbours are computed once. Nodes are dealt to blocks of about ENTRIES entries; a dimension's (a neighbour's)
-    entries in a block are one row, which is sent to the blocks that hold others of that dimension, so no product is ever a row: a
-    pair of blocks adds them up as matrices of at most CELLS pairs, and only what can be among a node's best leaves it. Nodes of
+    Nodes of equal neighbours are computed once. Nodes are dealt to blocks of about ENTRIES entries, and a block's entries are CHUNKS
+    rows of compressed numbers. A task holds one block and meets the chunks whose dimensions (neighbours) can be among its own one
+    after the other, so no product is ever a row, and only each node's best leave the task. Nodes of
     over LONG entries meet all others in pairs of blocks of each dimension instead. The result is exact, and work is that of all
     two-step paths. `probe` is without effect: nothing is left out by bounds any more.
     """
@@ -144,15 +263,15 @@ def recommendations(graph: Graph, k: int = 10, probe: int = 16) -> DataFrame:
     reps = member.where("id = cls").select("cls")
     own = entries.join(reps, entries["id"] == reps["cls"]).select("cls", F.col("other").alias("dim"), "w")
     norms = written(own.groupBy("cls").agg(F.sum(F.col("w") * F.col("w")).alias("sq"), F.count("*").alias("n"), F.avg("dim").alias("center")))
-    blocks, count = _blocks(norms.where(F.col("n") <= LONG))
-    blocks = written(blocks)
+    blocks, count = _blocks(norms.where(F.col("n") <= LONG).select("cls", "n", "center"))
     rows = own.join(blocks, "cls").join(norms.select("cls", "sq"), "cls")
-    cells = written(rows.groupBy("block", "dim").agg(F.collect_list(F.struct("cls", "w", "sq")).alias("e")))
-    meets = cells.select("dim", "block").unionByName(blocks.select(F.col("cls").alias("dim"), "block")).groupBy("dim").agg(F.collect_set("block").alias("others"))  # a dimension's own block too: there links to it count
-    sent = cells.join(meets, "dim").withColumn("other", F.explode("others"))
-    sent = sent.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("right"), "dim", F.col("e.cls").alias("r"), F.col("e.w").alias("w"), F.col("e.sq").alias("sq"))
-    n = max(int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * count)
-    best = sent.repartition(n, "lo", "hi").groupBy("lo", "hi").applyInArrow(_pair_of_blocks(k), "a long, c long, s double")
+    shift = max(0, int(names.agg(F.max("number")).first()[0] or 0).bit_length() - RANGES)
+    chunks = written(rows.groupBy("chunk").applyInArrow(_packed(shift), "block int, chunk long, size long, data binary, near array<long>"))
+    near = chunks.select("block", "chunk", F.explode("near").alias("near"))
+    meets = near.select("chunk", "near").join(near.select(F.col("block").alias("of"), "near").distinct(), "near").select("chunk", "of").distinct()
+    sent = chunks.join(meets, "chunk").select(F.col("of").alias("block"), (F.col("block") != F.col("of")).alias("other"), "size", "data")
+    sent = sent.repartitionById(max(1, count), "block").sortWithinPartitions("block", "other")
+    best = sent.mapInArrow(_blocks_of_rows(k), "a long, c long, s double")
     long = written(norms.where(F.col("n") > LONG).select("cls", "sq"))
     if not long.isEmpty():
         asked = own.join(own.groupBy("dim").agg(F.count("*").alias("n")), "dim")
@@ -169,11 +288,11 @@ def recommendations(graph: Graph, k: int = 10, probe: int = 16) -> DataFrame:
     score = best.select("a", "c", F.round("s", 9).alias("score")).unionByName(same.select(F.col("cls").alias("a"), F.col("cls").alias("c"), F.lit(1.0).alias("score")))
     order = Window.partitionBy("a").orderBy(F.desc("score"), "c")
     top = score.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1).drop("__r")
-    heads = member.withColumn("__r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("__r") <= k + 1).select(F.col("cls").alias("c"), F.col("id").alias("recommended"))
+    name = lambda number, to: names.select(F.col("number").alias(number), F.col("name").alias(to))
+    heads = member.withColumn("__r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("__r") <= k + 1).select(F.col("cls").alias("c"), F.col("id").alias("recommended")).join(name("recommended", "name"), "recommended")
     ranked = Window.partitionBy("a").orderBy(F.desc("score"), "recommended")
     lists = top.join(heads, "c").withColumn("__r", F.row_number().over(ranked)).where(F.col("__r") <= k + 1)
-    lists = lists.groupBy(F.col("a").alias("cls")).agg(F.sort_array(F.collect_list(F.struct("__r", "recommended", "score"))).alias("best"))
-    mine = member.join(lists, "cls").select("id", F.posexplode(F.slice(F.filter("best", lambda b: b["recommended"] != F.col("id")), 1, k)).alias("at", "b"))
-    mine = mine.select("id", (F.col("at") + 1).alias("rank"), F.col("b.recommended").alias("other"), "b.score")
-    left, right = names.select(F.col("number").alias("id"), F.col("name").alias("__id")), names.select(F.col("number").alias("other"), F.col("name").alias("recommended"))
-    return mine.join(left, "id").join(right, "other").select(F.col("__id").alias("id"), "rank", "recommended", "score")
+    lists = lists.groupBy(F.col("a").alias("cls")).agg(F.sort_array(F.collect_list(F.struct("__r", "recommended", "name", "score"))).alias("best"))
+    mine = member.join(name("id", "__id"), "id").join(lists, "cls")  # names are joined before lists become rows
+    mine = mine.select("__id", F.posexplode(F.slice(F.filter("best", lambda b: b["recommended"] != F.col("id")), 1, k)).alias("at", "b"))
+    return mine.select(F.col("__id").alias("id"), (F.col("at") + 1).alias("rank"), F.col("b.name").alias("recommended"), "b.score")

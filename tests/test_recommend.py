@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from kgloom.operators import recommend
@@ -85,3 +86,32 @@ def test_blocks(spark, entries, long, cells, monkeypatch):
     g = Graph(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(edges, EDGES))
     same(rows(recommend.recommendations(g, 3)), brute(set(ids), edges, 3))
     assert bool(calls) == (long == 12)
+
+
+@pytest.mark.parametrize(("cells", "half"), [(1 << 30, False), (0, False), (0, True)])
+def test_rows_meet_chunks(cells, half, monkeypatch):
+    """Only a node's best leave a block, however many chunks it meets; before, each pair of blocks put out k + 1 a node. Sums by matrix, by
+    sorted whole numbers and by sorted fractions are the same."""
+    monkeypatch.setattr(recommend, "CELLS", cells)
+    monkeypatch.setattr(recommend, "PRODUCTS", 50)
+    rng = random.Random(cells)
+    rows = {c: {d: rng.randint(1, 3) + half / 2 for d in rng.sample(range(100, 130), 9)} for c in range(40)}
+    rows[7][25] = rows[25][107] = 1.0  # 7 is linked to 25
+    sq = {c: float(sum(w * w for w in v.values())) for c, v in rows.items()}
+    chunks = []
+    for at in range(0, 40, 8):
+        e = [(c, d, float(w), sq[c]) for c in range(at, at + 8) for d, w in rows[c].items()]
+        t = pa.table({"block": [0] * len(e), "chunk": [at] * len(e)} | dict(zip(("cls", "dim", "w", "sq"), map(list, zip(*e)), strict=True)))
+        p = recommend._packed(0)(t)
+        assert set(p["near"][0].as_py()) == {x[1] for x in e}
+        chunks.append(recommend.pickle.loads(pa.decompress(p["data"][0].as_buffer(), decompressed_size=p["size"][0].as_py(), codec="zstd", asbytes=True)))
+    block = recommend._Rows(chunks[:2], 3)
+    for c in chunks:
+        block.meet(c)
+    got = defaultdict(list)
+    for r in block.best().to_pylist():
+        got[r["a"]].append((-round(r["s"], 9), r["c"]))
+    assert got.keys() == set(range(16))
+    for a in range(16):
+        want = sorted((-round(sum(w * rows[c].get(d, 0) for d, w in rows[a].items()) / (sq[a] * sq[c]) ** 0.5, 9), c) for c in rows if c != a and c not in rows[a] and rows[a].keys() & rows[c].keys())
+        assert sorted(got[a])[:4] == want[:4] and len(got[a]) < 12
